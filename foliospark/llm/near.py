@@ -1,6 +1,319 @@
-"""N-gram Jaccard join."""
+"""N-gram Jaccard join by MinHash banding, with every candidate verified on full n-gram sets.
+
+Nodes are distinct texts; copies of a text are never expanded. Texts that agree in a band meet in that band's bucket. A
+bucket's pairs are verified inside tasks, block against block, and leave them only as link counts and spanning edges, so
+no stage emits the pairs of a group and no task holds a whole large bucket. A pair that meets in several buckets counts
+in the first one alone.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Iterator
+from math import ceil, log
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foliospark.llm.common import text_or_empty, written
+
+WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
+#: Most hash functions that the choice of bands may take.
+MOST_HASHES = 160
+#: Texts in a block of a large bucket; a task holds two blocks at a time.
+BLOCK = 512
+#: Columns of the n-gram matrix that are multiplied at a time.
+CHUNK = 4096
+
+
+def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
+    """(bands, rows): the most rows a band, so the fewest false candidates, that reach ``recall`` at ``similarity``."""
+    best = None
+    for rows in range(1, most + 1):
+        bands = ceil(log(1 - recall) / log(1 - similarity**rows)) if similarity < 1 else 1
+        if bands * rows > most:
+            break
+        best = bands, rows
+    if best is None:
+        raise ValueError("this recall takes more hash functions than allowed")
+    return best
+
+
+@functools.cache
+def _words():
+    import re
+
+    return re.compile(r"\w+").findall
+
+
+@functools.cache
+def _multipliers(n: int):
+    import numpy as np
+
+    return np.random.default_rng(20_011).integers(0, 1 << 63, size=(2, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(x):
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def shingles(text: str, n: int = WORDS):
+    """Sorted distinct 64-bit hashes of the n-word runs of a text in lower case; a shorter text is one run."""
+    import numpy as np
+    import xxhash
+
+    words = _words()(text.lower())
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = min(n, len(words))
+    out = np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashed[k : len(words) - n + 1 + k])
+    return np.unique(out)
+
+
+def band_hashes(grams, bands: int, rows: int):
+    """One 64-bit hash for each band of the MinHash signature of an n-gram set; the band's number is part of it."""
+    import numpy as np
+
+    a, b = _multipliers(bands * rows)
+    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 2048):
+        np.minimum(low, (grams[at : at + 2048, None] * a + b).min(axis=0), out=low)
+    out = np.arange(bands, dtype=np.uint64)
+    for column in low.reshape(bands, rows).T:
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out.view(np.int64)
+
+
+def _texts(docs: DataFrame, id_column: str, text_column: str, bands: int, rows: int, n: int) -> DataFrame:
+    """(doc_id, text_key, bands) of every row."""
+    text = text_or_empty(text_column)
+    given = docs.select(F.col(id_column).alias("doc_id"), _key(text), text.alias("text"))
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                found = []
+                for t in batch.column(2):
+                    grams = shingles(t.as_py(), n)
+                    found.append(band_hashes(grams, bands, rows).tolist() if len(grams) else [])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_key", "bands"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    return given.mapInArrow(run, f"doc_id {kind}, text_key binary, bands array<bigint>")
+
+
+def _key(text):
+    return F.unhex(F.md5(text.cast("binary"))).alias("text_key")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text_column: str, n: int) -> DataFrame:
+    """(text_key, grams) for the wanted text_keys; grams: the n-gram set as sorted little-endian 64-bit numbers."""
+    text = text_or_empty(text_column)
+    own = docs.select(_key(text), text.alias("text")).join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), n).tobytes() for t in batch.column(1)], pa.binary())], names=["text_key", "grams"])
+
+    return own.mapInArrow(run, "text_key binary, grams binary")
+
+
+def _products(of: list, split: int, own: bool):
+    """For rows of distinct numbers: how many each of the first ``split`` rows shares with each row (``own``) or each of the rest."""
+    import numpy as np
+
+    flat = np.concatenate(of)
+    owner = np.repeat(np.arange(len(of)), [len(x) for x in of])
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    keep = count[place] > 1
+    owner, column = owner[keep], number[place[keep]]
+    width = int(number[-1]) + 1 if len(number) else 0
+    shared = np.zeros((split, len(of) if own else len(of) - split), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, width, CHUNK):
+        first, last = np.searchsorted(column, (low, low + CHUNK))
+        dense = np.zeros((len(of), min(CHUNK, width - low)), np.float32)
+        dense[owner[first:last], column[first:last] - low] = 1
+        shared += dense[:split] @ (dense if own else dense[split:]).T
+    return shared
+
+
+def verify(keys: list, grams: list, buckets: list, blocks: list, bucket: int, own: bool, similarity: float) -> list[tuple]:
+    """(key, links, root) of the members of a unit that have links in it. ``own``: the unit is a block against itself.
+
+    A unit is one block of a bucket against itself, or two blocks against each other. Links of pairs whose first common
+    bucket is another one are left to that bucket. root: the least key of the member's component within the unit.
+    """
+    import numpy as np
+
+    order = sorted(range(len(keys)), key=lambda i: (blocks[i], keys[i]))
+    keys, grams, buckets, blocks = ([x[i] for i in order] for x in (keys, grams, buckets, blocks))
+    split = len(keys) if own else blocks.index(blocks[-1])
+    if not split:  # one of the two blocks is empty
+        return []
+    earlier = [b[b < bucket] for b in buckets]
+    sizes = np.array([len(g) for g in grams], np.float32)
+    shared = _products(grams, split, own)
+    union = sizes[:split, None] + (sizes if own else sizes[split:])[None, :] - shared
+    linked = (shared > 0) & (shared >= similarity * union.astype(np.float64) - 1e-9)
+    if any(len(e) for e in earlier):
+        linked &= _products(earlier, split, own) == 0
+    if own:
+        np.fill_diagonal(linked, False)
+    links = np.zeros(len(keys), np.int64)
+    links[:split] += linked.sum(axis=1)
+    if not own:
+        links[split:] += linked.sum(axis=0)
+    root = np.full(len(keys), -1)
+    for start in sorted(np.nonzero(links)[0].tolist(), key=keys.__getitem__):
+        if root[start] >= 0:
+            continue
+        root[start], ahead = start, [start]
+        while ahead:
+            x = ahead.pop()
+            near = np.nonzero(linked[x] if x < split else linked[:, x - split])[0] + (0 if own or x >= split else split)
+            fresh = near[root[near] < 0]
+            root[fresh] = start
+            ahead += fresh.tolist()
+    return [(keys[i], int(links[i]), keys[root[i]]) for i in range(len(keys)) if links[i]]
+
+
+def _verified(units: DataFrame, similarity: float) -> DataFrame:
+    """Rows of the same unit stand together; a unit has two blocks at most."""
+
+    def run(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+
+        def told(found):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())], names=["text_key", "links", "root"]
+            )
+
+        def done():
+            keys, grams, buckets, blocks = zip(*held, strict=True)
+            return verify(list(keys), list(grams), list(buckets), list(blocks), unit[0], unit[1] == unit[2], similarity)
+
+        unit, held, found = None, [], []
+        for batch in batches:
+            for bucket, i, j, block, key, grams, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if unit != (bucket, i, j):
+                    if len(held) > 1:
+                        found += done()
+                    unit, held = (bucket, i, j), []
+                held.append((key, np.frombuffer(grams, np.uint64), np.array(others, np.int64), block))
+            if found:
+                yield told(found)
+                found = []
+        if len(held) > 1:
+            found += done()
+        if found:
+            yield told(found)
+
+    return units.mapInArrow(run, "text_key binary, links bigint, root binary")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for every node of ``edges`` (a, b): label is one node of the component, the same for all of it.
+
+    Each round every node joins its least neighbour and edges are contracted; keys are hashes, so a constant share of the
+    nodes is expected to go each round. Nothing is gathered in one place; rounds are cut by tables in the shared folder.
+    """
+    spark = edges.sparkSession
+    edges = written(spark, edges.select("a", "b").where("a <> b").distinct(), "edges")
+    maps = []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = written(spark, both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("up")), "up")
+        maps.append(up)
+        one = edges.join(up.toDF("a", "up_a"), "a").select(F.col("up_a").alias("a"), "b")
+        edges = written(
+            spark, one.join(up.toDF("b", "up_b"), "b").select("a", F.col("up_b").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
+        )
+    if not maps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = maps[0].toDF("node", "label")
+    for up in maps[1:]:
+        labels = labels.join(up.toDF("label", "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    return labels
+
+
+def linked_texts(
+    docs: DataFrame, *, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): rows has (doc_id, text_key) for every document; texts has (text_key, text_id, n_links, label).
+
+    text_id is the least doc_id of the text's copies, n_links the number of other distinct texts with at least the given
+    Jaccard similarity of n-gram sets, label the same for all texts of a component of links.
+    """
+    spark = docs.sparkSession
+    bands, rows = choose_bands(similarity, recall)
+    base = written(spark, _texts(docs, id_column, text_column, bands, rows, n), "near-rows")
+    texts = written(spark, base.groupBy("text_key").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands")), "near-texts")
+    spots = texts.select("text_key", F.explode("bands").alias("bucket"))
+    same = (F.bit_xor(F.xxhash64("text_key")).alias("x"), F.bit_xor(F.xxhash64("text_key", F.lit(1))).alias("y"))
+    full = spots.groupBy("bucket").agg(F.count("*").alias("n"), *same).where("n > 1")
+    # of buckets with the very same texts, one is enough
+    kept = written(spark, full.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "near-buckets")
+    members = written(spark, spots.join(kept, "bucket"), "near-members")
+    per_text = members.groupBy("text_key").agg(F.collect_list("bucket").alias("buckets"))
+    sets = _sets(docs, per_text, text_column, n).join(per_text, "text_key")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("text_key", "bucket"), blocks).cast("int")
+    units = (
+        members.select("text_key", "bucket", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("x"))
+        .select("text_key", "bucket", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
+        .join(sets, "text_key")
+        .select("bucket", "i", "j", "block", "text_key", "grams", "buckets")
+    )
+    dealt = units.repartitionByRange("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = written(spark, _verified(dealt, similarity), "near-links")
+    links = found.groupBy("text_key").agg(F.sum("links").alias("n_links"))
+    labels = components(found.select(F.col("text_key").alias("a"), F.col("root").alias("b")))
+    result = (
+        texts.select("text_key", "text_id").join(links, "text_key", "left").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left")
+        .select("text_key", "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "text_key").alias("label"))
+    )
+    return base.select("doc_id", "text_key"), result
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, text_id, n_links) of every row.
+
+    class_id: the least doc_id of the component of links and copies; text_id: that of the rows with the same text; n_links:
+    the number of other distinct texts at the similarity or above. Null texts count as empty; texts without words have
+    copies but no links; nulls in doc_id are passed over when the least is taken (a class of nulls alone has none).
+    Repeated rows are copies. Extra columns are not read. An empty table gives an empty result.
+    """
+    rows, texts = linked_texts(docs, **options)
+    texts = written(docs.sparkSession, texts, "near-classes")
+    least = texts.groupBy("label").agg(F.min("text_id").alias("class_id"))
+    named = texts.join(least, "label").select("text_key", "text_id", "n_links", "class_id")
+    return rows.join(named, "text_key").select("doc_id", "class_id", "text_id", "n_links")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    raise NotImplementedError
+def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The columns of ``docs`` for one row of each class: that of the least doc_id (a class of null ids keeps one of them)."""
+    _, texts = linked_texts(docs, id_column=id_column, text_column=text_column, **options)
+    texts = written(docs.sparkSession, texts, "near-classes")
+    first = F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id").alias("text_id"), F.col("text_key").alias("text_key")))
+    chosen = texts.groupBy("label").agg(first.alias("f")).select("f.text_key", "f.text_id")
+    keyed = docs.withColumn("__key", _key(text_or_empty(text_column)))
+    joined = keyed.join(chosen.toDF("__key", "__first"), "__key").where(F.col(id_column).eqNullSafe(F.col("__first")))
+    return joined.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

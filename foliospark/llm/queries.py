@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, media, mixing, pii, quality, sharding, warc
+from foliospark.llm import bpe, media, mixing, near, pii, quality, sharding, warc
 from foliospark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(spark, directory, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,6 +60,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
     "op7_karmarkar_karp": op7_karmarkar_karp,
