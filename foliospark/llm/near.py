@@ -116,10 +116,16 @@ def _key(text):
     return F.unhex(F.md5(text.cast("binary"))).alias("text_key")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, text_column: str, n: int) -> DataFrame:
-    """(text_key, grams) for the wanted text_keys; grams: the n-gram set as sorted little-endian 64-bit numbers."""
+def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
+    """(text_key, grams) for the wanted (text_key, text_id); grams: the n-gram set as sorted little-endian 64-bit numbers.
+
+    Id and text together are the join's key, so that of a text's copies only the first one's row is met, and a large
+    group of copies is spread by its ids. The join shuffles at every size; the wanted keys grow with the input.
+    """
     text = text_or_empty(text_column)
-    own = docs.select(_key(text), text.alias("text")).join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
+    rows = docs.select(F.col(id_column).alias("id"), _key(text), text.alias("text"))
+    first = wanted.select(F.col("text_key").alias("key"), "text_id").hint("merge")
+    own = rows.join(first, (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("text_id")), "left_semi").select("text_key", "text")
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -129,7 +135,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_column: str, n: int) -> DataF
                 batch = whole.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), n).tobytes() for t in batch.column(1)], pa.binary())], names=["text_key", "grams"])
 
-    return own.mapInArrow(run, "text_key binary, grams binary")
+    return own.mapInArrow(run, "text_key binary, grams binary").dropDuplicates(["text_key"])
 
 
 def _products(of: list, split: int, own: bool):
@@ -273,7 +279,8 @@ def linked_texts(
     kept = written(spark, full.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "near-buckets")
     members = written(spark, spots.join(kept, "bucket"), "near-members")
     per_text = members.groupBy("text_key").agg(F.collect_list("bucket").alias("buckets"))
-    sets = _sets(docs, per_text, text_column, n).join(per_text, "text_key")
+    wanted = per_text.join(texts.select("text_key", "text_id"), "text_key")
+    sets = _sets(docs, wanted, id_column, text_column, n).join(per_text, "text_key")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("text_key", "bucket"), blocks).cast("int")
     units = (
