@@ -115,6 +115,13 @@ class ArchiveReader:
             self.offset += used
 
 
+def _slices(batches: Iterator, rows: int = 128) -> Iterator:
+    """Batches cut so that only a few payloads are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def write_archives(
     pages: DataFrame, *, directory: str | None = None, least: int = LEAST_REVISIT, samples: int = 64, id_column: str = "page_id", url_column: str = "url", html_column: str = "html"
 ) -> str:
@@ -147,7 +154,7 @@ def write_archives(
 
         files, root = open_fs(directory)
         name, sink, packer, n = f"{uuid.uuid4().hex}.warc.zst", None, None, 0
-        for batch in batches:
+        for batch in _slices(batches):
             records = []
             for page_id, url, payload, digest, size, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 headers = [
@@ -157,8 +164,6 @@ def write_archives(
                 if payload is None:
                     headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-ID", str(refers_to)), ("X-Payload-Bytes", str(size))]
                 records.append(build_record(headers, payload or b""))
-            if not records:
-                continue
             if sink is None:
                 content = b"".join(r[:2048] for r in records[:samples])[-(110 << 10) :]
                 files.create_dir(root, recursive=True)
