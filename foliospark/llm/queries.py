@@ -79,4 +79,36 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
 }
 
-SQL: dict[str, str] = {}
+_WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY d, n >= 1000) AS top FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM m"""
+
+_MIX_SQL = """WITH d AS (SELECT doc_id, source, text, coalesce(source, '') AS s, (('0x' || substring(md5('17:count:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE AS u FROM documents),
+z AS (SELECT s, sum(strlen(coalesce(text, '')))::DOUBLE AS bytes FROM d GROUP BY 1), t AS (SELECT sum(bytes) AS b, sum(sqrt(bytes)) AS w FROM z WHERE bytes > 0),
+r AS (SELECT s, b * sqrt(bytes) / w / bytes AS rate FROM z, t WHERE bytes > 0),
+k AS (SELECT s, rate, unnest(range(0, (ceil(rate + 12 * sqrt(rate) + 40))::BIGINT + 1)) AS k FROM r),
+c AS (SELECT s, rate, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS cdf FROM k),
+n AS (SELECT d.doc_id, d.source, d.text, rate, count(*) FILTER (WHERE cdf < u)::INT AS n_copies FROM d JOIN c USING (s) GROUP BY ALL),
+e AS (SELECT *, unnest(range(n_copies))::INT AS replica FROM n WHERE n_copies > 0)
+SELECT doc_id, source, text, replica, n_copies, round(rate, 6) AS rate, md5('17:order:' || coalesce(doc_id::VARCHAR, '') || ':' || replica) AS shuffle_key FROM e"""
+
+_QUALITY_SQL = """WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
+p AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS a FROM w),
+g AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, i, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, a, b, c) >= 2 AS two FROM g),
+v AS (SELECT doc_id, i, two OR coalesce(lag(two) OVER o, false) OR coalesce(lag(two, 2) OVER o, false) AS cov FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, count(*) FILTER (WHERE cov) AS n_repeat_words FROM v GROUP BY 1),
+ln AS (SELECT doc_id, host, md5(t) AS k, unnest(ls) AS l FROM w),
+nl AS (SELECT *, translate(array_to_string(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS words FROM ln),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM nl WHERE words > 0 GROUP BY 1),
+hosts AS (SELECT host, count(DISTINCT md5(t)) AS n_host FROM w GROUP BY 1),
+freq AS (SELECT host, norm, count(DISTINCT k) AS n_texts FROM nl WHERE words > 0 GROUP BY 1, 2),
+bad AS (SELECT host, norm FROM freq JOIN hosts USING (host) WHERE n_texts > greatest(20.0, 0.02 * n_host)),
+rem AS (SELECT doc_id, sum(words) FILTER (WHERE bad.norm IS NOT NULL) AS removed FROM nl LEFT JOIN bad USING (host, norm) WHERE words > 0 GROUP BY 1),
+s AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+ coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS removed_words FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rem USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= 0.7 * n_words AS kept, removed_words FROM s"""
+
+SQL: dict[str, str] = {"op5_warc": _WARC_SQL, "op8_poisson_mix": _MIX_SQL, "op9_line_quality": _QUALITY_SQL}
