@@ -39,7 +39,8 @@ def marker_of(text: Column) -> Column:
 
 def without_marker(text: Column) -> Column:
     every = "|".join(n for role in ROLES for n in NAMES[role])
-    return F.trim(F.regexp_replace(F.regexp_replace(text, MARKER % every, ""), r"(?i)(?:<\|im_end\|>|<\|end\|>)\s*$", ""))
+    bare = F.regexp_replace(F.regexp_replace(text, MARKER % every, ""), r"(?i)(?:<\|im_end\|>|<\|end\|>)\s*$", "")
+    return F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
 
 
 def observed(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import text_or_empty
 
-#: Code points before and after a span in which context words count.
+#: Code points before and after a span in which context words count, as far as the next match of the kind.
 WINDOW = 48
 KEEP = 0.5
 RAISE, LOWER = 0.3, 0.3
@@ -76,13 +76,13 @@ def _ssn(match: Column) -> Column:
 
 
 #: Fixed forms of the first four kinds, written so that a scan stays linear: a run of local-part characters is tried once,
-#: from its start or from the end of the match before; a card number is a whole run of digits with single separators.
+#: from its start or from the end of the match before; an address starts at a whole run of digits; a card number is a whole run of digits with single separators.
 KINDS = (
     Kind(
         "email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda m: F.lit(True), 0.9,
         r"mail|contact|kontakt|correo|courriel|write|reach", r"example\.|noreply|no-reply",
     ),
-    Kind("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", ".", _ip, 0.6, r"\bip\b|server|host|address|login|client", r"version|release|section|kapitel"),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", _ip, 0.6, r"\bip\b|server|host|address|login|client", r"version|release|section|kapitel"),
     Kind(
         "card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])", "", _card, 0.8,
         r"card|visa|master|credit|karte|carte|tarjeta|pay", r"isbn|order|tracking|serial",
@@ -103,20 +103,22 @@ def spans(text: Column, kind: Kind) -> Column:
     """array<struct<start, end, score>> of the valid spans of a kind, in order; offsets in code points, end exclusive."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.split(text, kind.pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,around:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["p"])
         end = begin + F.length(x["m"])
-        found = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("match"))
+        around = F.concat(F.substring(x["p"], -WINDOW, WINDOW), F.lit("\n"), F.substring(x["n"], 1, WINDOW))
+        found = F.struct(begin.alias("start"), end.alias("end"), around.alias("around"))
         return F.struct(end.alias("at"), F.when(kind.valid(x["m"]), F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+    size = F.size(matches)
+    beside = F.zip_with(F.slice(pieces, 1, size), F.slice(pieces, 2, size), lambda p, n: F.struct(p.alias("p"), n.alias("n")))
+    zipped = F.zip_with(matches, beside, lambda m, x: F.struct(m.alias("m"), x["p"].alias("p"), x["n"].alias("n")))
     placed = F.aggregate(zipped, start, step, lambda a: a["out"])
 
     def score(x: Column) -> Column:
-        low = F.greatest(x["start"] - WINDOW, F.lit(0))
-        around = F.lower(F.concat(F.substring(text, low + 1, x["start"] - low), F.lit("\n"), F.substring(text, x["end"] + 1, F.lit(WINDOW))))
+        around = F.lower(x["around"])
         raised = F.when(around.rlike(kind.near), RAISE).otherwise(0.0) - F.when(around.rlike(kind.against), LOWER).otherwise(0.0)
         total = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(kind.score) + raised))
         return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.round(total, 2).alias("score"))
@@ -129,13 +131,13 @@ def spans(text: Column, kind: Kind) -> Column:
     return F.when(likely & text.rlike(kind.pattern), scored).otherwise(none)
 
 
-def find(docs: DataFrame, *, text_column: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with ``pii``: array<struct<kind, start, end, score>>, by kind as listed and then by start.
+def find(docs: DataFrame, *, text_column: str = "text", to: str = "pii", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """``docs`` with the column ``to``: array<struct<kind, start, end, score>>, by kind as listed and then by start.
 
-    Null and empty texts have none. Rows are kept one to one, without a shuffle; an existing column ``pii`` is replaced.
+    Null and empty texts have none. Rows are kept one to one, without a shuffle; an existing column of that name is replaced.
     """
     text = text_or_empty(text_column)
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "pii"], F.concat(*[spans(text, k) for k in kinds]).alias("pii"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != to], F.concat(*[spans(text, k) for k in kinds]).alias(to))
 
 
 def redact(docs: DataFrame, *, text_column: str = "text", length_column: str | None = "n_chars", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -143,8 +145,8 @@ def redact(docs: DataFrame, *, text_column: str = "text", length_column: str | N
 
     Null texts stay null. The columns stay; ``length_column``, if there, gets the new length in code points.
     """
-    found = find(docs.withColumn("__text", text_or_empty(text_column)), text_column="__text", kinds=kinds)
-    ordered = F.array_sort(F.transform("pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    found = find(docs.withColumn("__text", text_or_empty(text_column)), text_column="__text", to="__pii", kinds=kinds)
+    ordered = F.array_sort(F.transform("__pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -154,11 +156,11 @@ def redact(docs: DataFrame, *, text_column: str = "text", length_column: str | N
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.array_append(acc["out"], mark)).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("__text"), a["at"] + 1, F.length("__text"))))
-    text = F.when(F.size("pii") > 0, done).otherwise(F.col(text_column))
+    text = F.when(F.size("__pii") > 0, done).otherwise(F.col(text_column))
     out = found.withColumn(text_column, text)
     if length_column in docs.columns:
         kind = docs.schema[length_column].dataType
-        out = out.withColumn(length_column, F.when(F.size("pii") > 0, F.length(text_column).cast(kind)).otherwise(F.col(length_column)))
+        out = out.withColumn(length_column, F.when(F.size("__pii") > 0, F.length(text_column).cast(kind)).otherwise(F.col(length_column)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -135,8 +135,10 @@ def label_model(counts: dict[int, float], known: tuple[dict[int, float], dict[in
     """Posterior of the toxic class for every firing pattern.
 
     ``counts``: firing pattern -> documents; ``known``: the same for labelled clean and toxic rows, whose class is fixed.
-    Expectation-maximisation runs with independent voters first. Voters whose correlation within the classes exceeds
-    ``bound`` are then joined, three at most to a clique, each clique gets a joint table, and it runs again.
+    Correlations of voters within the classes come from the labelled rows where each class has 30, else from a first run of
+    expectation-maximisation with independent voters. Voters whose correlation exceeds ``bound`` and four standard errors
+    are joined, three at most to a clique; each clique has a joint table, and expectation-maximisation over all documents
+    estimates these and the classes.
     Gives (pattern -> posterior, cliques, firing rates of each voter in both classes).
     """
     import numpy as np
@@ -170,16 +172,21 @@ def label_model(counts: dict[int, float], known: tuple[dict[int, float], dict[in
     evidence = fixed[1] + 0.5 * fixed[1].sum() / max(1.0, fixed.sum())
     start = np.where(fixed.sum(axis=0) > 0, evidence / (fixed.sum(axis=0) + 0.5), np.where((fires[:, : max(1, voters - 3)]).any(axis=1), 0.9, 0.05))
     start = np.clip(start, 0.01, 0.99)
-    alone = [(v,) for v in range(voters)]
-    post = fit(alone, start)
-    both = np.stack([fixed[0] + n * (1 - post), fixed[1] + n * post])
+    labelled = fixed.sum(axis=1).min() >= 30
+    if labelled:
+        both = fixed
+    else:
+        start = fit([(v,) for v in range(voters)], start)
+        both = np.stack([n * (1 - start), n * start]) + fixed
     strength = np.zeros((voters, voters))
     for y in (0, 1):
-        share = both[y] / max(1e-9, both[y].sum())
+        size = both[y].sum()
+        share = both[y] / max(1e-9, size)
         mean = share @ fires
         cov = (fires * share[:, None]).T @ fires - np.outer(mean, mean)
         spread = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
-        strength = np.maximum(strength, np.abs(cov / np.outer(spread, spread)) * both[y].sum() / both.sum() * 2)
+        found = np.abs(cov / np.outer(spread, spread))
+        strength = np.maximum(strength, np.where(found * np.sqrt(size) > 4, found, 0))
     cliques = [[v] for v in range(voters)]
     pairs = sorted(((strength[a, b], a, b) for a in range(voters) for b in range(a) if strength[a, b] > bound), reverse=True)
     for _, a, b in pairs:
@@ -188,7 +195,7 @@ def label_model(counts: dict[int, float], known: tuple[dict[int, float], dict[in
             cliques.remove(two)
             one += two
     cliques = [tuple(sorted(c)) for c in cliques]
-    post = fit(cliques, post)
+    post = fit(cliques, start)
     both = np.stack([fixed[0] + n * (1 - post), fixed[1] + n * post])
     rates = (both @ fires + 0.5) / (both.sum(axis=1, keepdims=True) + 1)
     return {int(m): float(p) for m, p in zip(masks, post, strict=True)}, cliques, rates

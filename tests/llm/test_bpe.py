@@ -1,0 +1,73 @@
+"""BPE against tiktoken, and the round trip."""
+
+import hashlib
+import random
+import struct
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+from foliospark.llm import bpe
+
+PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def pair():
+    ranks = bpe.read_ranks(PATH)
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return bpe.Codec(bpe.serialise(ranks), PATTERN), own
+
+
+def same(pair, text):
+    ids = pair[0].encode(text)
+    return list(memoryview(ids).cast("I")) == pair[1].encode_ordinary(text) and pair[0].decode(ids) == text.encode()
+
+
+def test_every_character(pair):
+    for low in range(0, 0x30000, 64):
+        text = " ".join(f"a{chr(c)}b 1{chr(c)}" for c in range(low, low + 64) if not 0xD800 <= c < 0xE000)
+        assert same(pair, text), hex(low)
+
+
+def test_random_texts(pair):
+    rng = random.Random(4)
+    for _ in range(1500):
+        assert same(pair, "".join(rng.choice("ab ' \n\t1é中😀.,s't<|endoftext|>") for _ in range(rng.randrange(60))))
+
+
+def test_long_texts(pair):
+    assert same(pair, "a" * 60_000) and same(pair, " " * 30_000) and same(pair, "word " * 20_000)
+
+
+def test_memory_that_starts_afresh(pair, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    pair[0].known.clear()
+    assert same(pair, "one two three four five six seven eight nine ten one two")
+
+
+def test_gaps_in_ranks_are_refused():
+    with pytest.raises(ValueError):
+        bpe.serialise({b"a": 0, b"b": 2})
+
+
+def test_frame(spark, pair):
+    rows = [(1, "Hello world", "x"), (2, None, "y"), (3, "", "z"), (None, "naïve 中文", None), (1, "Hello world", "x")]
+    found = bpe.tokenize(spark.createDataFrame(rows, "doc_id long, text string, ids string"), PATH, PATTERN).collect()
+    assert len(found) == 5
+    for r in found:
+        text = r.text or ""
+        assert bytes(r.decoded) == text.encode() and r.n_tokens == len(pair[1].encode_ordinary(text))
+        assert bytes(r.ids) == b"".join(struct.pack("<I", i) for i in pair[1].encode_ordinary(text))
+    assert bpe.tokenize(spark.createDataFrame([], "doc_id long, text string"), PATH, PATTERN).collect() == []
+
+
+def test_query_on_the_benchmark_documents(spark, pair):
+    from foliospark.llm import queries
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in queries.op3_byte_bpe(spark, "/root/testdata/sf0.001").collect():
+        ids = pair[1].encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()

@@ -1,0 +1,66 @@
+import random
+import zlib
+
+from foliospark.llm import sharding
+
+
+def test_difference_beats_greedy_and_keeps_all():
+    rng = random.Random(1)
+    sizes = {i: rng.randrange(1, 10_000) for i in range(200)}
+    placed = sharding.difference(sizes, 8)
+    assert placed.keys() == sizes.keys() and set(placed.values()) <= set(range(8))
+    sums = [sum(s for i, s in sizes.items() if placed[i] == k) for k in range(8)]
+    greedy = [0] * 8
+    for s in sorted(sizes.values(), reverse=True):
+        greedy[greedy.index(min(greedy))] += s
+    assert max(sums) - min(sums) <= max(greedy) - min(greedy)
+    assert placed == sharding.difference(dict(reversed(sizes.items())), 8)
+
+
+def test_classic_example():
+    placed = sharding.difference({"a": 8, "b": 7, "c": 6, "d": 5, "e": 4}, 2)
+    sums = sorted(sum({"a": 8, "b": 7, "c": 6, "d": 5, "e": 4}[i] for i in placed if placed[i] == k) for k in (0, 1))
+    assert sums == [14, 16]  # the differencing method's known result
+    assert sharding.difference({}, 3) == {} and sharding.difference({1: 5}, 1) == {1: 0} and set(sharding.difference({1: 0, 2: 0}, 1).values()) == {0}
+
+
+def check(rows, found, shards=8):
+    assert len(found) == len(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32) for r in found) == sorted((d is None, d or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    for k in range(shards):
+        slots = sorted(r.slot for r in found if r.shard == k)
+        assert slots == list(range(len(slots)))
+    by = {}
+    for r in found:
+        by.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    assert all(len(s) == 1 for s in by.values())
+
+
+def test_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.randrange(300) if rng.random() < 0.7 else "copy") for i in range(400)] + [(None, None), (None, ""), (7, "dup"), (7, "dup"), (8, "é" * 5000)]
+    frame = spark.createDataFrame([(*r, 9, "s") for r in rows], "doc_id long, text string, size int, shard string").repartition(6)
+    found = sharding.shard_documents(frame, chunks=5).collect()
+    check(rows, found)
+
+
+def test_bundles_hold_the_driver_small_and_groups_together(spark):
+    rows = [(i, f"text {i % 700}") for i in range(1500)]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), bundles=64).collect()
+    check(rows, found)
+    sums = [sum(r.size for r in found if r.shard == k) for k in range(8)]
+    assert max(sums) - min(sums) < 0.02 * sum(sums)
+
+
+def test_benchmark_documents_are_balanced(spark):
+    from foliospark.llm import queries
+
+    found = queries.op7_karmarkar_karp(spark, "/root/testdata/sf0.01").collect()
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    check(rows, found)
+    sums = [sum(r.size for r in found if r.shard == k) for k in range(8)]
+    assert max(sums) - min(sums) <= 0.001 * sum(sums) and {r.law for r in found} == {"bytes"} and {r.grown_shard for r in found} == {None}
+
+
+def test_empty_table(spark):
+    assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -1,0 +1,66 @@
+import hashlib
+import io
+import struct
+
+import pytest
+import zstandard
+
+from foliospark.llm import warc
+
+
+def test_record_round_trip_and_violations():
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Date", warc.DATE)]
+    data = warc.build_record(headers, b"body\r\n\r\nmore")
+    assert warc.parse_record(data) == (dict(headers) | {"Content-Length": "12"}, b"body\r\n\r\nmore")
+    for broken in (data[1:], data[:-1], data.replace(b"Content-Length: 12", b"Content-Length: 11"), data.replace(b"WARC-Date: ", b"WARC-Date "), data.replace(b"WARC-Record-ID", b"X-Record-ID"), b""):
+        with pytest.raises(ValueError):
+            warc.parse_record(broken)
+
+
+def archive(records, content, compressed_dictionary=False):
+    packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content))
+    stored = zstandard.compress(content) if compressed_dictionary else content
+    return warc.dictionary_frame(stored) + b"".join(packer.compress(r) for r in records)
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_reader_over_long_and_short_frames(compressed):
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Date", warc.DATE)]
+    bodies = [b"", b"x" * 3_000_000, bytes(range(256)) * 300, b"last"]
+    data = archive([warc.build_record(headers, b) for b in bodies], b"WARC/1.1 dictionary content " * 20, compressed)
+    rows = list(warc.ArchiveReader(io.BytesIO(data)))
+    assert [r[3] for r in rows] == bodies
+    own = warc.ArchiveReader(io.BytesIO(data))
+    for offset, length, _, body in rows:  # a record is read from its offset alone
+        frame = own.decompressor.decompress(data[offset : offset + length], max_output_size=10_000_000)
+        assert warc.parse_record(frame)[1] == body
+
+
+def test_reader_refuses_damaged_archives():
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Date", warc.DATE)]
+    data = archive([warc.build_record(headers, b"abc" * 100)], b"some dictionary content " * 20)
+    for broken in (data[:-5], data[4:], data[:20], data + b"junk", struct.pack("<II", 0x184D2A50, 0) + data, data[:6]):
+        with pytest.raises(ValueError):
+            list(warc.ArchiveReader(io.BytesIO(broken)))
+
+
+def test_pages(spark):
+    long, other = "é" * 600, "y" * 1000
+    rows = [(1, "http://a", long), (5, None, long), (3, "http://b\nc", long), (2, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", ""), (None, "u", long), (8, "u", other), (8, "u", other), (9, "u", "y" * 999), (10, "u", "y" * 999)]
+    frame = spark.createDataFrame([(*r, "own") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
+    found = warc.read_archives(spark, warc.write_archives(frame)).collect()
+    assert len(found) == len(rows)
+    want = []
+    for page, _, html in rows:
+        data = (html or "").encode()
+        revisit = html == long and page != 5
+        want.append((page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 5 if revisit else None))
+    key = lambda t: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in t)
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=key) == sorted(want, key=key)
+    assert all(bytes(r.payload) == b"" for r in found if r.record_type == "revisit")
+    assert all(hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest for r in found if r.record_type == "response")
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_archives(spark, warc.write_archives(empty)).collect() == []
