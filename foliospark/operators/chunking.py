@@ -1,14 +1,14 @@
 """Chunk assembly.
 
 Headings, sections and chunks depend on all that came before in the document, so this one step is a Python kernel over a
-document's blocks (``applyInPandas``); what comes before and after it is native. A group is a document, never a corpus.
+document's blocks; what comes before and after it is native. A group is a document, never a corpus.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,27 +143,34 @@ KERNEL = (
 )
 
 
-KERNEL_COLUMNS = ["page", "role", "text", "html", "ids", "bbox", "section_id", "section_path", "section_level", "section_index", "picture", "page_width", "page_height"]
+def chunk_blocks(blocks: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS) -> DataFrame:
+    """Raw chunks of every document's blocks, in emission order ``ord``.
 
+    A document's blocks become one row, so the kernel gets many documents in an Arrow batch.
+    """
+    from pyspark.sql.types import StructType
 
-def chunk_blocks(blocks: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS) -> DataFrame:
-    """Raw chunks of every document's blocks, in emission order ``ord``."""
-
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        rows = [
-            {"page": int(r.page), "role": r.role, "text": r.text or "", "html": r.html or "", "ids": [int(i) for i in r.element_ids], "bbox": None if r.bbox is None else dict(r.bbox.asDict() if hasattr(r.bbox, "asDict") else r.bbox), "picture": r.picture, "page_width": r.page_width, "page_height": r.page_height}
-            for r in frame.itertuples()
-        ]
-        joined = join_headings(rows)
-        placed = [b | {"section": s} for b, s in zip(joined, sections(joined), strict=True)]
-        chunks = assemble(placed, max_tokens, overlap)
-        out = pd.DataFrame(chunks, columns=KERNEL_COLUMNS)
-        out.insert(0, "doc_id", frame["doc_id"].iloc[0])
-        out.insert(1, "ord", range(len(out)))
-        return out
-
-    return blocks.groupBy("doc_id").applyInPandas(kernel, KERNEL)
+    own = F.struct(
+        "ord", "page", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("html", F.lit("")).alias("html"), F.col("element_ids").alias("ids"), "bbox", "picture", "page_width", "page_height"
+    )
+    documents = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("blocks"))
+    schema = StructType.fromDDL(KERNEL)
+
+    def kernel(batches: Iterator):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                rows = []
+                for doc_id, found in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True):
+                    joined = join_headings(found)
+                    placed = [b | {"section": s} for b, s in zip(joined, sections(joined), strict=True)]
+                    rows += [c | {"doc_id": doc_id, "ord": n} for n, c in enumerate(assemble(placed, max_tokens, overlap))]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return documents.mapInArrow(kernel, schema)
 
 
 def finish_chunks(raw: DataFrame, elements: DataFrame, *, max_level: int = 6) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry, text, vectors
+from foliospark.functions.frames import table
 from foliospark.operators import chunking, curation, embedding, evaluation, layout, retrieval
 from foliospark.plans import fixtures as fx
-from foliospark.plans.fixtures import table
 from foliospark.sources import html as html_source
 from foliospark.sources import parsing
 

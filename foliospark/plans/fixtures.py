@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark import schemas
 from foliospark.functions import geometry, text
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from foliospark.functions.frames import table
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
