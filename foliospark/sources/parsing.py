@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.functions import text
 
@@ -24,12 +24,16 @@ def find_files(spark: SparkSession, directory: str, *, pattern: str = "*.pdf", r
 def parse_files(files: DataFrame, parse: Callable[[str, bytes, str], list[dict]], *, strategies: tuple[str, ...] = ("hi_res", "fast")) -> DataFrame:
     """Elements of every file: the first strategy that does not raise. A file for which all fail gives one row with ``error``."""
     fields = "doc_id string, file_name string, source_path string, ord int, element_index int, page_number int, type string, text string, html string, image_path string, points array<array<double>>, strategy string, error string"
-    columns = [f.split()[0] for f in fields.split(", ")]
+    schema = T.StructType.fromDDL(fields)
+    columns = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
+    def run(batches: Iterator):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        for batch in batches:
             rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found, used, error = [], None, None
                 for strategy in strategies:
                     try:
@@ -41,9 +45,9 @@ def parse_files(files: DataFrame, parse: Callable[[str, bytes, str], list[dict]]
                 rows += [base | {k: v for k, v in e.items() if k in columns} | {"ord": n, "element_index": n} for n, e in enumerate(found) if isinstance(e, dict)]
                 if error is not None:
                     rows.append(base | {"error": error})
-            yield pd.DataFrame(rows, columns=columns)
+            yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
 
-    parsed = files.select("path", "content").mapInPandas(run, fields)
+    parsed = files.select("path", "content").mapInArrow(run, schema)
     return parsed.withColumn("doc_id", text.path_id(F.col("source_path"))).withColumn("text", F.when(F.col("error").isNull(), text.normalize(F.col("text"))))
 
 

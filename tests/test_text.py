@@ -1,0 +1,119 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from foliospark.functions import geometry, text, vectors
+
+
+@pytest.fixture
+def value(spark):
+    def run(column, **values):
+        names = list(values)
+        row = spark.createDataFrame([tuple(values[n] for n in names)], ", ".join(f"{n} {'array<string>' if isinstance(values[n], list) else 'string'}" for n in names)) if names else spark.range(1)
+        return row.select(column.alias("v")).first().v
+
+    return run
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("This  is   a\n\nparagraph.\n\nAnother   one.", "This is a\n\nparagraph.\n\nAnother one."), ("inter-\nnational", "international"), ("so­ft hyphen here", "soft hyphen here"),
+        ("a-\nb-\nc", "abc"), ("A-\nB", "A-\nB"), ("ﬁne ①", "fine 1"), ("x \t\n \ty", "x\ny"), (None, ""), ("\n\n \n\n", ""), ("é-\n  été", "é-\nété"),
+    ],
+)
+def test_normalize(value, given, want):
+    assert value(text.normalize(F.col("t")), t=given) == want
+
+
+def test_token_estimate(value):
+    assert value(text.estimated_tokens(F.col("t")), t="") == 1
+    assert value(text.estimated_tokens(F.col("t")), t="one two three!") == 5  # 4 / 0.75 = 5.33
+    assert value(text.estimated_tokens(F.col("t")), t="été naïve") == 3
+    assert value(text.estimated_tokens(F.col("t")), t=None) == 1
+
+
+def test_content_hash_and_path_id(value):
+    assert value(text.content_hash(F.col("t"), F.col("h")), t="a", h="") == hashlib.sha256(b"a").hexdigest()
+    assert value(text.content_hash(F.col("t"), F.col("h")), t="a", h="<b>") == hashlib.sha256(b"a\0<b>").hexdigest()
+    assert value(text.path_id(F.col("p")), p="/x/y.pdf") == hashlib.sha256(b"/x/y.pdf").hexdigest()[:16]
+
+
+@pytest.mark.parametrize(
+    ("kind", "body", "want"),
+    [
+        ("Title", "x", "title"), ("Image", "", "figure"), ("TableCaption", "x", "caption"), ("Footer", "x", "paragraph"), ("h3", "x", "h3"), ("Formula", "Figure 3-1 shows", "caption"), ("", "table A.1", "caption"),
+        ("", "1.2.3 Scope", "h2"), ("", "1.2.3 " + "x" * 200, "paragraph"), ("", "ALL CAPS LINE", "h2"), ("", "AB", "paragraph"), (None, "plain text", "paragraph"), ("", "ÉTÉ ÀÉ", "h2"), ("Unknown", None, "paragraph"),
+    ],
+)
+def test_role(value, kind, body, want):
+    assert value(text.role(F.col("k"), F.col("b")), k=kind, b=body) == want
+
+
+@pytest.mark.parametrize(
+    ("role", "body", "want"),
+    [
+        ("listitem", "1. x", None), ("h2", "8.1.1 Scope", 3), ("paragraph", "8 Scope of v1.0 work.", 3), ("paragraph", "1 " + "word " * 30, None), ("title", "Any", 1), ("h1", "Any", 1), ("paragraph", "GENERAL NOTES", 2),
+        ("paragraph", "General notes", None), ("paragraph", "", None), ("paragraph", None, None), ("paragraph", "A " * 16, None), ("h2", "Scope", None), ("paragraph", "8th", None),
+    ],
+)
+def test_heading_level(value, role, body, want):
+    from foliospark.operators import chunking
+
+    assert value(text.heading_level(F.col("r"), F.col("b")), r=role, b=body) == want
+    assert chunking.heading_level(role, body or "") == want
+
+
+def test_truncation(value):
+    words = [str(i) for i in range(10)]
+    assert value(text.truncate(F.col("w"), 3), w=words) == ["0", "1", "2"]
+    assert value(text.truncate(F.col("w"), 3, "tail"), w=words) == ["7", "8", "9"]
+    assert value(text.truncate(F.col("w"), 10, "tail"), w=words) == words and value(text.truncate(F.col("w"), 20, "tail"), w=words) == words
+    assert value(text.truncate(F.col("w"), 5, "head_tail"), w=words) == ["0", "1", "2", "8", "9"]
+    with pytest.raises(ValueError):
+        text.truncate(F.col("w"), 5, "middle")
+
+
+def test_prefixes(value):
+    assert value(text.document_prefix(F.col("t")), t="abc") == "passage: abc" and value(text.document_prefix(F.col("t")), t="PASSAGE: abc") == "PASSAGE: abc"
+    assert value(text.query_prefix(F.col("t")), t="what? ") == "query: what?"
+
+
+def test_token_sets(value):
+    a, b = ["a", "b", "b"], ["b", "c"]
+    for pair, want in (((a, b), (0.5, 0.5, 0.5)), (([], []), (1, 1, 1)), (([], b), (1, 0, 0)), ((a, []), (0, 1, 0))):
+        got = [value(c, x=pair[0], y=pair[1]) for c in text.recall_precision_f1(F.col("x"), F.col("y"))]
+        assert got == list(want)
+    assert value(text.jaccard(F.col("x"), F.col("y")), x=a, y=b) == 1 / 3 and value(text.jaccard(F.col("x"), F.col("y")), x=[], y=b) == 0
+    assert value(text.ascii_tokens(F.col("t")), t="Ab-1 é x") == ["ab", "1", "x"]
+
+
+@pytest.mark.parametrize(("given", "want"), [("A (JWL4) > B (continued)", "A > B (continued)"), ("(AB-01)", None), ("", ""), (None, None), (" - a:  > > b ; ", "a > b"), ("a  b>c", "a b > c")])
+def test_section_path(value, given, want):
+    assert value(text.section_path(F.col("p")), p=given) == want
+
+
+def test_section_level(spark):
+    rows = spark.createDataFrame([(0,), (3,), (9,)], "l int")
+    assert [r.v for r in rows.select(text.section_level(F.col("l")).alias("v")).collect()] == [1, 3, 6]
+
+
+def test_geometry(spark):
+    rows = spark.createDataFrame([([[0.0, 0.0], [0.0, 1.0], [2.0, 3.0], [1.0, 0.0]],), ([[2.0, 3.0], [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]],), ([[1.0, 1.0]],), (None,)], "p array<array<double>>")
+    assert [r.b and tuple(r.b) for r in rows.select(geometry.from_points(F.col("p")).alias("b")).collect()] == [(0, 0, 2, 3), (0, 0, 2, 3), None, None]
+    box = geometry.box(*[F.lit(v) for v in (50.0, -10.0, 20.0, 400.0)])
+    size, none = F.struct(F.lit(100.0).alias("w"), F.lit(200.0).alias("h")), F.lit(None).cast(geometry.BOX)
+    one = spark.range(1).select(
+        geometry.normalized(none, box, size, F.lit(1.0), F.lit(1.0)).alias("a"), geometry.normalized(none, box, F.lit(None).cast("struct<w:double,h:double>"), F.lit(50.0), F.lit(800.0)).alias("b"),
+        geometry.normalized(geometry.box(*[F.lit(v) for v in (-1.0, 0.0, 2.0, 1.0)]), box, size, F.lit(1.0), F.lit(1.0)).alias("c"), geometry.normalized(none, none, size, F.lit(1.0), F.lit(1.0)).alias("d"),
+        geometry.area(geometry.box(*[F.lit(v) for v in (1.0, 1.0, 0.0, 5.0)])).alias("e"), geometry.overlap(geometry.box(*[F.lit(v) for v in (0.0, 0.0, 2.0, 2.0)]), geometry.box(*[F.lit(v) for v in (1.0, 1.0, 3.0, 3.0)])).alias("f"),
+    ).first()
+    assert tuple(one.a) == (0.2, 0.0, 0.5, 1.0) and tuple(one.b) == (0.4, 0.0, 1.0, 0.5) and tuple(one.c) == (-1, 0, 2, 1) and one.d is None and one.e == 0 and one.f == 1
+
+
+def test_vectors(spark):
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
+    assert [r.n for r in rows.select(vectors.l2_normalized(F.col("v")).alias("n")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+    with pytest.raises(Exception, match="wrong dimension"):
+        rows.select(vectors.checked(F.col("v"), 3)).collect()
