@@ -23,7 +23,8 @@ NAMES = {
     "user": ("user", "human", "question", "customer", "prompter", "q"),
     "assistant": ("assistant", "ai", "bot", "model", "gpt", "agent", "answer", "a"),
 }
-MARKER = r"(?i)^\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*)?\s*(%s)\s*(?:\|>|\]|:\s*\*\*|\*\*\s*:?|:|\n)"
+MARK = r"\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*)?\s*(%s)\s*(?:\|>|\]|:\s*\*\*|\*\*\s*:?|:|\n)"
+MARKER = "(?i)^" + MARK
 #: Values of each feature, in the order of ``observed``.
 SIZES = (4, 2, 2, 6, 4, 2)
 LENGTHS = (60, 150, 300, 600, 1200)
@@ -43,6 +44,17 @@ def without_marker(text: Column) -> Column:
     return F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
 
 
+def entries(transcripts: DataFrame, *, conversation: str = "conv_id", text: str = "text") -> DataFrame:
+    """(conv_id, turn, text) of plain transcripts, one a row: an entry begins at a line with a marker and after a blank line.
+
+    Lines of a block without a marker stay together. Null and blank transcripts have no entries.
+    """
+    every = MARK % "|".join(n for role in ROLES for n in NAMES[role])
+    pieces = F.split(text_or_empty(text), rf"(?i)\n(?:[ \t]*\n)+|\n(?={every})", -1)
+    kept = F.filter(pieces, lambda p: F.regexp_replace(p, r"(?U)\s+", "") != "")
+    return transcripts.select(F.col(conversation).alias("conv_id"), F.posexplode(kept).alias("turn", "text"))
+
+
 def observed(text: Column) -> Column:
     """One number for the entry's features: marker, question, imperative opening, length, lines, list or code."""
     length, lines = F.length(text), F.size(F.split(text, "\n", -1)) - 1
@@ -192,7 +204,7 @@ def settle(model: Model, pieces: list[tuple[int, object, list[list[float]], list
     return settled
 
 
-def _runs(batches: Iterator, columns: int):
+def _runs(batches: Iterator):
     """(part, conversation, rows) of consecutive rows; rows: tuples of the columns after these two."""
     key, rows = None, []
     for batch in batches:
@@ -227,7 +239,7 @@ def decode(arranged: DataFrame, model: Model) -> DataFrame:
         from foliospark.llm import chat
 
         own, rows = shared.value, []
-        for part, conv, run in chat._runs(batches, 3):
+        for part, conv, run in chat._runs(batches):
             seen = [r[0] for r in run]
             matrix = chat.piece_matrix(own, seen)
             first = [own.start[b] + own.show[b][seen[0]] for b in range(len(ROLES))]
@@ -262,7 +274,7 @@ def decode(arranged: DataFrame, model: Model) -> DataFrame:
                 names=["conv_id", "turn", "text", "given", "role"],
             )
 
-        for part, conv, run in chat._runs(batches, 6):
+        for part, conv, run in chat._runs(batches):
             enter, leave = known.get((part, conv), (None, None))
             path = chat.viterbi(own, [r[0] for r in run], enter, leave)
             held += [(conv, turn, text, given, ROLES[s]) for (_, turn, text, given), s in zip(run, path, strict=True)]

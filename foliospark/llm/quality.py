@@ -104,8 +104,8 @@ def common_lines(examined: DataFrame, *, least: int = LEAST_TEXTS, share: float
     return counts.where(F.col("n_texts") > least).join(hosts, "__host").where(F.col("n_texts") > limit).select("__host", "line", "n_texts")
 
 
-def verdicts(examined: DataFrame, common: DataFrame, *, depleted: float = DEPLETED) -> DataFrame:
-    """(host, text_key, removed_words, removed) of texts that have such lines; removed: the hashes of those lines."""
+def removals(examined: DataFrame, common: DataFrame) -> DataFrame:
+    """(host, text_key, removed_words, removed) of texts that have common lines; removed: the hashes of those lines."""
     lines = examined.dropDuplicates(["__host", "text_key"]).select("__host", "text_key", F.explode("lines").alias("l")).select("__host", "text_key", "l.line", "l.words")
     return (
         lines.join(common, ["__host", "line"]).groupBy("__host", "text_key").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
@@ -125,7 +125,7 @@ def apply_rules(
     given = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(host_column).alias("__h"), F.col(text_column).alias("__t"))
     rows = written(docs.sparkSession, examine(given, host_column="__h", text_column="__t").drop("__h", "__t"), "quality")
     common = common_lines(rows, least=least, share=share)
-    lost = verdicts(rows, common)
+    lost = removals(rows, common)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     removed = F.coalesce("removed_words", F.lit(0))
     return (
@@ -137,7 +137,7 @@ def apply_rules(
 
 def kept_documents(docs: DataFrame, *, host_column: str = "source", text_column: str = "text", length_column: str | None = "n_chars", **limits) -> DataFrame:
     """The columns of ``docs`` for the documents kept, lines above the limit cut out of their texts."""
-    spark, columns = docs.sparkSession, docs.columns
+    columns = docs.columns
     verdict = apply_rules(docs, host_column=host_column, text_column=text_column, carry=[], **limits)
     keep = verdict.where("kept").select("__host", "text_key", "removed").dropDuplicates(["__host", "text_key"])
     host = F.coalesce(F.col(host_column).cast("string"), F.lit(""))
@@ -168,5 +168,4 @@ def kept_documents(docs: DataFrame, *, host_column: str = "source", text_column:
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     changed = joined.where("removed is not null").select(*columns, "removed").mapInArrow(cut, schema)
-    del spark
     return whole.unionByName(changed)

@@ -37,6 +37,17 @@ def test_markers(spark):
     assert all(rows[i][1] == "hi" for i in range(8)) and rows[9][1] == "username is set"
 
 
+def test_plain_transcripts(spark):
+    talk = "System: You are a guide.\nUser: hi there\nwhat is it?\nAssistant: a long answer\nof lines\n\n  \nwithout a marker\nUser : bye"
+    frame = spark.createDataFrame([(1, talk), (2, None), (3, " \n\n"), (4, "just this")], "conv_id long, text string")
+    found = sorted((r.conv_id, r.turn, r.text) for r in chat.entries(frame).collect())
+    assert found == [
+        (1, 0, "System: You are a guide."), (1, 1, "User: hi there\nwhat is it?"), (1, 2, "Assistant: a long answer\nof lines"), (1, 3, "without a marker"), (1, 4, "User : bye"), (4, 0, "just this"),
+    ]
+    roles = {(r.conv_id, r.turn): r.role for r in chat.format_chat(chat.entries(frame), role=None).collect()}
+    assert [roles[1, k] for k in (0, 1, 2, 4)] == ["system", "user", "assistant", "user"]
+
+
 def brute(model, seen):
     """Best path by trying all."""
     import itertools
