@@ -524,6 +524,18 @@ def coordinates(spark, sf_dir):
     return rows.select("page_id", "b.x1", "b.x2", "b.y2")
 
 
+@query("""SELECT page_id::VARCHAR AS doc_id, CASE WHEN page_id % 3 = 0 THEN 'Unknown' ELSE 'Text' END AS type, CASE WHEN page_id % 2 = 0 THEN '<own>' ELSE '<meta>' END AS html, (page_id % 7)::DOUBLE AS x2, round(least(1.0, (page_id % 7) / 5.0), 9) AS nx2 FROM pages WHERE page_id % 11 <> 10""")
+def element_normalize(spark, sf_dir):
+    n, zero = F.col("page_id"), F.array(F.lit(0.0), F.lit(0.0))
+    corner = F.array((n % 7).cast("double"), F.lit(3.0))
+    raw = table(spark, sf_dir, "pages").select(
+        n.cast("string").alias("doc_id"), F.col("url").alias("file_name"), F.col("url").alias("source_path"), F.lit(0).alias("ord"), F.lit(0).alias("element_index"), F.lit(1).alias("page_number"), F.when(n % 3 != 0, "Text").alias("type"),
+        F.lit("x").alias("text"), F.when(n % 2 == 0, "<own>").otherwise("").alias("html"), F.lit("<meta>").alias("meta_html"), F.lit(None).cast("string").alias("image_path"), F.array(zero, zero, corner, zero).alias("points"),
+        F.when(n % 11 == 10, "broken").alias("error"), F.struct(F.lit(5.0).alias("w"), F.lit(5.0).alias("h")).alias("layout"),
+    )
+    return parsing.normalize_elements(raw).select("doc_id", "type", "html", F.col("coordinates.x2").alias("x2"), F.round("given_box.x2", 9).alias("nx2"))
+
+
 @query()
 def html_elements(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("content"))

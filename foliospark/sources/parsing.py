@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.functions import text
+from foliospark import schemas
+from foliospark.functions import geometry, text
 
 
 def find_files(spark: SparkSession, directory: str, *, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
@@ -51,6 +52,59 @@ def parse_files(files: DataFrame, parse: Callable[[str, bytes, str], list[dict]]
     return parsed.withColumn("doc_id", text.path_id(F.col("source_path"))).withColumn("text", F.when(F.col("error").isNull(), text.normalize(F.col("text"))))
 
 
+def normalize_elements(parsed: DataFrame) -> DataFrame:
+    """Parser rows in the form of ``schemas.ELEMENT``.
+
+    Takes what ``parse_files`` gives, and further columns a parser may have: meta_html (used where html is empty), points,
+    layout (struct<w, h>), is_toc. Boxes come from the first and third corner point; the normalised box is given where the
+    layout's size is above 0. Rows that carry an error are left out.
+    """
+    have = set(parsed.columns)
+    column = lambda name, kind: F.col(name) if name in have else F.lit(None).cast(kind)
+    own = F.when(F.coalesce(column("html", "string"), F.lit("")) != "", column("html", "string")).otherwise(F.coalesce(column("meta_html", "string"), F.lit("")))
+    rows = parsed.where(column("error", "string").isNull()).withColumns(
+        {"html": own, "layout": column("layout", "struct<w:double,h:double>"), "coordinates": geometry.from_points(column("points", "array<array<double>>")), "is_toc": F.coalesce(column("is_toc", "boolean"), F.lit(False))}
+    )
+    sized = (F.col("layout.w") > 0) & (F.col("layout.h") > 0)
+    given = F.when(sized, geometry.normalized(F.lit(None).cast(schemas.BOX), F.col("coordinates"), F.col("layout"), F.lit(1.0), F.lit(1.0)))
+    rows = rows.withColumns({"given_box": given, "type": F.coalesce("type", F.lit("Unknown")), "image_path": F.coalesce("image_path", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.ELEMENT.fields])
+
+
+def extract_tables(files: DataFrame, extract: Callable[[str, bytes, str], list[str]], *, flavors: tuple[str, ...] = ("lattice", "stream")) -> DataFrame:
+    """Table elements of every file from a table extractor: those of the first flavor that finds any.
+
+    ``extract(path, content, flavor)`` gives tables as Markdown. Rows have element_index -1, ``text`` the Markdown and
+    ``markdown_path`` a name for it; a failing flavor counts as one that finds nothing.
+    """
+    schema = T.StructType.fromDDL("source_path string, file_name string, ord int, element_index int, type string, text string, html string, image_path string, markdown_path string, strategy string")
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        for batch in batches:
+            rows = []
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found, used = [], None
+                for flavor in flavors:
+                    try:
+                        found, used = extract(path, content, flavor), flavor
+                    except Exception:  # the next flavor
+                        found = []
+                    if found:
+                        break
+                name = path.rsplit("/", 1)[-1]
+                stem = name.rsplit(".", 1)[0]
+                rows += [
+                    {"source_path": path, "file_name": name, "ord": -1, "element_index": -1, "type": "Table", "text": t, "html": "", "image_path": "", "markdown_path": f"{stem}_table_{n}.md", "strategy": used}
+                    for n, t in enumerate(found, 1)
+                ]
+            yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
+
+    return files.select("path", "content").mapInArrow(run, schema).withColumn("doc_id", text.path_id(F.col("source_path")))
+
+
 def replace_tables(elements: DataFrame, fallback: DataFrame, *, by: str = "doc_id") -> DataFrame:
     """A file that has tables but none with HTML loses them and gets the rows of ``fallback``; other files stay."""
     file = Window.partitionBy(by)

@@ -28,6 +28,26 @@ def test_find_and_parse_files(spark, tmp_path):
     assert tuple(parsing.batch_summary(stats).first()) == (3, 2, 1, 4, 4, 2, 0)
 
 
+def test_normalized_elements(spark):
+    schema = "doc_id string, file_name string, source_path string, ord int, element_index int, page_number int, type string, text string, html string, image_path string, points array<array<double>>, error string, meta_html string, layout struct<w:double,h:double>"
+    points = [[0.0, 0.0], [0.0, 1.0], [2.0, 3.0], [1.0, 0.0]]
+    rows = [("d", "f", "/f", 0, 0, 1, None, "x", "", None, points, None, "<t>", (100.0, 200.0)), ("d", "f", "/f", 1, 1, 1, "Text", None, "<own>", "p", None, None, "<t>", (0.0, 0.0)), ("d", "f", "/f", None, None, None, None, None, None, None, None, "broken", None, None)]
+    one, two = parsing.normalize_elements(spark.createDataFrame(rows, schema)).orderBy("ord").collect()
+    assert tuple(one.coordinates) == (0, 0, 2, 3) and tuple(one.given_box) == (0, 0, 0.02, 0.015) and one.html == "<t>" and one.type == "Unknown" and not one.is_toc
+    assert two.html == "<own>" and two.coordinates is None and two.given_box is None and two.text == ""
+
+
+def test_extracted_tables(spark):
+    def extract(path, content, flavor):
+        if content == b"broken":
+            raise OSError("no")
+        return ["| a |", "| b |"] if flavor == "stream" and content == b"soft" else ["| c |"] if content == b"ruled" else []
+
+    rows = [("/x/a.pdf", bytearray(b"soft")), ("/x/b.pdf", bytearray(b"ruled")), ("/x/c.pdf", bytearray(b"none")), ("/x/d.pdf", bytearray(b"broken"))]
+    found = parsing.extract_tables(spark.createDataFrame(rows, "path string, content binary"), extract).collect()
+    assert sorted((r.markdown_path, r.text, r.strategy, r.element_index) for r in found) == [("a_table_1.md", "| a |", "stream", -1), ("a_table_2.md", "| b |", "stream", -1), ("b_table_1.md", "| c |", "lattice", -1)]
+
+
 def test_table_fallback(spark):
     rows = [("a", 0, "Table", ""), ("a", 1, "Text", ""), ("b", 0, "Table", "<t>"), ("b", 1, "Table", ""), ("c", 0, "Text", "")]
     fallback = spark.createDataFrame([("a", -1, "Table", "a.md"), ("b", -1, "Table", "b.md")], "doc_id string, ord int, type string, markdown_path string")
