@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = _OWN.setdefault(spark.sparkContext.applicationId, "")
         if not found:
-            found = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="folio-")
+            own = tempfile.mkdtemp(prefix="folio-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            found = _OWN[spark.sparkContext.applicationId] = f"file://{own}"
     return found.rstrip("/")
 
 

@@ -139,11 +139,11 @@ def kept_documents(docs: DataFrame, *, host_column: str = "source", text_column:
     """The columns of ``docs`` for the documents kept, lines above the limit cut out of their texts."""
     columns = docs.columns
     verdict = apply_rules(docs, host_column=host_column, text_column=text_column, carry=[], **limits)
-    keep = verdict.where("kept").select("__host", "text_key", "removed").dropDuplicates(["__host", "text_key"])
+    keep = verdict.where("kept").select("__host", F.col("text_key").alias("__key"), F.col("removed").alias("__removed")).dropDuplicates(["__host", "__key"])
     host = F.coalesce(F.col(host_column).cast("string"), F.lit(""))
-    keyed = docs.withColumn("__host", host).withColumn("text_key", F.unhex(F.md5(text_or_empty(text_column).cast("binary"))))
-    joined = keyed.join(keep, ["__host", "text_key"])
-    whole = joined.where("removed is null").select(*columns)
+    keyed = docs.withColumn("__host", host).withColumn("__key", F.unhex(F.md5(text_or_empty(text_column).cast("binary"))))
+    joined = keyed.join(keep, ["__host", "__key"])
+    whole = joined.where("__removed is null").select(*[F.col(f"`{c}`") for c in columns])
     schema = whole.schema
     at = columns.index(text_column)
 
@@ -167,5 +167,5 @@ def kept_documents(docs: DataFrame, *, host_column: str = "source", text_column:
                 arrays[k] = pa.array([len(t) for t in out], pa.int64()).cast(batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    changed = joined.where("removed is not null").select(*columns, "removed").mapInArrow(cut, schema)
+    changed = joined.where("__removed is not null").select(*[F.col(f"`{c}`") for c in columns], "__removed").mapInArrow(cut, schema)
     return whole.unionByName(changed)

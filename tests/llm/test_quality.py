@@ -2,6 +2,8 @@ import collections
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from foliospark.llm import quality
 
 
@@ -70,7 +72,9 @@ def test_kept_documents_lose_common_lines(spark):
     texts = []
     want = [w for w in brute(rows, least=5, left=texts) if w[7]]
     frame = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, s, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame = frame.withColumn("removed", F.lit("own")).withColumn("text_key", F.lit("own"))
     found = quality.kept_documents(frame, least=5).collect()
+    assert {(r.removed, r.text_key) for r in found} == {("own", "own")}
     ids = {w[0] for w in want}
     key = lambda t: (t[0] is None, t[0] or 0, t[1])
     assert sorted(((r.doc_id, r.text) for r in found), key=key) == sorted((t for t in texts if t[0] in ids), key=key)
