@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.frames import ship
 from foliospark.llm import bpe, mixing, near, pii, quality
 from foliospark.llm.common import written
 from foliospark.llm.queries import tokenizer
@@ -39,7 +38,6 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the decoded bytes."""
-    ship(spark)
     coded = bpe.tokenize(docs.select("doc_id", "source", "text"), *tokenizer()).drop("text")
     return coded.select(
         "doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("ids")

@@ -37,6 +37,12 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` by workers that have this package; for ``DataFrame.transform``."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     ship(spark)
     return spread(spark.read.parquet(f"{directory}/{name}.parquet"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from foliospark import schemas
 from foliospark.functions import geometry
 from foliospark.functions import text as text_functions
+from foliospark.functions.frames import in_arrow
 from foliospark.operators import layout
 
 LEAST_CHARACTERS = 15
@@ -170,7 +171,7 @@ def chunk_blocks(blocks: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: in
                     rows += [c | {"doc_id": doc_id, "ord": n} for n, c in enumerate(assemble(placed, max_tokens, overlap))]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return documents.mapInArrow(kernel, schema)
+    return documents.transform(in_arrow, kernel, schema)
 
 
 def finish_chunks(raw: DataFrame, elements: DataFrame, *, max_level: int = 6) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions import text, vectors
+from foliospark.functions.frames import in_arrow
 
 REQUIRED = ("chunk_id", "prev_id", "next_id", "section_path")
 #: Queries that are multiplied at a time; their matrix is all that a task holds besides a batch of vectors.
@@ -77,7 +78,7 @@ def dense_search(
                 arrays = [[name] * held_ids.shape[1], held_ids[i].tolist(), held_scores[i].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, to_arrow_schema(schema), strict=True)], schema=to_arrow_schema(schema))
 
-        return store.select(row_id, vector).mapInArrow(best, schema)
+        return store.select(row_id, vector).transform(in_arrow, best, schema)
 
     for row in rows:
         found = np.asarray(row[1], np.float64)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliospark import schemas
 from foliospark.functions import text
+from foliospark.functions.frames import ship
 
 TYPES = {"h1": "Title", "h2": "h2", "h3": "h3", "p": "NarrativeText", "li": "ListItem", "figcaption": "FigureCaption", "caption": "TableCaption", "table": "Table"}
 HIDDEN = ("script", "style", "template", "noscript")
@@ -85,6 +86,7 @@ def parse_html(files: DataFrame) -> DataFrame:
             rows = [(p, n, *e) for p, c in zip(frame["path"], frame["content"], strict=True) for n, e in enumerate(elements_of(c))]
             yield pd.DataFrame(rows, columns=["path", "ord", "type", "text", "html", "image_path"])
 
+    ship(files.sparkSession)
     found = files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, "path string, ord int, type string, text string, html string, image_path string")
     named = found.select(
         text.path_id(F.col("path")).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path").alias("source_path"), "ord", F.col("ord").alias("element_index"),

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from foliospark import schemas
 from foliospark.functions import geometry, text
+from foliospark.functions.frames import in_arrow
 
 
 def find_files(spark: SparkSession, directory: str, *, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
@@ -48,7 +49,7 @@ def parse_files(files: DataFrame, parse: Callable[[str, bytes, str], list[dict]]
                     rows.append(base | {"error": error})
             yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
 
-    parsed = files.select("path", "content").mapInArrow(run, schema)
+    parsed = files.select("path", "content").transform(in_arrow, run, schema)
     return parsed.withColumn("doc_id", text.path_id(F.col("source_path"))).withColumn("text", F.when(F.col("error").isNull(), text.normalize(F.col("text"))))
 
 
@@ -102,7 +103,7 @@ def extract_tables(files: DataFrame, extract: Callable[[str, bytes, str], list[s
                 ]
             yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
 
-    return files.select("path", "content").mapInArrow(run, schema).withColumn("doc_id", text.path_id(F.col("source_path")))
+    return files.select("path", "content").transform(in_arrow, run, schema).withColumn("doc_id", text.path_id(F.col("source_path")))
 
 
 def replace_tables(elements: DataFrame, fallback: DataFrame, *, by: str = "doc_id") -> DataFrame:
