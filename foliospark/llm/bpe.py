@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import text_or_empty
+from foliospark.llm.common import in_arrow, text_or_empty
 
 #: Distinct pre-tokens remembered by a worker; beyond it the memory starts afresh (results never depend on it).
 REMEMBERED = 300_000
@@ -147,4 +147,4 @@ def tokenize(docs: DataFrame, ranks: str, pattern: str, *, text_column: str = "t
                     columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return kept.mapInArrow(run, schema)
+    return kept.transform(in_arrow, run, schema)

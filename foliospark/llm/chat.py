@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import text_or_empty, written
+from foliospark.llm.common import in_arrow, text_or_empty, written
 
 ROLES = ("system", "user", "assistant")
 #: Names of the roles in markers and role columns, as they occur in public chat formats.
@@ -255,7 +255,7 @@ def decode(arranged: DataFrame, model: Model) -> DataFrame:
 
     arranged_kind = arranged.schema["conv_id"].dataType
     k = len(ROLES)
-    got = outer.mapInArrow(matrices, f"part int, conv_id {kind}, matrix array<double>, begun array<double>").collect()
+    got = outer.transform(in_arrow, matrices, f"part int, conv_id {kind}, matrix array<double>, begun array<double>").collect()
     pieces = [(r["part"], r["conv_id"], [list(r["matrix"][i * k : i * k + k]) for i in range(k)], list(r["begun"])) for r in got]
     crossing = spark.sparkContext.broadcast(settle(model, pieces))
 
@@ -286,7 +286,7 @@ def decode(arranged: DataFrame, model: Model) -> DataFrame:
 
     turn_kind = arranged.schema["turn"].dataType
     ordered = arranged.repartition(n, "part").sortWithinPartitions("part", "seq").select("part", "conv_id", "observed", "turn", "text", "given")
-    return ordered.mapInArrow(roles, f"conv_id {kind}, turn {turn_kind.simpleString()}, text string, given int, role string")
+    return ordered.transform(in_arrow, roles, f"conv_id {kind}, turn {turn_kind.simpleString()}, text string, given int, role string")
 
 
 def format_chat(

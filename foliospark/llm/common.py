@@ -10,9 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.frames import ship, table
+from foliospark.functions.frames import in_arrow, ship, table
 
-__all__ = ["open_fs", "scratch", "shared_dir", "table", "text_or_empty", "written"]
+__all__ = ["in_arrow", "open_fs", "scratch", "shared_dir", "table", "text_or_empty", "written"]
 
 _OWN: dict[str, str] = {}
 

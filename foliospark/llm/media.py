@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import open_fs, scratch, text_or_empty
+from foliospark.llm.common import in_arrow, open_fs, scratch, text_or_empty
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -151,7 +151,7 @@ def store(rows: DataFrame, payload: str = "payload", *, directory: str | None =
             sink.write(bytes(1024))
             sink.close()
 
-    placed = rows.select(*[F.col(f"`{c}`") for c in others], payload).mapInArrow(run, schema)
+    placed = rows.select(*[F.col(f"`{c}`") for c in others], payload).transform(in_arrow, run, schema)
     index = f"{directory}/index"
     placed.write.parquet(index)
     return spark.read.schema(schema).parquet(index).withColumn("shard", F.concat(F.lit(f"{directory}/"), F.col("shard")))
@@ -191,7 +191,7 @@ def _ranged(rows: DataFrame, fields: str, read) -> DataFrame:
         if handle is not None:
             handle.close()
 
-    return rows.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return rows.select(*[F.col(f"`{c}`") for c in kept]).transform(in_arrow, run, schema)
 
 
 def with_metadata(rows: DataFrame) -> DataFrame:

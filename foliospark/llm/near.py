@@ -15,7 +15,7 @@ from math import ceil, log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import text_or_empty, written
+from foliospark.llm.common import in_arrow, text_or_empty, written
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Most hash functions that the choice of bands may take.
@@ -109,7 +109,7 @@ def _texts(docs: DataFrame, id_column: str, text_column: str, bands: int, rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_key", "bands"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return given.mapInArrow(run, f"doc_id {kind}, text_key binary, bands array<bigint>")
+    return given.transform(in_arrow, run, f"doc_id {kind}, text_key binary, bands array<bigint>")
 
 
 def _key(text):
@@ -135,7 +135,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str,
                 batch = whole.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), n).tobytes() for t in batch.column(1)], pa.binary())], names=["text_key", "grams"])
 
-    return own.mapInArrow(run, "text_key binary, grams binary").dropDuplicates(["text_key"])
+    return own.transform(in_arrow, run, "text_key binary, grams binary").dropDuplicates(["text_key"])
 
 
 def _products(of: list, split: int, own: bool):
@@ -232,7 +232,7 @@ def _verified(units: DataFrame, similarity: float) -> DataFrame:
         if found:
             yield told(found)
 
-    return units.mapInArrow(run, "text_key binary, links bigint, root binary")
+    return units.transform(in_arrow, run, "text_key binary, links bigint, root binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import text_or_empty, written
+from foliospark.llm.common import in_arrow, text_or_empty, written
 
 SYMBOLS = "#*$%&|<>"
 #: A line is above the limit if more texts of its host hold it than the larger of these two.
@@ -88,7 +88,7 @@ def examine(docs: DataFrame, *, host_column: str = "source", text_column: str =
                     found.append((*counts, hashlib.md5(t.encode("utf-8", "surrogatepass")).digest(), [{"line": a, "words": b} for a, b in lines]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.transform(in_arrow, run, schema)
 
 
 def common_lines(examined: DataFrame, *, least: int = LEAST_TEXTS, share: float = SHARE_OF_HOST) -> DataFrame:
@@ -167,5 +167,5 @@ def kept_documents(docs: DataFrame, *, host_column: str = "source", text_column:
                 arrays[k] = pa.array([len(t) for t in out], pa.int64()).cast(batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    changed = joined.where("__removed is not null").select(*[F.col(f"`{c}`") for c in columns], "__removed").mapInArrow(cut, schema)
+    changed = joined.where("__removed is not null").select(*[F.col(f"`{c}`") for c in columns], "__removed").transform(in_arrow, cut, schema)
     return whole.unionByName(changed)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import open_fs, scratch, text_or_empty, written
+from foliospark.llm.common import in_arrow, open_fs, scratch, text_or_empty
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -177,7 +177,7 @@ def write_archives(
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "records"])
 
-    full.mapInArrow(run, "archive string, records long").write.parquet(f"{directory}/index")
+    full.transform(in_arrow, run, "archive string, records long").write.parquet(f"{directory}/index")
     return directory
 
 
@@ -232,4 +232,4 @@ def read_archives(spark, directory: str, *, payload: bool = True) -> DataFrame:
             yield batch()
 
     tasks = max(1, min(index.count(), 10_000))
-    return index.repartition(tasks, F.xxhash64("archive")).mapInArrow(run, schema)
+    return index.repartition(tasks, F.xxhash64("archive")).transform(in_arrow, run, schema)
