@@ -111,4 +111,26 @@ s AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= 0.7 * n_words AS kept, removed_words FROM s"""
 
-SQL: dict[str, str] = {"op5_warc": _WARC_SQL, "op8_poisson_mix": _MIX_SQL, "op9_line_quality": _QUALITY_SQL}
+_IBAN = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+_SSN = "[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: Kind, pattern, and the core of the match; RE2 has no look-around, so the last two take in the characters beside them.
+_SPANS = (
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", ""), ("ip", "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", ""), ("card", "[0-9](?:[ -]?[0-9])+", ""), ("phone", "\\+[0-9][ ().0-9-]+[0-9]", ""),
+    ("iban", f"(?:^|[^A-Za-z0-9]){_IBAN}(?:$|[^A-Za-z0-9])", _IBAN), ("ssn", f"(?:^|[^0-9-]){_SSN}(?:$|[^0-9-])", _SSN),
+)
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, {n} AS k, '{kind}' AS kind, '{core}' AS core, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM d" for n, (kind, pattern, core) in enumerate(_SPANS))
+_PII_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_FOUND}),
+u AS (SELECT doc_id, k, kind, core, unnest(range(len(m))) AS i, unnest(m) AS m, unnest(p[1:len(m)]) AS p, unnest(p[2:len(m) + 1]) AS q FROM f WHERE len(m) > 0),
+w AS (SELECT *, sum(length(p)) OVER o + sum(length(m)) OVER o - length(m) AS begun FROM u WINDOW o AS (PARTITION BY doc_id, k ORDER BY i)),
+c AS (SELECT *, CASE WHEN core = '' THEN m ELSE regexp_extract(m, core) END AS own, regexp_replace(m, '[^0-9]', '', 'g') AS n FROM w),
+g AS (SELECT *, begun + strpos(m, own) - 1 AS s, CASE WHEN kind = 'iban' THEN replace(own, ' ', '') ELSE '' END AS b, lower(right(p, 48) || chr(10) || left(q, 48)) AS around FROM c),
+v AS (SELECT * FROM g WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INT), 0) <= 255))
+ WHEN 'card' THEN length(n) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(n)), lambda j: CASE WHEN j % 2 = 0 THEN n[length(n) - j]::INT ELSE (n[length(n) - j]::INT * 2) // 10 + (n[length(n) - j]::INT * 2) % 10 END)) % 10 = 0
+ WHEN 'phone' THEN length(n) BETWEEN 8 AND 15
+ WHEN 'iban' THEN length(b) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substring(b, 5) || left(b, 4), ''), lambda x: (CASE WHEN x >= 'A' THEN ascii(x) - 55 ELSE ascii(x) - 48 END)::BIGINT)), lambda r, x: (CASE WHEN x > 9 THEN r * 100 + x ELSE r * 10 + x END) % 97) = 1
+ ELSE left(own, 3) NOT IN ('000', '666') AND left(own, 3) < '900' AND substring(own, 5, 2) <> '00' AND right(own, 4) <> '0000' AND regexp_matches(around, 'ssn|social|security|taxpayer|insured') AND NOT regexp_matches(around, 'isbn|order|part|model|date') END),
+l AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+ string_agg(kind || ':' || s || ':' || (s + length(own)), ',' ORDER BY k, s) AS spans, string_agg(kind || ':' || s || ':' || (s + length(own)), ',' ORDER BY k, s) FILTER (WHERE k < 4) AS base FROM v GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN l USING (doc_id)"""
+
+SQL: dict[str, str] = {"op5_warc": _WARC_SQL, "op6_pii": _PII_SQL, "op8_poisson_mix": _MIX_SQL, "op9_line_quality": _QUALITY_SQL}

@@ -1,0 +1,37 @@
+"""The corpus queries that SQL can express, against DuckDB."""
+
+import duckdb
+import pytest
+
+from foliospark.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    frame = queries.QUERIES[name](spark, SF)
+    columns = sorted(frame.columns)
+    key = lambda row: tuple((x is None, str(x)) for x in row)
+    rows = con.sql(queries.SQL[name])
+    order = [rows.columns.index(c) for c in columns]
+    assert sorted((tuple(r) for r in frame.select(columns).collect()), key=key) == sorted((tuple(r[i] for i in order) for r in rows.fetchall()), key=key)
+
+
+def test_pii_sql_on_planted_cases(spark):
+    from foliospark.llm import pii
+
+    rows = [
+        (1, "é Konto: GB82 WEST 1234 5698 7654 32, x"), (2, "social security number 123-45-6789 of the insured"), (3, "123-45-6789"), (4, "GB83WEST12345698765432"), (5, "0001.2.3.255 card 4111-1111 1111 1111 ."), (6, None),
+        (7, "a@b.co,c@d.e.f +1 (212) 555-0100x 300.1.1.1"), (8, "4111111111111112 4111111111111111"), (9, ""),
+    ]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    found = pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = con.sql(queries.SQL["op6_pii"])
+    order = [got.columns.index(c) for c in found.columns]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r[i] for i in order) for r in got.fetchall())
