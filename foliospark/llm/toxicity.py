@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import text_or_empty
+from foliospark.llm.common import in_arrow, text_or_empty
 
 #: Most labelled rows that the voters are mined from and the classifier is trained on.
 MOST_LABELLED = 10_000
@@ -90,6 +90,25 @@ class Voters:
         return bits | patterns(text, words) << self.n + 1
 
 
+def indexed(sets: list, least: int):
+    """(names, place, owner) of the features that at least ``least`` sets have: entry i says that set owner[i] has names[place[i]].
+
+    Rare features, the bulk of them, are dropped by counts of hash buckets first, so that little is sorted.
+    """
+    import numpy as np
+
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    bits = np.uint32((1 << 22) - 1)
+    often = np.bincount(flat & bits, minlength=1 << 22) >= least
+    keep = often[flat & bits]
+    flat, owner = flat[keep], owner[keep]
+    names, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = (np.cumsum(count >= least) - 1).astype(np.int32)
+    keep = count[place] >= least
+    return names[count >= least], number[place[keep]], owner[keep]
+
+
 def mine(sets: list, labels) -> list[list[int]]:
     """Stems for the lexicon voters, from feature sets of labelled texts.
 
@@ -102,10 +121,9 @@ def mine(sets: list, labels) -> list[list[int]]:
     labels = np.asarray(labels, bool)
     if not len(labels) or not labels.any():
         return [[] for _ in range(LEXICONS)]
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    names, place = np.unique(flat, return_inverse=True)
-    toxic, clean = np.bincount(place[labels[owner]], minlength=len(names)), np.bincount(place[~labels[owner]], minlength=len(names))
     least = 2 if labels.sum() < 100 else 3 if labels.sum() < 1000 else 5
+    names, place, owner = indexed(sets, least)
+    toxic, clean = np.bincount(place[labels[owner]], minlength=len(names)), np.bincount(place[~labels[owner]], minlength=len(names))
     odds = np.log((toxic + 0.1) / (labels.sum() + 0.2)) - np.log((clean + 0.1) / ((~labels).sum() + 0.2))
     able = np.nonzero((toxic >= least) & (toxic >= 9 * clean) & (odds > 1))[0]
     number = np.full(len(names), -1)
@@ -214,12 +232,11 @@ def train_linear(sets: list, soft, *, features: int = FEATURES, rounds: int = 15
     bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if not len(soft) or not (0.001 < share < 0.999):
         return {}, bias
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    names, place = np.unique(flat, return_inverse=True)
+    names, place, owner = indexed(sets, 3)
     total = np.bincount(place, minlength=len(names)).astype(float)
     toxic = np.bincount(place, weights=soft[owner], minlength=len(names))
     chi = (toxic - total * share) ** 2 / (total * share * (1 - share))
-    chi[(total < 3) | (toxic <= total * share)] = 0
+    chi[toxic <= total * share] = 0
     best = np.sort(np.argsort(-chi, kind="stable")[:features])
     best = best[chi[best] > 6.6]
     number = np.full(len(names), -1)
@@ -267,7 +284,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str, most: int
                     bits.append(insulted | patterns(text, words) << 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(bits, pa.int32())], names=["k", "y", "f", "bits"])
 
-    got = sorted(rows.mapInArrow(run, "k long, y int, f binary, bits int").collect(), key=lambda r: r["k"])
+    got = sorted(rows.transform(in_arrow, run, "k long, y int, f binary, bits int").collect(), key=lambda r: r["k"])
     return [np.frombuffer(bytes(r["f"]), np.uint32) for r in got], [r["bits"] for r in got], [int(r["y"] > 0) for r in got]
 
 
@@ -289,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int =
                 seen[mask] = seen.get(mask, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["mask", "n"])
 
-    counts = docs.select(text_or_empty(text_column).alias("t")).mapInArrow(count, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n"))
+    counts = docs.select(text_or_empty(text_column).alias("t")).transform(in_arrow, count, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n"))
     total = {r["mask"]: r["n"] for r in counts.collect()}
     stems = {h: 1 << k for k, s in enumerate(lexicons) for h in s}
     hashes = np.array(sorted(stems), np.uint32)
@@ -350,7 +367,7 @@ def score(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFr
             scores = [own(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.transform(in_arrow, run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
