@@ -322,5 +322,7 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     first = F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id").alias("text_id"), F.col("text_key").alias("text_key")))
     chosen = texts.groupBy("label").agg(first.alias("f")).select("f.text_key", "f.text_id")
     keyed = docs.withColumn("__key", _key(text_or_empty(text_column)))
-    joined = keyed.join(chosen.toDF("__key", "__first"), "__key").where(F.col(id_column).eqNullSafe(F.col("__first")))
+    # id and text together are the key, so that a text's copies are spread
+    first = chosen.toDF("__k", "__first")
+    joined = keyed.join(first, (F.col("__key") == F.col("__k")) & F.col(id_column).eqNullSafe(F.col("__first")), "left_semi")
     return joined.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
