@@ -151,7 +151,7 @@ def kept_documents(docs: DataFrame, *, host_column: str = "source", text_column:
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch in (whole.slice(low, 256) for whole in batches for low in range(0, whole.num_rows, 256)):
             texts, gone, out = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), []
             for text, lines in zip(texts, gone, strict=True):
                 drop, left = {x % (1 << 64) for x in lines}, []
