@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.frames import in_arrow, ship, table
 
-__all__ = ["in_arrow", "open_fs", "scratch", "shared_dir", "table", "text_or_empty", "written"]
+__all__ = ["in_arrow", "open_fs", "release", "scratch", "shared_dir", "table", "text_or_empty", "written"]
 
 _OWN: dict[str, str] = {}
 
@@ -56,6 +57,12 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage now: Spark deletes the shuffle files of finished work only when it does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -15,7 +15,7 @@ from math import ceil, log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import in_arrow, text_or_empty, written
+from foliospark.llm.common import in_arrow, release, text_or_empty, written
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Most hash functions that the choice of bands may take.
@@ -291,6 +291,7 @@ def linked_texts(
     )
     dealt = units.repartitionByRange("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     found = written(spark, _verified(dealt, similarity), "near-links")
+    release(spark)
     links = found.groupBy("text_key").agg(F.sum("links").alias("n_links"))
     labels = components(found.select(F.col("text_key").alias("a"), F.col("root").alias("b")))
     result = (
@@ -321,8 +322,10 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     texts = written(docs.sparkSession, texts, "near-classes")
     first = F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id").alias("text_id"), F.col("text_key").alias("text_key")))
     chosen = texts.groupBy("label").agg(first.alias("f")).select("f.text_key", "f.text_id")
-    keyed = docs.withColumn("__key", _key(text_or_empty(text_column)))
-    # id and text together are the key, so that a text's copies are spread
-    first = chosen.toDF("__k", "__first")
-    joined = keyed.join(first, (F.col("__key") == F.col("__k")) & F.col(id_column).eqNullSafe(F.col("__first")), "left_semi")
-    return joined.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    release(docs.sparkSession)
+    # id and text together are the key, so that a text's copies are spread; repeated rows then need no further shuffle
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    first = chosen.select(F.col("text_key").alias("__key"), named("text_id").alias("__id"))
+    keyed = docs.withColumn("__key", _key(text_or_empty(text_column))).withColumn("__id", named(id_column))
+    joined = keyed.join(first.hint("merge"), ["__key", "__id"], "left_semi")
+    return joined.dropDuplicates(["__key", "__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
