@@ -38,8 +38,8 @@ _IP = "list_dot_product(query_vector::DOUBLE[], vector::DOUBLE[])"
 _L2 = "list_sum(list_transform(list_zip(query_vector, vector), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))"
 
 
-def _dense(spark: SparkSession, sf_dir: str, metric: str, k: int) -> DataFrame:
-    return retrieval.dense_search(fx.questions(spark, sf_dir), fx.store(spark, sf_dir).select("chunk_id", "vector"), k, metric=metric)
+def _dense(spark: SparkSession, sf_dir: str, metric: str, k: int, questions=fx.questions) -> DataFrame:
+    return retrieval.dense_search(questions(spark, sf_dir), fx.store(spark, sf_dir).select("chunk_id", "vector"), k, metric=metric)
 
 
 @query(_DENSE.format(score=_IP, order="DESC"))
@@ -52,6 +52,19 @@ def dense_topk_l2(spark, sf_dir):
     return _dense(spark, sf_dir, "l2", 10).withColumn("score", F.round(F.col("score"), 6))
 
 
+# The queries named _all do the whole job; their namesakes stay the part that their SQL compares.
+
+
+@query()
+def dense_topk_ip_all(spark, sf_dir):
+    return _dense(spark, sf_dir, "ip", 10, fx.all_questions).withColumn("score", F.round("score", 6))
+
+
+@query()
+def dense_topk_l2_all(spark, sf_dir):
+    return _dense(spark, sf_dir, "l2", 10, fx.all_questions).withColumn("score", F.round("score", 6))
+
+
 _LISTS = f"""one AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {_IP} DESC, chunk_id) AS rank FROM questions, store QUALIFY rank <= 20),
 two AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {_L2}, chunk_id DESC) AS rank FROM questions, store WHERE vec_id % 2 = 0 QUALIFY rank <= 20),
 fused AS (SELECT query_id, chunk_id, sum(s) AS score, min(list * 1000 + rank) AS first FROM (SELECT query_id, chunk_id, 0 AS list, rank, 1.0::DOUBLE / (60 + rank) AS s FROM one UNION ALL SELECT query_id, chunk_id, 1, rank, 1.0::DOUBLE / (60 + rank) FROM two) GROUP BY 1, 2)"""
@@ -112,6 +125,12 @@ def query_validation(spark, sf_dir):
     return retrieval.validate_queries(rows, 64).select("vec_id", "problem")
 
 
+def _retrieved(spark: SparkSession, sf_dir: str, questions) -> DataFrame:
+    asked = questions(spark, sf_dir).select("query_id", "query", "query_vector")
+    found = retrieval.retrieve(asked, fx.store(spark, sf_dir), top_k_dense=50, top_k_sparse=50, top_k_rerank=10)
+    return found.select("query_id", "rank", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), F.array_join("prev", ",").alias("prev"), F.array_join("next", ",").alias("next"))
+
+
 @query(f"""WITH {fx.STORE}, {fx.QUESTIONS}, tok AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM store),
 qt AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q FROM questions WHERE trim(query) <> ''),
 dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {_IP} DESC, chunk_id) AS rank FROM questions, store WHERE trim(query) <> '' QUALIFY rank <= 50),
@@ -119,14 +138,17 @@ sc AS (SELECT query_id, chunk_id, rank, CASE WHEN len(q) = 0 OR len(t) = 0 THEN
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank, chunk_id) AS rr FROM sc)
 SELECT query_id, rr::INT AS rank, r.chunk_id, round(s, 9) AS rerank_score, coalesce(prev_id, '') AS prev, coalesce(next_id, '') AS next FROM r JOIN store USING (chunk_id) WHERE rr <= 10""")
 def retrieve_batch(spark, sf_dir):
-    asked = fx.questions(spark, sf_dir).select("query_id", "query", "query_vector")
-    found = retrieval.retrieve(asked, fx.store(spark, sf_dir), top_k_dense=50, top_k_sparse=50, top_k_rerank=10)
-    return found.select("query_id", "rank", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), F.array_join("prev", ",").alias("prev"), F.array_join("next", ",").alias("next"))
+    return _retrieved(spark, sf_dir, fx.questions)
+
+
+@query()
+def retrieve_batch_all(spark, sf_dir):
+    return _retrieved(spark, sf_dir, fx.all_questions)
 
 
 @query("SELECT NULL::BIGINT AS query_id, NULL::VARCHAR AS chunk_id, NULL::DOUBLE AS score, NULL::INT AS rank WHERE false")
 def keyword_search(spark, sf_dir):
-    return retrieval.keyword_search(fx.questions(spark, sf_dir), fx.store(spark, sf_dir), 10)
+    return retrieval.keyword_search(fx.all_questions(spark, sf_dir), fx.store(spark, sf_dir), 10)
 
 
 @query(f"""WITH {fx.STORE}, {fx.QUESTIONS}, d AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM store), m AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
@@ -138,6 +160,11 @@ def bm25_search(spark, sf_dir):
     return retrieval.bm25_search(fx.questions(spark, sf_dir), fx.store(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
+@query()
+def bm25_search_all(spark, sf_dir):
+    return retrieval.bm25_search(fx.all_questions(spark, sf_dir), fx.store(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
 # ---- evaluation -------------------------------------------------------------------------------------------------------
 
 _RESULTS = f"""top AS (SELECT query_id, q.label, chunk_id, s.label AS l, row_number() OVER (PARTITION BY query_id ORDER BY {_IP} DESC, chunk_id) AS rank FROM (SELECT vec_id AS query_id, vector AS query_vector, label FROM store WHERE vec_id < 40) q, store s
@@ -175,7 +202,7 @@ def retrieval_metrics_agg(spark, sf_dir):
 @query()
 def evaluation_run(spark, sf_dir):
     store = fx.store(spark, sf_dir)
-    asked = fx.questions(spark, sf_dir)
+    asked = fx.all_questions(spark, sf_dir)
     items = asked.select("query_id", F.col("query").alias("question"), F.array(F.col("query_id").cast("string")).alias("ground_truth_context"))
     vectors_of = asked.select("query_id", "query_vector")
     run = evaluation.run_evaluation(items, lambda q: retrieval.retrieve(q.join(vectors_of, "query_id"), store, top_k_rerank=5), top_k=5)
