@@ -36,6 +36,21 @@ def score(results: DataFrame, *, k: int = 10, retrieved: str = "retrieved_ids",
     return results.withColumn("hit_rate", hit(r, t)).withColumn("mrr", reciprocal_rank(r, t)).withColumn("ndcg", ndcg(r, t, k))
 
 
+def score_judged(hits: DataFrame, truths: DataFrame, *, k: int = 10) -> DataFrame:
+    """``truths``, (query_id, n_truth, ...), with hit_rate, mrr and ndcg from judged hits, (query_id, rank, relevant).
+
+    As ``score``, but the truth is a number of rows, so a query may have any number of them.
+    """
+    right, place = F.coalesce("relevant", F.lit(False)), F.col("rank").cast("double")
+    found = hits.groupBy("query_id").agg(
+        F.count("*").alias("__shown"), F.min(F.when(right, place)).alias("__first"), F.sum(F.when(right & (F.col("rank") <= k), F.lit(1.0) / F.log2(place + 1))).alias("__gain")
+    )
+    ideal = F.least(F.col("n_truth"), F.lit(k), F.coalesce("__shown", F.lit(0))).cast("int")
+    best = _gain(F.filter(F.sequence(F.lit(1), F.greatest(ideal, F.lit(1))), lambda p: p <= ideal))
+    joined = truths.join(found, "query_id", "left").withColumn("hit_rate", F.col("__first").isNotNull()).withColumn("mrr", F.coalesce(F.lit(1.0) / F.col("__first"), F.lit(0.0)))
+    return joined.withColumn("ndcg", F.when(best > 0, F.coalesce("__gain", F.lit(0.0)) / best).otherwise(0.0)).drop("__shown", "__first", "__gain")
+
+
 def aggregate(scored: DataFrame) -> DataFrame:
     """Means over the rows without an error, and the numbers of all, valid and failed questions; means are 0 without valid rows."""
     columns = scored.columns

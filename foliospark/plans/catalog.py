@@ -199,6 +199,29 @@ def retrieval_metrics_agg(spark, sf_dir):
     return evaluation.aggregate(scored).select(*[F.round(c, 9).alias(c) for c in ("hit_rate", "mean_mrr", "mean_ndcg")], "mean_latency", "total_questions", "valid_questions", "failed_questions")
 
 
+def _judged(spark, sf_dir) -> DataFrame:
+    """Every vector whose id is divisible by 100 asks for all others of its label."""
+    store = fx.store(spark, sf_dir).select("chunk_id", "vec_id", "label", "vector")
+    asked = fx.all_questions(spark, sf_dir).select("query_id", "query_vector", F.col("label").alias("own"))
+    found = retrieval.dense_search(asked, store, 11).where(F.col("query_id").cast("string") != F.col("chunk_id"))
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 10")
+    sizes = store.groupBy(F.col("label").alias("own")).agg((F.count("*") - 1).alias("n_truth"))
+    truths = asked.select("query_id", "own").join(sizes, "own", "left").withColumn("n_truth", F.coalesce("n_truth", F.lit(0)))
+    hits = found.join(store.select("chunk_id", "label"), "chunk_id").join(asked.select("query_id", "own"), "query_id").withColumn("relevant", F.col("own") == F.col("label"))
+    return evaluation.score_judged(hits, truths, k=10)
+
+
+@query()
+def retrieval_metrics_all(spark, sf_dir):
+    return _judged(spark, sf_dir).select("query_id", "hit_rate", F.round("mrr", 9).alias("mrr"), F.round("ndcg", 9).alias("ndcg"))
+
+
+@query()
+def retrieval_metrics_agg_all(spark, sf_dir):
+    means = evaluation.aggregate(_judged(spark, sf_dir))
+    return means.select(*[F.round(c, 9).alias(c) for c in ("hit_rate", "mean_mrr", "mean_ndcg")], "mean_latency", "total_questions", "valid_questions", "failed_questions")
+
+
 @query()
 def evaluation_run(spark, sf_dir):
     store = fx.store(spark, sf_dir)

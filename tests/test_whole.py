@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from foliospark.operators import evaluation
 from foliospark.plans import catalog
 
 N = 301
@@ -84,3 +85,24 @@ def test_retrieval_reranks_with_whole_texts(spark, small, vectors, texts):
 def test_evaluation_asks_every_hundredth_with_its_whole_text(spark, small, texts):
     found = {r.query_id: r.question for r in catalog.QUERIES["evaluation_run"](spark, small).collect()}
     assert found == {q: texts[q] for q in ASKED}
+
+
+def test_metrics_judge_by_all_rows_of_the_label(spark, small, vectors, labels):
+    gain, want = lambda places: sum(1 / math.log2(p + 1) for p in places), {}
+    for q in ASKED:
+        shown = [i for i in nearest(vectors, q, "ip") if i != q][:10]
+        right = [p + 1 for p, i in enumerate(shown) if labels[i] == labels[q]]
+        want[q] = (bool(right), round(1 / right[0], 9) if right else 0.0, round(gain(right) / gain(range(1, 1 + min(10, labels.count(labels[q]) - 1))), 9))
+    found = {r.query_id: (r.hit_rate, r.mrr, r.ndcg) for r in catalog.QUERIES["retrieval_metrics_all"](spark, small).collect()}
+    assert found == {q: pytest.approx(w) for q, w in want.items()}
+    means = catalog.QUERIES["retrieval_metrics_agg_all"](spark, small).first()
+    assert (means.hit_rate, means.mean_mrr, means.mean_ndcg) == pytest.approx(tuple(np.mean(list(want.values()), 0)), abs=1e-8) and means.total_questions == len(ASKED)
+
+
+def test_judged_scores_are_those_of_lists(spark):
+    rows = [(0, ["a", "b", "c"], ["b", "x", "y"]), (1, ["a", "b"], []), (2, ["a"], ["a"]), (3, ["a", "b", "c"], ["c", "a"]), (4, ["a", "b"], ["z"])]
+    listed = evaluation.score(spark.createDataFrame(rows, "query_id long, retrieved_ids array<string>, ground_truth_ids array<string>"), k=2)
+    hits = spark.createDataFrame([(q, n + 1, c in t) for q, r, t in rows for n, c in enumerate(r)], "query_id long, rank int, relevant boolean")
+    judged = evaluation.score_judged(hits, spark.createDataFrame([(q, len(t)) for q, _, t in rows], "query_id long, n_truth long"), k=2)
+    key = lambda f: {r.query_id: (r.hit_rate, r.mrr, round(r.ndcg, 9)) for r in f.collect()}
+    assert key(judged) == key(listed)
