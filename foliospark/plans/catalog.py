@@ -81,6 +81,14 @@ def rrf_fusion(spark, sf_dir):
     return retrieval.fuse([one, even], k=60, cap=15).withColumn("score", F.round("score", 9))
 
 
+@query()
+def rrf_fusion_all(spark, sf_dir):
+    """Dense and keyword ranks, both over the whole store."""
+    store, asked = fx.store(spark, sf_dir), fx.all_questions(spark, sf_dir)
+    lists = [retrieval.dense_search(asked, store, 20), retrieval.bm25_search(asked, store, 20)]
+    return retrieval.fuse(lists, k=60, cap=15).withColumn("score", F.round("score", 9))
+
+
 @query(f"""WITH {fx.STORE}, r AS (SELECT vec_id AS request_id, [chunk_id, (vec_id + 3)::VARCHAR, chunk_id, (vec_id * 2 % 400)::VARCHAR] AS ids FROM store WHERE vec_id < 50),
 u AS (SELECT request_id, unnest(range(4))::INT AS pos, unnest(ids) AS chunk_id FROM r) SELECT request_id, pos, u.chunk_id, label, section_path FROM u JOIN store USING (chunk_id)""")
 def fetch_ordered(spark, sf_dir):

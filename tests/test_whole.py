@@ -87,6 +87,15 @@ def test_evaluation_asks_every_hundredth_with_its_whole_text(spark, small, texts
     assert found == {q: texts[q] for q in ASKED}
 
 
+def test_fusion_ranks_the_whole_store_twice(spark, small, vectors, texts):
+    want = {}
+    for q in ASKED:
+        ranks = [{i: n + 1 for n, i in enumerate(one[:20])} for one in (nearest(vectors, q, "ip"), bm25(texts, q))]
+        score = {i: sum(1 / (60 + r[i]) for r in ranks if i in r) for i in set().union(*ranks)}
+        want[q] = sorted(score, key=lambda i: (-score[i], min((n, r[i]) for n, r in enumerate(ranks) if i in r)))[:15]
+    assert lists(catalog.QUERIES["rrf_fusion_all"](spark, small)) == want
+
+
 def test_metrics_judge_by_all_rows_of_the_label(spark, small, vectors, labels):
     gain, want = lambda places: sum(1 / math.log2(p + 1) for p in places), {}
     for q in ASKED:
