@@ -106,6 +106,23 @@ def fetch_partial(spark, sf_dir):
     return retrieval.fetch(requests, store, strict=False).select("request_id", "pos", "chunk_id", "label", "found")
 
 
+@query()
+def fetch_ordered_all(spark, sf_dir):
+    """Every row asks for itself, its neighbours (itself at a chain's end) and itself again."""
+    store = fx.store(spark, sf_dir)
+    ids = F.array("chunk_id", F.coalesce("next_id", "chunk_id"), "chunk_id", F.coalesce("prev_id", "chunk_id"))
+    return retrieval.fetch(store.select(F.col("vec_id").alias("request_id"), ids.alias("chunk_ids")), store).select("request_id", "pos", "chunk_id", "label", "section_path")
+
+
+@query()
+def fetch_partial_all(spark, sf_dir):
+    """Every row asks for itself, for an id that nothing has and for one that lies beyond the store's end for most."""
+    store = fx.store(spark, sf_dir)
+    ids = F.array("chunk_id", F.concat(F.lit("x"), F.col("vec_id").cast("string")), (F.col("vec_id") * 50).cast("string"))
+    requests = store.select(F.col("vec_id").alias("request_id"), ids.alias("chunk_ids"))
+    return retrieval.fetch(requests, store, strict=False).select("request_id", "pos", "chunk_id", "label", "found")
+
+
 @query(f"""WITH {fx.STORE} SELECT chunk_id, array_to_string(list_reverse(coalesce(p, [])), ',') AS prev, array_to_string(coalesce(n, []), ',') AS next FROM (SELECT chunk_id,
  list(chunk_id) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS p, list(chunk_id) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS n FROM store)""")
 def neighbors_window(spark, sf_dir):

@@ -96,6 +96,14 @@ def test_fusion_ranks_the_whole_store_twice(spark, small, vectors, texts):
     assert lists(catalog.QUERIES["rrf_fusion_all"](spark, small)) == want
 
 
+def test_every_row_is_fetched(spark, small, labels):
+    chain = lambda i, step: i + step if 0 <= i + step < N else i
+    want = [(i, p, str(c), labels[c], f"label {labels[c]}") for i in range(N) for p, c in enumerate((i, chain(i, 3), i, chain(i, -3)))]
+    assert sorted(map(tuple, catalog.QUERIES["fetch_ordered_all"](spark, small).collect())) == want
+    want = [(i, p, c, labels[int(c)] if known else None, known) for i in range(N) for p, (c, known) in enumerate([(str(i), True), (f"x{i}", False), (str(i * 50), i * 50 < N)])]
+    assert sorted(map(tuple, catalog.QUERIES["fetch_partial_all"](spark, small).collect()), key=lambda r: r[:2]) == want
+
+
 def test_metrics_judge_by_all_rows_of_the_label(spark, small, vectors, labels):
     gain, want = lambda places: sum(1 / math.log2(p + 1) for p in places), {}
     for q in ASKED:
