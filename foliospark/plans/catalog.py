@@ -141,6 +141,13 @@ def dangling_refs(spark, sf_dir):
     return retrieval.dangling(fx.store(spark, sf_dir).where("vec_id % 7 <> 3"))
 
 
+@query()
+def dangling_refs_all(spark, sf_dir):
+    """Links of the whole store, those of every seventh row rewritten to lead nowhere."""
+    broken = [F.when(F.col("vec_id") % 7 == 3, F.concat(F.lit("lost "), c)).otherwise(F.col(c)).alias(c) for c in ("prev_id", "next_id")]
+    return retrieval.dangling(fx.store(spark, sf_dir).select("chunk_id", "vec_id", *broken))
+
+
 @query(f"SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'query vector has the wrong dimension' WHEN vec_id % 5 = 1 THEN 'query vector is not finite' WHEN vec_id % 5 = 2 THEN 'query vector is missing' END AS problem FROM embeddings")
 def query_validation(spark, sf_dir):
     n = F.col("vec_id") % 5
@@ -302,6 +309,12 @@ def prefixes(spark, sf_dir):
     )
 
 
+@query()
+def prefixes_all(spark, sf_dir):
+    body = text.empty_if_null(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.md5(made(body).cast("binary")).alias(n) for n, made in (("passage_md5", text.document_prefix), ("query_md5", text.query_prefix))])
+
+
 _TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 
 
@@ -311,7 +324,19 @@ r AS (SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE i / (len(a
 SELECT doc_id, round(jaccard, 9) AS jaccard, round(recall, 9) AS recall, round("precision", 9) AS "precision", round(CASE WHEN recall + "precision" > 0 THEN 2 * recall * "precision" / (recall + "precision") ELSE 0 END, 9) AS f1 FROM r""")
 def text_prf(spark, sf_dir):
     whole, start = text.ascii_tokens(F.col("text")), text.ascii_tokens(F.substring(text.empty_if_null(F.col("text")), 1, 300))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(whole).alias("a"), F.array_distinct(start).alias("b"))
+    return _compared(table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(whole).alias("a"), F.array_distinct(start).alias("b")))
+
+
+@query()
+def text_prf_all(spark, sf_dir):
+    """Each whole text with the whole text of the next id, an empty one where there is none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(text.ascii_tokens(F.col("text"))).alias("a"))
+    beside = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return _compared(docs.join(beside, "doc_id", "left").withColumn("b", F.coalesce("b", F.array().cast("array<string>"))))
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """Similarities of the word sets a and b."""
     recall, precision, f1 = text.recall_precision_f1(F.col("a"), F.col("b"))
     return rows.select("doc_id", *[F.round(c, 9).alias(n) for n, c in (("jaccard", text.jaccard(F.col("a"), F.col("b"))), ("recall", recall), ("precision", precision), ("f1", f1))])
 

@@ -1,5 +1,6 @@
 """Queries over whole tables against brute force on a small one."""
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -104,6 +105,24 @@ def test_every_row_is_fetched(spark, small, labels):
     assert sorted(map(tuple, catalog.QUERIES["fetch_partial_all"](spark, small).collect()), key=lambda r: r[:2]) == want
 
 
+def test_every_link_is_checked(spark, small):
+    want = [(str(i), side, f"lost {i + step}") for i in range(3, N, 7) for side, step in (("next", 3), ("prev", -3)) if 0 <= i + step < N]
+    assert sorted(map(tuple, catalog.QUERIES["dangling_refs_all"](spark, small).select("chunk_id", "side", "reference").collect())) == sorted(want)
+
+
+def test_whole_texts_are_compared_and_prefixed(spark, small, texts):
+    words, want = [set(re.findall("[a-z0-9]+", t)) for t in texts] + [set()], {}
+    for i in range(N):
+        a, b, both = words[i], words[i + 1], len(words[i] & words[i + 1])
+        recall, precision = both / len(a), both / len(b) if b else 1.0
+        want[i] = (both / len(a | b), recall, precision, 2 * recall * precision / (recall + precision) if both else 0.0)
+    found = {r.doc_id: (r.jaccard, r.recall, r.precision, r.f1) for r in catalog.QUERIES["text_prf_all"](spark, small).collect()}
+    assert found == {i: pytest.approx(w, abs=1e-8) for i, w in want.items()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    found = {r.doc_id: (r.passage_md5, r.query_md5) for r in catalog.QUERIES["prefixes_all"](spark, small).collect()}
+    assert found == {i: (md5(f"passage: {t}"), md5(f"query: {t}")) for i, t in enumerate(texts)}
+
+
 def test_metrics_judge_by_all_rows_of_the_label(spark, small, vectors, labels):
     gain, want = lambda places: sum(1 / math.log2(p + 1) for p in places), {}
     for q in ASKED:
