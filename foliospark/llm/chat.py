@@ -111,8 +111,9 @@ def arrange(turns: DataFrame, *, conversation: str, turn: str, text: str, role:
 def learn(arranged: DataFrame, smoothing: float = 0.5) -> Model:
     """Start, transition and emission tables from the entries whose role is given; counts are over all of them.
 
-    Neighbours are looked up within a part, so the one pair at each part's edge is not counted. Features are taken as
-    independent given the role; each has its table. Without given roles the tables are flat but for the markers.
+    Neighbours are looked up within a part; the pair at each part's edge is counted from the parts' first and last rows.
+    Features are taken as independent given the role; each has its table. Without given roles the tables are flat but for
+    the markers.
     """
     import math
 
@@ -122,6 +123,8 @@ def learn(arranged: DataFrame, smoothing: float = 0.5) -> Model:
     first = opening & ~F.coalesce(F.lag("conv_id").over(beside).eqNullSafe(F.col("conv_id")), F.lit(False))
     pairs = arranged.select("given", "observed", before.alias("before"), first.alias("first")).where("given is not null")
     counts = pairs.groupBy("given", "before", "first", "observed").agg(F.count("*").alias("n")).collect()  # at most roles^2 * 2 * product of SIZES rows
+    ends = [by(c, "seq").alias(f"{end}_{c}") for end, by in (("first", F.min_by), ("last", F.max_by)) for c in ("conv_id", "given")]
+    edges = sorted(arranged.groupBy("part").agg(*ends).collect(), key=lambda r: r["part"])  # a row a part
     k = len(ROLES)
     start, step = [smoothing] * k, [[smoothing] * k for _ in ROLES]
     tables = [[[smoothing] * size for size in SIZES] for _ in ROLES]
@@ -132,6 +135,13 @@ def learn(arranged: DataFrame, smoothing: float = 0.5) -> Model:
             step[row["before"]][row["given"]] += row["n"]
         for f, value in enumerate(unpack(row["observed"])):
             tables[row["given"]][f][value] += row["n"]
+    for last, own in zip([None, *edges], edges):
+        if own["first_given"] is None:
+            continue
+        if last is None or last["last_conv_id"] != own["first_conv_id"]:
+            start[own["first_given"]] += 1
+        elif last["last_given"] is not None:
+            step[last["last_given"]][own["first_given"]] += 1
     for role in range(k):  # a marker of another role is rare, whether or not the counts have seen any
         for other in range(k):
             tables[role][0][other + 1] += 4.0 if other == role else 0.0

@@ -145,3 +145,30 @@ def test_features_fit_their_table(spark):
     assert chat.unpack(codes[1])[:2] == [2, 1]
     with pytest.raises(ValueError):
         list(zip(chat.unpack(codes[0]), chat.SIZES[:-1], strict=True))
+
+
+@pytest.mark.parametrize("parts", ["1", "9", "60"])
+def test_counts_are_over_all_rows_whatever_the_partitions(spark, parts):
+    import math
+
+    rows = corpus() + [(999, k, ("user", "assistant", None)[k % 3], "what?") for k in range(100)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        arranged = chat.arrange(spark.createDataFrame(rows, SCHEMA).repartition(7), conversation="conv_id", turn="turn", text="text", role="role")
+        assert parts == "1" or arranged.select("part").distinct().count() > 4
+        model = chat.learn(arranged)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    start, step, last = [0.5] * 3, [[0.5] * 3 for _ in range(3)], (None, None)
+    for conv, _, role, _ in sorted(rows, key=lambda r: r[:2]):
+        k = chat.ROLES.index(role) if role else None
+        if k is not None and conv != last[0]:
+            start[k] += 1
+        elif k is not None and last[1] is not None:
+            step[last[1]][k] += 1
+        last = (conv, k)
+    logs = lambda row: [math.log(x / sum(row)) for x in row]
+    assert model.start == pytest.approx(logs(start)) and [x for r in model.step for x in r] == pytest.approx([x for r in step for x in logs(r)])
