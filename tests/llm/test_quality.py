@@ -87,6 +87,15 @@ def test_copies_count_once(spark):
     assert all(r.kept and not r.removed_words for r in quality.apply_rules(frame).collect())
 
 
+def test_small_hosts_lose_lines_above_the_floor_alone(spark):
+    """The README's figures: a host of 20 texts keeps every line, one of 21 loses what all have, one of 1,500 what more than 30 have."""
+    body = lambda h, i: " ".join(f"{h}x{i}y{j}" for j in range(60))
+    rows = [(h, i, body(h, i) + ("\nthe same foot" if i < shared else "")) for h, n, shared in (("20", 20, 20), ("21", 21, 21), ("500", 500, 20), ("501", 501, 21), ("1500", 1500, 30), ("1501", 1501, 31)) for i in range(n)]
+    frame = spark.createDataFrame([(k, h, t) for k, (h, _, t) in enumerate(rows)], "doc_id long, source string, text string")
+    gone = {r.host: r.n for r in quality.apply_rules(frame).groupBy(F.col("__host").alias("host")).agg(F.count_if(F.col("removed_words") > 0).alias("n")).collect()}
+    assert gone == {"20": 0, "21": 21, "500": 0, "501": 21, "1500": 0, "1501": 31}
+
+
 def test_empty_table_and_long_text(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert quality.apply_rules(empty).collect() == [] and quality.kept_documents(empty).collect() == []
