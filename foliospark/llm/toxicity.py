@@ -155,8 +155,8 @@ def label_model(counts: dict[int, float], known: tuple[dict[int, float], dict[in
     ``counts``: firing pattern -> documents; ``known``: the same for labelled clean and toxic rows, whose class is fixed.
     Correlations of voters within the classes come from the labelled rows where each class has 30, else from a first run of
     expectation-maximisation with independent voters. Voters whose correlation exceeds ``bound`` and four standard errors
-    are joined, three at most to a clique; each clique has a joint table, and expectation-maximisation over all documents
-    estimates these and the classes.
+    are joined to cliques, as many as hang together; each clique has a joint table (2**16 cells at most, as patterns have so
+    many bits), and expectation-maximisation over all documents estimates these and the classes.
     Gives (pattern -> posterior, cliques, firing rates of each voter in both classes).
     """
     import numpy as np
@@ -206,10 +206,9 @@ def label_model(counts: dict[int, float], known: tuple[dict[int, float], dict[in
         found = np.abs(cov / np.outer(spread, spread))
         strength = np.maximum(strength, np.where(found * np.sqrt(size) > 4, found, 0))
     cliques = [[v] for v in range(voters)]
-    pairs = sorted(((strength[a, b], a, b) for a in range(voters) for b in range(a) if strength[a, b] > bound), reverse=True)
-    for _, a, b in pairs:
+    for a, b in [(a, b) for a in range(voters) for b in range(a) if strength[a, b] > bound]:
         one, two = next(c for c in cliques if a in c), next(c for c in cliques if b in c)
-        if one is not two and len(one) + len(two) <= 3:
+        if one is not two:
             cliques.remove(two)
             one += two
     cliques = [tuple(sorted(c)) for c in cliques]

@@ -85,6 +85,25 @@ def test_label_model_finds_rates_and_correlations():
     assert posterior[0b10001] < posterior[0b00011]  # an echo is no second witness
 
 
+def test_many_echoes_are_one_witness():
+    rng = random.Random(8)
+    counts, known, toxic = {}, ({}, {}), {}
+    for _ in range(60_000):
+        y = int(rng.random() < 0.2)
+        fired = [rng.random() < r[y] for r in ((0.05, 0.5), (0.1, 0.6))]
+        heard = rng.random() < (0.1, 0.6)[y]
+        fired += [heard if rng.random() < 0.9 else rng.random() < 0.3 for _ in range(6)]
+        mask = sum(f << k for k, f in enumerate(fired))
+        counts[mask] = counts.get(mask, 0) + 1
+        toxic[mask] = toxic.get(mask, 0) + y
+        if rng.random() < 0.1:
+            known[y][mask] = known[y].get(mask, 0) + 1
+    posterior, cliques, _ = toxicity.label_model(counts, known, 8)
+    assert (2, 3, 4, 5, 6, 7) in cliques
+    all_echoes = 0b11111100
+    assert abs(posterior[all_echoes] - toxic[all_echoes] / counts[all_echoes]) < 0.1
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, None), (None, 1)], [(1, 1), (1, 0), (2, 1)]])
 def test_scanty_labels(spark, labels):
     docs = [(1, "some text"), (2, None), (3, ""), (None, "idiot"), (4, "x" * 200_000), (1, "some text")]
