@@ -11,12 +11,106 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.functions import text, vectors
+from foliospark.functions import storage, text, vectors
 from foliospark.functions.frames import in_arrow
 
 REQUIRED = ("chunk_id", "prev_id", "next_id", "section_path")
-#: Queries that are multiplied at a time; their matrix is all that a task holds besides a batch of vectors.
-QUERY_BLOCK = 4096
+#: Queries in a block, and stored rows that meet it at a time; their product is the largest thing a task holds.
+QUERY_BLOCK, STEP = 1024, 4096
+#: Queries in a block of keyword search, and most cells (terms x queries) of its weights.
+TERM_BLOCK, CELLS = 128, 4_000_000
+#: Kept hits after which a task gives what it has and starts afresh.
+MOST_HELD = 2_000_000
+
+
+class _Best:
+    """The k best hits of each query of a block: lower scores first, ties by the row's id."""
+
+    def __init__(self, n: int, k: int):
+        import numpy as np
+
+        self.n, self.k = n, k
+        self.place, self.ids, self.score = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        #: Scores above these cannot enter any more.
+        self.cutoff = np.full(n, np.inf)
+
+    def add(self, place, ids, score) -> None:
+        import numpy as np
+
+        place, ids, score = np.concatenate([self.place, place]), np.concatenate([self.ids, ids]), np.concatenate([self.score, score])
+        if not len(place):
+            return
+        by_id = np.unique(ids, return_inverse=True)[1]
+        order = np.lexsort((by_id, score, place))
+        place, ids, score = place[order], ids[order], score[order]
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
+        keep = rank < self.k
+        last = rank == self.k - 1
+        self.cutoff[place[last]] = score[last]
+        self.place, self.ids, self.score = place[keep], ids[keep], score[keep]
+
+
+def nearest(q, v, metric: str, cutoff, k: int):
+    """(query, row, score) of all pairs that can be among the k best of a query; lower scores are better.
+
+    The matrix product ranks by a short form whose rounding error is bounded; whatever lies within the bound is computed
+    again, pair by pair, so neither cancellation nor the position in a block can change a result.
+    """
+    import numpy as np
+
+    qq, vv = np.square(q).sum(1), np.square(v).sum(1)
+    short = q @ v.T
+    reach = np.sqrt(qq) * np.sqrt(vv.max())
+    short = -short if metric == "ip" else qq[:, None] - 2 * short + vv[None, :]
+    error = 4 * (q.shape[1] + 4) * np.finfo(float).eps * (reach if metric == "ip" else qq + vv.max() + 2 * reach)
+    near = min(k, len(v)) - 1
+    least = np.minimum(np.partition(short, near, axis=1)[:, near] + error, cutoff)
+    i, j = np.nonzero(short <= (least + error)[:, None])
+    score = np.empty(len(i))
+    for at in range(0, len(i), 1 << 16):
+        a, b = q[i[at : at + (1 << 16)]], v[j[at : at + (1 << 16)]]
+        score[at : at + (1 << 16)] = -(a * b).sum(1) if metric == "ip" else np.square(a - b).sum(1)
+    return i, j, score
+
+
+def _through_blocks(store: DataFrame, path: str, k: int, result: T.StructType, prepare, compare) -> DataFrame:
+    """Every stored row against every query block of ``path``, which each task reads from the shared folder.
+
+    ``prepare(batch)`` gives (row ids, what ``compare`` takes); ``compare(block, rows, cutoff)`` gives (query, row, score),
+    lower being better. Stored rows are never shuffled, queries never pass the driver; a task gives k rows a query.
+    """
+
+    def run(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        from foliospark.functions import storage
+
+        arrow, held = to_arrow_schema(result), {}
+
+        def told():
+            for names, best in held.values():
+                for at in range(0, len(best.place), 100_000):
+                    part = slice(at, at + 100_000)
+                    columns = [[names[i] for i in best.place[part]], best.ids[part].tolist(), best.score[part].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            held.clear()
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                ids, rows = prepare(whole.slice(at, STEP))
+                named = np.empty(len(ids), object)
+                named[:] = ids
+                for number, block in enumerate(storage.read_blocks(path)):
+                    names, best = held.setdefault(number, (block["ids"], _Best(len(block["ids"]), k)))
+                    i, j, score = compare(block, rows, best.cutoff)
+                    best.add(i, named[j], score)
+                if sum(len(best.place) for _, best in held.values()) > MOST_HELD:
+                    yield from told()
+        yield from told()
+
+    return store.transform(in_arrow, run, result)
 
 
 def dense_search(
@@ -25,81 +119,67 @@ def dense_search(
     """(query_id, row id, score, rank): the k nearest rows of every query, exactly.
 
     ``ip``: inner product, larger is nearer; ``l2``: squared distance, smaller is nearer. Ties go by the row's id. An empty
-    store gives no rows, k is clipped to its size. Each task keeps its k best rows for a block of queries (matrix product
-    over Arrow batches), and a window with a group limit merges them; vectors are never shuffled.
+    store gives no rows, k is clipped to its size. Queries are packed into blocks in the shared folder, every task of one
+    scan of the store goes through them, and a window with a group limit merges the tasks' k best.
     """
     if k <= 0:
         raise ValueError("top_k must be a positive integer")
     if metric not in ("ip", "l2"):
         raise ValueError(f"unknown metric: {metric}")
-    import numpy as np
-
-    asked = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
-    rows = asked.orderBy(query_id).toLocalIterator()
-    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(row_id, store.schema[row_id].dataType), T.StructField("score", T.DoubleType())])
-    parts, block, ids, dimension = [], [], [], None
-
-    def search(ids: list, matrix) -> DataFrame:
-        shared = store.sparkSession.sparkContext.broadcast((ids, matrix))  # size: QUERY_BLOCK vectors
-
-        def best(batches: Iterator):
-            import numpy as np
-            import pyarrow as pa
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            names, q = shared.value
-            held_ids, held_scores = None, None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                batch = batch.take(pa.array(sorted(range(batch.num_rows), key=batch.column(0).to_pylist().__getitem__)))  # ties go by the id
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                if len(flat) != batch.num_rows * q.shape[1] or batch.column(1).null_count:
-                    raise ValueError("a stored vector has another dimension than the queries")
-                v = flat.astype(np.float64).reshape(batch.num_rows, -1)
-                score = q @ v.T if metric == "ip" else np.square(q).sum(1)[:, None] - 2 * (q @ v.T) + np.square(v).sum(1)[None, :]
-                if metric == "l2":  # the short form cancels; near ones are computed again below
-                    score = np.maximum(score, 0)
-                near = np.argsort(-score if metric == "ip" else score, axis=1, kind="stable")[:, : k + 16]
-                if metric == "l2":
-                    exact = np.stack([np.square(v[n] - q[i]).sum(1) for i, n in enumerate(near)])
-                else:
-                    exact = np.take_along_axis(score, near, 1)
-                new = np.array(batch.column(0).to_pylist(), object)[near]
-                held_ids = new if held_ids is None else np.concatenate([held_ids, new], 1)
-                held_scores = exact if held_scores is None else np.concatenate([held_scores, exact], 1)
-                if held_ids.shape[1] > 2 * (k + 16):
-                    place = np.unique(held_ids.ravel(), return_inverse=True)[1].reshape(held_ids.shape)
-                    order = np.lexsort((place, -held_scores if metric == "ip" else held_scores), axis=1)[:, : k + 16]
-                    held_ids, held_scores = np.take_along_axis(held_ids, order, 1), np.take_along_axis(held_scores, order, 1)
-            if held_ids is None:
-                return
-            for i, name in enumerate(names):
-                arrays = [[name] * held_ids.shape[1], held_ids[i].tolist(), held_scores[i].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, to_arrow_schema(schema), strict=True)], schema=to_arrow_schema(schema))
-
-        return store.select(row_id, vector).transform(in_arrow, best, schema)
-
-    for row in rows:
-        found = np.asarray(row[1], np.float64)
-        dimension = dimension or found.size
-        if found.size != dimension or not np.isfinite(found).all():
-            raise ValueError("query vectors must be finite and of one dimension")
-        ids.append(row[0])
-        block.append(found)
-        if len(block) == QUERY_BLOCK:
-            parts.append(search(ids, np.stack(block)))
-            ids, block = [], []
-    if block:
-        parts.append(search(ids, np.stack(block)))
-    if not parts:
-        return store.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = F.col("score").desc() if metric == "ip" else F.col("score").asc()
-    ranked = F.row_number().over(Window.partitionBy(query_id).orderBy(order, row_id))
-    return found.withColumn("rank", ranked).where(F.col("rank") <= k)
+    spark = store.sparkSession
+    own, row = queries.schema[query_id].dataType, store.schema[row_id].dataType
+    asked = queries.select(F.col(query_id).alias("ids"), F.col(query_vector).alias("v")).where("v is not null")
+    blocks = T.StructType([T.StructField("ids", T.ArrayType(own)), T.StructField("dimension", T.IntegerType()), T.StructField("finite", T.BooleanType()), T.StructField("matrix", T.BinaryType())])
+
+    def pack(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        ids, vectors = [], []
+
+        def block():
+            matrix = np.stack(vectors)
+            told = {"ids": ids, "dimension": matrix.shape[1], "finite": bool(np.isfinite(matrix).all()), "matrix": matrix.tobytes()}
+            return pa.RecordBatch.from_pylist([told], schema=to_arrow_schema(blocks))
+
+        for batch in batches:
+            for name, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = np.array([np.nan if x is None else x for x in found], np.float64)
+                if ids and (len(ids) == QUERY_BLOCK or len(found) != len(vectors[0])):
+                    yield block()
+                    ids, vectors = [], []
+                ids.append(name)
+                vectors.append(found)
+        if ids:
+            yield block()
+
+    path = storage.scratch(spark, "queries")
+    storage.write(spark, asked.repartition(F.xxhash64("ids")).transform(in_arrow, pack, blocks), path)
+    packed = spark.read.schema(blocks).parquet(path).agg(F.count_distinct("dimension").alias("n"), F.min("finite").alias("finite")).first()
+    if packed["n"] > 1 or packed["finite"] is False:
+        raise ValueError("query vectors must be finite and of one dimension")
+
+    def prepare(batch):
+        import numpy as np
+
+        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if batch.column(1).null_count or len(flat) % batch.num_rows:
+            raise ValueError("stored vectors must be there and of one dimension")
+        return batch.column(0).to_pylist(), flat.reshape(batch.num_rows, -1)
+
+    def compare(block, rows, cutoff):
+        import numpy as np
+
+        if block["dimension"] != rows.shape[1]:
+            raise ValueError("a stored vector has another dimension than the queries")
+        return nearest(np.frombuffer(block["matrix"]).reshape(len(block["ids"]), -1), rows, metric, cutoff, k)
+
+    result = T.StructType([T.StructField(query_id, own), T.StructField(row_id, row), T.StructField("score", T.DoubleType())])
+    found = _through_blocks(store.select(row_id, vector), path, k, result, prepare, compare)
+    ranked = F.row_number().over(Window.partitionBy(query_id).orderBy("score", row_id))
+    best = found.withColumn("rank", ranked).where(F.col("rank") <= k)
+    return best.withColumn("score", -F.col("score")) if metric == "ip" else best
 
 
 def validate_queries(queries: DataFrame, dimension: int, *, vector: str = "query_vector") -> DataFrame:
@@ -114,19 +194,88 @@ def keyword_search(queries: DataFrame, store: DataFrame, k: int, *, query_id: st
 
 
 def bm25_search(queries: DataFrame, store: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75, query_id: str = "query_id", query: str = "query", row_id: str = "chunk_id", body: str = "text") -> DataFrame:
-    """Okapi BM25 over ASCII words. Only terms that some query asks for are exploded from the store."""
-    asked = queries.select(query_id, F.explode(F.array_distinct(text.ascii_tokens(F.col(query)))).alias("term"))
-    docs = store.select(row_id, text.ascii_tokens(F.col(body)).alias("terms")).withColumn("size", F.size("terms"))
-    total = docs.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    if not total["n"]:
+    """Okapi BM25 over ASCII words: (query_id, row id, score, rank) of the k best rows with a common word, exactly.
+
+    One word count over the store (combined in the tasks before its shuffle) gives the rarity of each term; the queries take
+    it along in blocks, and one scan of the store scores its rows against them as ``dense_search`` does. Whatever words they
+    have in common, pairs of query and row are never written. Scores are rounded to 9 places; ties go by the row's id.
+    """
+    spark = store.sparkSession
+    own, row = queries.schema[query_id].dataType, store.schema[row_id].dataType
+    docs = store.select(row_id, text.ascii_tokens(F.col(body)).alias("terms"))
+    # no term is empty: the empty one counts the rows and their words
+    counted = docs.select(F.size("terms").alias("size"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")).groupBy("term")
+    stats = storage.written(spark, counted.agg(F.count("*").alias("df"), F.sum("size").alias("words")), "terms")
+    total = stats.where("term = ''").first()
+    if total is None:
         return keyword_search(queries, store, k, query_id=query_id, row_id=row_id)
-    wanted = asked.select("term").distinct()
-    counts = docs.select(row_id, "size", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy(row_id, "size", "term").agg(F.count("*").alias("tf"))
-    spread = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(total["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(total["mean"] or 1.0)))
-    scored = counts.join(spread, "term").select("term", row_id, weight.alias("w")).join(asked, "term").groupBy(query_id, row_id).agg(F.sum("w").alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), row_id))).where(F.col("rank") <= k)
+    mean = total["words"] / total["df"] or 1.0
+    idf = F.log(1 + (F.lit(total["df"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = queries.select(F.col(query_id).alias("ids"), F.explode(F.array_distinct(text.ascii_tokens(F.col(query)))).alias("term"))
+    weighed = asked.join(stats.select("term", idf.alias("idf")), "term").groupBy("ids").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("w"))
+    numbers = [T.StructField(n, T.ArrayType(t)) for n, t in (("terms", T.StringType()), ("at", T.IntegerType()), ("q", T.IntegerType()), ("idf", T.DoubleType()))]
+    blocks = T.StructType([T.StructField("ids", T.ArrayType(own)), *numbers])
+
+    def pack(batches: Iterator):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        def fresh():
+            return {"ids": [], "terms": {}, "at": [], "q": [], "idf": []}
+
+        def told():
+            return pa.RecordBatch.from_pylist([block | {"terms": list(block["terms"])}], schema=to_arrow_schema(blocks))
+
+        block = fresh()
+        for batch in batches:
+            for name, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = len(block["ids"])
+                if n and (n == TERM_BLOCK or (len(block["terms"]) + len(weights)) * (n + 1) > CELLS):
+                    yield told()
+                    block, n = fresh(), 0
+                block["ids"].append(name)
+                for w in weights:
+                    block["at"].append(block["terms"].setdefault(w["term"], len(block["terms"])))
+                    block["q"].append(n)
+                    block["idf"].append(w["idf"])
+        if block["ids"]:
+            yield told()
+
+    path = storage.scratch(spark, "queries")
+    storage.write(spark, weighed.select("ids", "w").transform(in_arrow, pack, blocks), path)
+
+    def prepare(batch):
+        from collections import Counter
+
+        ids, rows = batch.column(0).to_pylist(), []
+        for terms in batch.column(1).to_pylist():
+            norm = k1 * (1 - b + b * len(terms) / mean)
+            rows.append([(t, n * (k1 + 1) / (n + norm)) for t, n in sorted(Counter(terms).items())])
+        return ids, rows
+
+    def compare(block, rows, cutoff):
+        import numpy as np
+
+        weights = np.zeros((len(block["terms"]), len(block["ids"])))
+        weights[block["at"], block["q"]] = block["idf"]
+        number = {t: i for i, t in enumerate(block["terms"])}
+        places, which, scores = [], [], []
+        for j, terms in enumerate(rows):
+            known = [(number[t], w) for t, w in terms if t in number]
+            if known:
+                score = -np.round(np.array([w for _, w in known]) @ weights[[i for i, _ in known]], 9)
+                i = np.nonzero((score < 0) & (score <= cutoff))[0]
+                places.append(i)
+                which.append(np.full(len(i), j))
+                scores.append(score[i])
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.concatenate(places), np.concatenate(which), np.concatenate(scores)
+
+    result = T.StructType([T.StructField(query_id, own), T.StructField(row_id, row), T.StructField("score", T.DoubleType())])
+    found = _through_blocks(docs, path, k, result, prepare, compare)
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("score", row_id))).where(F.col("rank") <= k)
+    return best.withColumn("score", -F.col("score"))
 
 
 def fuse(lists: list[DataFrame], *, k: int = 60, cap: int | None = None, query_id: str = "query_id", row_id: str = "chunk_id") -> DataFrame:
@@ -184,25 +333,29 @@ def fetch(requests: DataFrame, store: DataFrame, *, ids: str = "chunk_ids", requ
 def neighbors(hits: DataFrame, store: DataFrame, window: int = 1, *, scope: tuple[str, ...] = ()) -> DataFrame:
     """(scope columns, chunk_id, prev, next): ids reached by at most ``window`` links either way, nearest first.
 
-    One join a hop and side, over the hits alone. Unknown chunks give null.
+    Both walks of a hit carry their path along one chain of joins, one join a hop. Walks that have ended are dealt by a hash,
+    so they meet in no one task. Unknown chunks give null, and their links nothing.
     """
     if window < 0:
         raise ValueError("context_window_size must be a non-negative integer")
-    links = store.select(*scope, F.col("chunk_id").alias("__at"), "prev_id", "next_id")
-    start = hits.select(*scope, "chunk_id").distinct()
-    out = start.join(links.select(*scope, F.col("__at").alias("chunk_id"), F.lit(True).alias("__known")), [*scope, "chunk_id"], "left")
-    for side in ("prev", "next"):
-        walk, found = start.select(*scope, "chunk_id", F.col("chunk_id").alias("__at")), None
-        for hop in range(window):
-            walk = walk.join(links, [*scope, "__at"]).select(*scope, "chunk_id", F.col(f"{side}_id").alias("__at")).where("__at is not null")
-            step = walk.withColumn("hop", F.lit(hop))
-            found = step if found is None else found.unionByName(step)
-        if found is None:
-            out = out.withColumn(side, F.array().cast("array<string>"))
-            continue
-        lists = found.groupBy(*scope, "chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hop", "__at"))), lambda x: x["__at"]).alias(side))
-        out = out.join(lists, [*scope, "chunk_id"], "left").withColumn(side, F.coalesce(side, F.array().cast(lists.schema[side].dataType)))
-    return out.select(*scope, "chunk_id", *[F.when(F.col("__known"), F.col(s)).alias(s) for s in ("prev", "next")])
+    key = lambda c: F.col(c).cast("string")
+    links = store.select(*scope, key("chunk_id").alias("__key"), F.lit(True).alias("__on"), F.struct("prev_id", "next_id").alias("__links"))
+    sides = F.array(F.lit("prev"), F.lit("next"))
+    kind = store.schema["prev_id"].dataType.simpleString()
+    walk = hits.select(*scope, "chunk_id").distinct().select(
+        *scope, "chunk_id", F.explode(sides).alias("__side"), F.col("chunk_id").alias("__at"), F.array().cast(f"array<{kind}>").alias("__path"), F.lit(None).cast("boolean").alias("__known")
+    )
+    for hop in range(max(1, window)):
+        on = F.col("__at").isNotNull()
+        ended = F.concat(F.lit("ended "), F.pmod(F.xxhash64(*scope, "chunk_id"), F.lit(4096)).cast("string"))
+        step = walk.withColumns({"__on": on, "__key": F.when(on, key("__at")).otherwise(ended)}).join(links, [*scope, "__key", "__on"], "left")
+        beyond = F.when(F.col("__side") == "prev", F.col("__links.prev_id")).otherwise(F.col("__links.next_id"))
+        reached = F.lit(None).cast(kind) if hop >= window else beyond
+        path = F.when(reached.isNotNull(), F.array_append("__path", reached)).otherwise(F.col("__path"))
+        known = F.col("__links").isNotNull() if hop == 0 else F.col("__known")
+        walk = step.select(*scope, "chunk_id", "__side", reached.alias("__at"), path.alias("__path"), known.alias("__known"))
+    of = lambda side: F.max(F.when(F.col("__known") & (F.col("__side") == side), F.col("__path"))).alias(side)
+    return walk.groupBy(*scope, "chunk_id").agg(of("prev"), of("next"))
 
 
 def section(store: DataFrame, path: str, *, order: tuple[str, ...] = ("doc_id", "ord")) -> DataFrame:
@@ -258,9 +411,13 @@ def retrieve(
     fused = fuse([dense, sparse(asked, store, top_k_sparse)], k=rrf_k, cap=cap)
     candidates = fused.select("query_id", "chunk_id", "rank").join(store.drop("vector"), "chunk_id").join(asked.select("query_id", "query"), "query_id")
     best = rerank(candidates, score=score).where(F.col("rerank_rank") <= top_k_rerank)
-    around = neighbors(best, store, context_window_size)
     shown = [c for c in store.columns if c != "vector"]
-    return best.join(around, "chunk_id", "left").select(
+    if context_window_size <= 1:  # the hits bring their own links
+        sides = {s: F.filter(F.array(f"{s}_id"), lambda x: x.isNotNull() & F.lit(context_window_size == 1)) for s in ("prev", "next")}
+        around = best.withColumns(sides)
+    else:
+        around = best.join(neighbors(best, store, context_window_size), "chunk_id", "left")
+    return around.select(
         "query_id", F.col("rerank_rank").alias("rank"), "chunk_id", "rerank_score", F.struct(*shown).alias("chunk"), F.coalesce("prev", F.array().cast("array<string>")).alias("prev"),
         F.coalesce("next", F.array().cast("array<string>")).alias("next"),
     )

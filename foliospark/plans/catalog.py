@@ -38,8 +38,8 @@ _IP = "list_dot_product(query_vector::DOUBLE[], vector::DOUBLE[])"
 _L2 = "list_sum(list_transform(list_zip(query_vector, vector), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))"
 
 
-def _dense(spark: SparkSession, sf_dir: str, metric: str, k: int, questions=fx.questions) -> DataFrame:
-    return retrieval.dense_search(questions(spark, sf_dir), fx.store(spark, sf_dir).select("chunk_id", "vector"), k, metric=metric)
+def _dense(spark: SparkSession, sf_dir: str, metric: str, k: int) -> DataFrame:
+    return retrieval.dense_search(fx.questions(spark, sf_dir), fx.store(spark, sf_dir).select("chunk_id", "vector"), k, metric=metric)
 
 
 @query(_DENSE.format(score=_IP, order="DESC"))
@@ -52,70 +52,39 @@ def dense_topk_l2(spark, sf_dir):
     return _dense(spark, sf_dir, "l2", 10).withColumn("score", F.round(F.col("score"), 6))
 
 
-# The queries named _all do the whole job; their namesakes stay the part that their SQL compares.
-
-
-@query()
-def dense_topk_ip_all(spark, sf_dir):
-    return _dense(spark, sf_dir, "ip", 10, fx.all_questions).withColumn("score", F.round("score", 6))
-
-
-@query()
-def dense_topk_l2_all(spark, sf_dir):
-    return _dense(spark, sf_dir, "l2", 10, fx.all_questions).withColumn("score", F.round("score", 6))
-
-
-_LISTS = f"""one AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {_IP} DESC, chunk_id) AS rank FROM questions, store QUALIFY rank <= 20),
-two AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {_L2}, chunk_id DESC) AS rank FROM questions, store WHERE vec_id % 2 = 0 QUALIFY rank <= 20),
-fused AS (SELECT query_id, chunk_id, sum(s) AS score, min(list * 1000 + rank) AS first FROM (SELECT query_id, chunk_id, 0 AS list, rank, 1.0::DOUBLE / (60 + rank) AS s FROM one UNION ALL SELECT query_id, chunk_id, 1, rank, 1.0::DOUBLE / (60 + rank) FROM two) GROUP BY 1, 2)"""
+_BM25 = """d AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM store), m AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM questions), u AS (SELECT chunk_id, len(t) AS size, unnest(t) AS term FROM d),
+tf AS (SELECT chunk_id, size, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score FROM tf JOIN df USING (term) JOIN q USING (term), m GROUP BY 1, 2),
+bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)"""
 
 
 @query(
-    f"""WITH {fx.STORE}, {fx.QUESTIONS}, {_LISTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank FROM fused)
+    f"""WITH {fx.STORE}, {fx.QUESTIONS}, {_BM25}, one AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {_IP} DESC, chunk_id) AS rank FROM questions, store QUALIFY rank <= 20),
+fused AS (SELECT query_id, chunk_id, sum(s) AS score, min(list * 1000 + rank) AS first FROM (SELECT query_id, chunk_id, 0 AS list, rank, 1.0::DOUBLE / (60 + rank) AS s FROM one
+ UNION ALL SELECT query_id, chunk_id, 1, rank, 1.0::DOUBLE / (60 + rank) FROM bm25 WHERE rank <= 20) GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank FROM fused)
 SELECT query_id, chunk_id, round(score, 9) AS score, rank::INT AS rank FROM ranked WHERE rank <= 15"""
 )
 def rrf_fusion(spark, sf_dir):
-    store, asked = fx.store(spark, sf_dir), fx.questions(spark, sf_dir)
-    one = retrieval.dense_search(asked, store, 20)
-    even = retrieval.dense_search(asked, store.where("vec_id % 2 = 0"), 20, metric="l2")
-    return retrieval.fuse([one, even], k=60, cap=15).withColumn("score", F.round("score", 9))
-
-
-@query()
-def rrf_fusion_all(spark, sf_dir):
     """Dense and keyword ranks, both over the whole store."""
-    store, asked = fx.store(spark, sf_dir), fx.all_questions(spark, sf_dir)
+    store, asked = fx.store(spark, sf_dir), fx.questions(spark, sf_dir)
     lists = [retrieval.dense_search(asked, store, 20), retrieval.bm25_search(asked, store, 20)]
     return retrieval.fuse(lists, k=60, cap=15).withColumn("score", F.round("score", 9))
 
 
-@query(f"""WITH {fx.STORE}, r AS (SELECT vec_id AS request_id, [chunk_id, (vec_id + 3)::VARCHAR, chunk_id, (vec_id * 2 % 400)::VARCHAR] AS ids FROM store WHERE vec_id < 50),
+@query(f"""WITH {fx.STORE}, r AS (SELECT vec_id AS request_id, [chunk_id, coalesce(next_id, chunk_id), chunk_id, coalesce(prev_id, chunk_id)] AS ids FROM store),
 u AS (SELECT request_id, unnest(range(4))::INT AS pos, unnest(ids) AS chunk_id FROM r) SELECT request_id, pos, u.chunk_id, label, section_path FROM u JOIN store USING (chunk_id)""")
 def fetch_ordered(spark, sf_dir):
-    store = fx.store(spark, sf_dir)
-    ids = F.array("chunk_id", (F.col("vec_id") + 3).cast("string"), "chunk_id", (F.col("vec_id") * 2 % 400).cast("string"))
-    return retrieval.fetch(store.where("vec_id < 50").select(F.col("vec_id").alias("request_id"), ids.alias("chunk_ids")), store).select("request_id", "pos", "chunk_id", "label", "section_path")
-
-
-@query(f"""WITH {fx.STORE}, r AS (SELECT vec_id AS request_id, [chunk_id, 'x' || vec_id, (vec_id * 50)::VARCHAR] AS ids FROM store WHERE vec_id < 50),
-u AS (SELECT request_id, unnest(range(3))::INT AS pos, unnest(ids) AS chunk_id FROM r) SELECT request_id, pos, u.chunk_id, label, s.chunk_id IS NOT NULL AS found FROM u LEFT JOIN store s USING (chunk_id)""")
-def fetch_partial(spark, sf_dir):
-    store = fx.store(spark, sf_dir)
-    ids = F.array("chunk_id", F.concat(F.lit("x"), F.col("vec_id").cast("string")), (F.col("vec_id") * 50).cast("string"))
-    requests = store.where("vec_id < 50").select(F.col("vec_id").alias("request_id"), ids.alias("chunk_ids"))
-    return retrieval.fetch(requests, store, strict=False).select("request_id", "pos", "chunk_id", "label", "found")
-
-
-@query()
-def fetch_ordered_all(spark, sf_dir):
     """Every row asks for itself, its neighbours (itself at a chain's end) and itself again."""
     store = fx.store(spark, sf_dir)
     ids = F.array("chunk_id", F.coalesce("next_id", "chunk_id"), "chunk_id", F.coalesce("prev_id", "chunk_id"))
     return retrieval.fetch(store.select(F.col("vec_id").alias("request_id"), ids.alias("chunk_ids")), store).select("request_id", "pos", "chunk_id", "label", "section_path")
 
 
-@query()
-def fetch_partial_all(spark, sf_dir):
+@query(f"""WITH {fx.STORE}, r AS (SELECT vec_id AS request_id, [chunk_id, 'x' || vec_id, (vec_id * 50)::VARCHAR] AS ids FROM store),
+u AS (SELECT request_id, unnest(range(3))::INT AS pos, unnest(ids) AS chunk_id FROM r) SELECT request_id, pos, u.chunk_id, label, s.chunk_id IS NOT NULL AS found FROM u LEFT JOIN store s USING (chunk_id)""")
+def fetch_partial(spark, sf_dir):
     """Every row asks for itself, for an id that nothing has and for one that lies beyond the store's end for most."""
     store = fx.store(spark, sf_dir)
     ids = F.array("chunk_id", F.concat(F.lit("x"), F.col("vec_id").cast("string")), (F.col("vec_id") * 50).cast("string"))
@@ -135,14 +104,9 @@ def section_lookup(spark, sf_dir):
     return retrieval.section(fx.store(spark, sf_dir), "label 1", order=("vec_id",)).select("chunk_id", "vec_id", "section_path")
 
 
-@query(f"""WITH {fx.STORE}, part AS (SELECT * FROM store WHERE vec_id % 7 <> 3), l AS (SELECT chunk_id, 'prev' AS side, prev_id AS reference FROM part UNION ALL SELECT chunk_id, 'next', next_id FROM part)
-SELECT * FROM l WHERE reference IS NOT NULL AND reference NOT IN (SELECT chunk_id FROM part)""")
+@query(f"""WITH {fx.STORE}, b AS (SELECT chunk_id, CASE WHEN vec_id % 7 = 3 THEN 'lost ' || prev_id ELSE prev_id END AS p, CASE WHEN vec_id % 7 = 3 THEN 'lost ' || next_id ELSE next_id END AS n FROM store),
+l AS (SELECT chunk_id, 'prev' AS side, p AS reference FROM b UNION ALL SELECT chunk_id, 'next', n FROM b) SELECT * FROM l WHERE reference IS NOT NULL AND reference NOT IN (SELECT chunk_id FROM b)""")
 def dangling_refs(spark, sf_dir):
-    return retrieval.dangling(fx.store(spark, sf_dir).where("vec_id % 7 <> 3"))
-
-
-@query()
-def dangling_refs_all(spark, sf_dir):
     """Links of the whole store, those of every seventh row rewritten to lead nowhere."""
     broken = [F.when(F.col("vec_id") % 7 == 3, F.concat(F.lit("lost "), c)).otherwise(F.col(c)).alias(c) for c in ("prev_id", "next_id")]
     return retrieval.dangling(fx.store(spark, sf_dir).select("chunk_id", "vec_id", *broken))
@@ -157,84 +121,45 @@ def query_validation(spark, sf_dir):
     return retrieval.validate_queries(rows, 64).select("vec_id", "problem")
 
 
-def _retrieved(spark: SparkSession, sf_dir: str, questions) -> DataFrame:
-    asked = questions(spark, sf_dir).select("query_id", "query", "query_vector")
-    found = retrieval.retrieve(asked, fx.store(spark, sf_dir), top_k_dense=50, top_k_sparse=50, top_k_rerank=10)
-    return found.select("query_id", "rank", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), F.array_join("prev", ",").alias("prev"), F.array_join("next", ",").alias("next"))
-
-
-@query(f"""WITH {fx.STORE}, {fx.QUESTIONS}, tok AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM store),
-qt AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q FROM questions WHERE trim(query) <> ''),
-dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {_IP} DESC, chunk_id) AS rank FROM questions, store WHERE trim(query) <> '' QUALIFY rank <= 50),
+def _reranked(dense: int, shown: int) -> str:
+    """SQL: the dense candidates of each question in the order of their word sets' similarity with it."""
+    return f"""tok AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM store), asked AS (SELECT * FROM questions WHERE regexp_replace(query, '^\\s+|\\s+$', '', 'g') <> ''),
+qt AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q FROM asked),
+dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {_IP} DESC, chunk_id) AS rank FROM asked, store QUALIFY rank <= {dense}),
 sc AS (SELECT query_id, chunk_id, rank, CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0.0 ELSE len(list_intersect(q, t))::DOUBLE / (len(q) + len(t) - len(list_intersect(q, t))) END AS s FROM dense JOIN qt USING (query_id) JOIN tok USING (chunk_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank, chunk_id) AS rr FROM sc)
-SELECT query_id, rr::INT AS rank, r.chunk_id, round(s, 9) AS rerank_score, coalesce(prev_id, '') AS prev, coalesce(next_id, '') AS next FROM r JOIN store USING (chunk_id) WHERE rr <= 10""")
-def retrieve_batch(spark, sf_dir):
-    return _retrieved(spark, sf_dir, fx.questions)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank, chunk_id) AS rr FROM sc QUALIFY rr <= {shown})"""
 
 
-@query()
-def retrieve_batch_all(spark, sf_dir):
-    return _retrieved(spark, sf_dir, fx.all_questions)
+@query(f"""WITH {fx.STORE}, {fx.QUESTIONS}, {_reranked(50, 10)}
+SELECT query_id, rr::INT AS rank, r.chunk_id, round(s, 9) AS rerank_score, coalesce(prev_id, '') AS prev, coalesce(next_id, '') AS next FROM r JOIN store USING (chunk_id)""")
+def retrieve_batch(spark, sf_dir):
+    asked = fx.questions(spark, sf_dir).select("query_id", "query", "query_vector")
+    found = retrieval.retrieve(asked, fx.store(spark, sf_dir), top_k_dense=50, top_k_sparse=50, top_k_rerank=10)
+    return found.select("query_id", "rank", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), F.array_join("prev", ",").alias("prev"), F.array_join("next", ",").alias("next"))
 
 
 @query("SELECT NULL::BIGINT AS query_id, NULL::VARCHAR AS chunk_id, NULL::DOUBLE AS score, NULL::INT AS rank WHERE false")
 def keyword_search(spark, sf_dir):
-    return retrieval.keyword_search(fx.all_questions(spark, sf_dir), fx.store(spark, sf_dir), 10)
+    return retrieval.keyword_search(fx.questions(spark, sf_dir), fx.store(spark, sf_dir), 10)
 
 
-@query(f"""WITH {fx.STORE}, {fx.QUESTIONS}, d AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM store), m AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
-q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM questions), u AS (SELECT chunk_id, len(t) AS size, unnest(t) AS term FROM d),
-tf AS (SELECT chunk_id, size, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-s AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), m GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
+@query(f"""WITH {fx.STORE}, {fx.QUESTIONS}, {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM bm25 WHERE rank <= 10""")
 def bm25_search(spark, sf_dir):
     return retrieval.bm25_search(fx.questions(spark, sf_dir), fx.store(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
-@query()
-def bm25_search_all(spark, sf_dir):
-    return retrieval.bm25_search(fx.all_questions(spark, sf_dir), fx.store(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
-
-
 # ---- evaluation -------------------------------------------------------------------------------------------------------
 
-_RESULTS = f"""top AS (SELECT query_id, q.label, chunk_id, s.label AS l, row_number() OVER (PARTITION BY query_id ORDER BY {_IP} DESC, chunk_id) AS rank FROM (SELECT vec_id AS query_id, vector AS query_vector, label FROM store WHERE vec_id < 40) q, store s
-  WHERE s.vec_id <> query_id QUALIFY rank <= 10),
-truth AS (SELECT q.vec_id AS query_id, count(*) AS n FROM store q JOIN store s ON s.label = q.label AND s.vec_id <> q.vec_id AND s.vec_id < q.vec_id + 60 WHERE q.vec_id < 40 GROUP BY 1),
-rel AS (SELECT query_id, rank, (l = label AND chunk_id::INT < query_id + 60) AS r FROM top),
+_RESULTS = f"""top AS (SELECT query_id, q.label, chunk_id, s.label AS l, row_number() OVER (PARTITION BY query_id ORDER BY {_IP} DESC, chunk_id) AS rank FROM questions q, store s WHERE s.vec_id <> query_id QUALIFY rank <= 10),
+truth AS (SELECT query_id, count(*) - 1 AS n FROM questions q JOIN store s ON s.label IS NOT DISTINCT FROM q.label GROUP BY 1), rel AS (SELECT query_id, rank, l = label AS r FROM top),
 m AS (SELECT query_id, bool_or(r) AS hit_rate, coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE r), 0.0) AS mrr, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE r), 0.0) AS dcg, count(*) AS k FROM rel GROUP BY 1),
 scored AS (SELECT query_id, hit_rate, mrr, CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE dcg / list_sum(list_transform(range(1, least(n, k)::BIGINT + 1), lambda i: 1 / log2(i + 1))) END AS ndcg FROM m LEFT JOIN truth USING (query_id))"""
 
 
-def _results(spark, sf_dir) -> DataFrame:
-    """Each of the first vectors asks for the others of its label among those near in number."""
-    store = fx.store(spark, sf_dir).select("chunk_id", "vec_id", "label", "vector")
-    asked = store.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("label").alias("own"))
-    found = retrieval.dense_search(asked, store, 11).where(F.col("query_id").cast("string") != F.col("chunk_id"))
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 10")
-    lists = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved_ids"))
-    same = asked.join(store, (F.col("own") == F.col("label")) & (F.col("vec_id") != F.col("query_id")) & (F.col("vec_id") < F.col("query_id") + 60))
-    truth = same.groupBy("query_id").agg(F.collect_list("chunk_id").alias("ground_truth_ids"))
-    return lists.join(truth, "query_id", "left").withColumn("ground_truth_ids", F.coalesce("ground_truth_ids", F.array().cast("array<string>")))
-
-
-@query(f"WITH {fx.STORE}, {_RESULTS} SELECT query_id, hit_rate, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg FROM scored")
-def retrieval_metrics(spark, sf_dir):
-    return evaluation.score(_results(spark, sf_dir), k=10).select("query_id", "hit_rate", F.round("mrr", 9).alias("mrr"), F.round("ndcg", 9).alias("ndcg"))
-
-
-@query(f"""WITH {fx.STORE}, {_RESULTS} SELECT round(avg(hit_rate::INT) FILTER (WHERE query_id % 9 <> 8), 9) AS hit_rate, round(avg(mrr) FILTER (WHERE query_id % 9 <> 8), 9) AS mean_mrr, round(avg(ndcg) FILTER (WHERE query_id % 9 <> 8), 9) AS mean_ndcg, 0.0::DOUBLE AS mean_latency,
- count(*) AS total_questions, count(*) FILTER (WHERE query_id % 9 <> 8) AS valid_questions, count(*) FILTER (WHERE query_id % 9 = 8) AS failed_questions FROM scored""")
-def retrieval_metrics_agg(spark, sf_dir):
-    scored = evaluation.score(_results(spark, sf_dir), k=10).withColumn("error", F.when(F.col("query_id") % 9 == 8, "failed"))
-    return evaluation.aggregate(scored).select(*[F.round(c, 9).alias(c) for c in ("hit_rate", "mean_mrr", "mean_ndcg")], "mean_latency", "total_questions", "valid_questions", "failed_questions")
-
-
 def _judged(spark, sf_dir) -> DataFrame:
     """Every vector whose id is divisible by 100 asks for all others of its label."""
     store = fx.store(spark, sf_dir).select("chunk_id", "vec_id", "label", "vector")
-    asked = fx.all_questions(spark, sf_dir).select("query_id", "query_vector", F.col("label").alias("own"))
+    asked = fx.questions(spark, sf_dir).select("query_id", "query_vector", F.col("label").alias("own"))
     found = retrieval.dense_search(asked, store, 11).where(F.col("query_id").cast("string") != F.col("chunk_id"))
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 10")
     sizes = store.groupBy(F.col("label").alias("own")).agg((F.count("*") - 1).alias("n_truth"))
@@ -243,25 +168,32 @@ def _judged(spark, sf_dir) -> DataFrame:
     return evaluation.score_judged(hits, truths, k=10)
 
 
-@query()
-def retrieval_metrics_all(spark, sf_dir):
+@query(f"WITH {fx.STORE}, {fx.QUESTIONS}, {_RESULTS} SELECT query_id, hit_rate, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg FROM scored")
+def retrieval_metrics(spark, sf_dir):
     return _judged(spark, sf_dir).select("query_id", "hit_rate", F.round("mrr", 9).alias("mrr"), F.round("ndcg", 9).alias("ndcg"))
 
 
-@query()
-def retrieval_metrics_agg_all(spark, sf_dir):
-    means = evaluation.aggregate(_judged(spark, sf_dir))
-    return means.select(*[F.round(c, 9).alias(c) for c in ("hit_rate", "mean_mrr", "mean_ndcg")], "mean_latency", "total_questions", "valid_questions", "failed_questions")
+@query(f"""WITH {fx.STORE}, {fx.QUESTIONS}, {_RESULTS} SELECT round(avg(hit_rate::INT) FILTER (WHERE query_id % 9 <> 8), 9) AS hit_rate, round(avg(mrr) FILTER (WHERE query_id % 9 <> 8), 9) AS mean_mrr, round(avg(ndcg) FILTER (WHERE query_id % 9 <> 8), 9) AS mean_ndcg, 0.0::DOUBLE AS mean_latency,
+ count(*) AS total_questions, count(*) FILTER (WHERE query_id % 9 <> 8) AS valid_questions, count(*) FILTER (WHERE query_id % 9 = 8) AS failed_questions FROM scored""")
+def retrieval_metrics_agg(spark, sf_dir):
+    """Means over the questions without an error; some are given one."""
+    scored = _judged(spark, sf_dir).withColumn("error", F.when(F.col("query_id") % 9 == 8, "failed"))
+    return evaluation.aggregate(scored).select(*[F.round(c, 9).alias(c) for c in ("hit_rate", "mean_mrr", "mean_ndcg")], "mean_latency", "total_questions", "valid_questions", "failed_questions")
 
 
-@query()
+@query(f"""WITH {fx.STORE}, {fx.QUESTIONS}, {_reranked(100, 5)}, m AS (SELECT query_id, array_to_string(list(chunk_id ORDER BY rr), ',') AS retrieved, min(rr) FILTER (WHERE chunk_id = query_id::VARCHAR) AS place FROM r GROUP BY 1)
+SELECT query_id, md5(query) AS question_md5, query_id::VARCHAR AS truth, coalesce(retrieved, '') AS retrieved, place IS NOT NULL AS hit_rate, round(coalesce(1.0::DOUBLE / place, 0), 9) AS mrr, round(coalesce(1 / log2(place + 1), 0.0::DOUBLE), 9) AS ndcg, NULL::VARCHAR AS error
+FROM questions LEFT JOIN m USING (query_id)""")
 def evaluation_run(spark, sf_dir):
     store = fx.store(spark, sf_dir)
-    asked = fx.all_questions(spark, sf_dir)
+    asked = fx.questions(spark, sf_dir)
     items = asked.select("query_id", F.col("query").alias("question"), F.array(F.col("query_id").cast("string")).alias("ground_truth_context"))
     vectors_of = asked.select("query_id", "query_vector")
     run = evaluation.run_evaluation(items, lambda q: retrieval.retrieve(q.join(vectors_of, "query_id"), store, top_k_rerank=5), top_k=5)
-    return run.drop("latency_seconds")
+    return run.select(
+        "query_id", F.md5(F.col("question").cast("binary")).alias("question_md5"), F.array_join("ground_truth_ids", ",").alias("truth"), F.array_join("retrieved_ids", ",").alias("retrieved"), "hit_rate",
+        F.round("mrr", 9).alias("mrr"), F.round("ndcg", 9).alias("ndcg"), "error",
+    )
 
 
 # ---- text -------------------------------------------------------------------------------------------------------------
@@ -301,16 +233,8 @@ def truncation(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *cut)
 
 
-@query("""SELECT doc_id, md5(CASE WHEN lower(coalesce(text, '')) LIKE 'passage:%' THEN text ELSE 'passage: ' || coalesce(text, '') END) AS passage_md5, md5(regexp_replace('query: ' || substring(coalesce(text, ''), 1, 40), '^\\s+|\\s+$', '', 'g')) AS query_md5 FROM documents""")
+@query("""SELECT doc_id, md5(CASE WHEN lower(coalesce(text, '')) LIKE 'passage:%' THEN text ELSE 'passage: ' || coalesce(text, '') END) AS passage_md5, md5(regexp_replace('query: ' || coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS query_md5 FROM documents""")
 def prefixes(spark, sf_dir):
-    body = text.empty_if_null(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(text.document_prefix(body).cast("binary")).alias("passage_md5"), F.md5(text.query_prefix(F.substring(body, 1, 40)).cast("binary")).alias("query_md5")
-    )
-
-
-@query()
-def prefixes_all(spark, sf_dir):
     body = text.empty_if_null(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", *[F.md5(made(body).cast("binary")).alias(n) for n, made in (("passage_md5", text.document_prefix), ("query_md5", text.query_prefix))])
 
@@ -318,17 +242,11 @@ def prefixes_all(spark, sf_dir):
 _TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_TOKENS.format("coalesce(text, '')")} AS a, {_TOKENS.format("substring(coalesce(text, ''), 1, 300)")} AS b FROM documents), n AS (SELECT *, len(list_intersect(a, b))::DOUBLE AS i FROM t),
+@query(f"""WITH w AS (SELECT doc_id, {_TOKENS.format("coalesce(text, '')")} AS a FROM documents), t AS (SELECT w.doc_id, w.a, coalesce(z.a, []) AS b FROM w LEFT JOIN w z ON z.doc_id = w.doc_id + 1), n AS (SELECT *, len(list_intersect(a, b))::DOUBLE AS i FROM t),
 r AS (SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE i / (len(a) + len(b) - i) END AS jaccard, CASE WHEN len(a) = 0 THEN 1.0 WHEN len(b) = 0 THEN 0.0 ELSE i / len(a) END AS recall,
  CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 THEN 0.0 WHEN len(b) = 0 THEN 1.0 ELSE i / len(b) END AS "precision" FROM n)
 SELECT doc_id, round(jaccard, 9) AS jaccard, round(recall, 9) AS recall, round("precision", 9) AS "precision", round(CASE WHEN recall + "precision" > 0 THEN 2 * recall * "precision" / (recall + "precision") ELSE 0 END, 9) AS f1 FROM r""")
 def text_prf(spark, sf_dir):
-    whole, start = text.ascii_tokens(F.col("text")), text.ascii_tokens(F.substring(text.empty_if_null(F.col("text")), 1, 300))
-    return _compared(table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(whole).alias("a"), F.array_distinct(start).alias("b")))
-
-
-@query()
-def text_prf_all(spark, sf_dir):
     """Each whole text with the whole text of the next id, an empty one where there is none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(text.ascii_tokens(F.col("text"))).alias("a"))
     beside = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
@@ -563,7 +481,8 @@ def embed_vectors(spark, sf_dir):
     return found.drop("created_at").withColumn("vector", F.transform("vector", lambda x: F.round(x, 4)))
 
 
-@query()
+@query(f"""WITH {fx.CHUNKS}, {_SELECTED}, f AS (SELECT ord, sha256('hash-words chunk-v1 ' || sha256(CASE WHEN lower(text) LIKE 'passage:%' THEN text ELSE 'passage: ' || text END) || ' head(512) True') AS key FROM sel)
+SELECT DISTINCT key FROM f WHERE key NOT IN (SELECT key FROM f WHERE ord % 2 = 0)""")
 def embed_cache_misses(spark, sf_dir):
     half = fx.chunks(spark, sf_dir).where("ord % 2 = 0")
     cache = embedding.embed_chunks(half, _POLICY)[1].select("key", "vector")
@@ -642,7 +561,8 @@ def html_elements(spark, sf_dir):
     return html_source.parse_html(pages).select("doc_id", "ord", "type", "text")
 
 
-@query()
+@query(f"""WITH {fx.ELEMENTS}, t AS (SELECT doc_id, ord, {_STRIP} AS cell FROM elements WHERE type = 'Table')
+SELECT doc_id, ord, md5('Table caption: lines' || chr(10) || 'Columns: line' || CASE WHEN cell <> '' THEN chr(10) || 'Row 1: line is ' || chr(39) || cell || chr(39) ELSE '' END) AS linear_md5 FROM t""")
 def table_linearize(spark, sf_dir):
     elements = fx.elements(spark, sf_dir).where("type = 'Table'")
     return elements.select("doc_id", "ord", F.md5(embedding.linearized(F.col("html"), F.lit("lines")).cast("binary")).alias("linear_md5"))

@@ -112,13 +112,8 @@ STORE = """store AS (SELECT vec_id::VARCHAR AS chunk_id, vec_id, label, embeddin
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first vectors as queries, with the beginnings of their texts: the part that the SQL compares. ``all_questions`` has the whole set."""
-    return store(spark, sf_dir).where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.substring("text", 1, 400).alias("query"), F.col("vector").alias("query_vector"), "label")
-
-
-QUESTIONS = "questions AS (SELECT vec_id AS query_id, substring(text, 1, 400) AS query, vector AS query_vector, label FROM store WHERE vec_id < 8)"
-
-
-def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row whose id is divisible by 100 as a query, with its whole text."""
     return store(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("text").alias("query"), F.col("vector").alias("query_vector"), "label")
+
+
+QUESTIONS = "questions AS (SELECT vec_id AS query_id, text AS query, vector AS query_vector, label FROM store WHERE vec_id % 100 = 0)"
