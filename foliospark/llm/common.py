@@ -1,78 +1,37 @@
-"""Helpers shared by the corpus operators: shared storage, table loading, file systems."""
+"""Helpers shared by the corpus operators: shared storage, table loading, joins that hold against hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.frames import in_arrow, ship, table
-
-__all__ = ["in_arrow", "open_fs", "release", "scratch", "shared_dir", "table", "text_or_empty", "written"]
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is absent (a local session in tests) a temporary folder of this machine is made.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "")
-        if not found:
-            own = tempfile.mkdtemp(prefix="folio-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            found = _OWN[spark.sparkContext.applicationId] = f"file://{own}"
-    return found.rstrip("/")
-
+from foliospark.functions.frames import in_arrow, table
+from foliospark.functions.storage import open_fs, scratch, shared_dir, written
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
-    ship(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
+__all__ = ["HOT_PARTS", "hot_join", "hot_keys", "in_arrow", "open_fs", "scratch", "shared_dir", "table", "text_or_empty", "written"]
 
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # the session has ended already; the cluster's own clean-up has the folder
-        return
-
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and fixes the rows for every later reader."""
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets the driver collect its garbage now: Spark deletes the shuffle files of finished work only when it does."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: A key is hot if it has more than this part of all rows (and more than LEAST_HOT), so there are fewer than so many hot keys.
+HOT_PARTS, LEAST_HOT = 4096, 20_000
 
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def open_fs(uri: str):
-    """(file system, path) of a URI for the Python side of executors: file, hdfs, s3, gs and abfs stores."""
-    from pyarrow import fs
+def hot_keys(counted: DataFrame, keys: list[str], *, n: str = "n", least: int | None = None) -> DataFrame:
+    """(keys, __splits) of the hot keys of ``counted`` (keys, n): fewer than HOT_PARTS rows, whatever the input's size."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    size = float(max(total / HOT_PARTS, LEAST_HOT if least is None else least))
+    found = counted.where(F.col(n) > size).select(*keys, F.ceil(F.col(n) / size).cast("int").alias("__splits"))
+    return counted.sparkSession.createDataFrame(found.collect(), found.schema)
+
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique, so that no task gets a whole hot key.
+
+    ``hot`` is what ``hot_keys`` gives for the left side; its size is bounded, so it is broadcast. A hot key's left rows are
+    dealt to its splits by the hash of ``spread``, its right row is repeated for each: fewer than 2 x HOT_PARTS rows more.
+    """
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__splits", F.lit(1))).cast("int")).drop("__splits")
+    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__splits", F.lit(1)) - 1))).drop("__splits")
+    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")

@@ -99,12 +99,12 @@ g AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM p WI
 f AS (SELECT doc_id, i, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, a, b, c) >= 2 AS two FROM g),
 v AS (SELECT doc_id, i, two OR coalesce(lag(two) OVER o, false) OR coalesce(lag(two, 2) OVER o, false) AS cov FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 rep AS (SELECT doc_id, count(*) FILTER (WHERE cov) AS n_repeat_words FROM v GROUP BY 1),
-ln AS (SELECT doc_id, host, md5(t) AS k, unnest(ls) AS l FROM w),
+ln AS (SELECT doc_id, host, unnest(ls) AS l FROM w),
 nl AS (SELECT *, translate(array_to_string(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS words FROM ln),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM nl WHERE words > 0 GROUP BY 1),
-hosts AS (SELECT host, count(DISTINCT md5(t)) AS n_host FROM w GROUP BY 1),
-freq AS (SELECT host, norm, count(DISTINCT k) AS n_texts FROM nl WHERE words > 0 GROUP BY 1, 2),
-bad AS (SELECT host, norm FROM freq JOIN hosts USING (host) WHERE n_texts > greatest(20.0, 0.02 * n_host)),
+hosts AS (SELECT host, count(*) AS n_host FROM w GROUP BY 1),
+freq AS (SELECT host, norm, count(DISTINCT doc_id) AS n_docs FROM nl WHERE words > 0 GROUP BY 1, 2),
+bad AS (SELECT host, norm FROM freq JOIN hosts USING (host) WHERE n_docs > greatest(5.0, 0.02 * n_host)),
 rem AS (SELECT doc_id, sum(words) FILTER (WHERE bad.norm IS NOT NULL) AS removed FROM nl LEFT JOIN bad USING (host, norm) WHERE words > 0 GROUP BY 1),
 s AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS removed_words FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rem USING (doc_id))

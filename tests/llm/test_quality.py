@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from foliospark.llm import quality
 
 
-def brute(rows, least=20, share=0.02, depleted=0.7, left=None):
+def brute(rows, least=5, share=0.02, depleted=0.7, left=None):
     """Expected rows; ``left`` gets the texts without common lines."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     norm = lambda line: " ".join(word.findall(line)).translate(low)
-    texts = {(h or "", t or "") for _, h, t in rows}
+    texts = [(h or "", t or "") for _, h, t in rows]
     hosts, lines = collections.Counter(h for h, _ in texts), collections.Counter()
     for h, t in texts:
         lines.update({(h, norm(x)) for x in t.split("\n") if word.search(x)})
@@ -81,19 +81,49 @@ def test_kept_documents_lose_common_lines(spark):
     assert all(r.n_chars == len(r.text) and "Rights reserved" not in r.text for r in found) and any(w[8] for w in want)
 
 
-def test_copies_count_once(spark):
+def test_every_document_counts_unless_copies_count_once(spark):
     text = "\n".join(" ".join(f"v{i}{j}" for j in range(20)) for i in range(5))
-    frame = spark.createDataFrame([(i, "h", text) for i in range(80)], "doc_id long, source string, text string")
-    assert all(r.kept and not r.removed_words for r in quality.apply_rules(frame).collect())
+    rows = [(i, "h", text) for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert all(not r.kept and r.removed_words == 100 for r in quality.apply_rules(frame).collect())
+    assert all(r.kept and not r.removed_words for r in quality.apply_rules(frame, copies_once=True).collect())
 
 
 def test_small_hosts_lose_lines_above_the_floor_alone(spark):
-    """The README's figures: a host of 20 texts keeps every line, one of 21 loses what all have, one of 1,500 what more than 30 have."""
+    """A host of 5 documents keeps every line, one of 6 loses what all have, one of 1,500 what more than 30 have."""
     body = lambda h, i: " ".join(f"{h}x{i}y{j}" for j in range(60))
-    rows = [(h, i, body(h, i) + ("\nthe same foot" if i < shared else "")) for h, n, shared in (("20", 20, 20), ("21", 21, 21), ("500", 500, 20), ("501", 501, 21), ("1500", 1500, 30), ("1501", 1501, 31)) for i in range(n)]
+    rows = [(h, i, body(h, i) + ("\nthe same foot" if i < shared else "")) for h, n, shared in (("5", 5, 5), ("6", 6, 6), ("250", 250, 5), ("251", 251, 6), ("1500", 1500, 30), ("1501", 1501, 31)) for i in range(n)]
     frame = spark.createDataFrame([(k, h, t) for k, (h, _, t) in enumerate(rows)], "doc_id long, source string, text string")
     gone = {r.host: r.n for r in quality.apply_rules(frame).groupBy(F.col("__host").alias("host")).agg(F.count_if(F.col("removed_words") > 0).alias("n")).collect()}
-    assert gone == {"20": 0, "21": 21, "500": 0, "501": 21, "1500": 0, "1501": 31}
+    assert gone == {"5": 0, "6": 6, "250": 0, "251": 6, "1500": 0, "1501": 31}
+
+
+def test_one_text_in_most_rows_is_dealt_to_many_tasks(spark, monkeypatch):
+    from foliospark.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 50)
+    hot = "\n".join(" ".join(f"h{i}w{j}" for j in range(30)) for i in range(4))
+    rows = [(i, "a", hot) for i in range(3000)] + [(3000 + i, "a", " ".join(f"u{i}w{j}" for j in range(60)) + "\nAll rights reserved") for i in range(600)]
+    rows += [(9000 + i, "b", hot) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    found = quality.apply_rules(frame, share=0.9, carry=["doc_id"]).collect()
+    want = brute(rows, share=0.9)
+    assert sorted((r.doc_id, r.kept, r.removed_words) for r in found) == sorted((w[0], w[7], w[8]) for w in want)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        dealt = quality.apply_rules(frame, share=0.9, carry=["doc_id"]).select("doc_id", F.spark_partition_id().alias("part"))
+        sizes = collections.Counter(r.part for r in dealt.where("doc_id < 3000").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes.values()) == 3000 and max(sizes.values()) < 1000
+    texts = {d: t for d, _, t in rows}
+    kept = {r.doc_id: r.text for r in quality.kept_documents(frame, share=0.9).collect()}
+    assert kept == {w[0]: texts[w[0]] for w in want if w[7]}
 
 
 def test_empty_table_and_long_text(spark):
