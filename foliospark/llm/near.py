@@ -1,9 +1,11 @@
 """N-gram Jaccard join by MinHash banding, with every candidate verified on full n-gram sets.
 
 Nodes are distinct texts; copies of a text are never expanded. Texts that agree in a band meet in that band's bucket. A
-bucket's pairs are verified inside tasks, block against block, and leave them only as link counts and spanning edges, so
-no stage emits the pairs of a group and no task holds a whole large bucket. A pair that meets in several buckets counts
-in the first one alone.
+bucket's n-gram sets are shuffled once, into blocks bounded by texts and bytes. A block is verified against itself where it
+was gathered; blocks of a large bucket are also put down in the shared folder, and tasks that get nothing but two places
+read two blocks and verify one against the other. So what is shuffled and stored grows with a bucket's size, only the
+comparing with its square. Pairs leave the tasks as link counts and spanning edges alone. A pair that meets in several
+buckets counts in the first one.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from math import ceil, log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import in_arrow, text_or_empty, written
+from foliospark.llm.common import hot_join, hot_keys, in_arrow, open_fs, scratch, text_or_empty, written
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Most hash functions that the choice of bands may take.
 MOST_HASHES = 160
-#: Texts in a block of a large bucket; a task holds two blocks at a time.
-BLOCK = 512
+#: Most texts in a block of a large bucket, and most bytes of their n-gram sets on average; a task holds two blocks at a time.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Columns of the n-gram matrix that are multiplied at a time.
 CHUNK = 4096
 
@@ -92,7 +94,7 @@ def band_hashes(grams, bands: int, rows: int):
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str, bands: int, rows: int, n: int) -> DataFrame:
-    """(doc_id, text_key, bands) of every row."""
+    """(doc_id, text_key, bands, n_grams) of every row; n_grams: the size of its set."""
     text = text_or_empty(text_column)
     given = docs.select(F.col(id_column).alias("doc_id"), _key(text), text.alias("text"))
 
@@ -102,14 +104,16 @@ def _texts(docs: DataFrame, id_column: str, text_column: str, bands: int, rows:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = []
+                found, sizes = [], []
                 for t in batch.column(2):
                     grams = shingles(t.as_py(), n)
+                    sizes.append(len(grams))
                     found.append(band_hashes(grams, bands, rows).tolist() if len(grams) else [])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_key", "bands"])
+                columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "bands", "n_grams"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return given.transform(in_arrow, run, f"doc_id {kind}, text_key binary, bands array<bigint>")
+    return given.transform(in_arrow, run, f"doc_id {kind}, text_key binary, bands array<bigint>, n_grams bigint")
 
 
 def _key(text):
@@ -200,39 +204,113 @@ def verify(keys: list, grams: list, buckets: list, blocks: list, bucket: int, ow
     return [(keys[i], int(links[i]), keys[root[i]]) for i in range(len(keys)) if links[i]]
 
 
-def _verified(units: DataFrame, similarity: float) -> DataFrame:
-    """Rows of the same unit stand together; a unit has two blocks at most."""
+VERIFIED = "text_key binary, links bigint, root binary, bucket bigint, block int, file string, offset bigint, length bigint"
+
+
+def _told(links: list[tuple], places: list[tuple]):
+    """A batch of VERIFIED: rows of links, and places of blocks that were put down."""
+    import pyarrow as pa
+
+    rows = [(*x, None, None, None, None, None) for x in links] + [(None, None, None, *p) for p in places]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+    names = ["text_key", "links", "root", "bucket", "block", "file", "offset", "length"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _packed(keys: list, grams: list, others: list) -> bytes:
+    """A block as an Arrow stream of one batch."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([g.tobytes() for g in grams], pa.large_binary()), pa.array([o.tobytes() for o in others], pa.binary())], names=["k", "g", "o"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> tuple[list, list, list]:
+    import numpy as np
+    import pyarrow as pa
+
+    keys, grams, others = (c.to_pylist() for c in pa.ipc.open_stream(data).read_all().columns)
+    return keys, [np.frombuffer(g, np.uint64) for g in grams], [np.frombuffer(o, np.int64) for o in others]
+
+
+def _gathered(rows: DataFrame, directory: str, similarity: float) -> DataFrame:
+    """VERIFIED rows of (bucket, block, blocks, text_key, grams, buckets), sorted so that a block's rows stand together.
+
+    Links are those within a block; a block of several is put down in ``directory``. A lost or repeated attempt leaves at
+    most a file that no committed row names.
+    """
 
     def run(batches: Iterator):
+        import uuid
+
         import numpy as np
-        import pyarrow as pa
 
-        def told(found):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())], names=["text_key", "links", "root"]
-            )
+        files, root = open_fs(directory)
+        name, sink, at, unit, held, links, places = f"{uuid.uuid4().hex}.blocks", None, 0, None, [], [], []
 
         def done():
-            keys, grams, buckets, blocks = zip(*held, strict=True)
-            return verify(list(keys), list(grams), list(buckets), list(blocks), unit[0], unit[1] == unit[2], similarity)
+            nonlocal sink, at
+            keys, grams, others = (list(c) for c in zip(*held, strict=True))
+            if len(keys) > 1:
+                links.extend(verify(keys, grams, others, [0] * len(keys), unit[0], True, similarity))
+            if unit[2] > 1:
+                if sink is None:
+                    files.create_dir(root, recursive=True)
+                    sink = files.open_output_stream(f"{root}/{name}")
+                data = _packed(keys, grams, others)
+                sink.write(data)
+                places.append((unit[0], unit[1], name, at, len(data)))
+                at += len(data)
 
-        unit, held, found = None, [], []
         for batch in batches:
-            for bucket, i, j, block, key, grams, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if unit != (bucket, i, j):
-                    if len(held) > 1:
-                        found += done()
-                    unit, held = (bucket, i, j), []
-                held.append((key, np.frombuffer(grams, np.uint64), np.array(others, np.int64), block))
-            if found:
-                yield told(found)
-                found = []
-        if len(held) > 1:
-            found += done()
-        if found:
-            yield told(found)
-
-    return units.transform(in_arrow, run, "text_key binary, links bigint, root binary")
+            columns = batch.columns
+            for i in range(batch.num_rows):
+                bucket, block, blocks, key, grams, others = (c[i].as_py() for c in columns)
+                if unit != (bucket, block, blocks):
+                    if held:
+                        done()
+                    unit, held = (bucket, block, blocks), []
+                held.append((key, np.frombuffer(grams, np.uint64), np.array(others, np.int64)))
+                if len(links) > 10_000:
+                    yield _told(links, places)
+                    links, places = [], []
+        if held:
+            done()
+        if sink is not None:
+            sink.close()
+        if links or places:
+            yield _told(links, places)
+
+    return rows.transform(in_arrow, run, VERIFIED)
+
+
+def _across(units: DataFrame, directory: str, similarity: float) -> DataFrame:
+    """Links between two blocks of a bucket that lie in ``directory``, for rows (bucket, place of one, place of the other)."""
+
+    def run(batches: Iterator):
+        files, root = open_fs(directory)
+        known: dict[tuple, tuple] = {}
+
+        def block(*place):
+            if place not in known:
+                while len(known) > 1:
+                    known.pop(next(iter(known)))
+                file, offset, length = place
+                with files.open_input_file(f"{root}/{file}") as handle:
+                    known[place] = _unpacked(handle.read_at(length, offset))
+            return known[place]
+
+        for batch in batches:
+            for bucket, *places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one, two = block(*places[:3]), block(*places[3:])
+                sides = [0] * len(one[0]) + [1] * len(two[0])
+                if links := verify(*(a + b for a, b in zip(one, two, strict=True)), sides, bucket, False, similarity):
+                    yield _told(links, [])
+
+    return units.transform(in_arrow, run, VERIFIED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -261,41 +339,44 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_texts(
-    docs: DataFrame, *, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, *, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, id_column: str = "doc_id", text_column: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): rows has (doc_id, text_key) for every document; texts has (text_key, text_id, n_links, label).
+    """(rows, texts): rows has (doc_id, text_key) for every document; texts has (text_key, text_id, n, n_links, label).
 
-    text_id is the least doc_id of the text's copies, n_links the number of other distinct texts with at least the given
-    Jaccard similarity of n-gram sets, label the same for all texts of a component of links.
+    text_id is the least doc_id of the text's copies, n their number, n_links the number of other distinct texts with at
+    least the given Jaccard similarity of n-gram sets, label the same for all texts of a component of links.
     """
     spark = docs.sparkSession
     bands, rows = choose_bands(similarity, recall)
     base = written(spark, _texts(docs, id_column, text_column, bands, rows, n), "near-rows")
-    texts = written(spark, base.groupBy("text_key").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands")), "near-texts")
-    spots = texts.select("text_key", F.explode("bands").alias("bucket"))
+    one = [F.count("*").alias("n"), F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams")]
+    texts = written(spark, base.groupBy("text_key").agg(*one), "near-texts")
+    spots = texts.select("text_key", "n_grams", F.explode("bands").alias("bucket"))
     same = (F.bit_xor(F.xxhash64("text_key")).alias("x"), F.bit_xor(F.xxhash64("text_key", F.lit(1))).alias("y"))
-    full = spots.groupBy("bucket").agg(F.count("*").alias("n"), *same).where("n > 1")
+    full = spots.groupBy("bucket").agg(F.count("*").alias("n"), (F.sum("n_grams") * 8).alias("bytes"), *same).where("n > 1")
     # of buckets with the very same texts, one is enough
-    kept = written(spark, full.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "near-buckets")
-    members = written(spark, spots.join(kept, "bucket"), "near-members")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    kept = written(spark, full.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.max("bytes").alias("bytes")).select("bucket", blocks.alias("blocks")), "near-buckets")
+    members = written(spark, spots.drop("n_grams").join(kept, "bucket"), "near-members")
     per_text = members.groupBy("text_key").agg(F.collect_list("bucket").alias("buckets"))
     wanted = per_text.join(texts.select("text_key", "text_id"), "text_key")
     sets = _sets(docs, wanted, id_column, text_column, n).join(per_text, "text_key")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("text_key", "bucket"), blocks).cast("int")
-    units = (
-        members.select("text_key", "bucket", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("x"))
-        .select("text_key", "bucket", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
-        .join(sets, "text_key")
-        .select("bucket", "i", "j", "block", "text_key", "grams", "buckets")
-    )
-    dealt = units.repartitionByRange("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = written(spark, _verified(dealt, similarity), "near-links")
+    own = F.pmod(F.xxhash64("text_key", "bucket"), F.col("blocks")).cast("int")
+    placed = members.select("text_key", "bucket", own.alias("block"), "blocks").join(sets, "text_key").select("bucket", "block", "blocks", "text_key", "grams", "buckets")
+    dealt = placed.repartitionByRange("bucket", "block").sortWithinPartitions("bucket", "block")
+    directory = scratch(spark, "near-blocks")
+    found = written(spark, _gathered(dealt, directory, similarity), "near-links")
+    places = found.where("file is not null").select("bucket", "block", "file", "offset", "length")
+    pairs = places.toDF("bucket", "i", "file_i", "offset_i", "length_i").join(places.toDF("bucket", "j", "file_j", "offset_j", "length_j"), "bucket").where("i < j")
+    if count := pairs.count():
+        units = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(count, 100_000)), "bucket", "i", "j").drop("i", "j")
+        found = found.unionByName(written(spark, _across(units, directory, similarity), "near-links"))
+    found = found.where("text_key is not null")
     links = found.groupBy("text_key").agg(F.sum("links").alias("n_links"))
     labels = components(found.select(F.col("text_key").alias("a"), F.col("root").alias("b")))
     result = (
-        texts.select("text_key", "text_id").join(links, "text_key", "left").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left")
-        .select("text_key", "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "text_key").alias("label"))
+        texts.select("text_key", "text_id", "n").join(links, "text_key", "left").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left")
+        .select("text_key", "text_id", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "text_key").alias("label"))
     )
     return base.select("doc_id", "text_key"), result
 
@@ -304,19 +385,24 @@ def classes(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, class_id, text_id, n_links) of every row.
 
     class_id: the least doc_id of the component of links and copies; text_id: that of the rows with the same text; n_links:
-    the number of other distinct texts at the similarity or above. Null texts count as empty; texts without words have
-    copies but no links; nulls in doc_id are passed over when the least is taken (a class of nulls alone has none).
-    Repeated rows are copies. Extra columns are not read. An empty table gives an empty result.
+    the number of other distinct texts at the similarity or above (a similarity equal to it, a tie, is a link). Null texts
+    count as empty; texts without words have copies but no links; nulls in doc_id are passed over when the least is taken (a
+    class of nulls alone has none). Repeated rows are copies, and the copies of a text are dealt to many tasks. Texts of any
+    length are taken whole; a block holds about BLOCK_BYTES of sets, or one longer text's. Extra columns are not read. An
+    empty table gives an empty result.
     """
     rows, texts = linked_texts(docs, **options)
     texts = written(docs.sparkSession, texts, "near-classes")
     least = texts.groupBy("label").agg(F.min("text_id").alias("class_id"))
     named = texts.join(least, "label").select("text_key", "text_id", "n_links", "class_id")
-    return rows.join(named, "text_key").select("doc_id", "class_id", "text_id", "n_links")
+    return hot_join(rows, named, ["text_key"], hot_keys(texts, ["text_key"]), F.col("doc_id")).select("doc_id", "class_id", "text_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The columns of ``docs`` for one row of each class: that of the least doc_id (a class of null ids keeps one of them)."""
+    """The columns of ``docs`` for one row of each class: that of the least doc_id (a class of null ids keeps one of them).
+
+    Nulls, ties, repeats, long texts and empty tables as in ``classes``; of rows that repeat id and text one stays.
+    """
     _, texts = linked_texts(docs, id_column=id_column, text_column=text_column, **options)
     texts = written(docs.sparkSession, texts, "near-classes")
     first = F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id").alias("text_id"), F.col("text_key").alias("text_key")))

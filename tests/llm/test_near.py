@@ -86,6 +86,43 @@ def test_a_large_group_of_near_copies_in_small_blocks(spark):
     assert got(near.classes(spark.createDataFrame(rows, "doc_id long, text string"), block=10)) == brute(rows)
 
 
+def test_blocks_are_bounded_by_bytes_and_put_down_once(spark, monkeypatch):
+    """Long texts split a bucket as many texts do; what is stored grows with the bucket, not with its square."""
+    from foliospark.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    rng = random.Random(9)
+    base = [f"v{i}" for i in range(4000)]
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(rng.choice((0, 3, 20, 60))):
+            copy[rng.randrange(4000)] = f"z{rng.randrange(4000)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, rows[0][1]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near.classes(frame, block_bytes=100_000)) == brute(rows)
+    paths = []
+    monkeypatch.setattr(near, "scratch", lambda s, n: paths.append(common.scratch(s, n)) or paths[-1])
+    near.linked_texts(frame, block_bytes=100_000)
+    import glob
+    import os
+
+    stored = sum(os.path.getsize(f) for f in glob.glob(paths[-1].removeprefix("file://") + "/*.blocks"))
+    texts = len({t for _, t in rows})
+    bands, _ = near.choose_bands()
+    assert 0 < stored <= 1.2 * texts * bands * (8 * 4000 + 8 * bands + 100)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(400_000)]
+    near_copy = list(words)
+    near_copy[200_000] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near_copy)), (3, " ".join(words[:300_000])), (4, "w " * 400_000), (5, "x" * 3_000_000)]
+    assert got(near.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == {1: (1, 1, 1), 2: (1, 2, 1), 3: (3, 3, 0), 4: (4, 4, 0), 5: (5, 5, 0)}
+
+
 def test_benchmark_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert got(near.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
@@ -111,3 +148,29 @@ def test_components(spark):
     edges = [(a, a + 1) for a in range(0, 30)] + [(100, 105), (105, 103), (200, 200)]
     labels = {r.node: r.label for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({labels[k] for k in range(31)}) == 1 and labels[100] == labels[103] == labels[105] != labels[0]
+
+
+def test_recall_on_the_benchmark(spark):
+    """Links of every id divisible by 100 with all rows of sf0.1, against brute force."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(t or "", []).append(d)
+    sets = [grams(t) for t in texts]
+    at = {}
+    for k, s in enumerate(sets):
+        for g in s:
+            at.setdefault(g, []).append(k)
+    links = {}
+    for k, (t, ids) in enumerate(texts.items()):
+        if any(d % 100 == 0 for d in ids):
+            shared = {}
+            for g in sets[k]:
+                for j in at[g]:
+                    shared[j] = shared.get(j, 0) + 1
+            n = sum(j != k and both >= 0.8 * (len(sets[k]) + len(sets[j]) - both) for j, both in shared.items())
+            links |= {d: n for d in ids if d % 100 == 0}
+    found = {r.doc_id: r.n_links for r in near.classes(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("doc_id % 100 = 0").collect()}
+    assert found.keys() == links.keys() and all(found[d] <= links[d] for d in links)
+    assert sum(found.values()) >= 0.99 * sum(links.values()) > 0
+    print("recall", sum(found.values()), sum(links.values()))
