@@ -14,12 +14,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import in_arrow, open_fs, scratch, text_or_empty
+from foliospark.llm.common import hot_join, hot_keys, in_arrow, open_fs, scratch, text_or_empty, written
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 DATE = "2024-01-01T00:00:00Z"
 LEAST_REVISIT = 1000
+#: An archive that has grown beyond this is closed and another begun.
+ARCHIVE_BYTES = 256 << 20
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -123,37 +125,42 @@ def _slices(batches: Iterator, rows: int = 128) -> Iterator:
 
 
 def write_archives(
-    pages: DataFrame, *, directory: str | None = None, least: int = LEAST_REVISIT, samples: int = 64, id_column: str = "page_id", url_column: str = "url", html_column: str = "html"
-) -> str:
-    """Writes a record for every row of ``pages``, one archive a task; gives the directory.
+    pages: DataFrame, *, directory: str | None = None, least: int = LEAST_REVISIT, samples: int = 64, most_bytes: int = ARCHIVE_BYTES,
+    id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
+) -> str:
+    """Writes a record for every row of ``pages``, archives of about ``most_bytes``; gives the directory.
 
     Among rows of equal payloads of at least ``least`` bytes, those with the largest page_id are responses and the others
     revisits of it without a block (rows that repeat that page_id are responses too). Null html is an empty payload; a
     null url is written as an empty target; among null page_ids, null counts as the smallest. Extra columns are not read.
-    Each archive's dictionary is made of its own first ``samples`` records, so it needs no driver. Names carry a fresh
-    id for each attempt; only archives named in the index that the job commits are read later.
+    Smaller payloads are written where they are read; larger ones meet their digest's first page in one shuffle, in which
+    the copies of a payload are dealt to many tasks. A payload of any length is one record, held once at a time. An empty
+    table gives no archive. Each archive's dictionary is made of its own first ``samples`` records, so it needs no driver.
+    Names carry a fresh id for each attempt; only archives named in the index that the job commits are read later.
     """
     spark = pages.sparkSession
     directory = directory or scratch(spark, "warc")
     html = text_or_empty(html_column)
-    rows = pages.select(
-        F.col(id_column).alias("page_id"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size")
-    )
-    own = pages.select(F.col(id_column).alias("page_id"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
-    first = (
-        own.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
-    )
-    revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("size") >= least)
-    full = rows.join(first, "digest", "left").select(
-        "page_id", "url", F.when(revisits, F.lit(None)).otherwise(F.col("html").cast("binary")).alias("payload"), "digest", F.col("size").cast("long").alias("size"), F.when(revisits, F.col("first_id")).alias("refers_to")
-    )
+    size, digest, page = F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("digest"), F.col(id_column).alias("page_id")
+    rows = pages.select(page, F.coalesce(F.col(url_column), F.lit("")).alias("url"), html.cast("binary").alias("payload"), digest, size)
+    first = written(spark, rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "warc-digests")
+    met = hot_join(rows.where(F.col("size") >= least), first.drop("n"), ["digest"], hot_keys(first, ["digest"]), F.struct("page_id", "url"), "left")
+    revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    large = met.select("page_id", "url", F.when(~revisits, F.col("payload")).alias("payload"), "digest", "size", F.when(revisits, F.col("first_id")).alias("refers_to"))
+    small = rows.where(F.col("size") < least).select("page_id", "url", "payload", "digest", "size", F.lit(None).cast(pages.schema[id_column].dataType).alias("refers_to"))
+    full = small.unionByName(large)
 
     def run(batches: Iterator):
         import pyarrow as pa
         import zstandard
 
         files, root = open_fs(directory)
-        name, sink, packer, n = f"{uuid.uuid4().hex}.warc.zst", None, None, 0
+        name, sink, packer, n, size_now = None, None, None, 0, 0
+
+        def closed():
+            sink.close()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "records"])
+
         for batch in _slices(batches):
             records = []
             for page_id, url, payload, digest, size, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -166,16 +173,21 @@ def write_archives(
                 records.append(build_record(headers, payload or b""))
             if sink is None:
                 content = b"".join(r[:2048] for r in records[:samples])[-(110 << 10) :]
+                name, n, size_now = f"{uuid.uuid4().hex}.warc.zst", 0, 0
                 files.create_dir(root, recursive=True)
                 sink = files.open_output_stream(f"{root}/{name}")
                 sink.write(dictionary_frame(content))
                 packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content), write_checksum=True, write_content_size=True)
             for r in records:
-                sink.write(packer.compress(r))
+                frame = packer.compress(r)
+                sink.write(frame)
+                size_now += len(frame)
             n += len(records)
+            if size_now > most_bytes:
+                yield closed()
+                sink = None
         if sink is not None:
-            sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "records"])
+            yield closed()
 
     full.transform(in_arrow, run, "archive string, records long").write.parquet(f"{directory}/index")
     return directory
@@ -232,4 +244,4 @@ def read_archives(spark, directory: str, *, payload: bool = True) -> DataFrame:
             yield batch()
 
     tasks = max(1, min(index.count(), 10_000))
-    return index.repartition(tasks, F.xxhash64("archive")).transform(in_arrow, run, schema)
+    return index.repartition(tasks).transform(in_arrow, run, schema)  # archives are of like size and dealt in turn

@@ -64,3 +64,24 @@ def test_pages(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(spark, warc.write_archives(empty)).collect() == []
+
+
+def test_one_payload_in_most_pages_and_many_archives(spark, monkeypatch):
+    from foliospark.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 20)
+    hot = "<html>" + "same " * 400
+    rows = [(i, f"http://h/{i}", hot if i % 3 else f"own {i} " * 200) for i in range(900)] + [(5000 + i, "u", "") for i in range(300)]
+    directory = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), most_bytes=4000)
+    index = spark.read.parquet(f"{directory}/index").collect()
+    assert len(index) > 8 and sum(r.records for r in index) == len(rows)
+    found = warc.read_archives(spark, directory, payload=False).collect()
+    last = max(i for i, _, t in rows if t == hot)
+    assert len(found) == len(rows) and {r.page_id for r in found if r.record_type == "revisit"} == {i for i, _, t in rows if t == hot and i != last}
+    assert {r.refers_to for r in found} == {None, last}
+
+
+def test_very_long_payload(spark):
+    text = "".join(chr(97 + (i * i) % 26) for i in range(1000)) * 20_000
+    found = warc.read_archives(spark, warc.write_archives(spark.createDataFrame([(1, "u", text), (2, "u", text)], "page_id long, url string, html string"))).orderBy("page_id").collect()
+    assert [(r.record_type, r.payload_bytes, r.refers_to) for r in found] == [("revisit", 20_000_000, 2), ("response", 20_000_000, None)]
