@@ -23,6 +23,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature, and the IHDR chunk with its length, name and check sum.
 HEADER_BYTES = 33
 LOCATION = "digest string, shard string, offset long, length long"
+#: Stored bytes that a reading task is dealt, and most reading tasks.
+READ_BYTES, MOST_TASKS = 16 << 20, 100_000
 
 
 def pad(data: bytes, width: int = WIDTH, fill: bytes = b" ") -> bytes:
@@ -107,8 +109,10 @@ def store(rows: DataFrame, payload: str = "payload", *, directory: str | None =
     """Writes one tar shard a task; gives ``rows`` without the payload but with digest, shard, offset and length.
 
     The result is a table in the shared folder, so rows and shards always belong together. A shard's name has the
-    attempt's number, and a lost or repeated attempt leaves at most a shard that no row names. Payloads must not be null;
-    equal ones of a task are stored once. Empty partitions write no shard.
+    attempt's number, and a lost or repeated attempt leaves at most a shard that no row names. Equal payloads of a task are
+    stored once, so a shard is addressed by content; several shards may hold the same one, which spares a shuffle of all
+    payloads. A null payload has no place, an empty one is an error, one of any length is stored whole. Columns of ``rows``
+    named as the new ones are left out. Empty tables and partitions write no shard.
     """
     import uuid
 
@@ -116,8 +120,8 @@ def store(rows: DataFrame, payload: str = "payload", *, directory: str | None =
 
     spark = rows.sparkSession
     directory = directory or scratch(spark, "media")
-    others = [c for c in rows.columns if c != payload]
     extra = T.StructType.fromDDL(LOCATION)
+    others = [c for c in rows.columns if c != payload and c not in extra.names]
     schema = T.StructType([rows.schema[c] for c in others] + extra.fields)
 
     def run(batches: Iterator):
@@ -129,6 +133,9 @@ def store(rows: DataFrame, payload: str = "payload", *, directory: str | None =
             found = []
             for data in batch.column(batch.num_columns - 1):
                 data = data.as_py()
+                if data is None:
+                    found.append((None,) * 4)
+                    continue
                 digest = hashlib.sha256(data).hexdigest()
                 if digest not in where:
                     if sink is None:
@@ -157,8 +164,18 @@ def store(rows: DataFrame, payload: str = "payload", *, directory: str | None =
     return spark.read.schema(schema).parquet(index).withColumn("shard", F.concat(F.lit(f"{directory}/"), F.col("shard")))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in ranges of shard and offset, a task for about READ_BYTES of what is stored; only places are shuffled."""
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    tasks = min(MOST_TASKS, 1 + total // READ_BYTES)
+    return rows.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
 def _ranged(rows: DataFrame, fields: str, read) -> DataFrame:
-    """``rows`` with the fields that ``read(handle, offset, length, digest)`` gives; a shard stays open over its rows."""
+    """``rows`` with the fields that ``read(handle, offset, length, digest)`` gives; a shard stays open over its rows.
+
+    Rows without a place get nulls. Columns named as the new ones are replaced.
+    """
     from pyspark.sql import types as T
 
     new = T.StructType.fromDDL(fields)
@@ -176,6 +193,9 @@ def _ranged(rows: DataFrame, fields: str, read) -> DataFrame:
                 batch = whole.slice(start, 512)
                 found = []
                 for shard, offset, length, digest in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "offset", "length", "digest")), strict=True):
+                    if shard is None:
+                        found.append((None,) * len(new.fields))
+                        continue
                     if shard != name:
                         files, path = open_fs(shard)
                         if handle is not None:

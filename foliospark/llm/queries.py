@@ -60,7 +60,7 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(media.text_payloads(table(spark, sf_dir, "documents")))
-    read = media.with_content(media.with_metadata(stored))
+    read = media.with_content(media.with_metadata(media.dealt(stored)))
     return read.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
     )

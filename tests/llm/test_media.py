@@ -80,3 +80,38 @@ def test_query_equals_brute_force(spark):
 def test_empty_table(spark):
     stored = media.store(media.text_payloads(spark.createDataFrame([], "doc_id long, text string")))
     assert media.with_content(media.with_metadata(stored)).collect() == []
+
+
+def feature(samples):
+    """Mean, deviation, entropy and 64 stretches against the mean, by the definitions."""
+    import math
+
+    n = len(samples)
+    mean = sum(samples) / n
+    std = math.sqrt(sum((x - mean) ** 2 for x in samples) / n)
+    share = [samples.count(x) / n for x in set(samples)]
+    ends = [k * n // 64 for k in range(65)]
+    bits = "".join("1" if b > a and sum(samples[a:b]) / (b - a) > mean else "0" for a, b in zip(ends, ends[1:]))
+    return mean, std, -sum(p * math.log2(p) for p in share), f"{int(bits, 2):016x}"
+
+
+def test_features_equal_their_definitions(spark):
+    from foliospark.llm import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in queries.op10_media_columns(spark, "/root/testdata/sf0.001").collect():
+        data = media.pad((texts[r.doc_id] or "").encode())
+        told = dict(x.split("=") for x in r.feature.split(";"))
+        mean, std, entropy, bits = feature(data)
+        assert told["ahash"] == bits
+        assert [float(told[k]) for k in ("mean", "std", "entropy")] == pytest.approx([mean, std, entropy], abs=1e-4)
+
+
+def test_clashing_columns_null_payloads_and_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(media, "READ_BYTES", 200)
+    rows = [(i, bytearray(f"{i:>192}".encode()) if i % 7 else None, "own", "own", 1, 2, "own") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, payload binary, digest string, shard string, offset long, length long, feature string").repartition(3)
+    stored = media.dealt(media.store(frame))
+    assert stored.rdd.getNumPartitions() > 5
+    found = {r.doc_id: r for r in media.with_content(media.with_metadata(stored), payload=True).collect()}
+    assert all((found[i].payload is None and found[i].width is None) if p is None else bytes(found[i].payload) == bytes(p) for i, p, *_ in rows) and len(found) == 60
