@@ -16,8 +16,11 @@ from foliospark.llm.common import text_or_empty, written
 
 #: Sources up to which their rates (a few numbers each) are broadcast; beyond it they are joined by a shuffle.
 FEW_SOURCES = 10_000
-#: The distribution is inverted within so many deviations above its mean, which holds all but 1e-30 of it.
-DEVIATIONS, EXTRA = 12, 40
+#: The distribution is inverted within so many deviations and counts about its mean: beyond lies less than 1e-18 of it, while
+#: the uniform numbers have 48 bits.
+DEVIATIONS, EXTRA = 9, 16
+#: Bytes of text for which a shuffle partition is made, where that gives more than the session's number.
+PART_BYTES = 256 << 20
 
 
 def uniform(key: Column, seed: int, what: str) -> Column:
@@ -26,17 +29,34 @@ def uniform(key: Column, seed: int, what: str) -> Column:
     return (F.conv(F.substring(hexed, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """[P(X <= 0), P(X <= 1), ...] as far as it matters. Terms are summed in log space, so that large rates don't underflow."""
-    last = F.ceil(rate + DEVIATIONS * F.sqrt(rate) + EXTRA).cast("int")
-    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
+def poisson_start(rate: Column) -> Column:
+    """struct<low, high, first, total>: the counts that matter, the weight of the lowest, and the sum of all weights.
+
+    Weights are those of the distribution over that of its mode, found by steps outward from it; so no rate underflows, and
+    a source needs four numbers whatever its rate.
+    """
+    spread = F.ceil(DEVIATIONS * F.sqrt(rate)) + EXTRA
+    mode = F.floor(rate).cast("int")
+    low, high = F.greatest(F.lit(0), mode - spread).cast("int"), (mode + spread).cast("int")
+    none = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, factor: Column) -> Column:
+        return F.struct((acc["w"] * factor).alias("w"), (acc["sum"] + acc["w"] * factor).alias("sum"))
+
+    below = F.when(mode > low, F.aggregate(F.sequence(mode, low + 1, F.lit(-1)), none, lambda a, k: step(a, k / rate))).otherwise(none)
+    above = F.aggregate(F.sequence(mode + 1, high), none, lambda a, k: step(a, rate / k))
+    return F.struct(low.alias("low"), high.alias("high"), below["w"].alias("first"), (below["sum"] + 1 + above["sum"]).alias("total"))
+
+
+def poisson_count(start: Column, rate: Column, u: Column) -> Column:
+    """The least count whose distribution function reaches ``u``. Its steps are fewer than nine deviations, in constant memory."""
+    begin = F.struct(start["first"].alias("w"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
-        log = F.when(k == 0, -rate).otherwise(acc["log"] + F.ln(rate) - F.ln(k.cast("double")))
-        total = acc["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.array_append(acc["cdf"], total).alias("cdf"))
+        total = acc["sum"] + acc["w"]
+        return F.struct((acc["w"] * rate / (k + 1)).alias("w"), total.alias("sum"), (acc["n"] + F.when(total < u * start["total"], 1).otherwise(0)).alias("n"))
 
-    return F.when(rate <= 0, F.array(F.lit(1.0))).otherwise(F.aggregate(F.sequence(F.lit(0), last), start, step, lambda a: a["cdf"]))
+    return F.when(rate <= 0, 0).otherwise(start["low"] + F.aggregate(F.sequence(start["low"], start["high"]), begin, step, lambda a: a["n"])).cast("int")
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, *, source_column: str, text_column: str, exponent: float, budget: float) -> DataFrame:
@@ -78,24 +98,30 @@ def mix(
 
     Rows are dealt to partitions and ordered within them by the hash of id, replica and seed. Null ids hash as the empty
     string and null sources form one source named by it; null texts have no bytes; a source without bytes, and an empty
-    table, give no rows. Rows that repeat an id draw the same count. Columns of ``docs`` with the new names are replaced.
+    table, give no rows. Rows that repeat an id draw the same count. Texts of any length are carried whole; ties of the
+    shuffle key stand in any order. Columns of ``docs`` with the new names are replaced, others may have any name.
+    Without ``partitions``, they are the session's number, and adaptive execution may join them, or one for every
+    PART_BYTES of text where that is more.
     """
     spark, new = docs.sparkSession, ("replica", "n_copies", "rate", "shuffle_key")
     columns = [c for c in docs.columns if c not in new]
-    rates = source_rates(docs, weights, source_column=source_column, text_column=text_column, exponent=exponent, budget=budget).select(
-        F.col("source").alias("__source"), F.round("rate", 6).alias("rate"), poisson_cdf(F.col("rate")).alias("__cdf")
-    )
+    sizes = source_rates(docs, weights, source_column=source_column, text_column=text_column, exponent=exponent, budget=budget)
+    rates = sizes.select(F.col("source").alias("__source"), F.col("rate").alias("__exact"), poisson_start(F.col("rate")).alias("__start"))
     if rates.count() <= FEW_SOURCES:
-        rates = F.broadcast(rates)
+        rates = F.broadcast(rates)  # five numbers a source
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
-    drawn = F.size(F.filter("__cdf", lambda c: c < F.col("__u")))
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("__source"), key.alias("__id"),
+        uniform(key, seed, "count").alias("__u"),
+    )
     copies = (
-        docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("__source"), uniform(key, seed, "count").alias("__u"))
-        .join(rates, "__source")
-        .withColumn("n_copies", drawn)
-        .where("n_copies > 0")
+        packed.join(rates, "__source").withColumn("n_copies", poisson_count(F.col("__start"), F.col("__exact"), F.col("__u"))).where("n_copies > 0")
         .withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    )
-    shuffled = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:order:"), key, F.lit(":"), F.col("replica").cast("string")).cast("binary")))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return shuffled.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key").select(*[F.col(f"`{c}`") for c in columns], *new)
+        .withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:order:"), F.col("__id"), F.lit(":"), F.col("replica").cast("string")).cast("binary")))
+    )
+    expected = sizes.agg(F.sum(F.col("bytes") * F.col("rate"))).first()[0] or 0.0
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(session, math.ceil(expected / PART_BYTES))
+    dealt = copies.repartition("shuffle_key") if partitions is None and n == session else copies.repartition(n, "shuffle_key")
+    named = [F.col("__row").getField(c).alias(c) for c in columns]
+    return dealt.sortWithinPartitions("shuffle_key").select(*named, "replica", "n_copies", F.round("__exact", 6).alias("rate"), "shuffle_key")

@@ -54,7 +54,7 @@ def test_shares_reach_the_target(spark):
 
 
 def test_replicas_and_order(spark):
-    found = mixing.mix(spark.createDataFrame(corpus(), "doc_id long, source string, text string").withColumn("rate", F.lit("own")), budget=4.0)
+    found = mixing.mix(spark.createDataFrame(corpus(), "doc_id long, source string, text string").withColumn("rate", F.lit("own")), budget=4.0, partitions=7)
     rows = found.collect()
     by = collections.defaultdict(list)
     for r in rows:
@@ -65,9 +65,34 @@ def test_replicas_and_order(spark):
 
 
 def test_large_rates_do_not_underflow(spark):
-    rates = spark.createDataFrame([(5000.0,), (0.0,), (1e-9,)], "rate double")
-    found = [r.c for r in rates.select(mixing.poisson_cdf(F.col("rate")).alias("c")).collect()]
-    assert abs(found[0][-1] - 1) < 1e-9 and abs(found[0][5000] - 0.5) < 0.01 and found[1] == [1.0] and abs(found[2][0] - 1) < 1e-8
+    """Counts at given uniform numbers, against sums of log-gamma terms; a rate of a million takes no square of time."""
+    import time
+
+    marks = [1e-9, 0.001, 0.25, 0.5, 0.75, 0.999, 1 - 1e-9]
+    rows = [(rate, u) for rate in (0.0, 1e-9, 0.3, 1.0, 7.5, 260.0, 5000.0, 1e6) for u in marks]
+    frame = spark.createDataFrame(rows, "rate double, u double").withColumn("start", mixing.poisson_start(F.col("rate")))
+    began = time.time()
+    found = [r.n for r in frame.select(mixing.poisson_count(F.col("start"), F.col("rate"), F.col("u")).alias("n")).collect()]
+    assert time.time() - began < 20
+    for (rate, u), n in zip(rows, found, strict=True):
+        if rate == 0:
+            assert n == 0
+            continue
+        low = max(0, int(rate - 12 * math.sqrt(rate) - 40))
+        cdf = lambda k: math.fsum(math.exp(-rate + j * math.log(rate) - math.lgamma(j + 1)) for j in range(low, k + 1))
+        assert cdf(n) >= u - 1e-8 and (n == 0 or cdf(n - 1) < u + 1e-8)
+
+
+def test_clashing_names_pass_through(spark):
+    frame = spark.createDataFrame([(i, "a", "xyz", 1, 2, 3, "own") for i in range(50)], "doc_id long, source string, text string, __source int, __u int, __start int, `a.b` string")
+    found = mixing.mix(frame, budget=2.0)
+    assert found.columns == [*frame.columns, "replica", "n_copies", "rate", "shuffle_key"] and {(r["__source"], r["__u"], r["__start"], r["a.b"]) for r in found.collect()} == {(1, 2, 3, "own")}
+
+
+def test_partitions_grow_with_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_BYTES", 100)
+    found = mixing.mix(spark.createDataFrame(corpus(), "doc_id long, source string, text string"))
+    assert found.rdd.getNumPartitions() > 50
 
 
 def test_nulls_repeats_and_many_sources(spark, monkeypatch):
