@@ -99,31 +99,57 @@ KINDS = (
 )
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often and however deep it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(numbers: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For every place of an array of integers: 0 and all numbers before it, joined in order.
+
+    The array is cut into pieces of about the square root of its size, so that the arrays a fold copies stay short: a
+    million places take a thousand folds of a thousand.
+    """
+
+    def fold(own: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(own, start, lambda a, x: F.struct(join(a["at"], x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))
+
+    def pieces(own: Column) -> Column:
+        size = F.size(own)
+        return let(F.greatest(F.ceil(F.sqrt(size)), F.lit(1)).cast("int"), lambda c: F.transform(F.sequence(F.lit(0), F.ceil(size / c).cast("int") - 1), lambda j: fold(F.slice(own, j * c + 1, c))))
+
+    def joined(inner: Column) -> Column:
+        starts = fold(F.transform(inner, lambda x: x["at"]))["out"]
+        return F.flatten(F.zip_with(inner, starts, lambda x, base: F.transform(x["out"], lambda o: join(base, o))))
+
+    return let(numbers, lambda own: F.when(F.size(own) > 0, let(pieces(own), joined)).otherwise(F.array().cast("array<int>")))
+
+
 def spans(text: Column, kind: Kind) -> Column:
-    """array<struct<start, end, score>> of the valid spans of a kind, in order; offsets in code points, end exclusive."""
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    pieces = F.split(text, kind.pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,around:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        around = F.concat(F.substring(x["p"], -WINDOW, WINDOW), F.lit("\n"), F.substring(x["n"], 1, WINDOW))
-        found = F.struct(begin.alias("start"), end.alias("end"), around.alias("around"))
-        return F.struct(end.alias("at"), F.when(kind.valid(x["m"]), F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"))
-
-    size = F.size(matches)
-    beside = F.zip_with(F.slice(pieces, 1, size), F.slice(pieces, 2, size), lambda p, n: F.struct(p.alias("p"), n.alias("n")))
-    zipped = F.zip_with(matches, beside, lambda m, x: F.struct(m.alias("m"), x["p"].alias("p"), x["n"].alias("n")))
-    placed = F.aggregate(zipped, start, step, lambda a: a["out"])
-
-    def score(x: Column) -> Column:
-        around = F.lower(x["around"])
+    """array<struct<kind, start, end, score>> of the valid spans of a kind, in order; offsets in code points, end exclusive."""
+
+    def score(around: Column) -> Column:
         raised = F.when(around.rlike(kind.near), RAISE).otherwise(0.0) - F.when(around.rlike(kind.against), LOWER).otherwise(0.0)
-        total = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(kind.score) + raised))
-        return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.round(total, 2).alias("score"))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(kind.score) + raised))
+
+    def placed(found: Column) -> Column:
+        """From struct<m: matches, p: pieces between them>."""
+        beside = F.zip_with(found["m"], F.slice(found["p"], 1, F.size(found["m"])), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+        both = F.zip_with(beside, F.slice(found["p"], 2, F.size(found["m"])), lambda x, n: F.struct(x["m"].alias("m"), x["p"].alias("p"), n.alias("n")))
+        begins = running(F.transform(beside, lambda x: F.length(x["p"]) + F.length(x["m"])), lambda a, b: a + b)
+        with_begin = F.zip_with(both, begins, lambda x, b: F.struct(x["m"].alias("m"), x["p"].alias("p"), x["n"].alias("n"), b.alias("b")))
+        valid = F.filter(with_begin, lambda x: kind.valid(x["m"]))
 
-    scored = F.transform(placed, score)
+        def told(x: Column) -> Column:
+            start = x["b"] + F.length(x["p"])
+            around = F.lower(F.concat(F.substring(x["p"], -WINDOW, WINDOW), F.lit("\n"), F.substring(x["n"], 1, WINDOW)))
+            return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"), F.round(score(around), 2).alias("score"))
+
+        return F.transform(valid, told)
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"), F.split(text, kind.pattern, -1).alias("p"))
+    scored = let(found, placed)
     if not kind.base:
         scored = F.filter(scored, lambda x: x["score"] >= KEEP)
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
@@ -134,7 +160,10 @@ def spans(text: Column, kind: Kind) -> Column:
 def find(docs: DataFrame, *, text_column: str = "text", to: str = "pii", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with the column ``to``: array<struct<kind, start, end, score>>, by kind as listed and then by start.
 
-    Null and empty texts have none. Rows are kept one to one, without a shuffle; an existing column of that name is replaced.
+    Null and empty texts have none. Rows are kept one to one, repeated ones too, without a shuffle; an existing column of that
+    name is replaced, others may have any name. Kinds are sought apart, so spans of two kinds may overlap or tie. A text of
+    any length is taken whole; the work grows with its length, and with its matches to the power 1.5 at most. An empty table
+    gives an empty result.
     """
     text = text_or_empty(text_column)
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != to], F.concat(*[spans(text, k) for k in kinds]).alias(to))
@@ -143,25 +172,43 @@ def find(docs: DataFrame, *, text_column: str = "text", to: str = "pii", kinds:
 def redact(docs: DataFrame, *, text_column: str = "text", length_column: str | None = "n_chars", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; overlapping spans become one mark of the first.
 
-    Null texts stay null. The columns stay; ``length_column``, if there, gets the new length in code points.
+    Null texts stay null, empty ones empty. The columns stay, whatever their names; ``length_column``, if there, gets the new
+    length in code points. Of spans that begin together the shortest comes first, and its kind is shown. Rows stay one to
+    one, repeats too. Long texts are cut piece by piece, so that no part of them is walked through for every span. An empty
+    table gives an empty result.
     """
-    found = find(docs.withColumn("__text", text_or_empty(text_column)), text_column="__text", to="__pii", kinds=kinds)
+    columns = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), text_or_empty(text_column).alias("__text"))
+    found = find(packed, text_column="__text", to="__pii", kinds=kinds)
+    body = F.col("__text")
+
+    def cut(rows: Column) -> Column:
+        """From array<struct<at, start, kind>>: the text between ``at`` and ``start``, then the kind's mark, row after row."""
+        c = F.greatest(F.ceil(F.sqrt(F.size(rows))), F.lit(1)).cast("int")
+
+        def piece(own: Column) -> Column:
+            first = F.get(own, F.lit(0))["at"]
+            segment = F.substring(body, first + 1, F.element_at(own, -1)["start"] - first)
+            marked = lambda s: F.transform(own, lambda x: F.concat(F.substring(s, x["at"] - first + 1, x["start"] - x["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+            return let(segment, lambda s: F.array_join(marked(s), ""))
+
+        many = let(c, lambda n: F.transform(F.sequence(F.lit(0), F.ceil(F.size(rows) / n).cast("int") - 1), lambda j: let(F.slice(rows, j * n + 1, n), piece)))
+        return F.array_join(many, "")
+
+    def done(ordered: Column) -> Column:
+        reach = running(F.transform(ordered, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        rows = F.zip_with(ordered, reach, lambda x, at: F.struct(at.alias("at"), x["start"].alias("start"), x["kind"].alias("kind")))
+        rest = F.substring(body, F.array_max(F.transform(ordered, lambda x: x["end"])) + 1, F.length(body))
+        return F.concat(let(F.filter(rows, lambda x: x["start"] >= x["at"]), cut), rest)
+
     ordered = F.array_sort(F.transform("__pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.substring(F.col("__text"), acc["at"] + 1, x["start"] - acc["at"])
-        mark = F.concat(before, F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        fresh = x["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.array_append(acc["out"], mark)).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("__text"), a["at"] + 1, F.length("__text"))))
-    text = F.when(F.size("__pii") > 0, done).otherwise(F.col(text_column))
-    out = found.withColumn(text_column, text)
-    if length_column in docs.columns:
-        kind = docs.schema[length_column].dataType
-        out = out.withColumn(length_column, F.when(F.size("__pii") > 0, F.length(text_column).cast(kind)).otherwise(F.col(length_column)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    any_found = F.size("__pii") > 0
+    out = found.withColumn("__new", F.when(any_found, let(ordered, done)))
+    kept = {c: F.col("__row").getField(c) for c in columns}
+    kept[text_column] = F.coalesce("__new", kept[text_column])
+    if length_column in columns:
+        kept[length_column] = F.when(any_found, F.length("__new").cast(docs.schema[length_column].dataType)).otherwise(kept[length_column])
+    return out.select(*[v.alias(c) for c, v in kept.items()])
 
 
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -109,3 +109,31 @@ def test_plan_is_native(spark):
     found = pii.digest(pii.find(spark.createDataFrame([(1, "x")], "doc_id long, text string")))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_forty_thousand_matches_in_one_text(spark):
+    body = " ".join(f"u{i}@host{i}.org" for i in range(40_000))
+    frame = spark.createDataFrame([(1, body, 1), (2, None, 2), (2, None, 2)], "doc_id long, text string, n_chars long").withColumn("__row", F.lit("own")).withColumn("__text", F.lit("own")).withColumn("a.b", F.lit(1))
+    began = time.time()
+    spans = {r.doc_id: r.spans for r in pii.digest(pii.find(frame)).collect()}
+    assert time.time() - began < 15
+    assert spans == {1: ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(PATTERNS["email"], body)), 2: ""}
+    began = time.time()
+    rows = pii.redact(frame).collect()
+    assert time.time() - began < 15
+    assert sorted((r.doc_id, r.text or "", r["__row"], r["a.b"]) for r in rows) == [(1, " ".join(["<EMAIL>"] * 40_000), "own", 1), (2, "", "own", 1), (2, "", "own", 1)]
+
+
+def test_overlapping_spans_become_one_mark(spark):
+    rng = random.Random(11)
+    parts = ["+1 4111 1111 1111 1111", "4111 1111 1111 1111", "1.2.3.4", "a@1.2.3.4", "+49 30 1234567", " ", "x", "é😀", "1.2.3.4@b.co"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.pii for r in pii.find(frame).collect()}
+    for r in pii.redact(frame).collect():
+        out, at, text = [], 0, texts[r.doc_id]
+        for start, end, kind in sorted((s.start, s.end, s.kind) for s in spans[r.doc_id]):
+            if start >= at:
+                out += [text[at:start], f"<{kind.upper()}>"]
+            at = max(at, end)
+        assert r.text == "".join(out) + text[at:]
