@@ -1,31 +1,41 @@
 """Byte-balanced sharding of indivisible groups by Karmarkar-Karp differencing.
 
-Rows with equal texts form a group and always share a shard. Every group whose bytes exceed ``1/bundles`` of all bytes
-is an item of its own (there are fewer than ``bundles`` of these); all other groups are gathered by their hash into at
-most ``bundles`` further items. The rule depends on proportions only, so it is the same at every size, and the driver
-differences at most ``2 * bundles`` numbers whatever the input.
+Rows with equal texts form a group and always share a shard. All groups are differenced, at two levels. Groups with more
+than ``1/heavy_parts`` of the bytes (fewer than ``heavy_parts`` of these) go to the driver as they are. All others are dealt
+to cells of some 50,000 by a hash; a task differences a cell's groups into one partial partition of ``shards`` parts, and
+the driver goes on with heavy groups and partial partitions by the same rule. Balanced parts cannot make up for a heavy
+group, so as many cells as the heavy groups need are differenced into smaller parts, which count as single items. What the
+driver sees is ``shards`` sums for each 50,000 groups and at most ``heavy_parts + LOOSE`` items.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import text_or_empty, written
+from foliospark.llm.common import hot_join, hot_keys, in_arrow, text_or_empty, written
 
+#: Groups in a cell, and rows of a shard in a chunk, on average.
+CELL, CHUNK = 50_000, 1_000_000
+#: A group with more than this part of all bytes is heavy; parts that loose cells give in all, and in one at most.
+HEAVY_PARTS, LOOSE, MOST_LOOSE = 4096, 65_536, 512
 
-def difference(sizes: dict, shards: int) -> dict:
-    """Karmarkar-Karp: item -> shard.
 
-    A heap holds partial partitions by spread. The two with the largest spread are combined with opposite orders (the
-    heaviest part of one meets the lightest of the other) until one is left. Ties go by the items' order, so equal
-    input gives equal output. No items: an empty result.
+def combine(partials: list[tuple[list, list]]) -> tuple[list, list]:
+    """Karmarkar-Karp over partial partitions (sums, parts): the one that is left, its sums falling.
+
+    A heap holds them by spread. The two with the largest spread are combined with opposite orders (the heaviest part of
+    one meets the lightest of the other) until one is left. Ties go by the order given. Sums are kept above the lightest.
     """
     heap = []
-    for n, (item, size) in enumerate(sorted(sizes.items(), key=lambda x: (-x[1], x[0]))):
-        heap.append((-size if shards > 1 else 0, n, [size] + [0] * (shards - 1), [[item]] + [[] for _ in range(shards - 1)]))
+    for n, (sums, parts) in enumerate(partials):
+        order = sorted(range(len(sums)), key=lambda k: -sums[k])
+        low = sums[order[-1]]
+        heap.append((low - sums[order[0]], n, [sums[k] - low for k in order], [parts[k] for k in order]))
     heapq.heapify(heap)
     while len(heap) > 1:
         _, n, sums, parts = heapq.heappop(heap)
@@ -38,65 +48,106 @@ def difference(sizes: dict, shards: int) -> dict:
         joined.sort(key=lambda x: -x[0])
         low = joined[-1][0]
         heapq.heappush(heap, (low - joined[0][0], n, [s - low for s, _ in joined], [p for _, p in joined]))
-    return {item: shard for shard, part in enumerate(heap[0][3]) for item in part} if heap else {}
-
-
-def shard_documents(
-    docs: DataFrame,
-    *,
-    shards: int = 8,
-    bundles: int = 4096,
-    chunks: int = 1024,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
+    return heap[0][2:] if heap else ([], [])
+
+
+def difference(sizes: dict, shards: int) -> dict:
+    """item -> shard, differencing all items. Larger items come first, ties go by the items' order; no items: an empty result."""
+    ordered = sorted(sizes.items(), key=lambda x: (-x[1], x[0]))
+    _, parts = combine([([size] + [0] * (shards - 1), [[item]] + [[] for _ in range(shards - 1)]) for item, size in ordered])
+    return {item: shard for shard, part in enumerate(parts) for item in part}
+
+
+def _cells(groups: DataFrame, shards: int, loose: int, loose_parts: int) -> DataFrame:
+    """(cell, key, part) of every group of (cell, key, bytes), sorted by cell; and (cell, null, part, sum) of every part.
+
+    The first ``loose`` cells have ``loose_parts`` parts, the others one for each shard.
+    """
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        def done():
+            sizes, parts = dict(held), loose_parts if cell < loose else shards
+            placed = difference(sizes, parts)
+            sums = [0] * parts
+            for key, part in placed.items():
+                sums[part] += sizes[key]
+            rows = [(cell, key, part, None) for key, part in placed.items()] + [(cell, None, part, total) for part, total in enumerate(sums)]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["cell", "key", "part", "sum"])
+
+        cell, held = None, []
+        for batch in batches:
+            for own, key, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != cell:
+                    if held:
+                        yield done()
+                    cell, held = own, []
+                held.append((key, size))
+        if held:
+            yield done()
+
+    return groups.transform(in_arrow, run, "cell long, key long, part int, sum long")
+
+
+def _place(heavy: dict[int, int], sums: dict[int, list[int]], shards: int, loose: int) -> tuple[dict, dict]:
+    """(heavy key -> shard, (cell, part) -> shard): heavy groups and loose parts as single items, other cells as they are."""
+    single = lambda size, item: ([size] + [0] * (shards - 1), [[item]] + [[] for _ in range(shards - 1)])
+    items = [single(size, key) for key, size in sorted(heavy.items(), key=lambda x: (-x[1], x[0]))]
+    for cell, own in sorted(sums.items()):
+        if cell < loose:
+            items += [single(size, (cell, part)) for part, size in enumerate(own)]
+        else:
+            items.append((own, [[(cell, part)] for part in range(len(own))]))
+    _, parts = combine(items)
+    placed = {item: shard for shard, part in enumerate(parts) for item in part}
+    return {k: v for k, v in placed.items() if not isinstance(k, tuple)}, {k: v for k, v in placed.items() if isinstance(k, tuple)}
+
+
+def shard_documents(docs: DataFrame, *, shards: int = 8, cell: int = CELL, chunk: int = CHUNK, heavy_parts: int = HEAVY_PARTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, size, text_crc32, shard, slot) for every row of ``docs``.
 
     size is the text's UTF-8 bytes plus 1; a null text counts as empty and shares the group of the empty text. Slots
-    run from 0 without gaps in each shard. Rows equal in every column get distinct slots; null ids are kept. An empty
-    table gives an empty result. Extra columns are neither read nor returned.
+    run from 0 without gaps in each shard; they follow from the rows alone, not from how the table is split. Rows equal in
+    id and text get distinct slots; null ids are kept. Texts of any length are one row each. An empty table gives an empty
+    result. Extra columns are neither read nor returned, whatever their names.
 
-    Slots need no sort of a whole shard: rows carry one of ``chunks`` chunk numbers fixed when they are written, the
-    driver sums ``shards * chunks`` counts to offsets, and ranks are taken within a chunk.
+    Slots need no sort of a whole shard: rows have a chunk by the hash of id and text, some ``chunk`` rows of each shard in
+    one, the driver adds up a count for each shard and chunk, and ranks are taken within a chunk. Equal rows share a chunk.
     """
     spark: SparkSession = docs.sparkSession
     text = text_or_empty(text_column)
     rows = written(
         spark,
-        docs.select(
-            F.col(id_column).alias("doc_id"),
-            (F.octet_length(text).cast("long") + 1).alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("key"),
-            F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"),
-        ),
+        docs.select(F.col(id_column).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")),
         "shard-rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    heavy = F.col("bytes") > F.lit(total / bundles)
-    items = groups.groupBy(
-        heavy.alias("heavy"), F.when(heavy, F.col("key")).otherwise(F.pmod("key", F.lit(bundles))).alias("item")
-    ).agg(F.sum("bytes").alias("bytes"))
-    sizes = {(r["heavy"], r["item"]): r["bytes"] for r in items.collect()}
-    placed = difference(sizes, shards)
-    schema = "item long, shard int"
-    own = spark.createDataFrame([(item, s) for (alone, item), s in placed.items() if alone], schema)
-    rest = spark.createDataFrame([(item, s) for (alone, item), s in placed.items() if not alone], schema)
-    dealt = (
-        rows.join(F.broadcast(own.toDF("key", "own_shard")), "key", "left")
-        .withColumn("bundle", F.pmod("key", F.lit(bundles)))
-        .join(F.broadcast(rest.toDF("bundle", "bundle_shard")), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "bundle_shard").alias("shard"), "chunk")
-    )
+    groups = written(spark, rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
+    totals = groups.agg(F.count("*").alias("groups"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    cells, chunks = 1 + totals["groups"] // cell, 1 + (totals["rows"] or 0) // (shards * chunk)
+    is_heavy = F.col("bytes") > F.lit((totals["bytes"] or 0) / heavy_parts)
+    heavy = {r["key"]: r["bytes"] for r in groups.where(is_heavy).select("key", "bytes").collect()}  # fewer than heavy_parts
+    loads = [0] * shards
+    for key, shard in difference(heavy, shards).items():
+        loads[shard] += heavy[key]
+    light, need = (totals["bytes"] or 0) - sum(loads), shards * max(loads) - sum(loads)
+    loose = min(cells, ceil(1.1 * cells * need / light)) if light and need else 0
+    loose_parts = max(shards, min(MOST_LOOSE, LOOSE // max(1, loose)))
+    celled = groups.where(~is_heavy).select(F.pmod(F.xxhash64("key"), F.lit(cells)).alias("cell"), "key", "bytes")
+    parted = written(spark, _cells(celled.repartition(cells, "cell").sortWithinPartitions("cell"), shards, loose, loose_parts), "shard-cells")
+    sums: dict[int, list[int]] = {}
+    for r in sorted(parted.where("key is null").select("cell", "part", "sum").collect()):
+        sums.setdefault(r["cell"], []).append(r["sum"])
+    alone, of_part = _place(heavy, sums, shards, loose)
+    where = spark.createDataFrame([(c, p, shard) for (c, p), shard in of_part.items()], "cell long, part int, shard int")
+    shard_of = parted.where("key is not null").join(where, ["cell", "part"]).select("key", "shard").unionByName(spark.createDataFrame(list(alone.items()), "key long, shard int"))
+    dealt = hot_join(rows, shard_of, ["key"], hot_keys(groups, ["key"]), F.col("doc_id")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), F.lit(chunks)).cast("int"))
+    dealt = written(spark, dealt, "shard-dealt")
     offsets, ends = [], {}
     for r in sorted(dealt.groupBy("shard", "chunk").count().collect()):
         offsets.append((r["shard"], r["chunk"], ends.get(r["shard"], 0)))
         ends[r["shard"]] = ends.get(r["shard"], 0) + r["count"]
-    start = F.broadcast(spark.createDataFrame(offsets, "shard int, chunk int, start long"))
-    rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        dealt.withColumn("rank", rank)
-        .join(start, ["shard", "chunk"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank") - 1).alias("slot"))
-    )
+    start = spark.createDataFrame(offsets, "shard int, chunk int, start long")
+    rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size", "key"))
+    return dealt.withColumn("rank", rank).join(start, ["shard", "chunk"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank") - 1).alias("slot"))

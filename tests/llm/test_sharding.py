@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from foliospark.llm import sharding
 
 
@@ -40,16 +42,53 @@ def test_rows(spark):
     rng = random.Random(5)
     rows = [(i, "x" * rng.randrange(300) if rng.random() < 0.7 else "copy") for i in range(400)] + [(None, None), (None, ""), (7, "dup"), (7, "dup"), (8, "é" * 5000)]
     frame = spark.createDataFrame([(*r, 9, "s") for r in rows], "doc_id long, text string, size int, shard string").repartition(6)
-    found = sharding.shard_documents(frame, chunks=5).collect()
+    found = sharding.shard_documents(frame, chunk=10).collect()
     check(rows, found)
 
 
-def test_bundles_hold_the_driver_small_and_groups_together(spark):
-    rows = [(i, f"text {i % 700}") for i in range(1500)]
-    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), bundles=64).collect()
-    check(rows, found)
+def spread(found):
     sums = [sum(r.size for r in found if r.shard == k) for k in range(8)]
-    assert max(sums) - min(sums) < 0.02 * sum(sums)
+    return max(sums) - min(sums), sum(sums)
+
+
+def naive(sizes, shards=8):
+    """Largest spread first, on a sorted list, opposite orders: sums alone."""
+    open_ = [[s] + [0] * (shards - 1) for s in sizes]
+    while len(open_) > 1:
+        open_.sort(key=lambda p: min(p) - max(p))
+        one, two, *open_ = open_
+        open_.append([a + b for a, b in zip(sorted(one), sorted(two, reverse=True))])
+    return max(open_[0]) - min(open_[0])
+
+
+def test_one_cell_is_plain_differencing(spark):
+    rng = random.Random(3)
+    rows = [(i, "y" * rng.randrange(1, 3000) + str(i)) for i in range(300)]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, found)
+    assert abs(spread(found)[0] - naive([len(t) + 1 for _, t in rows])) <= 3  # of some 450,000; ties may go either way
+
+
+@pytest.mark.parametrize("heavy_parts", [4096, 64])
+def test_many_cells_keep_groups_together_and_stay_balanced(spark, monkeypatch, heavy_parts):
+    from foliospark.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 30)
+    rows = [(i, f"text {i % 700}") for i in range(1500)] + [(9000 + i, "hot") for i in range(400)]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell=20, chunk=30, heavy_parts=heavy_parts).collect()
+    check(rows, found)
+    wide, total = spread(found)
+    assert wide < 0.01 * total
+
+
+def test_rows_alone_decide(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([i, None, 5]), "x" * rng.randrange(40)) for i in range(500)]
+    results = []
+    for n in (1, 3, 8):
+        frame = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(n)
+        results.append(sorted((r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(frame, cell=50, chunk=20).collect()))
+    assert results[0] == results[1] == results[2]
 
 
 def test_benchmark_documents_are_balanced(spark):
