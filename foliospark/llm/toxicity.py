@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
-Voters look for lexicon stems and patterns. Stems are mined from labelled rows of the training part; a list of common
-English insults is a further voter. A generative label model over the voters' joint firing counts (of all documents) gives
-each voter's firing rates a class, finds voters that stay correlated within the classes and models those jointly. Its
-posterior labels train a linear classifier on hashed words and word beginnings, which scores every whole text.
+Voters of independent kinds look at a text: lexicons of the project's own (insults, contempt, profanity), insults written in
+disguise, patterns around insults (addressed to someone, shouted or stretched, negated), and four lexicons mined from
+labelled rows, each from its own kind of feature and from all but its own quarter of the rows. A generative label model over the voters'
+joint firing counts (of all documents) gives each voter's firing rates a class, finds voters that stay correlated within the
+classes and models those jointly. Its posterior labels train a linear classifier on hashed words and word beginnings, which
+scores every whole text.
 """
 
 from __future__ import annotations
@@ -15,26 +17,34 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import in_arrow, text_or_empty
+from foliospark.llm.common import in_arrow, text_or_empty, written
 
 #: Most labelled rows that the voters are mined from and the classifier is trained on.
 MOST_LABELLED = 10_000
-#: Lexicon voters; with the four others, so many bits in a firing pattern: the driver sees at most 2**16 counts.
-LEXICONS = 12
-MOST_STEMS = 240
+#: Most features (those that speak most for toxicity) that leave the tasks, and most stems of a mined lexicon.
+FEATURES, MOST_STEMS = 8192, 80
+#: Kinds of features: 0 is a whole word, the others are its beginnings of so many letters. The two lowest bits hold the kind.
 PREFIXES = (4, 5, 6)
-FEATURES = 8192
-
-#: Fixed list: common English insults.
-INSULTS = frozenset(
-    "asshole bastard bitch clown coward creep cretin dickhead dimwit disgusting dumb dumbass fool freak fuck fucking garbage"
-    " idiot idiotic idiots imbecile jerk loser losers lunatic moron moronic morons pathetic retard scum scumbag shit slut"
-    " stupid sucker trash twit ugly vermin whore worthless".split()
-)
+KINDS = 1 + len(PREFIXES)
+
+#: The project's own lists of English words.
+INSULTS = frozenset("airhead bonehead clown coward creep cretin degenerate dimwit dolt dope dumb dunce fool freak halfwit idiot idiotic idiots imbecile jerk loser losers lunatic moron moronic morons nitwit simpleton stupid sucker twit weirdo".split())
+CONTEMPT = frozenset("abomination abysmal despicable dirt disgrace disgusting filth filthy garbage gross hideous lowlife nasty parasite parasites pathetic repulsive rotten rubbish scum scumbag trash ugly useless vermin vile worthless".split())
+PROFANITY = frozenset("arse arsehole ass asshole bastard bastards bitch bitches bollocks bullshit crap cunt damn dickhead dumbass fuck fucked fucker fucking motherfucker piss prick retard shit shitty slut wanker whore".split())
+ALL = INSULTS | CONTEMPT | PROFANITY
+MASKED = frozenset(f"{w[:k]}*{w[k + 1 :]}" for w in ALL if len(w) > 3 for k in range(1, len(w) - 1))
+
 WORDS = re.compile(r"\w+").findall
-SHOUTED = re.compile(r"\b[A-Z]{3,}\b").findall
-MARKS = re.compile(r"[!?]{3,}").search
-AIMED = re.compile(r"\b(?:you are|you're|shut up|go away)\b", re.IGNORECASE).search
+DISGUISED = re.compile(r"(?<![\w@$*])(?=[a-z@$*0-9]*[a-z])[a-z@$0-9]+[@$*0-9][a-z@$*0-9]*[a-z](?![\w@$*])|(?<![\w@$*])[@$0-9][a-z0-9@$]*[a-z](?![\w@$*])").findall
+SPACED = re.compile(r"\b(?:[a-z][ .-]){3,}[a-z]\b").findall
+PLAIN = str.maketrans("013457@$", "oieastas")
+_ANY = "|".join(sorted(ALL))
+AIMED = re.compile(rf"\b(?:you|your|he|she|they|these|those|such)(?:'re|'s| are| is)?(?: \w+)? (?:{_ANY})\b").search
+SHOUTED = re.compile(rf"\b(?:{_ANY.upper()})\b|\b(?i:{_ANY})\b[^\w\n]{{0,2}}!{{3,}}").search
+STRETCHED = re.compile(r"\b\w*?(\w)\1{2,}\w*\b")
+NEGATED = re.compile(rf"\b(?:not|no|never|n't|isn't|nobody is|without being)(?: \w+){{0,2}} (?:{_ANY})\b|[\"“](?:{_ANY})[\"”]").search
+#: Bits of a firing pattern, lowest first. The driver sees at most 2**12 counts.
+VOTERS = ("mined words", "mined fours", "mined fives", "mined sixes", "insults", "contempt", "profanity", "disguised", "repeated", "aimed", "shouted", "negated")
 
 
 def train_part(column: str = "doc_id"):
@@ -43,51 +53,59 @@ def train_part(column: str = "doc_id"):
 
 
 def features_of(word: str) -> list[int]:
-    """Hashes of a word and of its proper beginnings."""
+    """Hashes of a word and of its proper beginnings, with their kinds."""
     import xxhash
 
-    return [xxhash.xxh32_intdigest(word)] + [xxhash.xxh32_intdigest(f"{word[:n]}*") for n in PREFIXES if len(word) > n]
+    hashed = lambda text, kind: xxhash.xxh32_intdigest(text) & 0xFFFFFFFC | kind
+    return [hashed(word, 0)] + [hashed(f"{word[:n]}*", kind) for kind, n in enumerate(PREFIXES, 1) if len(word) > n]
 
 
 @dataclass
 class Model:
     lexicons: list[list[int]] = field(default_factory=list)
-    rates: dict = field(default_factory=dict)
+    voters: list[dict] = field(default_factory=list)
     weights: dict[int, float] = field(default_factory=dict)
     bias: float = -2.0
 
 
-def patterns(text: str, words: list[str]) -> int:
-    """Firings of the voters that have no lexicon, as bits."""
-    shouted = len(SHOUTED(text)) if words else 0
-    return (shouted >= 5 and 10 * shouted >= 3 * len(words)) | bool(MARKS(text)) << 1 | bool(AIMED(text)) << 2
+def disguised(low: str) -> bool:
+    """Whether the lower-case text has a listed word with digits or signs for letters, a letter masked, or letters apart."""
+    for found in DISGUISED(low):
+        if found in MASKED or ("*" not in found and found.translate(PLAIN) in ALL):
+            return True
+    return any(re.sub("[ .-]", "", found) in ALL for found in SPACED(low))
 
 
 class Voters:
-    """Firing pattern of a text; bits: lexicons, insults, shouting, marks, address."""
+    """Firing pattern of a text, bits as in VOTERS."""
 
     REMEMBERED = 400_000
 
     def __init__(self, lexicons: list[list[int]]):
         self.of = {h: 1 << k for k, stems in enumerate(lexicons) for h in stems}
-        self.n = len(lexicons)
         self.known: dict[str, int] = {}
 
     def _look(self, word: str) -> int:
         if len(self.known) >= self.REMEMBERED:
             self.known.clear()
-        bits = (word in INSULTS) << self.n
+        bits = (word in INSULTS) << KINDS | (word in CONTEMPT) << KINDS + 1 | (word in PROFANITY) << KINDS + 2
         for h in features_of(word):
             bits |= self.of.get(h, 0)
         self.known[word] = bits
         return bits
 
     def __call__(self, text: str) -> int:
-        words, known, bits = WORDS(text.lower()), self.known, 0
+        low = text.lower()
+        words, known, bits = WORDS(low), self.known, 0
         for w in set(words):
             b = known.get(w)
             bits |= self._look(w) if b is None else b
-        return bits | patterns(text, words) << self.n + 1
+        stretched = any(w not in ALL and re.sub(r"(.)\1+", r"\1", w) in ALL for w in {m[0] for m in STRETCHED.finditer(low)})
+        n = KINDS + 3
+        bits |= disguised(low) << n
+        if bits >> KINDS & 7:
+            bits |= (sum(w in ALL for w in words) >= 3) << n + 1 | bool(AIMED(low)) << n + 2 | bool(SHOUTED(text)) << n + 3 | bool(NEGATED(low)) << n + 4
+        return bits | stretched << n + 3
 
 
 def indexed(sets: list, least: int):
@@ -109,19 +127,18 @@ def indexed(sets: list, least: int):
     return names[count >= least], number[place[keep]], owner[keep]
 
 
-def mine(sets: list, labels) -> list[list[int]]:
-    """Stems for the lexicon voters, from feature sets of labelled texts.
+def mine(sets: list, labels) -> list[int]:
+    """Stems for one mined lexicon, from feature sets of labelled texts.
 
     Greedy: the feature with the highest likelihood ratio that seldom occurs in clean texts is taken, the toxic texts it
-    covers weigh half from then on, and so forth. Stems are dealt to the lexicons in turn, so that each covers a
-    share of every family of words.
+    covers weigh half from then on, and so forth.
     """
     import numpy as np
 
     labels = np.asarray(labels, bool)
     if not len(labels) or not labels.any():
-        return [[] for _ in range(LEXICONS)]
-    least = 2 if labels.sum() < 100 else 3 if labels.sum() < 1000 else 5
+        return []
+    least = 2 if labels.sum() < 150 else 3 if labels.sum() < 1000 else 5
     names, place, owner = indexed(sets, least)
     toxic, clean = np.bincount(place[labels[owner]], minlength=len(names)), np.bincount(place[~labels[owner]], minlength=len(names))
     odds = np.log((toxic + 0.1) / (labels.sum() + 0.2)) - np.log((clean + 0.1) / ((~labels).sum() + 0.2))
@@ -143,10 +160,7 @@ def mine(sets: list, labels) -> list[list[int]]:
             break
         taken.append(best)
         weight[covered] /= 2
-    lexicons: list[list[int]] = [[] for _ in range(LEXICONS)]
-    for k, best in enumerate(taken):
-        lexicons[k % LEXICONS].append(int(names[able[best]]))
-    return lexicons
+    return [int(names[able[best]]) for best in taken]
 
 
 def label_model(counts: dict[int, float], known: tuple[dict[int, float], dict[int, float]], voters: int, *, rounds: int = 60, bound: float = 0.15):
@@ -256,71 +270,101 @@ def train_linear(sets: list, soft, *, features: int = FEATURES, rounds: int = 15
     return {int(names[best[k]]): float(w[k]) for k in np.nonzero(np.abs(w) > 1e-4)[0]}, float(b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str, most: int, id_column: str, text_column: str) -> tuple[list, list, list]:
-    """(feature sets, firing patterns' texts dropped, labels) of at most ``most`` labelled rows of the training part.
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str, most: int, id_column: str, text_column: str) -> DataFrame:
+    """(k, y, t) of at most ``most`` labelled rows of the training part, in the shared folder; k is a hash of the text.
 
     Rows are taken by the order of a hash of their id, copies of a text once. An id with several labels has the largest;
     null labels and ids don't count.
     """
-    import numpy as np
-
     one = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull() & train_part(id_column)).groupBy(id_column).agg(F.max(F.col(label).cast("int")).alias("__y"))
     few = one.orderBy(F.xxhash64(id_column), id_column).limit(most)
     rows = docs.select(F.col(id_column), text_or_empty(text_column).alias("__t")).join(F.broadcast(few), id_column)  # size: ``most`` rows
-    rows = rows.groupBy(F.xxhash64("__t").alias("__k")).agg(F.max("__y").alias("__y"), F.first("__t").alias("__t"))
+    rows = rows.groupBy(F.xxhash64("__t").alias("k")).agg(F.max("__y").alias("y"), F.first("__t").alias("t"))
+    return written(docs.sparkSession, rows.select("k", (F.col("y") > 0).cast("int").alias("y"), "t"), "toxic-labelled")
+
+
+def feature_sets(sample: DataFrame) -> tuple[list, list, list]:
+    """(keys, labels, feature sets) of the labelled rows, by key; of their features the FEATURES that speak most for toxicity.
+
+    Features are made and counted in tasks. What is gathered is bounded by rows and FEATURES, not by the texts' lengths.
+    """
+    import numpy as np
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, found, bits = whole.slice(at, 256), [], []
-                for t in batch.column(2):
-                    text = t.as_py()
-                    words = WORDS(text.lower())
-                    found.append(np.unique(np.array([h for w in set(words) for h in features_of(w)], np.uint32)).tobytes())
-                    insulted = any(w in INSULTS for w in words)
-                    bits.append(insulted | patterns(text, words) << 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(bits, pa.int32())], names=["k", "y", "f", "bits"])
-
-    got = sorted(rows.transform(in_arrow, run, "k long, y int, f binary, bits int").collect(), key=lambda r: r["k"])
-    return [np.frombuffer(bytes(r["f"]), np.uint32) for r in got], [r["bits"] for r in got], [int(r["y"] > 0) for r in got]
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = MOST_LABELLED, id_column: str = "doc_id", text_column: str = "text") -> Model:
-    """Voters, label model and classifier. The firing patterns are counted over all rows of ``docs``."""
-    import numpy as np
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                found = [sorted({h for w in set(WORDS(t.as_py().lower())) for h in features_of(w)}) for t in batch.column(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["k", "y", "f"])
+
+    spark = sample.sparkSession
+    made = written(spark, sample.transform(in_arrow, run, "k long, y int, f array<long>"), "toxic-features")
+    size = made.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
+    share = (size["toxic"] or 0) / max(1, size["n"])
+    counted = made.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).where("toxic >= 2")
+    more = F.col("toxic") - F.col("n") * share
+    chi = counted.where(more > 0).select("f", (more * more / (F.col("n") * max(1e-9, share * (1 - share)))).alias("chi")).orderBy(F.desc("chi"), "f").limit(FEATURES)
+    chosen = np.array(sorted(r["f"] for r in chi.collect()), np.int64)
+    shared = spark.sparkContext.broadcast(chosen)  # size: FEATURES numbers
+
+    def restrict(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = [np.intersect1d(np.array(f.as_py(), np.int64), shared.value, assume_unique=True).astype(np.uint32).tobytes() for f in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["k", "y", "f"])
+
+    got = sorted(made.transform(in_arrow, restrict, "k long, y int, f binary").collect(), key=lambda r: r["k"])
+    return [r["k"] for r in got], [r["y"] for r in got], [np.frombuffer(bytes(r["f"]), np.uint32) for r in got]
 
-    sets, bits, given = labelled_sample(docs, labels, label=label, most=most, id_column=id_column, text_column=text_column)
-    model = Model(lexicons=mine(sets, given))
-    lexicons = model.lexicons
+
+def _patterns(texts: DataFrame, lexicons: list[list[int]], keys: list[str]) -> DataFrame:
+    """(keys, mask, n): the number of rows of (keys, t) with a firing pattern, added up in the tasks first."""
+    fields = [f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys]
 
     def count(batches: Iterator):
         import pyarrow as pa
 
         voters, seen = Voters(lexicons), {}
         for batch in batches:
-            for t in batch.column(0):
-                mask = voters(t.as_py())
-                seen[mask] = seen.get(mask, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["mask", "n"])
-
-    counts = docs.select(text_or_empty(text_column).alias("t")).transform(in_arrow, count, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n"))
-    total = {r["mask"]: r["n"] for r in counts.collect()}
-    stems = {h: 1 << k for k, s in enumerate(lexicons) for h in s}
-    hashes = np.array(sorted(stems), np.uint32)
-    masks = []
-    for found, b in zip(sets, bits, strict=True):
-        own = b << LEXICONS
-        for h in np.intersect1d(found, hashes, assume_unique=True).tolist():
-            own |= stems[h]
-        masks.append(own)
+            given = [c.to_pylist() for c in batch.columns[:-1]]
+            for i, t in enumerate(batch.column(batch.num_columns - 1)):
+                place = (*(g[i] for g in given), voters(t.as_py()))
+                seen[place] = seen.get(place, 0) + 1
+        if seen:
+            columns = [*zip(*seen, strict=True), list(seen.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "y" else pa.int64()) for c, k in zip(columns, [*keys, "mask", "n"], strict=True)], names=[*keys, "mask", "n"])
+
+    return texts.select(*keys, "t").transform(in_arrow, count, ", ".join([*fields, "mask long, n long"])).groupBy(*keys, "mask").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = MOST_LABELLED, posterior: bool = True, id_column: str = "doc_id", text_column: str = "text") -> Model:
+    """Voters, label model and classifier. The firing patterns are counted over all rows of ``docs``.
+
+    ``posterior=False`` trains the classifier on the given labels instead, to tell what the label model adds.
+    """
+    import numpy as np
+
+    sample = labelled_sample(docs, labels, label=label, most=most, id_column=id_column, text_column=text_column)
+    keys, given, sets = feature_sets(sample)
+    kind = lambda s, k: s[s & 3 == k]
+    parts = [[i for i, key in enumerate(keys) if (key >> 7) % KINDS != k] for k in range(KINDS)]
+    model = Model(lexicons=[mine([kind(sets[i], k) for i in rows], [given[i] for i in rows]) for k, rows in enumerate(parts)])
+    total = {r["mask"]: r["n"] for r in _patterns(docs.select(text_or_empty(text_column).alias("t")), model.lexicons, []).collect()}
+    mask_of = {r["k"]: (r["y"], r["mask"]) for r in _patterns(sample, model.lexicons, ["k", "y"]).collect()}  # a row for each labelled text
     known: tuple[dict, dict] = ({}, {})
-    for mask, y in zip(masks, given, strict=True):
+    for y, mask in mask_of.values():
         known[y][mask] = known[y].get(mask, 0) + 1
-    posterior, cliques, rates = label_model(total, known, LEXICONS + 4)
-    model.rates = {"cliques": cliques, "rates": rates.tolist()}
-    model.weights, model.bias = train_linear(sets, [posterior[m] for m in masks])
+    chance, cliques, rates = label_model(total, known, len(VOTERS))
+    prior = sum(n * chance[m] for m, n in total.items()) / max(1, sum(total.values()))
+    for v, name in enumerate(VOTERS):
+        clean, toxic = (float(rates[y][v]) for y in (0, 1))
+        together = next((c for c in cliques if v in c), (v,))
+        model.voters.append({"voter": name, "fires_if_clean": clean, "fires_if_toxic": toxic, "accuracy": prior * toxic + (1 - prior) * (1 - clean), "together_with": [VOTERS[o] for o in together if o != v]})
+    soft = [chance[mask_of[k][1]] for k in keys] if posterior else given
+    model.weights, model.bias = train_linear(sets, np.array(soft, float))
     return model
 
 
@@ -356,7 +400,7 @@ def score(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFr
 
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"], text_or_empty(text_column).alias("__t"))
     schema = T.StructType([f for f in kept.schema.fields if f.name != "__t"] + [T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # size: at most FEATURES weights and MOST_STEMS stems
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # size: at most FEATURES weights and KINDS x MOST_STEMS stems
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -372,8 +416,10 @@ def score(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFr
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
-    Only rows of the training part teach labels; scores see nothing but the text. Null texts count as empty, a null id as
-    the empty text in the check sum. Without usable labels every score is that of the bias. Extra columns are not read.
+    Only rows of the training part teach labels; scores see nothing but the text, whole whatever its length. Null texts
+    count as empty, a null id as the empty text in the check sum. Repeated rows get equal scores; a score of 0.5 (a tie) is
+    predicted toxic. Without usable labels every score is that of the bias. Extra columns are not read. An empty table gives
+    an empty result.
     """
     model = fit(docs, labels, id_column=id_column, text_column=text_column, **options)
     scored = score(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("__x")), model, text_column="__x")
