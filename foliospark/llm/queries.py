@@ -17,7 +17,11 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(table(spark, sf_dir, "conversations"))
+    """Conversations as transcripts with mixed and missing markers, parsed and decoded by a model that never sees the roles of
+    the held-out ones (CRC-32 of the id, modulo 5, is 0). ``turn`` orders a conversation's entries."""
+    parsed = chat.entries(chat.transcripts(table(spark, sf_dir, "conversations")), segment="segment", roles="roles")
+    held = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return chat.format_chat(parsed, learn_from=~held).select("conv_id", "turn", held.alias("held_out"), "role", "given_role", "rendered")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

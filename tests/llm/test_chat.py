@@ -40,7 +40,7 @@ def test_markers(spark):
 def test_plain_transcripts(spark):
     talk = "System: You are a guide.\nUser: hi there\nwhat is it?\nAssistant: a long answer\nof lines\n\n  \nwithout a marker\nUser : bye"
     frame = spark.createDataFrame([(1, talk), (2, None), (3, " \n\n"), (4, "just this")], "conv_id long, text string")
-    found = sorted((r.conv_id, r.turn, r.text) for r in chat.entries(frame).collect())
+    found = sorted((r.conv_id, r.turn, r.text) for r in chat.entries(frame).collect())  # no roles are known
     assert found == [
         (1, 0, "System: You are a guide."), (1, 1, "User: hi there\nwhat is it?"), (1, 2, "Assistant: a long answer\nof lines"), (1, 3, "without a marker"), (1, 4, "User : bye"), (4, 0, "just this"),
     ]
@@ -69,20 +69,24 @@ def random_model(rng):
     return chat.Model(row(3), [row(3) for _ in range(3)], [row(10) for _ in range(3)])
 
 
-def test_viterbi_whole_and_in_pieces():
+@pytest.mark.parametrize("ties", [False, True])
+def test_viterbi_whole_and_in_pieces(ties):
+    """Also where many paths are equally good: pieces give the very path of the whole."""
     rng = random.Random(2)
-    for _ in range(60):
+    for _ in range(150):
         model, seen = random_model(rng), [rng.randrange(10) for _ in range(rng.randrange(1, 8))]
-        want = brute(model, seen)[1]
+        if ties:
+            few = lambda n: [rng.randrange(-2, 1) for _ in range(n)]
+            model = chat.Model(few(3), [few(3) for _ in range(3)], [few(10) for _ in range(3)])
+            want = chat.viterbi(model, seen)
+            score = lambda path: model.start[path[0]] + sum(model.show[p][o] for p, o in zip(path, seen)) + sum(model.step[a][b] for a, b in zip(path, path[1:]))  # noqa: E731,B023
+            assert score(want) == score(brute(model, seen)[1])
+        else:
+            want = brute(model, seen)[1]
         assert chat.viterbi(model, seen) == want
         cuts = sorted({0, len(seen), *(rng.randrange(len(seen) + 1) for _ in range(3))})
         parts = [seen[a:b] for a, b in zip(cuts, cuts[1:])]
-        pieces = []
-        for n, part in enumerate(parts):
-            first = [model.start[b] + model.show[b][part[0]] for b in range(3)]
-            rest = chat.piece_matrix(model, part[1:]) if len(part) > 1 else None
-            pieces.append((n, "c", chat.piece_matrix(model, part), first if rest is None else [max(first[a] + rest[a][b] for a in range(3)) for b in range(3)]))
-        settled = chat.settle(model, pieces)
+        settled = chat.settle([(n, "c", *chat.piece_matrix(model, part), chat.begun_scores(model, part)) for n, part in enumerate(parts)])
         got = []
         for n, part in enumerate(parts):
             enter, leave = settled.get((n, "c"), (None, None))
@@ -99,7 +103,7 @@ def test_roles_are_recovered_whatever_the_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     results = []
     try:
-        for n in ("2", "9"):
+        for n in ("2", "16"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
             found = chat.format_chat(frame).collect()
@@ -110,7 +114,7 @@ def test_roles_are_recovered_whatever_the_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     right = {(c, t): r for c, t, r, _ in rows}
     assert sum(right[c, t] == r for c, t, r in results[0]) > 0.97 * len(rows)
-    assert sum(a != b for a, b in zip(*results, strict=True)) <= 2  # transition counts differ by the pairs at the parts' edges
+    assert results[0] == results[1]
 
 
 def test_rendering(spark):
@@ -127,6 +131,80 @@ def test_nulls_ties_repeats_empty(spark):
     assert chat.format_chat(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_transcripts_are_parsed_back(spark):
+    rows = corpus(40) + [(500, k, ("user", "assistant")[k % 2], f"turn {k}\n\n \nof many") for k in range(200)] + [(501, 0, "user", None), (501, 1, None, ""), (None, 0, "user", "hi"), (502, 0, "tool", "unknown role")]
+    told = chat.transcripts(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert max(len(r.roles) for r in told.collect()) <= chat.PIECE and told.where("conv_id = 500").count() >= 4
+    found = chat.entries(told, segment="segment", roles="roles").orderBy("conv_id", "turn").collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.conv_id, []).append((r.role, r.text))
+    for conv in {c for c, *_ in rows} - {501}:
+        own = [(chat.ROLES.index(role) if role in chat.ROLES else None) for c, _, role, _ in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])]
+        assert [role for role, _ in by[conv]] == own
+    assert all(t.rstrip().endswith(f"turn {k}\nof many") for k, (_, t) in enumerate(by[500])) and len(by.get(501, [])) <= 1
+
+
+def test_query_equals_brute_force(spark):
+    """Transcripts from the operator; parsing, learning, decoding and rendering again in plain Python."""
+    import itertools
+    import math
+    import re
+    import zlib
+
+    from foliospark.llm import queries
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    mark = chat.MARK.replace("(%s)", "(?:%s)") % "|".join(n for role in chat.ROLES for n in chat.NAMES[role])
+    talks = {}
+    for r in chat.transcripts(turns).orderBy("conv_id", "segment").collect():
+        pieces = [p for p in re.split(rf"\n(?:[ \t]*\n)+|\n(?={mark})", r.text, flags=re.I) if p.strip()]
+        assert len(pieces) == len(r.roles)
+        talks.setdefault(r.conv_id, []).extend(zip(pieces, r.roles))
+
+    def seen(t):
+        which = 0
+        for k, role in enumerate(chat.ROLES):
+            if not which and re.match(chat.MARK % "|".join(chat.NAMES[role]), t, re.I):
+                which = k + 1
+        opening = bool(re.match(r"\s*(?:you are|act as|please|write|explain|translate|answer|always|never)\b", t, re.I))
+        return which, int("?" in t), int(opening), sum(len(t) > b for b in chat.LENGTHS), min(3, t.count("\n")), int(bool(re.search(r"(?m)^\s*(?:[-*] |\d+[.)] |```|def |import )", t)))
+
+    start, step, tables = [0.5] * 3, [[0.5] * 3 for _ in range(3)], [[[0.5] * n for n in chat.SIZES] for _ in range(3)]
+    held = lambda c: zlib.crc32(str(c).encode()) % 5 == 0
+    for conv, talk in talks.items():
+        if held(conv):
+            continue
+        for n, (t, role) in enumerate(talk):
+            if n == 0:
+                start[role] += 1
+            else:
+                step[talk[n - 1][1]][role] += 1
+            for f, v in enumerate(seen(t)):
+                tables[role][f][v] += 1
+    for role in range(3):
+        tables[role][0][role + 1] += 4
+    logs = lambda row: [round(chat.UNIT * math.log(x / sum(row))) for x in row]
+    start, step, tables = logs(start), [logs(r) for r in step], [[logs(t) for t in role] for role in tables]
+    want = []
+    for conv, talk in talks.items():
+        shown = [[sum(tables[role][f][v] for f, v in enumerate(seen(t))) for role in range(3)] for t, _ in talk]
+        score = lambda path: start[path[0]] + sum(s[p] for s, p in zip(shown, path)) + sum(step[a][b] for a, b in zip(path, path[1:]))  # noqa: E731,B023
+        best = max(itertools.product(range(3), repeat=len(talk)), key=score)
+        for (t, role), p in zip(talk, best):
+            bare = re.sub(r"(?i)(?:<\|im_end\|>|<\|end\|>)\s*$", "", re.sub("^" + mark, "", t, flags=re.I)).strip()
+            want.append((conv, held(conv), chat.ROLES[p], chat.ROLES[role], f"<|{chat.ROLES[p]}|>\n{bare}\n<|end|>\n"))
+    found = [(r.conv_id, r.held_out, r.role, r.given_role, r.rendered) for r in queries.op1_chat_format(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(found) == sorted(want)
+
+
+def test_query_recovers_roles_the_model_never_saw(spark):
+    from foliospark.llm import queries
+
+    found = queries.op1_chat_format(spark, "/root/testdata/sf0.1").where("held_out").collect()
+    assert len(found) > 500 and sum(r.role == r.given_role for r in found) >= 0.97 * len(found)
+
+
 def test_held_out_accuracy_on_the_benchmark_conversations(spark):
     turns = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
     model = chat.learn(chat.arrange(turns.where("conv_id % 5 <> 0"), conversation="conv_id", turn="turn", text="text", role="role"))
@@ -157,7 +235,7 @@ def test_counts_are_over_all_rows_whatever_the_partitions(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         arranged = chat.arrange(spark.createDataFrame(rows, SCHEMA).repartition(7), conversation="conv_id", turn="turn", text="text", role="role")
-        assert parts == "1" or arranged.select("part").distinct().count() > 4
+        assert parts == "1" or arranged.frame.select("part").distinct().count() > 4
         model = chat.learn(arranged)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -170,5 +248,5 @@ def test_counts_are_over_all_rows_whatever_the_partitions(spark, parts):
         elif k is not None and last[1] is not None:
             step[last[1]][k] += 1
         last = (conv, k)
-    logs = lambda row: [math.log(x / sum(row)) for x in row]
-    assert model.start == pytest.approx(logs(start)) and [x for r in model.step for x in r] == pytest.approx([x for r in step for x in logs(r)])
+    logs = lambda row: [round(chat.UNIT * math.log(x / sum(row))) for x in row]
+    assert model.start == logs(start) and model.step == [logs(r) for r in step]
