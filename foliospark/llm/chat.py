@@ -62,18 +62,17 @@ def transcripts(turns: DataFrame, *, conversation: str = "conv_id", turn: str =
     without text leave no trace. ``roles`` has the places in ROLES (or null) of the turns shown, and serves to score what is
     recovered. ``segment`` rises along a conversation. Order, ties and nulls as in ``arrange``.
     """
-    body = without_marker(F.regexp_replace(text_or_empty(text), r"\n\s*\n", "\n"))
-    given = role_of(F.col(role))
-    drawn = F.xxhash64(F.lit(seed), F.col(conversation), F.col(turn), F.col(text))
+    raw = arrange(turns, conversation=conversation, turn=turn, text=text, role=role, observe=False).frame
+    body = without_marker(F.regexp_replace("text", r"\n\s*\n", "\n"))
+    drawn = F.xxhash64(F.lit(seed), "conv_id", "turn", "text")
     named = F.lit(None).cast("string")
     for k, r in enumerate(ROLES):
-        names = F.array(*[F.lit(n) for n in NAMES[r] if len(n) > 1])
-        named = F.when(given == k, F.initcap(F.get(names, F.pmod(F.shiftright(drawn, 8), F.size(names)).cast("int")))).otherwise(named)
+        names = F.array(*[F.lit(n.capitalize()) for n in NAMES[r] if len(n) > 1])
+        named = F.when(F.col("given") == k, F.get(names, F.pmod(F.shiftright(drawn, 8), F.size(names)).cast("int"))).otherwise(named)
     pick, shown = F.pmod(drawn, F.lit(len(STYLES) + UNMARKED)), F.concat(F.lit("\n"), body)
     for k, style in enumerate(STYLES):
         shown = F.when((pick == k) & named.isNotNull(), F.concat(F.format_string(style, named), body)).otherwise(shown)
-    rows = turns.withColumns({"__shown": shown, "__given": given}).where("trim(both '\n\t ' from __shown) <> ''")
-    told = arrange(rows, conversation=conversation, turn=turn, text="__shown", role="__given").frame
+    told = raw.select("part", "seq", "conv_id", "given", shown.alias("text")).where("trim(both '\n\t ' from text) <> ''")
     beside = F.row_number().over(Window.partitionBy("part", "conv_id").orderBy("seq")) - 1
     piece = told.withColumn("piece", F.floor(beside / PIECE)).groupBy("conv_id", "part", "piece").agg(F.min("seq").alias("segment"), F.array_sort(F.collect_list(F.struct("seq", "text", "given"))).alias("own"))
     return piece.select("conv_id", "segment", F.array_join(F.transform("own", lambda x: x["text"]), "\n").alias("text"), F.transform("own", lambda x: x["given"]).alias("roles"))
@@ -150,21 +149,24 @@ class Arranged:
         return [sorted(found[k]) for k in sorted(found)]
 
 
-def arrange(turns: DataFrame, *, conversation: str, turn: str, text: str, role: str | None, taught: Column | None = None) -> Arranged:
+def arrange(turns: DataFrame, *, conversation: str, turn: str, text: str, role: str | None, taught: Column | None = None, observe: bool = True) -> Arranged:
     """Entries in order of conversation and turn: (part, seq, conv_id, turn, text, observed, given, taught).
 
     ``part`` is the range partition, ``seq`` rises with the order. Ties of conversation and turn are ordered by the text's
     hash, then the given role; rows equal in all of these by a number drawn when they are read, so even these can be dealt
     to many parts. Nulls come first. ``taught``: the given role where a model may learn from it (everywhere by default).
+    Features are looked at after the shuffle, as its ranges are found by reading the rows once before; ``observe=False``
+    leaves them out.
     """
     spark, body = turns.sparkSession, text_or_empty(text)
     given = role_of(F.col(role)) if role else F.lit(None).cast("int")
     lesson = given if taught is None else F.when(taught, given)
-    rows = turns.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), body.alias("text"), observed(body).alias("observed"), given.alias("given"), lesson.alias("taught"))
+    rows = turns.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), body.alias("text"), given.alias("given"), lesson.alias("taught"))
     tie, drawn = F.xxhash64("text").alias("tie"), F.xxhash64(F.monotonically_increasing_id()).alias("drawn")
     order = ["conv_id", "turn", "tie", "given", "drawn"]
     dealt = rows.withColumn("tie", tie).withColumn("drawn", drawn).repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = dealt.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"), "conv_id", "turn", "text", "observed", "given", "taught")
+    seen = [observed(F.col("text")).alias("observed")] if observe else []
+    numbered = dealt.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"), "conv_id", "turn", "text", *seen, "given", "taught")
     path = scratch(spark, "chat")
     write(spark, numbered, path)
     return Arranged(spark.read.schema(numbered.schema).parquet(path), path)

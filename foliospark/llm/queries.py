@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import bpe, chat, media, mixing, near, pii, quality, sharding, toxicity, warc
-from foliospark.llm.common import table
+from foliospark.llm.common import table, written
 
 
 def tokenizer() -> tuple[str, str]:
@@ -19,7 +19,7 @@ def tokenizer() -> tuple[str, str]:
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as transcripts with mixed and missing markers, parsed and decoded by a model that never sees the roles of
     the held-out ones (CRC-32 of the id, modulo 5, is 0). ``turn`` orders a conversation's entries."""
-    parsed = chat.entries(chat.transcripts(table(spark, sf_dir, "conversations")), segment="segment", roles="roles")
+    parsed = written(spark, chat.entries(chat.transcripts(table(spark, sf_dir, "conversations")), segment="segment", roles="roles"), "chat-entries")
     held = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     return chat.format_chat(parsed, learn_from=~held).select("conv_id", "turn", held.alias("held_out"), "role", "given_role", "rendered")
 
