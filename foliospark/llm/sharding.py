@@ -23,39 +23,45 @@ from foliospark.llm.common import hot_join, hot_keys, in_arrow, text_or_empty, w
 CELL, CHUNK = 50_000, 1_000_000
 #: A group with more than this part of all bytes is heavy; parts that loose cells give in all, and in one at most.
 HEAVY_PARTS, LOOSE, MOST_LOOSE = 4096, 65_536, 512
+#: Parts of a loose cell that are differenced; where it may have more, they are its smallest groups, each alone.
+BUNDLES = 64
 
 
-def combine(partials: list[tuple[list, list]]) -> tuple[list, list]:
-    """Karmarkar-Karp over partial partitions (sums, parts): the one that is left, its sums falling.
+def combine(partials: list[tuple[list, list]], shards: int) -> list[list]:
+    """Karmarkar-Karp over partial partitions (sums, parts) of ``shards`` parts at most: the parts of the one that is left.
 
     A heap holds them by spread. The two with the largest spread are combined with opposite orders (the heaviest part of
-    one meets the lightest of the other) until one is left. Ties go by the order given. Sums are kept above the lightest.
+    one meets the lightest of the other) until one is left. Ties go by the order given. Sums are kept above the lightest,
+    and empty parts are left out, so that memory grows with the items and not with their product with the parts.
     """
-    heap = []
-    for n, (sums, parts) in enumerate(partials):
-        order = sorted(range(len(sums)), key=lambda k: -sums[k])
-        low = sums[order[-1]]
-        heap.append((low - sums[order[0]], n, [sums[k] - low for k in order], [parts[k] for k in order]))
+
+    def kept(n: int, entries: list) -> tuple:
+        entries.sort(key=lambda x: -x[0])
+        if len(entries) == shards and entries[-1][0]:
+            low = entries[-1][0]
+            entries = [(total - low, part) for total, part in entries]
+        return (-entries[0][0] if entries else 0, n, entries)
+
+    heap = [kept(n, [(total, part) for total, part in zip(sums, parts, strict=True) if part]) for n, (sums, parts) in enumerate(partials)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, n, sums, parts = heapq.heappop(heap)
-        _, _, sums2, parts2 = heapq.heappop(heap)
-        joined = []
-        for total, part, total2, part2 in zip(sums, parts, reversed(sums2), reversed(parts2), strict=True):
+        _, n, one = heapq.heappop(heap)
+        _, _, two = heapq.heappop(heap)
+        alone, other = max(0, min(len(one), shards - len(two))), max(0, min(len(two), shards - len(one)))
+        joined = one[:alone] + two[:other]
+        for (total, part), (total2, part2) in zip(one[alone:], reversed(two[other:]), strict=True):
             long, short = (part, part2) if len(part) >= len(part2) else (part2, part)
             long.extend(short)
             joined.append((total + total2, long))
-        joined.sort(key=lambda x: -x[0])
-        low = joined[-1][0]
-        heapq.heappush(heap, (low - joined[0][0], n, [s - low for s, _ in joined], [p for _, p in joined]))
-    return heap[0][2:] if heap else ([], [])
+        heapq.heappush(heap, kept(n, joined))
+    parts = [part for _, part in heap[0][2]] if heap else []
+    return parts + [[] for _ in range(shards - len(parts))]
 
 
 def difference(sizes: dict, shards: int) -> dict:
     """item -> shard, differencing all items. Larger items come first, ties go by the items' order; no items: an empty result."""
     ordered = sorted(sizes.items(), key=lambda x: (-x[1], x[0]))
-    _, parts = combine([([size] + [0] * (shards - 1), [[item]] + [[] for _ in range(shards - 1)]) for item, size in ordered])
-    return {item: shard for shard, part in enumerate(parts) for item in part}
+    return {item: shard for shard, part in enumerate(combine([([size], [[item]]) for item, size in ordered], shards)) for item in part}
 
 
 def _cells(groups: DataFrame, shards: int, loose: int, loose_parts: int) -> DataFrame:
@@ -68,8 +74,13 @@ def _cells(groups: DataFrame, shards: int, loose: int, loose_parts: int) -> Data
         import pyarrow as pa
 
         def done():
-            sizes, parts = dict(held), loose_parts if cell < loose else shards
-            placed = difference(sizes, parts)
+            sizes, parts, alone = dict(held), shards, []
+            if cell < loose:
+                parts = loose_parts
+                alone = sorted(sizes, key=lambda k: (sizes[k], k))[: max(0, parts - BUNDLES)]
+            single = set(alone)
+            placed = difference({k: v for k, v in sizes.items() if k not in single} if alone else sizes, parts - len(alone))
+            placed |= {k: parts - len(alone) + i for i, k in enumerate(alone)}
             sums = [0] * parts
             for key, part in placed.items():
                 sums[part] += sizes[key]
@@ -93,15 +104,13 @@ def _cells(groups: DataFrame, shards: int, loose: int, loose_parts: int) -> Data
 
 def _place(heavy: dict[int, int], sums: dict[int, list[int]], shards: int, loose: int) -> tuple[dict, dict]:
     """(heavy key -> shard, (cell, part) -> shard): heavy groups and loose parts as single items, other cells as they are."""
-    single = lambda size, item: ([size] + [0] * (shards - 1), [[item]] + [[] for _ in range(shards - 1)])
-    items = [single(size, key) for key, size in sorted(heavy.items(), key=lambda x: (-x[1], x[0]))]
+    items = [([size], [[key]]) for key, size in sorted(heavy.items(), key=lambda x: (-x[1], x[0]))]
     for cell, own in sorted(sums.items()):
         if cell < loose:
-            items += [single(size, (cell, part)) for part, size in enumerate(own)]
+            items += [([size], [[(cell, part)]]) for part, size in enumerate(own)]
         else:
             items.append((own, [[(cell, part)] for part in range(len(own))]))
-    _, parts = combine(items)
-    placed = {item: shard for shard, part in enumerate(parts) for item in part}
+    placed = {item: shard for shard, part in enumerate(combine(items, shards)) for item in part}
     return {k: v for k, v in placed.items() if not isinstance(k, tuple)}, {k: v for k, v in placed.items() if isinstance(k, tuple)}
 
 

@@ -103,3 +103,18 @@ def test_benchmark_documents_are_balanced(spark):
 
 def test_empty_table(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_parts_take_no_product_of_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    sizes = {i: rng.randrange(1, 10_000) for i in range(20_000)}
+    tracemalloc.start()
+    placed = sharding.difference(sizes, 64)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    sums = [0] * 64
+    for i, k in placed.items():
+        sums[k] += sizes[i]
+    assert len(placed) == len(sizes) and max(sums) - min(sums) <= 10
