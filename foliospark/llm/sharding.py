@@ -23,7 +23,8 @@ from foliospark.llm.common import hot_join, hot_keys, in_arrow, text_or_empty, w
 CELL, CHUNK = 50_000, 1_000_000
 #: A group with more than this part of all bytes is heavy; parts that loose cells give in all, and in one at most.
 HEAVY_PARTS, LOOSE, MOST_LOOSE = 4096, 65_536, 512
-#: Parts of a loose cell that are differenced; where it may have more, they are its smallest groups, each alone.
+#: Parts of a loose cell that are differenced; where it may have more, these are single groups of all sizes, the largest ones
+#: and some from the whole range, so that gaps of any width can be filled.
 BUNDLES = 64
 
 
@@ -77,7 +78,10 @@ def _cells(groups: DataFrame, shards: int, loose: int, loose_parts: int) -> Data
             sizes, parts, alone = dict(held), shards, []
             if cell < loose:
                 parts = loose_parts
-                alone = sorted(sizes, key=lambda k: (sizes[k], k))[: max(0, parts - BUNDLES)]
+                falling, room = sorted(sizes, key=lambda k: (-sizes[k], k)), max(0, min(parts - BUNDLES, len(sizes)))
+                alone = falling[: room // 2]
+                rest = falling[room // 2 :]
+                alone += [rest[i * len(rest) // (room - room // 2)] for i in range(room - room // 2)]
             single = set(alone)
             placed = difference({k: v for k, v in sizes.items() if k not in single} if alone else sizes, parts - len(alone))
             placed |= {k: parts - len(alone) + i for i, k in enumerate(alone)}
