@@ -32,16 +32,17 @@ INSULTS = frozenset("airhead bonehead clown coward creep cretin degenerate dimwi
 CONTEMPT = frozenset("abomination abysmal despicable dirt disgrace disgusting filth filthy garbage gross hideous lowlife nasty parasite parasites pathetic repulsive rotten rubbish scum scumbag trash ugly useless vermin vile worthless".split())
 PROFANITY = frozenset("arse arsehole ass asshole bastard bastards bitch bitches bollocks bullshit crap cunt damn dickhead dumbass fuck fucked fucker fucking motherfucker piss prick retard shit shitty slut wanker whore".split())
 ALL = INSULTS | CONTEMPT | PROFANITY
+SQUEEZED = frozenset(re.sub(r"(.)\1+", r"\1", w) for w in ALL if len(w) > 3)
 MASKED = frozenset(f"{w[:k]}*{w[k + 1 :]}" for w in ALL if len(w) > 3 for k in range(1, len(w) - 1))
 
 WORDS = re.compile(r"\w+").findall
-DISGUISED = re.compile(r"(?<![\w@$*])(?=[a-z@$*0-9]*[a-z])[a-z@$0-9]+[@$*0-9][a-z@$*0-9]*[a-z](?![\w@$*])|(?<![\w@$*])[@$0-9][a-z0-9@$]*[a-z](?![\w@$*])").findall
+SIGNED = re.compile(r"[a-z0-9@$*]*[a-z0-9][@$*]+[a-z][a-z0-9@$*]*|(?<![\w@$*])[@$][a-z0-9][a-z0-9@$*]*").findall
 SPACED = re.compile(r"\b(?:[a-z][ .-]){3,}[a-z]\b").findall
 PLAIN = str.maketrans("013457@$", "oieastas")
 _ANY = "|".join(sorted(ALL))
 AIMED = re.compile(rf"\b(?:you|your|he|she|they|these|those|such)(?:'re|'s| are| is)?(?: \w+)? (?:{_ANY})\b").search
 SHOUTED = re.compile(rf"\b(?:{_ANY.upper()})\b|\b(?i:{_ANY})\b[^\w\n]{{0,2}}!{{3,}}").search
-STRETCHED = re.compile(r"\b\w*?(\w)\1{2,}\w*\b")
+STRETCHED = re.compile(r"(\w)\1\1").search
 NEGATED = re.compile(rf"\b(?:not|no|never|n't|isn't|nobody is|without being)(?: \w+){{0,2}} (?:{_ANY})\b|[\"“](?:{_ANY})[\"”]").search
 #: Bits of a firing pattern, lowest first. The driver sees at most 2**12 counts.
 VOTERS = ("mined words", "mined fours", "mined fives", "mined sixes", "insults", "contempt", "profanity", "disguised", "repeated", "aimed", "shouted", "negated")
@@ -69,10 +70,11 @@ class Model:
 
 
 def disguised(low: str) -> bool:
-    """Whether the lower-case text has a listed word with digits or signs for letters, a letter masked, or letters apart."""
-    for found in DISGUISED(low):
-        if found in MASKED or ("*" not in found and found.translate(PLAIN) in ALL):
-            return True
+    """Whether the lower-case text has a listed word with signs for letters, a letter masked, or letters apart."""
+    if "@" in low or "$" in low or "*" in low:
+        for found in SIGNED(low):
+            if found in MASKED or ("*" not in found and found.translate(PLAIN) in ALL):
+                return True
     return any(re.sub("[ .-]", "", found) in ALL for found in SPACED(low))
 
 
@@ -91,6 +93,11 @@ class Voters:
         bits = (word in INSULTS) << KINDS | (word in CONTEMPT) << KINDS + 1 | (word in PROFANITY) << KINDS + 2
         for h in features_of(word):
             bits |= self.of.get(h, 0)
+        if word not in ALL:  # with digits for letters, or letters drawn out
+            if not word.isalpha() and not word.isdigit() and word.translate(PLAIN) in ALL:
+                bits |= 1 << KINDS + 3
+            if STRETCHED(word) and re.sub(r"(.)\1+", r"\1", word) in SQUEEZED:
+                bits |= 1 << KINDS + 6
         self.known[word] = bits
         return bits
 
@@ -100,12 +107,11 @@ class Voters:
         for w in set(words):
             b = known.get(w)
             bits |= self._look(w) if b is None else b
-        stretched = any(w not in ALL and re.sub(r"(.)\1+", r"\1", w) in ALL for w in {m[0] for m in STRETCHED.finditer(low)})
         n = KINDS + 3
         bits |= disguised(low) << n
         if bits >> KINDS & 7:
             bits |= (sum(w in ALL for w in words) >= 3) << n + 1 | bool(AIMED(low)) << n + 2 | bool(SHOUTED(text)) << n + 3 | bool(NEGATED(low)) << n + 4
-        return bits | stretched << n + 3
+        return bits
 
 
 def indexed(sets: list, least: int):
