@@ -196,17 +196,23 @@ def manifest(pages: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFram
     counted = counts.groupBy("doc_id", "k").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("counts"))
     sizes = pages.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("page_number", F.struct("width", "height").alias("size"))))).alias("pages"))
     notes = F.create_map(
-        F.lit("embed_policy"), F.lit("roles=title,h1,h2,h3,paragraph,list_item,caption,table|min_len=15|skip_empty_figures"), F.lit("coord_contract"), F.lit("normalized_top_left")
+        F.lit("embed_policy"), F.lit(schemas.EMBED_POLICY), F.lit("coord_contract"), F.lit("normalized_top_left")
     )
     return counted.join(sizes, "doc_id", "left").select("doc_id", "pages", "counts", notes.alias("notes"))
 
 
+def blocks_of(elements: DataFrame, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(blocks, pages): what assembly gets, and the page sizes; elements are dealt by document first."""
+    body = layout.without_contents(elements.repartition("doc_id"), strict=strict)
+    return layout.attach_captions(layout.merge_text(layout.without_margins(layout.with_boxes(body)))), layout.page_sizes(body)
+
+
 def run_chunking(elements: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(chunks, manifest) of all documents at once.
 
-    Rows are dealt by document first. All keys that follow begin with the document, so that this is the one shuffle.
+    Rows are dealt by document first. All keys that follow begin with the document, so that this is the one shuffle of
+    elements; the files' names are counted down to one a document before theirs.
     """
-    body = layout.without_contents(elements.repartition("doc_id"), strict=strict)
-    blocks = layout.attach_captions(layout.merge_text(layout.without_margins(layout.with_boxes(body))))
-    chunks = finish_chunks(chunk_blocks(blocks, max_tokens=max_tokens, overlap=overlap), elements.repartition("doc_id"))
-    return chunks, manifest(layout.page_sizes(body), blocks, chunks)
+    blocks, pages = blocks_of(elements, strict=strict)
+    chunks = finish_chunks(chunk_blocks(blocks, max_tokens=max_tokens, overlap=overlap), elements)
+    return chunks, manifest(pages, blocks, chunks)

@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark import schemas
 from foliospark.functions import geometry, text
+from foliospark.functions.frames import in_arrow
 
 REQUIRED = ("chunk_id", "doc_id", "source_file", "page_start", "role", "text", "order_rank")
 
 
 
+def invalid_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, rule, ord, chunk_id, detail) like ``violations``, rule ``json``, for every line that is no JSON; blank lines pass."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("detail"))
+    bad = lines.where(F.expr("trim(value) <> '' AND try_parse_json(value) IS NULL"))
+    none = F.lit(None).cast("string")
+    return bad.select(none.alias("doc_id"), F.lit("json").alias("rule"), F.lit(None).cast("int").alias("ord"), none.alias("chunk_id"), "detail")
+
+
+def shared_area(x1, y1, x2, y2) -> float:
+    """Area that pairs of boxes share, summed over all pairs; boxes are swept by y, a few hundred at a time."""
+    import numpy as np
+
+    order = np.argsort(y1, kind="stable")
+    x1, y1, x2, y2 = (np.asarray(v, float)[order] for v in (x1, y1, x2, y2))
+    total = 0.0
+    for at in range(0, len(y1), 256):
+        end = min(at + 256, len(y1))
+        beyond = int(np.searchsorted(y1, y2[at:end].max(), "left"))  # later boxes begin below all of these
+        wide = np.minimum(x2[at:end, None], x2[None, at:beyond]) - np.maximum(x1[at:end, None], x1[None, at:beyond])
+        high = np.minimum(y2[at:end, None], y2[None, at:beyond]) - np.maximum(y1[at:end, None], y1[None, at:beyond])
+        both = np.maximum(wide, 0) * np.maximum(high, 0)
+        both[np.arange(beyond - at)[None, :] <= np.arange(end - at)[:, None]] = 0  # each pair once
+        total += float(both.sum())
+    return total
+
+
 def violations(chunks: DataFrame) -> DataFrame:
     """(doc_id, rule, ord, chunk_id, detail), a row for every broken rule of every chunk.
 
@@ -101,8 +130,8 @@ def layout_metrics(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, n, in_bounds, coverage, overlap) of each page; a missing page number counts as page 1.
 
     in_bounds: share of elements with a proper box inside the page, within 2 units; coverage: area of boxes over the
-    page's, at most 1; overlap: area that pairs of boxes share over the page's. Pairs meet by page, so the work is that of
-    a page's boxes, which the page bounds.
+    page's, at most 1; overlap: area that pairs of boxes share over the page's. A page's boxes are swept in one row of a
+    task, so no pair becomes a row; a document without page numbers is one page.
     """
     zero = geometry.box(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
     boxes = (
@@ -116,12 +145,16 @@ def layout_metrics(elements: DataFrame, pages: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.avg(F.coalesce(fits, F.lit(False)).cast("double")).alias("in_bounds"), F.sum(geometry.area(F.col("b"))).alias("area"),
         F.max(F.col("width") * F.col("height")).alias("page_area"),
     )
-    some = boxes.where(proper)
-    pairs = (
-        some.alias("a").join(some.alias("z"), (F.col("a.doc_id") == F.col("z.doc_id")) & (F.col("a.page_number") == F.col("z.page_number")) & (F.col("a.ord") < F.col("z.ord")))
-        .groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.page_number").alias("page_number"))
-        .agg(F.sum(geometry.overlap(F.col("a.b"), F.col("z.b"))).alias("shared"))
-    )
+    sides = [F.collect_list(F.when(proper, F.col(f"b.{k}"))).alias(k) for k in ("x1", "y1", "x2", "y2")]
+
+    def sweep(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            areas = [shared_area(*(batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(2, 6))) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(areas, pa.float64())], names=["doc_id", "page_number", "shared"])
+
+    pairs = boxes.groupBy("doc_id", "page_number").agg(*sides).transform(in_arrow, sweep, "doc_id string, page_number int, shared double")
     paged = F.col("page_area") > 0
     return single.join(pairs, ["doc_id", "page_number"], "left").select(
         "doc_id", "page_number", "n", "in_bounds", F.when(paged, F.least(F.lit(1.0), F.col("area") / F.col("page_area"))).otherwise(0.0).alias("coverage"),

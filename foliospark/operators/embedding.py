@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.functions import text
+from foliospark.functions import storage, text
+from foliospark.functions.joins import hot_join, hot_keys
 
 SCHEMA_VERSION = "chunk-v1"
 
@@ -49,6 +50,18 @@ class HashEncoder:
         return out
 
 
+def pick_device(wanted: str = "auto") -> str:
+    """The device for an encoder: the one asked for, else mps, cuda or cpu, whichever is there first. Without torch it is cpu."""
+    if wanted != "auto":
+        return wanted
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    mps = getattr(torch.backends, "mps", None)
+    return "mps" if mps is not None and mps.is_available() else "cuda" if torch.cuda.is_available() else "cpu"
+
+
 def embed(texts: Column, encoder: Encoder, *, normalize: bool = True, half: bool = False) -> Column:
     """array<float> for each text; ``half`` rounds to 16 bits (Parquet here has no such type, so 32 are stored).
 
@@ -214,7 +227,9 @@ def embed_chunks(
     """(vectors, fresh): the vector table, and the rows (key, vector) to append to the cache.
 
     Select, relink, enrich, prefix, truncate, embed what ``cache`` (key, vector) lacks. Each text is encoded once however
-    many chunks share it. The stored text is the one that was embedded. Truncation counts words between white space.
+    many chunks share it and however often the two results are read: fresh rows are written to the shared folder first.
+    Chunks meet their vectors with hot texts dealt to many tasks. The stored text is the one that was embedded. Truncation
+    counts words between white space.
     """
     encoder = encoder or HashEncoder()
     cut = text.truncation_name(most, strategy)
@@ -222,11 +237,12 @@ def embed_chunks(
     split = text.words(F.col("__full"))
     short = F.when(F.size(split) <= most, F.col("__full")).otherwise(F.array_join(text.truncate(split, most, strategy), " "))
     keyed = rows.withColumn("key", cache_key(encoder.name, F.col("__full"), cut, normalize)).withColumn("embedding_text", short)
-    wanted = keyed.groupBy("key").agg(F.first("embedding_text").alias("embedding_text"))
-    missing = wanted if cache is None else wanted.join(cache.select("key"), "key", "left_anti")
-    fresh = missing.select("key", embed(F.col("embedding_text"), encoder, normalize=normalize, half=half).alias("vector"))
+    wanted = keyed.groupBy("key").agg(F.first("embedding_text").alias("embedding_text"), F.count("*").alias("n"))
+    wanted = storage.written(chunks.sparkSession, wanted, "texts")
+    missing = wanted.drop("n") if cache is None else wanted.drop("n").join(cache.select("key"), "key", "left_anti")
+    fresh = storage.written(chunks.sparkSession, missing.select("key", embed(F.col("embedding_text"), encoder, normalize=normalize, half=half).alias("vector")), "vectors")
     known = fresh if cache is None else fresh.unionByName(cache.select("key", "vector"))
-    vectors = keyed.join(known, "key").select(
+    vectors = hot_join(keyed, known, ["key"], hot_keys(wanted, ["key"]), F.struct("doc_id", "chunk_id")).select(
         "chunk_id", "doc_id", "role", F.col("page_start").cast("int").alias("page_start"), F.col("order_rank").cast("int").alias("order_rank"), "section_id", "section_path", "content_sha256",
         "prev_id", "next_id", F.lit(encoder.name).alias("model_id"), F.lit(encoder.dimension).alias("dim"), F.lit(cut).alias("truncation"), F.lit(normalize).alias("l2_normalize"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), "embedding_text", F.sha2(F.col("embedding_text").cast("binary"), 256).alias("embedding_text_sha256"), "vector",

@@ -317,6 +317,55 @@ def dangling(store: DataFrame, *, scope: tuple[str, ...] = ()) -> DataFrame:
     return links.join(there, [*scope, "reference"], "left_anti")
 
 
+def with_vectors(chunks: DataFrame, vectors: DataFrame, *, scope: tuple[str, ...] = (), columns: tuple[str, ...] = ("embedding_text", "vector")) -> DataFrame:
+    """``chunks`` that have a vector, with the named columns of ``vectors``; links to chunks without one become null."""
+    both = chunks.drop(*columns).join(vectors.select(*scope, "chunk_id", *columns), [*scope, "chunk_id"])
+    there = vectors.select(*scope, "chunk_id").join(chunks.select(*scope, "chunk_id"), [*scope, "chunk_id"], "left_semi").distinct()
+    for side in ("prev_id", "next_id"):
+        known = there.select(*scope, F.col("chunk_id").alias(side), F.lit(True).alias("__known"))
+        both = both.join(known, [*scope, side], "left").withColumn(side, F.when(F.col("__known"), F.col(side))).drop("__known")
+    return both.select(*chunks.drop(*columns).columns, *columns)
+
+
+def aligned(store: DataFrame, index: DataFrame) -> DataFrame:
+    """(rows, vectors, same): the sizes of a store and of the index beside it."""
+    sizes = store.agg(F.count("*").alias("rows")).withColumn("k", F.lit(1)).join(index.agg(F.count("*").alias("vectors")).withColumn("k", F.lit(1)), "k")
+    return sizes.select("rows", "vectors", (F.col("rows") == F.col("vectors")).alias("same"))
+
+
+def check_aligned(store: DataFrame, index: DataFrame) -> bool:
+    """Whether store and index have as many rows; warns, and does not fail, if they differ."""
+    import warnings
+
+    found = aligned(store, index).first()
+    if not found["same"]:
+        warnings.warn(f"the index has {found['vectors']} vectors, the store {found['rows']} rows", stacklevel=2)
+    return found["same"]
+
+
+class CachedStore:
+    """Interactive fetches from a store: the last ``size`` requests (tuples of ids) are remembered. For batches use ``fetch``."""
+
+    def __init__(self, store: DataFrame, size: int = 1000):
+        import functools
+
+        self.store = store
+        self._known = functools.lru_cache(size)(self._look)
+
+    def _look(self, ids: tuple) -> tuple:
+        found = {r["chunk_id"]: r.asDict(recursive=True) for r in self.store.where(F.col("chunk_id").isin(*set(ids))).collect()} if ids else {}
+        if missing := [i for i in ids if i not in found]:
+            raise ValueError(f"unknown chunk_id(s): {missing[:10]}")
+        return tuple(found[i] for i in ids)
+
+    def fetch(self, ids: list) -> list[dict]:
+        """The rows of the ids in order, repeats too; ValueError for unknown ones."""
+        return [dict(r) for r in self._known(tuple(ids))]
+
+    def info(self):
+        return self._known.cache_info()
+
+
 def fetch(requests: DataFrame, store: DataFrame, *, ids: str = "chunk_ids", request_id: str = "request_id", strict: bool = True) -> DataFrame:
     """The stored rows of every requested id with ``pos``, in order and with repeats.
 

@@ -112,6 +112,21 @@ def dangling_refs(spark, sf_dir):
     return retrieval.dangling(fx.store(spark, sf_dir).select("chunk_id", "vec_id", *broken))
 
 
+@query(f"""WITH {fx.STORE}, v AS (SELECT chunk_id FROM store WHERE vec_id % 6 <> 1)
+SELECT chunk_id, label, CASE WHEN prev_id IN (SELECT chunk_id FROM v) THEN prev_id END AS prev_id, CASE WHEN next_id IN (SELECT chunk_id FROM v) THEN next_id END AS next_id, len(vector) AS dimension FROM store JOIN v USING (chunk_id)""")
+def vectors_joined(spark, sf_dir):
+    """All chunks with their vectors; every sixth vector is missing from the index, so links to its chunk lead nowhere."""
+    store = fx.store(spark, sf_dir)
+    joined = retrieval.with_vectors(store.drop("vector"), store.where("vec_id % 6 <> 1").select("chunk_id", "vector"), columns=("vector",))
+    return joined.select("chunk_id", "label", "prev_id", "next_id", F.size("vector").cast("long").alias("dimension"))
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE vec_id % 6 <> 1) AS vectors, count(*) = count(*) FILTER (WHERE vec_id % 6 <> 1) AS same FROM embeddings")
+def index_aligned(spark, sf_dir):
+    store = fx.store(spark, sf_dir)
+    return retrieval.aligned(store, store.where("vec_id % 6 <> 1"))
+
+
 @query(f"SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'query vector has the wrong dimension' WHEN vec_id % 5 = 1 THEN 'query vector is not finite' WHEN vec_id % 5 = 2 THEN 'query vector is missing' END AS problem FROM embeddings")
 def query_validation(spark, sf_dir):
     n = F.col("vec_id") % 5
@@ -411,6 +426,22 @@ def manifest_counts(spark, sf_dir):
     return found.select("doc_id", F.to_json("counts").alias("counts"), F.size("pages").alias("n_pages"))
 
 
+_BODY = f"""{fx.ELEMENTS}, {_TOC}, body AS (SELECT doc_id, doc, ord, page_number, type, text, image_path, x1, y1, x2, y2, lw, lh, given, is_toc FROM toc WHERE NOT coalesce(contents, false)), {fx.PAGES.format(source='body')}, {fx.BOXED.format(source='body')}, {_MARGIN},
+inner_ AS (SELECT * EXCLUDE (line, yc, margin) FROM flagged WHERE NOT coalesce(margin, false))"""
+
+
+_INNER_MERGE = _MERGE.replace("FROM boxes WHERE page_number", "FROM inner_ WHERE page_number").replace("FROM boxes b JOIN tol", "FROM inner_ b JOIN tol")
+
+
+@query(f"""WITH {_BODY}, {_INNER_MERGE}, h AS (SELECT *, CASE WHEN role = 'caption' THEN max(CASE WHEN role IN ('figure', 'table') THEN ord END) OVER (PARTITION BY doc_id, page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS holder FROM blocks),
+c AS (SELECT doc_id, holder AS ord, array_to_string(list(text ORDER BY ord), chr(10)) AS caps FROM h WHERE holder IS NOT NULL GROUP BY 1, 2)
+SELECT doc_id, page, ord, role, md5(CASE WHEN caps IS NULL THEN text WHEN text = '' THEN caps ELSE text || chr(10) || caps END) AS text_md5, ids, round(y1, 9) AS y1, round(y2, 9) AS y2 FROM h LEFT JOIN c USING (doc_id, ord) WHERE holder IS NULL""")
+def chunk_blocks_in(spark, sf_dir):
+    """The blocks that assembly gets: contents and margins out, boxes, merged text, captions attached."""
+    blocks = chunking.blocks_of(fx.elements(spark, sf_dir))[0]
+    return blocks.select("doc_id", "page", "ord", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_join("element_ids", ",").alias("ids"), F.round("bbox.y1", 9).alias("y1"), F.round("bbox.y2", 9).alias("y2"))
+
+
 _CHECKS = "role IN ('title', 'h1', 'h2', 'h3', 'paragraph', 'list_item', 'caption', 'table', 'figure', 'other')"
 _QC = f"""w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY ord) AS rn, lag(page_start) OVER d AS pp, lag(order_rank) OVER d AS pr FROM chunks WINDOW d AS (PARTITION BY doc_id ORDER BY ord)),
 v AS (SELECT doc_id, 'duplicate' AS rule, ord, chunk_id FROM w WHERE rn > 1 UNION ALL SELECT doc_id, 'bbox', ord, chunk_id FROM w WHERE y2 > 1 UNION ALL SELECT doc_id, 'coord_system', ord, chunk_id FROM w WHERE coord_system <> 'top-left'

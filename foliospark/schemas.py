@@ -28,3 +28,6 @@ CHUNK = _row(
 
 ROLES = ("title", "h1", "h2", "h3", "paragraph", "list_item", "caption", "table", "figure", "other")
 VERSION = "1.0"
+
+#: Chunks that are embedded unless another policy is given.
+EMBED_POLICY = "roles=title,h1,h2,h3,paragraph,list_item,caption,table|min_len=15|skip_empty_figures"

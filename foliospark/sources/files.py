@@ -41,10 +41,15 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks in the order of document, page, rank and id, with ``ord`` for it."""
+    """Chunks with ``ord``, their place in the document by page, rank and id; sorted by document and ``ord`` they are in order.
+
+    A relative image path is taken as relative to the folder of the chunks' file.
+    """
     from pyspark.sql import Window
 
     rows = read_jsonl(spark, path, schemas.CHUNK)
+    folder = F.regexp_replace(F.input_file_name(), "/[^/]*$", "/")
+    rows = rows.withColumn("image_path", F.when(F.col("image_path").rlike(r"^(?!/|[A-Za-z][A-Za-z0-9+.-]*:).+"), F.concat(folder, "image_path")).otherwise(F.col("image_path")))
     for name, value in (("text", ""), ("html", ""), ("image_path", ""), ("section_path", ""), ("content_sha256", ""), ("role", "paragraph")):
         rows = rows.withColumn(name, F.coalesce(name, F.lit(value)))
     for name in ("page_start", "order_rank"):
@@ -62,7 +67,7 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    """The vector table, one directory a document range; vectors as 32-bit floats."""
+    """The vector table; vectors as 32-bit floats."""
     vectors.write.mode("overwrite").parquet(path)
 
 
@@ -76,12 +81,28 @@ def evaluation_report(scored: DataFrame, totals: DataFrame, config: dict) -> str
     return json.dumps({"aggregate_metrics": totals.first().asDict(), "config": config, "results": rows}, ensure_ascii=False, indent=2, default=str)
 
 
-def quality_page(metrics: DataFrame, title: str = "Parser quality") -> str:
-    """An HTML table of page metrics of one document."""
+def overlays(elements: DataFrame, pages: DataFrame) -> str:
+    """An SVG for each page of one document, its elements' boxes drawn on the page's area with their types."""
+    sizes = {r["page_number"]: (r["width"], r["height"]) for r in pages.collect()}
+    found: dict = {}
+    for r in elements.where("coordinates IS NOT NULL").select(F.coalesce("page_number", F.lit(1)).alias("page"), "ord", "type", "coordinates").orderBy("page", "ord").collect():
+        b = r["coordinates"]
+        found.setdefault(r["page"], []).append(
+            f'<g><title>{html.escape(str(r["type"]))} {r["ord"]}</title><rect x="{b["x1"]:g}" y="{b["y1"]:g}" width="{b["x2"] - b["x1"]:g}" height="{b["y2"] - b["y1"]:g}"/></g>'
+        )
+    drawn = []
+    for page, boxes in sorted(found.items()):
+        width, height = sizes.get(page, (1.0, 1.0))
+        drawn.append(f'<h2>Page {page}</h2><svg viewBox="0 0 {width:g} {height:g}" width="400" fill="none" stroke="navy" style="border:1px solid gray">{"".join(boxes)}</svg>')
+    return "".join(drawn)
+
+
+def quality_page(metrics: DataFrame, title: str = "Parser quality", elements: DataFrame | None = None, pages: DataFrame | None = None) -> str:
+    """An HTML table of page metrics of one document, with its pages' boxes below if ``elements`` and ``pages`` are given."""
     names = metrics.columns
     cells = lambda values, tag: "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in values)
     body = "".join(f"<tr>{cells(r, 'td')}</tr>" for r in metrics.collect())
-    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{cells(names, 'th')}</tr>{body}</table>"
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{cells(names, 'th')}</tr>{body}</table>" + (overlays(elements, pages) if elements is not None and pages is not None else "")
 
 
 def demo_chunks(spark: SparkSession) -> DataFrame:

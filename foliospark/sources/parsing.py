@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark import schemas
-from foliospark.functions import geometry, text
+from foliospark.functions import geometry, storage, text
 from foliospark.functions.frames import in_arrow
 
 
 def find_files(spark: SparkSession, directory: str, *, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
-    """(path, content, modified, length) of the files that match, whatever store holds them."""
+    """(path, content, modified, length, languages) of the files that match, whatever store holds them."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(directory).select("path", "content", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), "length")
+    return reader.load(directory).select("path", "content", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), "length", F.array(F.lit("eng")).alias("languages"))
 
 
 def parse_files(files: DataFrame, parse: Callable[[str, bytes, str], list[dict]], *, strategies: tuple[str, ...] = ("hi_res", "fast")) -> DataFrame:
@@ -106,6 +106,67 @@ def extract_tables(files: DataFrame, extract: Callable[[str, bytes, str], list[s
     return files.select("path", "content").transform(in_arrow, run, schema).withColumn("doc_id", text.path_id(F.col("source_path")))
 
 
+def write_markdown(tables: DataFrame, directory: str) -> DataFrame:
+    """Writes every table of ``extract_tables`` to ``directory``/<doc_id>/<name>; ``markdown_path`` becomes that place, relative to it.
+
+    Tables are written by tasks; a repeated attempt writes the same bytes to the same place. The rows are read again from
+    the shared folder, so each file is written once.
+    """
+    schema = tables.schema
+    names = schema.names
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        files, root = storage.open_fs(directory)
+        for batch in batches:
+            paths = []
+            for doc, name, body in zip(*(batch.column(names.index(c)).to_pylist() for c in ("doc_id", "markdown_path", "text")), strict=True):
+                files.create_dir(f"{root}/{doc}", recursive=True)
+                with files.open_output_stream(f"{root}/{doc}/{name}") as handle:
+                    handle.write((body or "").encode())
+                paths.append(f"{doc}/{name}")
+            columns = [pa.array(paths, pa.string()) if n == "markdown_path" else batch.column(i) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return storage.written(tables.sparkSession, tables.transform(in_arrow, run, schema), "tables")
+
+
+def collect_images(elements: DataFrame, directory: str) -> DataFrame:
+    """Elements whose pictures lie in ``directory``/<doc_id>_images: ``image_path`` relative to ``directory``.
+
+    A picture that is there already is only named anew; one that lies elsewhere is copied by the task; one that cannot be
+    found gives an empty path. The rows are read again from the shared folder, so each picture is copied once.
+    """
+    schema = elements.schema
+    names = schema.names
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, root = storage.open_fs(directory)
+        inside = root.rstrip("/") + "/"
+        for batch in batches:
+            places = []
+            for doc, path in zip(*(batch.column(names.index(c)).to_pylist() for c in ("doc_id", "image_path")), strict=True):
+                place = ""
+                if path:
+                    own, source = storage.open_fs(path)
+                    if own.get_file_info(source).type == fs.FileType.File:
+                        place = source.removeprefix(inside) if source.startswith(inside) else f"{doc}_images/{source.rsplit('/', 1)[-1]}"
+                        if not source.startswith(inside) and files.get_file_info(inside + place).type == fs.FileType.NotFound:
+                            files.create_dir(f"{inside}{doc}_images", recursive=True)
+                            with own.open_input_stream(source) as given, files.open_output_stream(inside + place) as taken:
+                                while data := given.read(1 << 20):
+                                    taken.write(data)
+                places.append(place)
+            columns = [pa.array(places, pa.string()) if n == "image_path" else batch.column(i) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return storage.written(elements.sparkSession, elements.transform(in_arrow, run, schema), "pictures")
+
+
 def replace_tables(elements: DataFrame, fallback: DataFrame, *, by: str = "doc_id") -> DataFrame:
     """A file that has tables but none with HTML loses them and gets the rows of ``fallback``; other files stay."""
     file = Window.partitionBy(by)
@@ -117,11 +178,16 @@ def replace_tables(elements: DataFrame, fallback: DataFrame, *, by: str = "doc_i
 
 
 def file_stats(elements: DataFrame, *, by: str = "source_path") -> DataFrame:
-    """(file, elements, pages, tables, images) of each file."""
-    kind = F.col("type")
-    return elements.groupBy(by).agg(
-        F.count(kind).alias("elements"), F.countDistinct("page_number").alias("pages"), F.count_if(kind == "Table").alias("tables"), F.count_if(kind == "Image").alias("images")
+    """(file, elements, pages, tables, images[, strategy, error, success]) of each file.
+
+    The last three come with rows of ``parse_files``: the strategy that worked, the error if none did, and whether one did.
+    """
+    kind, have = F.col("type"), set(elements.columns)
+    own = [F.max(c).alias(c) for c in ("strategy", "error") if c in have]
+    stats = elements.groupBy(by).agg(
+        F.count(kind).alias("elements"), F.countDistinct("page_number").alias("pages"), F.count_if(kind == "Table").alias("tables"), F.count_if(kind == "Image").alias("images"), *own
     )
+    return stats.withColumn("success", F.col("error").isNull()) if "error" in have else stats
 
 
 def batch_summary(stats: DataFrame) -> DataFrame:
