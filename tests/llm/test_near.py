@@ -88,9 +88,9 @@ def test_a_large_group_of_near_copies_in_small_blocks(spark):
 
 def test_blocks_are_bounded_by_bytes_and_put_down_once(spark, monkeypatch):
     """Long texts split a bucket as many texts do; what is stored grows with the bucket, not with its square."""
-    from foliospark.llm import common
+    from foliospark.functions import joins, storage
 
-    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(joins, "LEAST_HOT", 3)
     rng = random.Random(9)
     base = [f"v{i}" for i in range(4000)]
     rows = []
@@ -103,7 +103,7 @@ def test_blocks_are_bounded_by_bytes_and_put_down_once(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(near.classes(frame, block_bytes=100_000)) == brute(rows)
     paths = []
-    monkeypatch.setattr(near, "scratch", lambda s, n: paths.append(common.scratch(s, n)) or paths[-1])
+    monkeypatch.setattr(near, "scratch", lambda s, n: paths.append(storage.scratch(s, n)) or paths[-1])
     near.linked_texts(frame, block_bytes=100_000)
     import glob
     import os

@@ -99,9 +99,9 @@ def test_small_hosts_lose_lines_above_the_floor_alone(spark):
 
 
 def test_one_text_in_most_rows_is_dealt_to_many_tasks(spark, monkeypatch):
-    from foliospark.llm import common
+    from foliospark.functions import joins
 
-    monkeypatch.setattr(common, "LEAST_HOT", 50)
+    monkeypatch.setattr(joins, "LEAST_HOT", 50)
     hot = "\n".join(" ".join(f"h{i}w{j}" for j in range(30)) for i in range(4))
     rows = [(i, "a", hot) for i in range(3000)] + [(3000 + i, "a", " ".join(f"u{i}w{j}" for j in range(60)) + "\nAll rights reserved") for i in range(600)]
     rows += [(9000 + i, "b", hot) for i in range(3)]

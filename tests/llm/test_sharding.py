@@ -71,9 +71,9 @@ def test_one_cell_is_plain_differencing(spark):
 
 @pytest.mark.parametrize("heavy_parts", [4096, 64])
 def test_many_cells_keep_groups_together_and_stay_balanced(spark, monkeypatch, heavy_parts):
-    from foliospark.llm import common
+    from foliospark.functions import joins
 
-    monkeypatch.setattr(common, "LEAST_HOT", 30)
+    monkeypatch.setattr(joins, "LEAST_HOT", 30)
     rows = [(i, f"text {i % 700}") for i in range(1500)] + [(9000 + i, "hot") for i in range(400)]
     found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell=20, chunk=30, heavy_parts=heavy_parts).collect()
     check(rows, found)

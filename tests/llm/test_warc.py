@@ -67,9 +67,9 @@ def test_empty_table(spark):
 
 
 def test_one_payload_in_most_pages_and_many_archives(spark, monkeypatch):
-    from foliospark.llm import common
+    from foliospark.functions import joins
 
-    monkeypatch.setattr(common, "LEAST_HOT", 20)
+    monkeypatch.setattr(joins, "LEAST_HOT", 20)
     hot = "<html>" + "same " * 400
     rows = [(i, f"http://h/{i}", hot if i % 3 else f"own {i} " * 200) for i in range(900)] + [(5000 + i, "u", "") for i in range(300)]
     directory = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), most_bytes=4000)
