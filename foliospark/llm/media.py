@@ -165,9 +165,10 @@ def store(rows: DataFrame, payload: str = "payload", *, directory: str | None =
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` in ranges of shard and offset, a task for about READ_BYTES of what is stored; only places are shuffled."""
+    """``rows`` in ranges of shard and offset, a task for about READ_BYTES of what is stored, and one for each core at least;
+    only places are shuffled."""
     total = rows.agg(F.sum("length")).first()[0] or 0
-    tasks = min(MOST_TASKS, 1 + total // READ_BYTES)
+    tasks = min(MOST_TASKS, max(rows.sparkSession.sparkContext.defaultParallelism, 1 + total // READ_BYTES))
     return rows.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
