@@ -16,6 +16,13 @@ SPACES = r"(?U)\s+"
 #: A token is taken as 0.75 words.
 WORDS_PER_TOKEN = 0.75
 
+#: Codes in a section path and what is stripped from its parts; numbering of headings; begin of a caption.
+SECTION_CODE = r"\(([A-Z]{2,}[A-Z0-9\-]*\d+[A-Z0-9\-]*)\)"
+SECTION_EDGES = r"^[ \-–—:;\t]+|[ \-–—:;\t]+$"
+NUMBERED_HEADING = r"(?U)^(\d+(\.\d+){0,3})\s+\S+"
+LEADING_NUMBER = r"(?U)^(\d+(?:\.\d+)*)\b"
+CAPTION = r"(?iU)^\s*(?:Figure|Table)\s+[\dA-Za-z\-\.]+"
+
 
 def empty_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
@@ -130,7 +137,7 @@ def section_path(path: Column) -> Column:
     parts = F.transform(
         F.split(path, r"(?U)\s*>\s*"),
         lambda p: F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(strip(p), r"\(([A-Z]{2,}[A-Z0-9\-]*\d+[A-Z0-9\-]*)\)", ""), SPACES, " "), r"^[ \-–—:;\t]+|[ \-–—:;\t]+$", ""
+            F.regexp_replace(F.regexp_replace(strip(p), SECTION_CODE, ""), SPACES, " "), SECTION_EDGES, ""
         ),
     )
     kept = F.filter(parts, lambda p: p != "")
@@ -155,14 +162,14 @@ def role(kind: Column, text: Column) -> Column:
     t, body = F.lower(empty_if_null(kind)), empty_if_null(text)
     capitals, letters = F.regexp_count(body, F.lit(r"\p{Lu}")), F.regexp_count(body, F.lit(r"(?U)\w"))
     loud = F.length(body).between(3, 80) & (letters > 0) & (capitals > 0.7 * letters)
-    numbered = body.rlike(r"(?U)^(\d+(\.\d+){0,3})\s+\S+") & (F.length(body) < 200)
+    numbered = body.rlike(NUMBERED_HEADING) & (F.length(body) < 200)
     return (
         F.when(t.isin("title", "h1", "h2", "h3"), t)
         .when(t == "table", "table")
         .when(t.isin("image", "figure"), "figure")
         .when(t.isin("figurecaption", "tablecaption", "caption"), "caption")
         .when(t.isin("narrativetext", "list", "listitem", "text", "header", "footer"), "paragraph")
-        .when(body.rlike(r"(?iU)^\s*(?:Figure|Table)\s+[\dA-Za-z\-\.]+"), "caption")
+        .when(body.rlike(CAPTION), "caption")
         .when(numbered | loud, "h2")
         .otherwise("paragraph")
     )
@@ -175,7 +182,7 @@ def heading_level(role: Column, text: Column) -> Column:
     letters, capitals = F.regexp_count(s, F.lit("[A-Za-z]")), F.regexp_count(s, F.lit("[A-Z]"))
     return (
         F.when(t == "listitem", F.lit(None).cast("int"))
-        .when(s.rlike(r"(?U)^(\d+(?:\.\d+)*)\b"), F.when(n_words <= 25, F.regexp_count(s, F.lit(r"\.")) + 1))
+        .when(s.rlike(LEADING_NUMBER), F.when(n_words <= 25, F.regexp_count(s, F.lit(r"\.")) + 1))
         .when(t.isin("title", "h1"), 1)
         .when(n_words.between(1, 15) & (letters > 0) & (capitals >= 0.70 * letters), 2)
     )

@@ -6,6 +6,9 @@ allow. Frames carry the columns of ``schemas.ELEMENT`` that a function needs; ot
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,15 @@ CONTENTS_PATTERNS = (
     r"(?i)^\s*\d+(\.\d+)*\s+[A-Z]",
 )
 LETTERED = r"^\s*[A-Z]+(\.\d+)*\s+[A-Z]"
+#: Titles of a table that is a contents list (in capitals; as written), and words that a table of edits has.
+CONTENTS_TITLES = ("TABLE OF CONTENTS", "LIST OF FIGURES", "LIST OF TABLES")
+CONTENTS_NAMES = ("Table of Contents", "List of Figures", "List of Tables", "Chapter ")
+EDIT_WORDS = "renumber|revise|insert"
+#: Fixed patterns of lines in a page's margin: page numbers, document codes, notices; and of a page count anywhere.
+PAGE_NUMBER = r"(?i)^\s*(\d+\s+(of|/)\s+\d+|page\s+\d+|\d+)\s*$"
+DOCUMENT_CODE = r"^[A-Z]{2,}-[A-Z0-9\-\.]+[A-Z0-9]$"
+NOTICE = r"copyright|©|confidential|proprietary|www\.|http"
+PAGE_COUNT = r"(?i)^\s*\d+\s+of\s+\d+\s*$"
 
 
 def numbered_page() -> Column:
@@ -30,6 +42,10 @@ def numbered_page() -> Column:
     return F.coalesce(F.col("page_number"), F.lit(0)) != 0
 
 
+def _has_any(line: Column, names: tuple[str, ...]) -> Column:
+    return reduce(or_, (line.contains(n) for n in names))
+
+
 def _extent() -> tuple[Column, Column, Column]:
     """Aggregates of a page: its last layout size above 0, and the reach in x and y of elements without one."""
     sized = (F.col("layout.w") > 0) & (F.col("layout.h") > 0)
@@ -71,12 +87,12 @@ def contents_flags(elements: DataFrame, *, strict: bool = False) -> DataFrame:
     table = F.lower(F.coalesce("type", F.lit(""))) == "table"
     upper = F.upper(raw)
     crowded = (
-        upper.contains("TABLE OF CONTENTS") | upper.contains("LIST OF FIGURES") | upper.contains("LIST OF TABLES")
+        _has_any(upper, CONTENTS_TITLES)
         | ((F.length(raw) - F.length(F.replace(raw, F.lit("...."), F.lit("")))) / 4 > 5)
         | (F.regexp_count(raw, F.lit(r"(?mU)\d+\s*$")) > 10)
     )
-    names = raw.contains("Table of Contents") | raw.contains("List of Figures") | raw.contains("List of Tables") | raw.contains("Chapter ")
-    edited = F.lower(raw).rlike("renumber|revise|insert")
+    names = _has_any(raw, CONTENTS_NAMES)
+    edited = F.lower(raw).rlike(EDIT_WORDS)
     n_words, dots = F.size(text.words(line)), F.regexp_count(line, F.lit(r"\."))
     entry = F.lit(False)
     for pattern in (*CONTENTS_PATTERNS, LETTERED if strict else "(?i)" + LETTERED):
@@ -126,14 +142,14 @@ def margin_flags(boxed: DataFrame) -> DataFrame:
     in_margin = F.coalesce((centre < 0.12) | (centre > 0.88), F.lit(False))
     short = (F.length(line) < 50) & (F.size(text.words(line)) <= 5)
     dropped_in_margin = (
-        F.when(line.rlike(r"(?i)^\s*(\d+\s+(of|/)\s+\d+|page\s+\d+|\d+)\s*$"), True)
-        .when(line.rlike(r"^[A-Z]{2,}-[A-Z0-9\-\.]+[A-Z0-9]$"), True)
+        F.when(line.rlike(PAGE_NUMBER), True)
+        .when(line.rlike(DOCUMENT_CODE), True)
         .when(short, F.col("__key").isNotNull() & (F.col("__line_pages") > 1))
-        .otherwise(F.lower(line).rlike(r"copyright|©|confidential|proprietary|www\.|http"))
+        .otherwise(F.lower(line).rlike(NOTICE))
     )
     drop = (
         F.when(~numbered_page(), False).when(picture, False).when(line == "", True).when(boilerplate, True)
-        .when(in_margin & dropped_in_margin, True).otherwise(line.rlike(r"(?i)^\s*\d+\s+of\s+\d+\s*$"))
+        .when(in_margin & dropped_in_margin, True).otherwise(line.rlike(PAGE_COUNT))
     )
     return rows.withColumn("margin", drop).drop("line", "__key", "__page_no", "__pages", "__line_pages", "__n_y", "__spread")
 
