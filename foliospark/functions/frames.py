@@ -37,6 +37,12 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+def ship_active() -> None:
+    """``ship`` for the active session: for functions that give columns and see no frame."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
+
+
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` by workers that have this package; for ``DataFrame.transform``."""
     ship(df.sparkSession)

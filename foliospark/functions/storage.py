@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -15,15 +16,22 @@ from foliospark.functions.frames import ship
 #: Spark's switch that deletes an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
+#: Of each session that is writing: [writes under way, the switch's setting before the first of them].
+_WRITING: dict[int, list] = {}
+_LOCK = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (a local session in tests) a temporary folder of this machine is made.
+    Only where the setting is absent in a local session (tests) a temporary folder of this machine is made; a cluster without
+    the setting is an error, as its executors would not see such a folder.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _OWN.setdefault(spark.sparkContext.applicationId, "")
         if not found:
             own = tempfile.mkdtemp(prefix="folio-")
@@ -36,11 +44,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's Python ends."""
     ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing reads any more."""
     try:
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)
@@ -50,13 +59,23 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def write(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes Parquet and drops the shuffle files of this one execution when it ends; later readers start from the files."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Writes Parquet and drops the shuffle files of this one execution when it ends; later readers start from the files.
+
+    The switch is the session's, so writes that run side by side in threads share it: the first one sets it, the last one
+    puts back what was there.
+    """
+    with _LOCK:
+        own = _WRITING.setdefault(id(spark), [0, spark.conf.get(CLEANUP, "false")])
+        own[0] += 1
+        spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _LOCK:
+            own[0] -= 1
+            if not own[0]:
+                spark.conf.set(CLEANUP, own[1])
+                del _WRITING[id(spark)]
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.functions.frames import ship_active
+
 SPACES = r"(?U)\s+"
 #: A token is taken as 0.75 words.
 WORDS_PER_TOKEN = 0.75
@@ -67,6 +69,8 @@ def normalize(text: Column, unicode_form: bool = True) -> Column:
 
     Spark has no NFKC function, so that step alone is a vectorised Python function; ``unicode_form=False`` leaves it out.
     """
+    if unicode_form:
+        ship_active()
     t = _compatible(empty_if_null(text)) if unicode_form else empty_if_null(text)
     t = F.translate(t, "\u00a0\u00ad", " ")
     t = F.regexp_replace(t, r"(?U)(?<=\w)-\s*\n\s*(?=[a-z])", "")
