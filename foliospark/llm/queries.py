@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, chat, media, mixing, near, pii, quality, sharding, toxicity, warc
+from foliospark.llm import balls, bpe, chat, lines, media, mixing, near, negatives, pii, quality, sharding, toxicity, warc
 from foliospark.llm.common import table, written
 
 
@@ -70,6 +70,21 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    given = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.hard_negatives(negatives.prepared(given), F.col("vec_id") % 100 == 0)
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.with_figures(*balls.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -81,6 +96,9 @@ QUERIES = {
     "op8_poisson_mix": op8_poisson_mix,
     "op9_line_quality": op9_line_quality,
     "op10_media_columns": op10_media_columns,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 _WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
@@ -137,4 +155,37 @@ l AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*)
  string_agg(kind || ':' || s || ':' || (s + length(own)), ',' ORDER BY k, s) AS spans, string_agg(kind || ':' || s || ':' || (s + length(own)), ',' ORDER BY k, s) FILTER (WHERE k < 4) AS base FROM v GROUP BY 1)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN l USING (doc_id)"""
 
-SQL: dict[str, str] = {"op5_warc": _WARC_SQL, "op6_pii": _PII_SQL, "op8_poisson_mix": _MIX_SQL, "op9_line_quality": _QUALITY_SQL}
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_NEGATIVES_SQL = f"""WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE label IS NOT NULL AND {_WHOLE}), s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score FROM r a, r WHERE a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank FROM p JOIN s USING (anchor_id)
+ WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score) SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
+def _kmeans_sql(rounds: int = 5, clusters: int = 40, dimension: int = 64) -> str:
+    """The rounds written out one after another."""
+    near = "SELECT vec_id, v, k, d FROM (SELECT vec_id, v, k, (list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c))::BIGINT AS d FROM r, c{0}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1"
+    parts = [
+        f"r AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE {_WHOLE} AND len(embedding) = {dimension})",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INT AS k, v AS c FROM r QUALIFY k < {clusters})",
+    ]
+    for n in range(rounds):
+        parts.append(f"a{n} AS MATERIALIZED ({near.format(n)})")
+        parts.append(f"s{n} AS (SELECT k, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT k, unnest(range({dimension})) AS i, unnest(v)::BIGINT AS x FROM a{n}) GROUP BY 1, 2)")
+        parts.append(f"m{n} AS (SELECT k, list((CASE WHEN s < 0 THEN -((-s + n - 1) // n) ELSE s // n END)::DOUBLE ORDER BY i) AS m FROM s{n} GROUP BY 1)")
+        parts.append(f"c{n + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{n} LEFT JOIN m{n} USING (k))")
+    told = f"sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM last JOIN c{rounds} USING (k)"
+    return f"WITH {', '.join(parts)}, last AS ({near.format(rounds)}) SELECT vec_id, k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, {told}"
+
+
+_LINES_SQL = """WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), u AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS l FROM d),
+k AS (SELECT *, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM u),
+m AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+o AS (SELECT doc_id, i, l, last IS NULL OR last = doc_id AS kept FROM k LEFT JOIN m USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT kept) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE kept), '')) AS kept_sha256 FROM o GROUP BY 1"""
+
+SQL: dict[str, str] = {
+    "op5_warc": _WARC_SQL, "op6_pii": _PII_SQL, "op8_poisson_mix": _MIX_SQL, "op9_line_quality": _QUALITY_SQL,
+    "op11_hard_negatives": _NEGATIVES_SQL, "op12_ball_kmeans": _kmeans_sql(), "op13_line_dedup": _LINES_SQL,
+}
