@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import text_or_empty, written
+from foliospark.llm.common import hot_join, hot_keys, text_or_empty, written
 
 #: Sources up to which their rates (a few numbers each) are broadcast; beyond it they are joined by a shuffle.
 FEW_SOURCES = 10_000
@@ -60,12 +60,12 @@ def poisson_count(start: Column, rate: Column, u: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, *, source_column: str, text_column: str, exponent: float, budget: float) -> DataFrame:
-    """(source, bytes, rate): mean repetitions that bring each source's bytes to its weight's share of ``budget`` x all bytes.
+    """(source, bytes, n, rate): mean repetitions that bring each source's bytes to its weight's share of ``budget`` x all bytes.
 
     Without ``weights``, a source weighs its bytes to the power ``exponent``. With them, sources not named get rate 0.
     """
     sizes = docs.groupBy(F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("source")).agg(
-        F.sum(F.octet_length(text_or_empty(text_column)).cast("long")).alias("bytes")
+        F.sum(F.octet_length(text_or_empty(text_column)).cast("long")).alias("bytes"), F.count("*").alias("n")
     )
     if weights is None:
         weighed = sizes.withColumn("weight", F.pow(F.col("bytes").cast("double"), F.lit(exponent)))
@@ -77,9 +77,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, *, source_co
     weighed = written(docs.sparkSession, weighed, "source-sizes")
     total = weighed.where("bytes > 0").agg(F.sum("bytes").alias("bytes"), F.sum("weight").alias("weight")).first()
     if not total["weight"]:
-        return weighed.select("source", "bytes", F.lit(0.0).alias("rate"))
+        return weighed.select("source", "bytes", "n", F.lit(0.0).alias("rate"))
     rate = F.lit(budget) * F.lit(float(total["bytes"])) * F.col("weight") / F.lit(total["weight"]) / F.col("bytes")
-    return weighed.select("source", "bytes", F.when(F.col("bytes") > 0, rate).otherwise(0.0).alias("rate"))
+    return weighed.select("source", "bytes", "n", F.when(F.col("bytes") > 0, rate).otherwise(0.0).alias("rate"))
 
 
 def mix(
@@ -107,15 +107,17 @@ def mix(
     columns = [c for c in docs.columns if c not in new]
     sizes = source_rates(docs, weights, source_column=source_column, text_column=text_column, exponent=exponent, budget=budget)
     rates = sizes.select(F.col("source").alias("__source"), F.col("rate").alias("__exact"), poisson_start(F.col("rate")).alias("__start"))
-    if rates.count() <= FEW_SOURCES:
-        rates = F.broadcast(rates)  # five numbers a source
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("__source"), key.alias("__id"),
         uniform(key, seed, "count").alias("__u"),
     )
+    if rates.count() <= FEW_SOURCES:
+        met = packed.join(F.broadcast(rates), "__source")  # five numbers a source
+    else:  # a source may have a third of all rows: those are dealt to many tasks
+        met = hot_join(packed, rates, ["__source"], hot_keys(sizes.select(F.col("source").alias("__source"), "n"), ["__source"]), F.col("__id"))
     copies = (
-        packed.join(rates, "__source").withColumn("n_copies", poisson_count(F.col("__start"), F.col("__exact"), F.col("__u"))).where("n_copies > 0")
+        met.withColumn("n_copies", poisson_count(F.col("__start"), F.col("__exact"), F.col("__u"))).where("n_copies > 0")
         .withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
         .withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:order:"), F.col("__id"), F.lit(":"), F.col("replica").cast("string")).cast("binary")))
     )

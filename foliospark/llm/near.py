@@ -17,6 +17,7 @@ from math import ceil, log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions import joins
 from foliospark.llm.common import hot_join, hot_keys, in_arrow, open_fs, scratch, text_or_empty, written
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -317,24 +318,32 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is one node of the component, the same for all of it.
 
     Each round every node joins its least neighbour and edges are contracted; keys are hashes, so a constant share of the
-    nodes is expected to go each round. Nothing is gathered in one place; rounds are cut by tables in the shared folder.
+    nodes is expected to go each round. Nothing is gathered in one place: the edges of a hub and the nodes of a large label
+    are dealt to many tasks. Rounds are cut by tables in the shared folder.
     """
     spark = edges.sparkSession
+
+    def joined(left, right, key, spread, n, how="inner"):
+        if n <= joins.LEAST_HOT:  # so few rows that no key is hot
+            return left.join(right, key, how)
+        return hot_join(left, right, [key], hot_keys(left.groupBy(key).agg(F.count("*").alias("n")), [key]), F.col(spread), how)
+
     edges = written(spark, edges.select("a", "b").where("a <> b").distinct(), "edges")
     maps = []
-    while not edges.isEmpty():
+    while n := edges.count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = written(spark, both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("up")), "up")
         maps.append(up)
-        one = edges.join(up.toDF("a", "up_a"), "a").select(F.col("up_a").alias("a"), "b")
+        one = joined(edges, up.toDF("a", "up_a"), "a", "b", n).select(F.col("up_a").alias("a"), "b")
         edges = written(
-            spark, one.join(up.toDF("b", "up_b"), "b").select("a", F.col("up_b").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
+            spark, joined(one, up.toDF("b", "up_b"), "b", "a", n).select("a", F.col("up_b").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
         )
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = maps[0].toDF("node", "label")
+    nodes = labels.count()
     for up in maps[1:]:
-        labels = labels.join(up.toDF("label", "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+        labels = joined(labels, up.toDF("label", "up"), "label", "node", nodes, "left").select("node", F.coalesce("up", "label").alias("label"))
     return labels
 
 
@@ -367,8 +376,12 @@ def linked_texts(
     directory = scratch(spark, "near-blocks")
     found = written(spark, _gathered(dealt, directory, similarity), "near-links")
     places = found.where("file is not null").select("bucket", "block", "file", "offset", "length")
-    pairs = places.toDF("bucket", "i", "file_i", "offset_i", "length_i").join(places.toDF("bucket", "j", "file_j", "offset_j", "length_j"), "bucket").where("i < j")
-    if count := pairs.count():
+    sizes = places.groupBy("bucket").agg(F.count("*").alias("n"))
+    if count := int(sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0):
+        # a bucket's places stand in one array, which meets its blocks where these are dealt; each makes its own pairs
+        others = places.groupBy("bucket").agg(F.collect_list(F.struct(F.col("block").alias("j"), F.col("file").alias("file_j"), F.col("offset").alias("offset_j"), F.col("length").alias("length_j"))).alias("others"))
+        met = hot_join(places, others, ["bucket"], hot_keys(sizes, ["bucket"], least=256), F.col("block"))
+        pairs = met.select("bucket", F.col("block").alias("i"), "file", "offset", "length", F.explode(F.filter("others", lambda o: o["j"] > F.col("block"))).alias("o")).select("bucket", "i", "o.j", "file", "offset", "length", "o.file_j", "o.offset_j", "o.length_j")
         units = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(count, 100_000)), "bucket", "i", "j").drop("i", "j")
         found = found.unionByName(written(spark, _across(units, directory, similarity), "near-links"))
     found = found.where("text_key is not null")
@@ -393,8 +406,8 @@ def classes(docs: DataFrame, **options) -> DataFrame:
     """
     rows, texts = linked_texts(docs, **options)
     texts = written(docs.sparkSession, texts, "near-classes")
-    least = texts.groupBy("label").agg(F.min("text_id").alias("class_id"))
-    named = texts.join(least, "label").select("text_key", "text_id", "n_links", "class_id")
+    least = texts.groupBy("label").agg(F.min("text_id").alias("class_id"), F.count("*").alias("n"))
+    named = hot_join(texts.drop("n"), least.drop("n"), ["label"], hot_keys(least, ["label"]), F.col("text_key")).select("text_key", "text_id", "n_links", "class_id")
     return hot_join(rows, named, ["text_key"], hot_keys(texts, ["text_key"]), F.col("doc_id")).select("doc_id", "class_id", "text_id", "n_links")
 
 

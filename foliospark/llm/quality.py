@@ -114,7 +114,8 @@ def common_lines(texts: DataFrame, *, least: int = LEAST_DOCUMENTS, share: float
     lines = texts.select("__host", weight.alias("n"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     counts = lines.groupBy("__host", "line").agg(F.sum("n").alias("n_docs"))
     limit = F.greatest(F.lit(float(least)), F.lit(share) * F.col("n_host"))
-    return counts.where(F.col("n_docs") > least).join(hosts, "__host").where(F.col("n_docs") > limit).select("__host", "line", "n_docs")
+    met = hot_join(counts.where(F.col("n_docs") > least), hosts, ["__host"], hot_keys(hosts, ["__host"], n="n_host"), F.col("line"))
+    return met.where(F.col("n_docs") > limit).select("__host", "line", "n_docs")
 
 
 def removals(texts: DataFrame, common: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 Rows with equal texts form a group and always share a shard. All groups are differenced, at two levels. Groups with more
 than ``1/heavy_parts`` of the bytes (fewer than ``heavy_parts`` of these) go to the driver as they are. All others are dealt
-to cells of some 50,000 by a hash; a task differences a cell's groups into one partial partition of ``shards`` parts, and
-the driver goes on with heavy groups and partial partitions by the same rule. Balanced parts cannot make up for a heavy
+to cells of some 50,000 by a hash; a task differences a cell's groups into one partial partition of ``shards`` parts. Where
+there are more than MOST_CELLS of these, tasks difference them again, MOST_CELLS at a time, level by level; the driver goes
+on with heavy groups and the partial partitions that are left by the same rule. Balanced parts cannot make up for a heavy
 group, so as many cells as the heavy groups need are differenced into smaller parts, which count as single items. What the
-driver sees is ``shards`` sums for each 50,000 groups and at most ``heavy_parts + LOOSE`` items.
+driver sees is at most ``shards`` sums for each of MOST_CELLS partial partitions, ``heavy_parts + LOOSE`` items, and a
+count for each of MOST_CHUNKS chunks of a shard, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from foliospark.llm.common import hot_join, hot_keys, in_arrow, text_or_empty, w
 
 #: Groups in a cell, and rows of a shard in a chunk, on average.
 CELL, CHUNK = 50_000, 1_000_000
+#: Partial partitions that the driver, or a task of a higher level, differences; chunks of a shard at most.
+MOST_CELLS, MOST_CHUNKS = 4096, 8192
 #: A group with more than this part of all bytes is heavy; parts that loose cells give in all, and in one at most.
 HEAVY_PARTS, LOOSE, MOST_LOOSE = 4096, 65_536, 512
 #: Parts of a loose cell that are differenced; where it may have more, these are single groups of all sizes, the largest ones
@@ -106,6 +110,51 @@ def _cells(groups: DataFrame, shards: int, loose: int, loose_parts: int) -> Data
     return groups.transform(in_arrow, run, "cell long, key long, part int, sum long")
 
 
+def _levels(parted: DataFrame, shards: int, loose: int, cells: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(sums, maps): (cell, part, sum) of at most ``most`` partial partitions beside the loose cells, and for each level a table
+    (cell, part, up, up_part): which part of which cell above a part went to.
+
+    The tight cells that a hash brings together, ``most`` of them on average, are combined in one task.
+    """
+    spark = parted.sparkSession
+    sums = parted.where("key is null").select("cell", "part", "sum")
+    maps, level = [], 0
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        def done():
+            own = sorted(held.items())
+            parts = combine([([own_sums[p] for p in sorted(own_sums)], [[(c, p)] for p in sorted(own_sums)]) for c, own_sums in own], shards)
+            rows = [(c, p, up, n, None) for n, part in enumerate(parts) for c, p in part]
+            rows += [(None, None, up, n, sum(held[c][p] for c, p in part)) for n, part in enumerate(parts)]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["cell", "part", "up", "up_part", "sum"])
+
+        up, held = None, {}
+        for batch in batches:
+            for above, c, p, total in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if above != up:
+                    if held:
+                        yield done()
+                    up, held = above, {}
+                held.setdefault(c, {})[p] = total
+        if held:
+            yield done()
+
+    tight = cells - loose
+    while tight > most:
+        level += 1
+        above = -(-tight // most)
+        # cells of a level are numbered from 0 again; loose ones stay as they are
+        told = sums.where(F.col("cell") >= loose).select((F.pmod(F.xxhash64("cell", F.lit(level)), F.lit(above)) + loose).alias("up"), "cell", "part", "sum")
+        done = written(spark, told.repartition(above, "up").sortWithinPartitions("up").transform(in_arrow, run, "cell long, part int, up long, up_part int, sum long"), "shard-levels")
+        maps.append(done.where("sum is null").select("cell", "part", "up", "up_part"))
+        sums = sums.where(F.col("cell") < loose).unionByName(done.where("sum is not null").select(F.col("up").alias("cell"), F.col("up_part").alias("part"), "sum"))
+        tight = above
+    return sums, maps
+
+
 def _place(heavy: dict[int, int], sums: dict[int, list[int]], shards: int, loose: int) -> tuple[dict, dict]:
     """(heavy key -> shard, (cell, part) -> shard): heavy groups and loose parts as single items, other cells as they are."""
     items = [([size], [[key]]) for key, size in sorted(heavy.items(), key=lambda x: (-x[1], x[0]))]
@@ -118,7 +167,7 @@ def _place(heavy: dict[int, int], sums: dict[int, list[int]], shards: int, loose
     return {k: v for k, v in placed.items() if not isinstance(k, tuple)}, {k: v for k, v in placed.items() if isinstance(k, tuple)}
 
 
-def shard_documents(docs: DataFrame, *, shards: int = 8, cell: int = CELL, chunk: int = CHUNK, heavy_parts: int = HEAVY_PARTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, *, shards: int = 8, cell: int = CELL, chunk: int = CHUNK, heavy_parts: int = HEAVY_PARTS, most_cells: int = MOST_CELLS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, size, text_crc32, shard, slot) for every row of ``docs``.
 
     size is the text's UTF-8 bytes plus 1; a null text counts as empty and shares the group of the empty text. Slots
@@ -138,7 +187,7 @@ def shard_documents(docs: DataFrame, *, shards: int = 8, cell: int = CELL, chunk
     )
     groups = written(spark, rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
     totals = groups.agg(F.count("*").alias("groups"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes")).first()
-    cells, chunks = 1 + totals["groups"] // cell, 1 + (totals["rows"] or 0) // (shards * chunk)
+    cells, chunks = 1 + totals["groups"] // cell, min(MOST_CHUNKS, 1 + (totals["rows"] or 0) // (shards * chunk))
     is_heavy = F.col("bytes") > F.lit((totals["bytes"] or 0) / heavy_parts)
     heavy = {r["key"]: r["bytes"] for r in groups.where(is_heavy).select("key", "bytes").collect()}  # fewer than heavy_parts
     loads = [0] * shards
@@ -149,11 +198,15 @@ def shard_documents(docs: DataFrame, *, shards: int = 8, cell: int = CELL, chunk
     loose_parts = max(shards, min(MOST_LOOSE, LOOSE // max(1, loose)))
     celled = groups.where(~is_heavy).select(F.pmod(F.xxhash64("key"), F.lit(cells)).alias("cell"), "key", "bytes")
     parted = written(spark, _cells(celled.repartition(cells, "cell").sortWithinPartitions("cell"), shards, loose, loose_parts), "shard-cells")
+    left, maps = _levels(parted, shards, loose, cells, most_cells)
     sums: dict[int, list[int]] = {}
-    for r in sorted(parted.where("key is null").select("cell", "part", "sum").collect()):
+    for r in sorted(left.collect()):
         sums.setdefault(r["cell"], []).append(r["sum"])
     alone, of_part = _place(heavy, sums, shards, loose)
     where = spark.createDataFrame([(c, p, shard) for (c, p), shard in of_part.items()], "cell long, part int, shard int")
+    for known in reversed(maps):  # down the levels; loose cells are in none of them
+        below = known.join(where.select(F.col("cell").alias("up"), F.col("part").alias("up_part"), "shard"), ["up", "up_part"]).select("cell", "part", "shard")
+        where = below.unionByName(where.where(F.col("cell") < loose))
     shard_of = parted.where("key is not null").join(where, ["cell", "part"]).select("key", "shard").unionByName(spark.createDataFrame(list(alone.items()), "key long, shard int"))
     dealt = hot_join(rows, shard_of, ["key"], hot_keys(groups, ["key"]), F.col("doc_id")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), F.lit(chunks)).cast("int"))
     dealt = written(spark, dealt, "shard-dealt")

@@ -1,0 +1,84 @@
+import collections
+
+import pytest
+from pyspark.sql import functions as F
+
+from foliospark.llm import lines
+
+LONG = "a line of forty characters or a few more than that"
+
+
+def key_of(line):
+    return line.strip(lines.BLANKS).translate({c: c + 32 for c in range(65, 91)})
+
+
+def expected(rows):
+    """[(id, text without repeats, n_lines, n_dropped)] by the definition; null is one id, less than all others."""
+    rank = lambda i: (i is not None, i)
+    holders = collections.defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key_of(line)) >= 40:
+                holders[key_of(line)].add(i)
+    out = []
+    for i, t in rows:
+        own = (t or "").split("\n")
+        kept = [x for x in own if len(key_of(x)) < 40 or len(holders[key_of(x)]) < 5 or max(holders[key_of(x)], key=rank) == i]
+        out.append((i, "\n".join(kept), len(own), len(own) - len(kept)))
+    return out
+
+
+def found(spark, rows, **options):
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return sorted(map(tuple, lines.without_repeats(frame, **options).collect()), key=str)
+
+
+CASES = {
+    "edges": [(i, f"  {LONG}\t\n{LONG.upper()}\nown {i}\n\n{LONG}") for i in range(6)] + [(9, None), (10, ""), (11, "\n\n")],
+    "four documents are too few": [(i, LONG) for i in range(4)],
+    "thirty-nine code points are too few": [(i, "é" * 39 + "\n" + "é" * 40) for i in range(7)],
+    "only A to Z are made lower": [(i, ("É" if i % 2 else "é") + LONG) for i in range(9)] + [(20 + i, ("É" + LONG.upper())) for i in range(3)],
+    "null ids are one document": [(None, LONG), (None, f"{LONG}\nother"), *[(i, LONG) for i in range(1, 4)]],
+    "null ids beside five": [(None, LONG), *[(i, f"x\n{LONG}") for i in range(5)]],
+    "repeated rows are one document": [(1, LONG)] * 9 + [(2, LONG), (3, f"{LONG}\nx"), (3, f"y\n{LONG}")],
+    "repeated rows lose alike": [(1, f"x\n{LONG}\n{LONG}\ny")] * 3 + [(i, LONG) for i in range(2, 8)],
+    "inner blanks count": [(i, LONG.replace(" ", "  ") if i % 2 else LONG) for i in range(12)],
+    "long text": [(1, "\n".join(f"{LONG} {k % 50}" for k in range(30_000)))] + [(i, "\n".join(f"{LONG} {k}" for k in range(0, 50, i))) for i in range(2, 9)],
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_against_the_definition(spark, case):
+    assert found(spark, CASES[case]) == sorted(expected(CASES[case]), key=str)
+
+
+def test_hot_lines_are_split_by_document(spark):
+    rows = [(i, f"{LONG}\nown line of document number {i % 40}, long enough to count\n{LONG} {i % 3}") for i in range(300)]
+    assert found(spark, rows, least_hot=10) == sorted(expected(rows), key=str)
+
+
+def test_hot_line_of_too_few_documents_stays(spark):
+    rows = [(i % 4, f"{LONG}\n{i}") for i in range(200)]
+    assert found(spark, rows, least_hot=10) == sorted(expected(rows), key=str)
+
+
+def test_bitmaps_are_runs_without_text(spark):
+    rows = [(i, "\n".join([LONG, LONG, f"{i}", LONG + "!", f"z{i}"])) for i in range(6)]
+    maps = {r.doc_id: [tuple(x) for x in r.dropped] for r in lines.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert maps == {i: [(0, 2), (3, 1)] for i in range(5)}
+    assert "text" not in lines.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string")).columns
+
+
+def test_empty_table_and_clashing_columns(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert lines.without_repeats(empty).collect() == []
+    frame = spark.createDataFrame([(i, LONG, 7, "own", 3, 4) for i in range(6)], "doc_id long, text string, dropped int, `a.b` string, n_lines int, text_key int")
+    out = lines.without_repeats(frame)
+    assert out.columns == ["doc_id", "text", "dropped", "a.b", "text_key", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(i, "" if i < 5 else LONG, 7, "own", 4, 1, int(i < 5)) for i in range(6)]
+
+
+def test_plan_is_native(spark):
+    frame = spark.createDataFrame([(1, LONG)], "doc_id long, text string")
+    plan = lines.without_repeats(frame).select(F.sha2("text", 256))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -115,3 +115,21 @@ def test_empty_tables_and_wrong_weights(spark):
 def test_plan_is_native(spark):
     plan = mixing.mix(spark.createDataFrame(spark.range(9).rdd.map(lambda r: (r.id, "a", "x")), "doc_id long, source string, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "PythonUDF" not in plan and "MapIn" not in plan
+
+
+def test_many_sources_with_a_hot_one(spark, monkeypatch):
+    """Beyond the broadcast a hot source is dealt to many tasks, with the same counts."""
+    from foliospark.functions import joins
+
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 2)
+    monkeypatch.setattr(joins, "LEAST_HOT", 10)
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 90}" if i % 7 else None, "x" * (i % 50)) for i in range(600)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert counted(found) == +collections.Counter({(d, s): n for d, s, n in expected(rows)})
+
+
+def test_very_long_texts_are_carried_whole(spark):
+    rows = [(1, "a", "x" * 3_000_000), (2, "a", "y"), (3, "b", None), (4, "b", "")]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), budget=2.0).collect()
+    assert collections.Counter((r.doc_id, r.source) for r in found) == +collections.Counter({(d, s): n for d, s, n in expected(rows, budget=2.0)})
+    assert all(len(r.text) == 3_000_000 for r in found if r.doc_id == 1)

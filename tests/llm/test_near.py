@@ -174,3 +174,23 @@ def test_recall_on_the_benchmark(spark):
     assert found.keys() == links.keys() and all(found[d] <= links[d] for d in links)
     assert sum(found.values()) >= 0.99 * sum(links.values()) > 0
     print("recall", sum(found.values()), sum(links.values()))
+
+
+def test_hubs_and_large_labels_are_dealt_out(spark, monkeypatch):
+    """Every key is hot: buckets, hubs of the graph, labels of large components."""
+    from foliospark.functions import joins
+
+    monkeypatch.setattr(joins, "LEAST_HOT", 1)
+    rows = corpus(11, 25)
+    assert got(near.classes(spark.createDataFrame(rows, "doc_id long, text string"), block=3)) == brute(rows)
+    edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(30)]
+    labels = {r.node: r.label for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({labels[i] for i in range(40)}) == 1 and len({labels[100 + i] for i in range(31)}) == 1 and labels[0] != labels[100]
+
+
+def test_one_of_each_with_any_columns(spark):
+    rows = corpus(5, 12)
+    frame = spark.createDataFrame([(*r, 1, "own", "x", None) for r in rows], "doc_id long, text string, label int, `a.b` string, text_key string, n string")
+    found = near.one_of_each(frame)
+    assert found.columns == frame.columns and sorted(r.doc_id for r in found.collect()) == sorted({c for c, _, _ in brute(rows).values()})
+    assert {(r.label, r["a.b"], r.text_key, r.n) for r in found.collect()} == {(1, "own", "x", None)}

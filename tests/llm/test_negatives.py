@@ -1,0 +1,103 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from foliospark.llm import negatives
+
+
+def whole(v):
+    return [math.floor(256 * float(np.float32(x))) for x in v]
+
+
+def expected(rows, every=10, positives=5, most=5, percent=80):
+    kept = {}
+    for i, label, v in rows:
+        if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            kept[i] = min(kept.get(i, (label, whole(v))), (label, whole(v)))
+    width = max((len(v) for _, v in kept.values()), default=0)
+    kept = {i: (label, np.array(v + [0] * (width - len(v)), dtype=object)) for i, (label, v) in kept.items()}
+    out = []
+    for a, (label, q) in kept.items():
+        if a % every:
+            continue
+        scored = sorted(((-int(sum(q * v)), i, own == label) for i, (own, v) in kept.items() if i != a))
+        for s, i, _ in [x for x in scored if x[2]][:positives]:
+            fits = [(-t, j) for t, j, same in scored if not same and percent * -s <= 100 * -t <= 100 * -s][:most]
+            out += [(a, i, n + 1, j, -s, t) for n, (t, j) in enumerate(fits)]
+    return sorted(out)
+
+
+def found(spark, rows, every=10, partitions=4, **options):
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(partitions)
+    return sorted(map(tuple, negatives.hard_negatives(negatives.prepared(frame), F.col("vec_id") % every == 0, **options).collect()))
+
+
+def spread_rows(n, seed, dimension=6, labels=4, spots=5):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(0, 0.5, (spots, dimension))
+    return [(i, int(rng.integers(labels)), (centre[i % spots] + rng.normal(0, 0.2, dimension)).astype(np.float32).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("options", [{}, {"pivots": 3}, {"pivots": 60, "group": 4}, {"group": 1}])
+def test_equal_to_comparing_all(spark, options):
+    rows = spread_rows(500, 3)
+    want = expected(rows)
+    assert want and found(spark, rows, **options) == want
+
+
+def test_many_units_give_the_same(spark, monkeypatch):
+    rows = spread_rows(400, 8, labels=2)
+    monkeypatch.setattr(negatives, "LEAST_WORK", 200)
+    monkeypatch.setattr(negatives, "UNITS", 40)
+    assert found(spark, rows) == expected(rows)
+
+
+def test_ties_go_to_smaller_ids(spark):
+    rows = [(i, i % 2, [0.5, 0.25 * (i % 3), 0.0]) for i in range(120)]
+    assert found(spark, rows) == expected(rows)
+
+
+def test_hot_label_and_copies(spark):
+    rows = [(i, 1, [0.9, 0.1]) for i in range(200)] + [(200 + i, i % 5, [0.7 + i / 1000, 0.3 - i / 500]) for i in range(100)]
+    assert found(spark, rows) == expected(rows)
+
+
+def test_rows_that_take_no_part_and_repeats(spark):
+    rows = spread_rows(120, 4)
+    rows += [(10, None, [1.0] * 6), (20, 1, None), (30, 2, [1.0, None, 0.0]), (40, 2, [float("nan")]), (50, 0, [float("inf")] * 6), (None, 1, [1.0] * 6), (60, 0, [2.0] * 6), (60, 0, [2.0] * 6), rows[70], rows[70]]
+    assert found(spark, rows) == expected(rows)
+
+
+def test_vectors_of_other_lengths_are_filled_up(spark):
+    rows = [(i, i % 3, [0.4, 0.3, 0.2, 0.1][: i % 5]) for i in range(60)]
+    assert found(spark, rows) == expected(rows)
+
+
+def test_negative_scores_have_no_negatives(spark):
+    rows = [(0, 0, [1.0]), (1, 0, [-1.0]), (2, 1, [-0.9]), (3, 1, [0.5]), (4, 0, [0.0]), (5, 1, [0.0])]
+    assert found(spark, rows) == expected(rows) == [(0, 4, 1, 5, 0, 0)]
+
+
+def test_empty_tables(spark):
+    assert found(spark, []) == []
+    assert found(spark, [(1, 1, [1.0]), (2, 2, [1.0])]) == []
+    assert found(spark, [(10, 1, [1.0])]) == []
+
+
+def test_tight_groups_are_pruned(spark):
+    """Rows far from all anchors are not dealt at all."""
+    rng = np.random.default_rng(2)
+    rows = [(10 * i, i % 2, (np.array([4.0, 0, 0]) + rng.normal(0, 0.01, 3)).tolist()) for i in range(30)] + [(10 * i + 3, i % 2, (np.array([0, 4.0, 0]) + rng.normal(0, 0.01, 3)).tolist()) for i in range(300)]
+    space = negatives.Space([[1024, 0, 0], [0, 1024, 0]], 1100.0**2, True)
+    plan = negatives.deal([(0, 0, 30, 0.0, 800.0)], {0: 330}, space)
+    frame = negatives.prepared(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"))
+    assert negatives._dealt(frame, space, plan, 1).count() == 30
+    assert found(spark, rows) == expected(rows)
+
+
+def test_extra_columns(spark):
+    rows = [(i, i % 2, [0.1 * i, 0.2], 5, 6) for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>, v int, cell int")
+    assert sorted(map(tuple, negatives.hard_negatives(negatives.prepared(frame), F.col("vec_id") % 10 == 0).collect())) == expected([r[:3] for r in rows])

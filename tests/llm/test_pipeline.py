@@ -65,3 +65,47 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+BODY = " ".join(f"word{i}" for i in range(60))
+CASES = [
+    (1, f"{BODY} end", "en", "a", 1), (2, f"{BODY} end", "en", "a", 1), (2, f"{BODY} end", "en", "a", 1), (3, None, None, None, None), (4, "", "en", "a", 0), (None, f"{BODY} other tail entirely", None, None, 7),
+    (5, f"{BODY.replace('word', 'term')} mail me@example.org now", "de", "b", 9), (6, " ".join(f"l{i}" for i in range(60_000)), "en", "b", 3), (7, "ab " * 400, "en", "b", 3), (8, "short", "en", "a", 5),
+]
+
+
+def awkward(spark):
+    """Nulls in every column, ties, repeated rows, empty and very long texts, and more columns with names used inside."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, text_key string, label int, n int, replica int, __row string, rate double, kept boolean, spans string"
+    return spark.createDataFrame([(*r, "own", 1, 2, 3, "own", 0.5, False, "own") for r in CASES], kind)
+
+
+def test_stages_on_awkward_rows(spark):
+    docs = awkward(spark)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality rules"](spark, docs, SF)
+    good = [w[0] for w in test_quality.brute([(r[0], r[3], r[1]) for r in CASES]) if w[7]]
+    assert kept.columns == columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, good))
+    unique = stages["n-gram Jaccard join"](spark, docs, SF)
+    # equal texts are one, and so are texts without words; of a class whose ids are null one row stays
+    assert unique.columns == columns and sorted(str(r.doc_id) for r in unique.collect()) == sorted(["1", "3", "5", "6", "7", "8"])
+    shown = stages["PII"](spark, docs, SF)
+    texts = sorted((str(r.doc_id), r.text or "") for r in shown.collect())
+    assert shown.columns == columns and texts == sorted((str(d), redacted(t or "")) for d, t, *_ in CASES)
+    assert [r.text for r in shown.collect() if r.doc_id == 3] == [None]
+    mixed = stages["mixing"](spark, docs, SF)
+    counts = collections.Counter((r.doc_id, r.source) for r in mixed.collect())
+    want = collections.Counter()
+    for d, s, n in test_mixing.expected([(r[0], r[3], r[1]) for r in CASES]):
+        want[d, s] += n
+    assert mixed.columns == columns and counts == +want
+    coded = stages["byte-level BPE"](spark, docs, SF).collect()
+    assert len(coded) == len(CASES) and sorted((str(r.doc_id), r.decoded_sha256) for r in coded) == sorted((str(d), hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in CASES)
+
+
+def test_run_of_all_stages_on_awkward_rows(spark):
+    docs = awkward(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert {r.doc_id for r in docs.collect()} <= {1, 5, 6, None}

@@ -118,3 +118,23 @@ def test_many_parts_take_no_product_of_memory():
     for i, k in placed.items():
         sums[k] += sizes[i]
     assert len(placed) == len(sizes) and max(sums) - min(sums) <= 10
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_cells_of_cells_leave_the_driver_a_fixed_number(spark, monkeypatch, heavy):
+    rng = random.Random(12)
+    rows = [(i, f"{i} " + "x" * rng.randrange(1, 400)) for i in range(900)] + ([(5000, "h" * 5000)] if heavy else [])
+    left, own = [], sharding._levels
+
+    def levels(*args):
+        sums, maps = own(*args)
+        left.append((sums.count(), len(maps), args[2]))
+        return sums, maps
+
+    monkeypatch.setattr(sharding, "_levels", levels)
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell=10, most_cells=4, heavy_parts=64).collect()
+    check(rows, found)
+    (sums, maps, loose) = left[0]
+    assert maps >= 2 and (loose > 0) == heavy and sums <= 4 * 8 + loose * 512
+    if not heavy:
+        assert spread(found)[0] <= 0.01 * spread(found)[1]
