@@ -15,6 +15,7 @@ from foliospark.functions import storage
 from foliospark.functions.frames import ship
 from foliospark.operators import chunking, curation, embedding, evaluation, layout, preparation, retrieval
 from foliospark.sources import files, html, parsing
+from foliospark.sources.cache import VectorCache
 
 
 def named(place: str):
@@ -26,11 +27,12 @@ def named(place: str):
 def parse(spark: SparkSession, a) -> int:
     """files to elements, by the HTML parser or by any function (path, content, strategy) -> elements"""
     found = parsing.find_files(spark, a.input, pattern=a.glob, recursive=not a.flat)
-    if not a.parser:
-        files.write_jsonl(html.parse_html(found.select("path", "content")), a.output)
-        return 0
-    parsed = storage.written(spark, parsing.parse_files(found, named(a.parser), strategies=tuple(a.strategies.split(","))), "parsed")
-    elements = parsing.normalize_elements(parsed)
+    if a.parser:
+        parsed = storage.written(spark, parsing.parse_files(found, named(a.parser), strategies=tuple(a.strategies.split(","))), "parsed")
+        elements = parsing.normalize_elements(parsed)
+    else:
+        elements = storage.written(spark, html.parse_html(found.select("path", "content")), "parsed")
+        parsed = found.select(F.col("path").alias("source_path")).join(elements, "source_path", "left").withColumns({"strategy": F.lit("html"), "error": F.lit(None).cast("string")})
     if a.images:
         elements = parsing.collect_images(elements, a.images)
     if a.tables:
@@ -48,7 +50,7 @@ def parse(spark: SparkSession, a) -> int:
 
 def prepare(spark: SparkSession, a) -> int:
     """chunk, check, compare with a second run, remove duplicates and check again"""
-    made = preparation.prepare(_elements(spark, a.input), max_tokens=a.max_tokens, overlap=a.overlap, strict=a.strict_toc, determinism=not a.skip_determinism, dedup=not a.skip_dedup)
+    made = preparation.prepare(_elements(spark, a.input), max_tokens=a.max_tokens, overlap=a.overlap, strict=a.strict_toc, tokenizer=_tokenizer(a), determinism=not a.skip_determinism, dedup=not a.skip_dedup)
     files.write_jsonl(made.chunks, f"{a.output}/chunks")
     files.write_jsonl(made.manifest, f"{a.output}/manifest")
     if made.unique is not None:
@@ -65,7 +67,7 @@ def demo(spark: SparkSession, a) -> int:
 
 
 def chunk(spark: SparkSession, a) -> int:
-    chunks, manifest = chunking.run_chunking(_elements(spark, a.input), max_tokens=a.max_tokens, overlap=a.overlap, strict=a.strict_toc)
+    chunks, manifest = chunking.run_chunking(_elements(spark, a.input), max_tokens=a.max_tokens, overlap=a.overlap, strict=a.strict_toc, tokenizer=_tokenizer(a))
     files.write_jsonl(chunks, f"{a.output}/chunks")
     files.write_jsonl(manifest, f"{a.output}/manifest")
     return 0
@@ -103,24 +105,30 @@ def compare(spark: SparkSession, a) -> int:
 def embed(spark: SparkSession, a) -> int:
     if a.batch_size:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", a.batch_size)
-    encoder = named(a.encoder)(embedding.pick_device(a.device)) if a.encoder else embedding.HashEncoder(a.dimension)
-    cache = spark.read.parquet(a.cache) if a.cache and _there(spark, a.cache) else None
+    cache = VectorCache(spark, a.cache) if a.cache else None
+    chunks = files.read_chunks(spark, a.input)
+    if a.check_links:
+        retrieval.check_chain(embedding.rewire(embedding.select_chunks(chunks, a.policy)), scope=("doc_id",))
     vectors, fresh = embedding.embed_chunks(
-        files.read_chunks(spark, a.input), a.policy, encoder, most=a.max_tokens, strategy=a.truncation.replace("+", "_"), normalize=a.l2_normalize, half=a.dtype == "float16", tables=not a.plain_tables,
-        describe=named(a.describe) if a.describe else None, cache=cache,
+        chunks, a.policy, _encoder(a), most=a.max_tokens, strategy=a.truncation.replace("+", "_"), normalize=a.l2_normalize, half=a.dtype == "float16", tables=not a.plain_tables,
+        describe=embedding.describer(named(a.describe)) if a.describe else None, cache=cache.read() if cache else None, tokenizer=_tokenizer(a),
     )
-    if vectors.isEmpty():
+    files.write_vectors(vectors, a.output)
+    if spark.read.parquet(a.output).isEmpty():
         print("No chunk is selected by the policy.")
         return 1
-    files.write_vectors(vectors, a.output)
-    if a.cache:
-        files.append_cache(fresh, a.cache)
+    if cache:
+        cache.append(fresh)
     return 0
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+def _encoder(a):
+    return named(a.encoder)(embedding.pick_device(a.device)) if a.encoder else embedding.HashEncoder(a.dimension)
+
+
+def _tokenizer(a):
+    """``module:function`` that gives a tokenizer, or nothing: words between white space."""
+    return named(a.tokenizer)() if a.tokenizer else None
 
 
 def evaluate(spark: SparkSession, a) -> int:
@@ -129,7 +137,7 @@ def evaluate(spark: SparkSession, a) -> int:
     numbered = storage.written(spark, asked.withColumn("query_id", F.monotonically_increasing_id()), "questions")
     scored = evaluation.run_evaluation(
         numbered,
-        lambda q: retrieval.retrieve(q, store, encoder=embedding.HashEncoder(a.dimension), top_k_dense=a.top_k_dense, top_k_sparse=a.top_k_sparse, top_k_rerank=a.top_k, rrf_k=a.rrf_k, context_window_size=a.window),
+        lambda q: retrieval.retrieve(q, store, encoder=_encoder(a), top_k_dense=a.top_k_dense, top_k_sparse=a.top_k_sparse, top_k_rerank=a.top_k, rrf_k=a.rrf_k, context_window_size=a.window),
         top_k=a.top_k,
     )
     totals = evaluation.aggregate(scored)
@@ -146,7 +154,7 @@ def quality(spark: SparkSession, a) -> int:
     elements = _elements(spark, a.input)
     metrics = curation.layout_metrics(elements, layout.page_sizes(elements))
     metrics.write.mode("overwrite").json(f"{a.output}/metrics")
-    metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{a.output}/csv")
+    metrics.write.mode("overwrite").option("header", True).csv(f"{a.output}/csv")
     curation.type_counts(elements).write.mode("overwrite").json(f"{a.output}/types")
     curation.order_sanity(elements).where(~F.col("in_order")).write.mode("overwrite").json(f"{a.output}/ordering")
     if a.page:
@@ -182,19 +190,20 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--max-tokens", type=int, default=chunking.MAX_TOKENS)
         p.add_argument("--overlap", type=int, default=chunking.OVERLAP_WORDS)
         p.add_argument("--strict-toc", action="store_true")
+        p.add_argument("--tokenizer", help="module:function that gives a tokenizer for the budget")
     p.add_argument("--skip-determinism", action="store_true")
     p.add_argument("--skip-dedup", action="store_true")
     command("demo", demo, "output")
     command("check", check, "input").add_argument("--show", type=int, default=20)
     command("dedup", dedup, "input", "output")
     command("compare", compare, "input", "other")
-    p = command("embed", embed, "input", "output")
+    p = embedder = command("embed", embed, "input", "output")
     p.add_argument("--policy", default=schemas.EMBED_POLICY)
     p.add_argument("--max-tokens", type=int, default=512)
     p.add_argument("--truncation", choices=["head", "tail", "head_tail", "head+tail"], default="head")
     p.add_argument("--cache", help="folder of cached vectors; fresh ones are added")
-    p.add_argument("--encoder", help="module:class of an encoder that takes the device")
-    p.add_argument("--device", choices=["auto", "cpu", "cuda", "mps"], default="auto")
+    p.add_argument("--check-links", action="store_true", help="stop if links between the selected chunks are faulty")
+    p.add_argument("--tokenizer", help="module:function that gives a tokenizer for truncation")
     p.add_argument("--batch-size", type=int)
     p.add_argument("--plain-tables", action="store_true", help="embed tables as they are, not as sentences")
     p.add_argument("--describe", help="module:function that describes figures by their path")
@@ -205,6 +214,9 @@ def parser() -> argparse.ArgumentParser:
     for name, value in (("top-k", 10), ("top-k-dense", 100), ("top-k-sparse", 100), ("rrf-k", 60), ("window", 1), ("dimension", 64)):
         p.add_argument(f"--{name}", type=int, default=value)
     p.add_argument("--output")
+    for p in (embedder, p):
+        p.add_argument("--encoder", help="module:class of an encoder that takes the device")
+        p.add_argument("--device", choices=["auto", "cpu", "cuda", "mps"], default="auto")
     p = command("quality", quality, "input", "output")
     p.add_argument("--page", help="HTML file with the metrics and boxes of one document")
     p.add_argument("--doc", help="its doc_id; the least by default")

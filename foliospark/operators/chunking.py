@@ -16,6 +16,7 @@ from foliospark import schemas
 from foliospark.functions import geometry
 from foliospark.functions import text as text_functions
 from foliospark.functions.frames import in_arrow
+from foliospark.functions.tokens import Tokenizer
 from foliospark.operators import layout
 
 LEAST_CHARACTERS = 15
@@ -144,13 +145,16 @@ KERNEL = (
 )
 
 
-def chunk_blocks(blocks: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS) -> DataFrame:
+def chunk_blocks(blocks: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Raw chunks of every document's blocks, in emission order ``ord``.
 
-    A document's blocks become one row, so the kernel gets many documents in an Arrow batch.
+    A document's blocks become one row, so the kernel gets many documents in an Arrow batch. Budgets count ``tokenizer``'s
+    ids, or estimated tokens without one.
     """
     from pyspark.sql.types import StructType
 
+    tokens = estimated_tokens if tokenizer is None else lambda t: len(tokenizer.encode([t])[0])
+
     own = F.struct(
         "ord", "page", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("html", F.lit("")).alias("html"), F.col("element_ids").alias("ids"), "bbox", "picture", "page_width", "page_height"
     )
@@ -168,7 +172,7 @@ def chunk_blocks(blocks: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: in
                 for doc_id, found in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True):
                     joined = join_headings(found)
                     placed = [b | {"section": s} for b, s in zip(joined, sections(joined), strict=True)]
-                    rows += [c | {"doc_id": doc_id, "ord": n} for n, c in enumerate(assemble(placed, max_tokens, overlap))]
+                    rows += [c | {"doc_id": doc_id, "ord": n} for n, c in enumerate(assemble(placed, max_tokens, overlap, tokens))]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return documents.transform(in_arrow, kernel, schema)
@@ -207,12 +211,12 @@ def blocks_of(elements: DataFrame, *, strict: bool = False) -> tuple[DataFrame,
     return layout.attach_captions(layout.merge_text(layout.without_margins(layout.with_boxes(body)))), layout.page_sizes(body)
 
 
-def run_chunking(elements: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def run_chunking(elements: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, strict: bool = False, tokenizer: Tokenizer | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, manifest) of all documents at once.
 
     Rows are dealt by document first. All keys that follow begin with the document, so that this is the one shuffle of
     elements; the files' names are counted down to one a document before theirs.
     """
     blocks, pages = blocks_of(elements, strict=strict)
-    chunks = finish_chunks(chunk_blocks(blocks, max_tokens=max_tokens, overlap=overlap), elements)
+    chunks = finish_chunks(chunk_blocks(blocks, max_tokens=max_tokens, overlap=overlap, tokenizer=tokenizer), elements)
     return chunks, manifest(pages, blocks, chunks)

@@ -126,6 +126,63 @@ def differences(one: DataFrame, two: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("run", F.lit(1)).unionByName(b.exceptAll(a).withColumn("run", F.lit(2)))
 
 
+#: The four 32-bit numbers of a row's hash that are added up.
+LIMBS = ("h0", "h1", "h2", "h3")
+
+
+def digests(chunks: DataFrame, by: tuple[str, ...] = ("doc_id",), columns: tuple[str, ...] = DETERMINISTIC) -> DataFrame:
+    """(by, n, h0 .. h3): a digest of each group of rows that does not depend on their order.
+
+    It adds up 128 bits of every row's hash, so repeated rows count, tasks combine their rows before the shuffle, and digests
+    of parts add up to the digest of the whole (``merged``). Without ``by`` there is one digest of all rows.
+    """
+    there = sorted(c for c in columns if c in chunks.columns)
+    hashed = chunks.select(*by, F.sha2(F.to_json(F.struct(*there), {"ignoreNullFields": "false"}).cast("binary"), 256).alias("h"))
+    limbs = hashed.select(*by, F.lit(1).cast("long").alias("n"), *[F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)").alias(c) for k, c in enumerate(LIMBS)])
+    return merged(limbs, by)
+
+
+def merged(parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Digests of larger groups from those of their parts; of no rows at all, zeros."""
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long" if c == "n" else "decimal(38,0)").alias(c)
+    return parts.groupBy(*by).agg(zero("n"), *map(zero, LIMBS))
+
+
+def changed(one: DataFrame, two: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(by, n_before, n_after, change) of the groups that differ between two runs: added, removed, rows or content.
+
+    Only digests are shuffled and joined, a row a group; ``rows``: their number differs, ``content``: it is equal and they are not.
+    """
+    a = digests(one, by).withColumnsRenamed({c: f"{c}_a" for c in ("n", *LIMBS)})
+    b = digests(two, by).withColumnsRenamed({c: f"{c}_b" for c in ("n", *LIMBS)})
+    # the keys as one struct, so that null groups meet
+    a, b = (x.select(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("key"), F.struct(*by).alias("k"), *[c for c in x.columns if c not in by]) for x in (a, b))
+    same = F.lit(True)
+    for c in LIMBS:
+        same = same & (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    change = F.when(F.col("n_a").isNull(), "added").when(F.col("n_b").isNull(), "removed").when(F.col("n_a") != F.col("n_b"), "rows").when(~same, "content")
+    joined = a.withColumnRenamed("k", "k_a").join(b.withColumnRenamed("k", "k_b"), "key", "full").withColumn("change", change).where(F.col("change").isNotNull())
+    return joined.select(F.coalesce("k_a", "k_b").alias("k"), F.coalesce("n_a", F.lit(0)).alias("n_before"), F.coalesce("n_b", F.lit(0)).alias("n_after"), "change").select("k.*", "n_before", "n_after", "change")
+
+
+def vocabulary_overlap(source: DataFrame, parsed: DataFrame, *, source_text: str = "text", parsed_text: str = "text") -> DataFrame:
+    """(source_terms, parsed_terms, common_terms, recall, precision, f1) of two corpora's vocabularies: one row.
+
+    Each side's words are marked by a bit and combined by word, first in the tasks; no document's words stand in one place.
+    Both empty: 1, 1, 1. Source empty: 1, 0, 0. Parsed empty: 0, 1, 0.
+    """
+    sides = [
+        frame.select(F.explode(text.ascii_tokens(F.col(column))).alias("term"), F.lit(bit).alias("side")) for frame, column, bit in ((source, source_text, 1), (parsed, parsed_text, 2))
+    ]
+    terms = sides[0].unionByName(sides[1]).groupBy("term").agg(F.bit_or("side").alias("side"))
+    n = terms.agg(F.count_if(F.col("side").bitwiseAND(1) > 0).alias("source_terms"), F.count_if(F.col("side").bitwiseAND(2) > 0).alias("parsed_terms"), F.count_if(F.col("side") == 3).alias("common_terms"))
+    a, b, both = F.col("source_terms"), F.col("parsed_terms"), F.col("common_terms").cast("double")
+    recall = F.when(a == 0, 1.0).otherwise(both / F.greatest(a, F.lit(1)))
+    precision = F.when((a == 0) & (b == 0), 1.0).when(a == 0, 0.0).when(b == 0, 1.0).otherwise(both / F.greatest(b, F.lit(1)))
+    f1 = F.when((a == 0) & (b == 0), 1.0).when(both > 0, 2 * both / (a + b)).otherwise(0.0)
+    return n.withColumns({"recall": recall, "precision": precision, "f1": f1})
+
+
 def layout_metrics(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, n, in_bounds, coverage, overlap) of each page; a missing page number counts as page 1.
 

@@ -2,11 +2,12 @@
 
 The encoder is a seam: anything with ``name``, ``dimension`` and ``encode(texts) -> 2-D array``. It runs in a vectorised
 Python function, loaded once a worker; the default hashes words, so that nothing has to be downloaded.
+``functions.tokens.PooledEncoder`` makes one of a tokenizer and a model of token states.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from typing import Protocol
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.functions import storage, text
+from foliospark.functions import storage, text, tokens
+from foliospark.functions.frames import ship_active
 from foliospark.functions.joins import hot_join, hot_keys
 
 SCHEMA_VERSION = "chunk-v1"
@@ -67,20 +69,22 @@ def embed(texts: Column, encoder: Encoder, *, normalize: bool = True, half: bool
 
     Wrong dimensions and values that are not finite are errors.
     """
+    ship_active()
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
         for batch in batches:
-            found = np.asarray(encoder.encode(batch.fillna("").tolist()), np.float32).reshape(len(batch), -1)
+            found = np.asarray(encoder.encode(batch.fillna("").tolist())).reshape(len(batch), -1)
             if len(batch) and found.shape[1] != encoder.dimension:
                 raise ValueError(f"the encoder gave {found.shape[1]} numbers, not {encoder.dimension}")
             if not np.isfinite(found).all():
                 raise ValueError("the encoder gave a value that is not finite")
             if normalize:
                 length = np.linalg.norm(found, axis=1, keepdims=True)
-                found = np.where(length > 1e-12, found / np.maximum(length, 1e-12), found).astype(np.float32)
+                found = np.where(length > 1e-12, found / np.maximum(length, 1e-12), found)
+            found = found.astype(np.float32)
             if half:
                 found = found.astype(np.float16).astype(np.float32)
             yield pd.Series(list(found), dtype=object)
@@ -198,23 +202,68 @@ def table_sentences(html: str, caption: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def linearized(html: pd.Series, caption: pd.Series) -> pd.Series:
+def _linearized(html: pd.Series, caption: pd.Series) -> pd.Series:
     return pd.Series([table_sentences(h, c) for h, c in zip(html, caption, strict=True)], dtype=object)
 
 
-def rich_text(*, tables: bool = True, describe=None) -> Column:
-    """Text to embed: tables as sentences, figures as caption and description if ``describe(image_path column)`` is given."""
+def linearized(html: Column, caption: Column) -> Column:
+    """``table_sentences`` as a column."""
+    ship_active()
+    return _linearized(html, caption)
+
+
+def describer(function: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A describer of figures from a plain function of their path: struct<text, failed>.
+
+    A path that the function fails on has an empty text and ``failed``, and so have a null path and an answer of None.
+    """
+
+    def describe(path: Column) -> Column:
+        ship_active()
+
+        @F.pandas_udf("text string, failed boolean")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                told = []
+                for place in batch:
+                    try:
+                        answer = function(place) if place is not None else None
+                    except Exception:
+                        answer = None
+                    told.append(("" if answer is None else str(answer).strip(), answer is None))
+                yield pd.DataFrame(told, columns=["text", "failed"])
+
+        return run(path)
+
+    return describe
+
+
+def rich_text(*, tables: bool = True, told: Column | None = None) -> Column:
+    """Text to embed: tables as sentences; figures, if ``told`` is given, as their caption and what is told of them."""
     plain = text.empty_if_null(F.col("text"))
     out = F.when(F.lit(False), "")
     if tables:
         out = out.when((F.col("role") == "table") & (F.coalesce("html", F.lit("")) != ""), linearized(F.col("html"), plain))
-    if describe is not None:
-        told = F.coalesce(describe(F.col("image_path")), F.lit(""))
+    if told is not None:
         caption = F.concat(F.lit("Figure caption: "), text.strip(plain))
         out = out.when(F.col("role") == "figure", text.strip(F.when(told != "", F.concat(caption, F.lit("\nVisual summary: "), told)).otherwise(caption)))
     return out.otherwise(plain)
 
 
+def with_descriptions(rows: DataFrame, describe: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with ``told`` and ``told_failed``; figures alone are described, each once, as their rows are written first.
+
+    ``describe`` gives a string or, as ``describer`` does, struct<text, failed>. Null descriptions are empty ones.
+    """
+    figure = F.coalesce(F.col("role") == "figure", F.lit(False))
+    told = rows.where(figure).withColumn("told", describe(F.col("image_path")))
+    nested = isinstance(told.schema["told"].dataType, T.StructType)
+    parts = (F.col("told.text"), F.col("told.failed")) if nested else (F.col("told"), F.lit(False))
+    told = told.select(*rows.columns, F.coalesce(parts[0], F.lit("")).alias("told"), F.coalesce(parts[1], F.lit(False)).alias("told_failed"))
+    told = storage.written(rows.sparkSession, told, "figures")
+    return told.unionByName(rows.where(~figure).withColumns({"told": F.lit(""), "told_failed": F.lit(False)}))
+
+
 def cache_key(model: str, embedding_text: Column, truncation: str, normalize: bool) -> Column:
     """Key of a cached vector; the normalisation is part of it."""
     parts = [F.lit(model), F.lit(SCHEMA_VERSION), F.sha2(embedding_text.cast("binary"), 256), F.lit(truncation), F.lit(str(normalize))]
@@ -222,29 +271,48 @@ def cache_key(model: str, embedding_text: Column, truncation: str, normalize: bo
 
 
 def embed_chunks(
-    chunks: DataFrame, policy: str, encoder: Encoder | None = None, *, most: int = 512, strategy: str = "head", normalize: bool = True, half: bool = False, tables: bool = True, describe=None, cache: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
+    chunks: DataFrame, policy: str, encoder: Encoder | None = None, *, most: int = 512, strategy: str = "head", normalize: bool = True, half: bool = False, tables: bool = True, describe=None, cache: DataFrame | None = None,
+    tokenizer: tokens.Tokenizer | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(vectors, fresh): the vector table, and the rows (key, vector) to append to the cache.
 
-    Select, relink, enrich, prefix, truncate, embed what ``cache`` (key, vector) lacks. Each text is encoded once however
-    many chunks share it and however often the two results are read: fresh rows are written to the shared folder first.
-    Chunks meet their vectors with hot texts dealt to many tasks. The stored text is the one that was embedded. Truncation
-    counts words between white space.
+    Select, relink, enrich, prefix, truncate, embed what ``cache`` (key, vector; of a repeated key one row counts) lacks.
+    Enriched rows are written to the shared folder before anything reads them, so a figure is described once, and its text is
+    the same wherever it is used; figures that could not be described keep their caption and are counted in a warning. Each
+    text is encoded once however many chunks share it and however often the two results are read. Chunks meet their vectors
+    with hot texts dealt to many tasks; a chunk whose vector is missing is an error. The stored text is the one that was
+    embedded. Truncation is on ``tokenizer``'s ids, or counts words between white space without one.
     """
+    import warnings
+
+    spark = chunks.sparkSession
     encoder = encoder or HashEncoder()
     cut = text.truncation_name(most, strategy)
-    rows = rewire(select_chunks(chunks, policy)).withColumn("__full", text.document_prefix(rich_text(tables=tables, describe=describe)))
-    split = text.words(F.col("__full"))
-    short = F.when(F.size(split) <= most, F.col("__full")).otherwise(F.array_join(text.truncate(split, most, strategy), " "))
-    keyed = rows.withColumn("key", cache_key(encoder.name, F.col("__full"), cut, normalize)).withColumn("embedding_text", short)
+    rows = rewire(select_chunks(chunks, policy))
+    if describe is not None:
+        rows = with_descriptions(rows, describe)
+    full = text.document_prefix(rich_text(tables=tables, told=F.col("told") if describe is not None else None))
+    rows = rows.withColumn("__full", full)
+    if tokenizer is not None:
+        short, cut_key = tokens.truncated(F.col("__full"), tokenizer, most, strategy), f"{cut} {tokenizer.name}"
+    else:
+        split = text.words(F.col("__full"))
+        short, cut_key = F.when(F.size(split) <= most, F.col("__full")).otherwise(F.array_join(text.truncate(split, most, strategy), " ")), cut
+    keyed = rows.withColumn("key", cache_key(encoder.name, F.col("__full"), cut_key, normalize)).withColumn("embedding_text", short).drop("__full")
+    keyed = storage.written(spark, keyed, "enriched")
+    if describe is not None and (failed := keyed.where("told_failed").count()):
+        warnings.warn(f"{failed} figures could not be described", stacklevel=2)
     wanted = keyed.groupBy("key").agg(F.first("embedding_text").alias("embedding_text"), F.count("*").alias("n"))
-    wanted = storage.written(chunks.sparkSession, wanted, "texts")
-    missing = wanted.drop("n") if cache is None else wanted.drop("n").join(cache.select("key"), "key", "left_anti")
-    fresh = storage.written(chunks.sparkSession, missing.select("key", embed(F.col("embedding_text"), encoder, normalize=normalize, half=half).alias("vector")), "vectors")
-    known = fresh if cache is None else fresh.unionByName(cache.select("key", "vector"))
-    vectors = hot_join(keyed, known, ["key"], hot_keys(wanted, ["key"]), F.struct("doc_id", "chunk_id")).select(
+    wanted = storage.written(spark, wanted, "texts")
+    stored = cache.groupBy("key").agg(F.min("vector").alias("vector")) if cache is not None else None
+    missing = wanted.drop("n") if stored is None else wanted.drop("n").join(stored.select("key"), "key", "left_anti")
+    fresh = storage.written(spark, missing.select("key", embed(F.col("embedding_text"), encoder, normalize=normalize, half=half).alias("vector")), "vectors")
+    known = fresh if stored is None else fresh.unionByName(stored.select("key", "vector"))
+    joined = hot_join(keyed, known, ["key"], hot_keys(wanted, ["key"]), F.struct("doc_id", "chunk_id"), how="left")
+    vector = F.coalesce("vector", F.raise_error(F.concat(F.lit("no vector of chunk "), F.coalesce("chunk_id", F.lit("null")))).cast("array<float>"))
+    vectors = joined.select(
         "chunk_id", "doc_id", "role", F.col("page_start").cast("int").alias("page_start"), F.col("order_rank").cast("int").alias("order_rank"), "section_id", "section_path", "content_sha256",
         "prev_id", "next_id", F.lit(encoder.name).alias("model_id"), F.lit(encoder.dimension).alias("dim"), F.lit(cut).alias("truncation"), F.lit(normalize).alias("l2_normalize"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), "embedding_text", F.sha2(F.col("embedding_text").cast("binary"), 256).alias("embedding_text_sha256"), "vector",
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), "embedding_text", F.sha2(F.col("embedding_text").cast("binary"), 256).alias("embedding_text_sha256"), vector.alias("vector"),
     )
     return vectors, fresh

@@ -63,13 +63,20 @@ def aggregate(scored: DataFrame) -> DataFrame:
     )
 
 
-def run_evaluation(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], *, top_k: int = 10) -> DataFrame:
+#: Questions that are tried alone when a whole level of halves has failed alike, and batches that are tried in all.
+PROBES, MOST_TRIES = 8, 256
+
+
+def run_evaluation(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], *, top_k: int = 10, probes: int = PROBES, most_tries: int = MOST_TRIES) -> DataFrame:
     """Scores of every question of (query_id, question, ground_truth_context), with ``latency_seconds`` and ``error``.
 
     ``retrieve`` takes (query_id, query) and gives (query_id, rank, chunk_id); all questions go as one batch and the wall
-    time is shared among them. If a batch fails, its halves (by a hash of the id) are tried apart, down to single
-    questions: each failing question gets its error and zero scores, and all others their results. Questions without an id
-    share one fate. Hits stay in the shared folder; nothing but error messages reaches the driver.
+    time is shared among them. If a batch fails, its halves (by a hash of the id) are tried apart, a level at a time, down to
+    single questions: each failing question gets its error and zero scores, and all others their results. Where the halves
+    have all failed with one class of error and no batch has succeeded, ``probes`` questions are tried alone: if they fail so
+    too, the engine itself is down, and every question gets that error. After ``most_tries`` batches the questions of those
+    that are still to be parted get the error of their batch, which says so. Questions without an id share one fate. Hits stay
+    in the shared folder and errors are joined as a table; nothing but error messages reaches the driver.
     """
     import time
 
@@ -77,32 +84,67 @@ def run_evaluation(questions: DataFrame, retrieve: Callable[[DataFrame], DataFra
 
     spark = questions.sparkSession
     base = questions.select("query_id", "question", F.coalesce("ground_truth_context", F.array().cast("array<string>")).alias("ground_truth_ids"))
+    base = storage.written(spark, base, "questions")
     asked = base.select("query_id", F.col("question").alias("query"))
-    bits, found, failed, began = F.xxhash64("query_id"), [], [], time.time()
+    bits, found, failed, began, tries = F.xxhash64("query_id"), [], [], time.time(), 0
+    of = lambda place, level: bits.bitwiseAND(F.lit((1 << level) - 1)) == place
 
-    def tried(part: DataFrame, place: int, level: int) -> None:
+    def tried(part: DataFrame) -> Exception | None:
+        nonlocal tries
+        tries += 1
         try:
             hits = retrieve(part).where(F.col("rank") <= top_k).select(F.col("query_id").cast("string").alias("query_id"), "rank", F.col("chunk_id").cast("string").alias("chunk_id"))
             found.append(storage.written(spark, hits, "hits"))
         except Exception as e:
-            if level == 63 or part.select("query_id").distinct().limit(2).count() < 2:
-                failed.append((place, level, str(e)[:500]))
-                return
+            return e
+        return None
+
+    def alone() -> Exception | None:
+        """The error that some single questions all fail with, if they do."""
+        error = None
+        for r in asked.select("query_id").where("query_id IS NOT NULL").orderBy(F.xxhash64("query_id", F.lit(1))).limit(probes).collect():
+            before = len(found)
+            error = tried(asked.where(F.col("query_id") == r["query_id"]))
+            del found[before:]  # a probe's hits come again with its batch
+            if error is None:
+                return None
+        return error
+
+    level, kinds = 0, set()
+    error = tried(asked)
+    pending = [] if error is None else [(0, error)]
+    while pending:
+        kinds |= {type(e) for _, e in pending}
+        if level == 2 and not found and len(kinds) == 1 and (down := alone()) is not None and type(down) in kinds:
+            failed.append((0, 0, str(down)))
+            break
+        sizes = {r["place"]: r["n"] for r in asked.groupBy(bits.bitwiseAND(F.lit((1 << level) - 1)).alias("place")).agg(F.count_distinct("query_id").alias("n")).where(F.col("place").isin([p for p, _ in pending])).collect()}
+        ahead = []
+        for place, error in pending:
+            if sizes.get(place, 0) < 2 or level == 62:
+                failed.append((place, level, str(error)))
+                continue
             for side in (place, place + (1 << level)):
-                half = asked.where(bits.bitwiseAND(F.lit((1 << (level + 1)) - 1)) == side)
-                if not half.isEmpty():
-                    tried(half, side, level + 1)
-
-    tried(asked, 0, 0)
+                half = asked.where(of(side, level + 1))
+                if tries >= most_tries:
+                    failed.append((side, level + 1, f"one of a batch that failed and was not parted further after {tries} tries: {error}"))
+                elif not half.isEmpty() and (own := tried(half)) is not None:
+                    ahead.append((side, own))
+        pending, level = ahead, level + 1
     took = (time.time() - began) / max(1, base.count())
     ranked = spark.createDataFrame([], "query_id string, rank int, chunk_id string")
     for hits in found:
         ranked = ranked.unionByName(hits)
     lists = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved_ids"))
-    error = F.lit(None).cast("string")
-    for place, level, message in failed:  # the few questions that fail
-        error = F.when(bits.bitwiseAND(F.lit((1 << level) - 1)) == place, F.lit(message)).otherwise(error)
-    joined = base.withColumn("error", error).join(lists, base["query_id"].cast("string") == lists["query_id"], "left").drop(lists["query_id"])
+    errors = spark.createDataFrame(failed, "place long, level int, error string")  # at most 2 x most_tries rows
+    levels = sorted({n for _, n, _ in failed})
+    marks = F.array(*[F.struct(F.lit(n).alias("level"), bits.bitwiseAND(F.lit((1 << n) - 1)).alias("place")) for n in levels]) if levels else None
+    joined = base.join(lists, base["query_id"].cast("string") == lists["query_id"], "left").drop(lists["query_id"])
+    if marks is None:
+        joined = joined.withColumn("error", F.lit(None).cast("string"))
+    else:
+        told = errors.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.struct("level", "place"), "error"))).alias("errors"))
+        joined = joined.join(F.broadcast(told)).withColumn("error", F.array_max(F.transform(marks, lambda m: F.element_at("errors", m)))).drop("errors")
     full = joined.withColumn("retrieved_ids", F.coalesce("retrieved_ids", F.array().cast("array<string>")))
     scored = score(full, k=top_k).withColumn("latency_seconds", F.when(F.col("error").isNull(), took).otherwise(0.0))
     return scored.select(*[c for c in scored.columns if c != "error"], "error")

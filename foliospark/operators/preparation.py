@@ -22,13 +22,13 @@ class Prepared:
     passed: bool
 
 
-def prepare(elements: DataFrame, *, max_tokens: int = chunking.MAX_TOKENS, overlap: int = chunking.OVERLAP_WORDS, strict: bool = False, determinism: bool = True, dedup: bool = True) -> Prepared:
+def prepare(elements: DataFrame, *, max_tokens: int = chunking.MAX_TOKENS, overlap: int = chunking.OVERLAP_WORDS, strict: bool = False, tokenizer=None, determinism: bool = True, dedup: bool = True) -> Prepared:
     """Runs the steps in order and stops at the first that fails; steps after it are not in the report.
 
     The report has (step, passed, detail): the number of chunks, broken rules, rows in which two runs differ, and duplicates.
     """
     spark, steps = elements.sparkSession, []
-    run = lambda: chunking.run_chunking(elements, max_tokens=max_tokens, overlap=overlap, strict=strict)
+    run = lambda: chunking.run_chunking(elements, max_tokens=max_tokens, overlap=overlap, strict=strict, tokenizer=tokenizer)
     made, manifest = run()
     chunks, manifest = storage.written(spark, made, "chunks"), storage.written(spark, manifest, "manifest")
     unique = None

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from foliospark.functions import storage, text, vectors
 from foliospark.functions.frames import in_arrow
+from foliospark.functions.joins import LEAST_HOT, hot_join, hot_keys
 
 REQUIRED = ("chunk_id", "prev_id", "next_id", "section_path")
 #: Queries in a block, and stored rows that meet it at a time; their product is the largest thing a task holds.
@@ -317,6 +318,52 @@ def dangling(store: DataFrame, *, scope: tuple[str, ...] = ()) -> DataFrame:
     return links.join(there, [*scope, "reference"], "left_anti")
 
 
+def chain_violations(store: DataFrame, *, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope columns, chunk_id, side, rule, reference) of every faulty prev or next link.
+
+    Rules: self (a chunk links to itself), dangling (to one that is not there), one_sided (to one that does not link back),
+    cycle (the links of that side lead back to the chunk, over others). A link may break two rules. Cycles are found by
+    pointer doubling: each round a chunk's pointer takes on its target's, so walks of any length end within as many rounds as
+    their number of links has bits, and chunks whose walk has ended drop out. Where many chunks link to one, that
+    target's chunks are dealt to many tasks. Chunk ids must be unique within the scope; null ids have no part.
+    """
+    spark = store.sparkSession
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("reference"), F.col(f"{t}_id").alias("back")) for s, t in (("prev", "next"), ("next", "prev"))])
+    rows = store.where(F.col("chunk_id").isNotNull()).select(*scope, "chunk_id", F.explode(sides).alias("l")).select(*scope, "chunk_id", "l.*")
+    rows = storage.written(spark, rows, "links")
+    keys = [*scope, "side", "target"]
+    links = rows.where("reference IS NOT NULL").select(*scope, "side", F.col("reference").alias("target"), "chunk_id")
+    counted = lambda frame: hot_keys(frame.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    there = rows.select(*scope, "side", F.col("chunk_id").alias("target"), F.lit(True).alias("there"), "back")
+    met = hot_join(links, there, keys, counted(links), F.col("chunk_id"), "left")
+    itself = F.col("target") == F.col("chunk_id")
+    # ``back`` is what the target has on its other side
+    broken = F.array_compact(F.array(
+        F.when(itself, "self"), F.when(F.col("there").isNull(), "dangling"), F.when(F.col("there") & ~itself & ~F.col("back").eqNullSafe(F.col("chunk_id")), "one_sided"),
+    ))
+    faults = met.select(*scope, "chunk_id", "side", F.explode(broken).alias("rule"), F.col("target").alias("reference"))
+    walk = storage.written(spark, met.where(~itself & F.col("there")).select(*scope, "side", "chunk_id", "target"), "walk")
+    first, reach, n, endless = walk, 1, walk.count(), False
+    # a walk that ends drops some chunk in every round, so a round that drops none leaves walks into cycles alone; then
+    # pointers that have gone as many links as there are chunks left stand on the cycles themselves
+    while n and not (endless and reach >= n):
+        onward = walk.select(*scope, "side", F.col("chunk_id").alias("target"), F.col("target").alias("beyond"))
+        met = hot_join(walk, onward, keys, counted(walk), F.col("chunk_id")) if n > LEAST_HOT else walk.join(onward, keys)  # no key can be hot
+        walk = storage.written(spark, met.select(*scope, "side", "chunk_id", F.col("beyond").alias("target")), "walk")
+        before, n, reach = n, walk.count(), 2 * reach
+        endless = n == before
+    on_cycle = walk.select(*scope, "side", F.col("target").alias("chunk_id")).distinct()
+    cycles = first.join(on_cycle, [*scope, "side", "chunk_id"], "left_semi").select(*scope, "chunk_id", "side", F.lit("cycle").alias("rule"), F.col("target").alias("reference"))
+    return faults.unionByName(cycles)
+
+
+def check_chain(store: DataFrame, *, scope: tuple[str, ...] = ()) -> None:
+    """Raises ValueError with up to ten faulty links of a store, if it has any."""
+    found = chain_violations(store, scope=scope).limit(10).collect()
+    if found:
+        raise ValueError(f"faulty links: {[tuple(r) for r in found]}")
+
+
 def with_vectors(chunks: DataFrame, vectors: DataFrame, *, scope: tuple[str, ...] = (), columns: tuple[str, ...] = ("embedding_text", "vector")) -> DataFrame:
     """``chunks`` that have a vector, with the named columns of ``vectors``; links to chunks without one become null."""
     both = chunks.drop(*columns).join(vectors.select(*scope, "chunk_id", *columns), [*scope, "chunk_id"])
@@ -366,17 +413,22 @@ class CachedStore:
         return self._known.cache_info()
 
 
-def fetch(requests: DataFrame, store: DataFrame, *, ids: str = "chunk_ids", request_id: str = "request_id", strict: bool = True) -> DataFrame:
+def fetch(requests: DataFrame, store: DataFrame, *, ids: str = "chunk_ids", request_id: str = "request_id", strict: bool = True, named: int = 10) -> DataFrame:
     """The stored rows of every requested id with ``pos``, in order and with repeats.
 
-    ``strict``: an unknown id is an error in the plan; otherwise ``found`` tells known and unknown ids apart.
+    ``strict``: unknown ids are a ValueError that names the first ``named`` of them, found by a join of ids alone before any
+    row is fetched; otherwise ``found`` tells known and unknown ids apart.
     """
     wanted = requests.select(request_id, F.posexplode(ids).alias("pos", "chunk_id"))
     rows = wanted.join(store.withColumn("found", F.lit(True)), "chunk_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
     if not strict:
         return rows
-    checked = F.when(F.col("found"), F.col("chunk_id")).otherwise(F.raise_error(F.concat(F.lit("unknown chunk_id: "), F.coalesce("chunk_id", F.lit("null")))).cast(store.schema["chunk_id"].dataType))
-    return rows.withColumn("chunk_id", checked).drop("found")
+    asked = wanted.groupBy("chunk_id").agg(F.min(F.struct(request_id, "pos")).alias("first"))
+    missing = asked.join(store.select("chunk_id"), "chunk_id", "left_anti").orderBy("first").limit(named + 1).collect()
+    if missing:
+        more = " and more" if len(missing) > named else ""
+        raise ValueError(f"unknown chunk_id(s): {[r['chunk_id'] for r in missing[:named]]}{more}")
+    return rows.drop("found")
 
 
 def neighbors(hits: DataFrame, store: DataFrame, window: int = 1, *, scope: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions import geometry, text, vectors
+from foliospark.functions import geometry, text, tokens, vectors
 from foliospark.functions.frames import table
 from foliospark.operators import chunking, curation, embedding, evaluation, layout, retrieval
 from foliospark.plans import fixtures as fx
@@ -163,6 +163,26 @@ def bm25_search(spark, sf_dir):
     return retrieval.bm25_search(fx.questions(spark, sf_dir), fx.store(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
+_FAULTS = """n AS (SELECT chunk_id, vec_id, prev_id AS p, next_id AS n, lag(chunk_id, 3) OVER (PARTITION BY label ORDER BY vec_id) AS back FROM store),
+f AS (SELECT chunk_id, CASE WHEN vec_id % 50 = 33 THEN NULL ELSE p END AS prev_id, CASE vec_id % 50 WHEN 7 THEN chunk_id WHEN 13 THEN 'lost' WHEN 21 THEN coalesce(back, n) ELSE n END AS next_id FROM n),
+l AS (SELECT chunk_id, 'prev' AS side, prev_id AS reference FROM f WHERE prev_id IS NOT NULL UNION ALL SELECT chunk_id, 'next', next_id FROM f WHERE next_id IS NOT NULL),
+m AS (SELECT l.*, g.chunk_id IS NOT NULL AS there, CASE side WHEN 'prev' THEN g.next_id ELSE g.prev_id END AS back FROM l LEFT JOIN f g ON g.chunk_id = l.reference)"""
+
+
+@query(f"""WITH RECURSIVE {fx.STORE}, {_FAULTS}, ok AS (SELECT side, chunk_id, reference FROM m WHERE there AND reference <> chunk_id),
+w AS (SELECT side, chunk_id AS start, reference AS spot, 1 AS d FROM ok UNION ALL SELECT w.side, start, ok.reference, d + 1 FROM w JOIN ok ON ok.side = w.side AND ok.chunk_id = w.spot WHERE d < 40 AND w.spot <> start)
+SELECT chunk_id, side, 'self' AS rule, reference FROM m WHERE reference = chunk_id UNION ALL SELECT chunk_id, side, 'dangling', reference FROM m WHERE NOT there
+UNION ALL SELECT chunk_id, side, 'one_sided', reference FROM m WHERE there AND reference <> chunk_id AND back IS DISTINCT FROM chunk_id
+UNION ALL SELECT chunk_id, side, 'cycle', reference FROM ok WHERE (side, chunk_id) IN (SELECT (side, start) FROM w WHERE spot = start)""")
+def chain_integrity(spark, sf_dir):
+    """The whole store with planted links to oneself, to nothing, back along the chain, and none where one belongs."""
+    store = fx.store(spark, sf_dir).select("chunk_id", "vec_id", "label", "prev_id", "next_id")
+    k, back = F.col("vec_id") % 50, F.lag("chunk_id", 3).over(Window.partitionBy("label").orderBy("vec_id"))
+    onward = F.when(k == 7, F.col("chunk_id")).when(k == 13, "lost").when(k == 21, F.coalesce(back, "next_id")).otherwise(F.col("next_id"))
+    faulty = store.select("chunk_id", F.when(k != 33, F.col("prev_id")).alias("prev_id"), onward.alias("next_id"))
+    return retrieval.chain_violations(faulty)
+
+
 # ---- evaluation -------------------------------------------------------------------------------------------------------
 
 _RESULTS = f"""top AS (SELECT query_id, q.label, chunk_id, s.label AS l, row_number() OVER (PARTITION BY query_id ORDER BY {_IP} DESC, chunk_id) AS rank FROM questions q, store s WHERE s.vec_id <> query_id QUALIFY rank <= 10),
@@ -523,7 +543,53 @@ def embed_cache_misses(spark, sf_dir):
 @query("SELECT 0::BIGINT AS different")
 def determinism(spark, sf_dir):
     runs = [chunking.run_chunking(fx.elements(spark, sf_dir))[0] for _ in range(2)]
-    return curation.differences(*runs).agg(F.count("*").alias("different"))
+    return curation.changed(*runs).agg(F.count("*").alias("different"))
+
+
+@query(f"""WITH {fx.CHUNKS}, n AS (SELECT doc, count(*) AS n FROM lines GROUP BY 1), k AS (SELECT *, doc % 6 AS k FROM n)
+SELECT CASE WHEN k = 4 THEN 'new ' || doc ELSE doc::VARCHAR END AS doc_id, CASE WHEN k = 4 THEN 0 ELSE n END AS n_before, CASE k WHEN 2 THEN n - 1 WHEN 3 THEN n + 1 ELSE n END AS n_after,
+ CASE k WHEN 1 THEN 'content' WHEN 4 THEN 'added' ELSE CASE WHEN k = 2 AND n = 1 THEN 'removed' ELSE 'rows' END END AS change FROM k WHERE k BETWEEN 1 AND 4
+UNION ALL SELECT doc::VARCHAR, n, 0, 'removed' FROM k WHERE k = 4""")
+def digest_changes(spark, sf_dir):
+    """Two runs, compared by digests: a changed text, a lost row, a repeated row, another id; and rows in another order, which is none."""
+    before = fx.chunks(spark, sf_dir)
+    kind, first = F.col("doc_id").cast("long") % 6, F.col("ord") == 0
+    after = before.where(~((kind == 2) & first)).unionByName(before.where((kind == 3) & first)).repartition("chunk_id")
+    after = after.withColumn("text", F.when((kind == 1) & first, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return curation.changed(before, after.withColumn("doc_id", F.when(kind == 4, F.concat(F.lit("new "), "doc_id")).otherwise(F.col("doc_id"))))
+
+
+# ---- tokens -----------------------------------------------------------------------------------------------------------
+
+_CUT = "CASE WHEN length(t) > 512 THEN {0} ELSE t END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, length(t) AS n_tokens, md5({_CUT.format("left(t, 512)")}) AS head, md5({_CUT.format("right(t, 512)")}) AS tail, md5({_CUT.format("left(t, 358) || right(t, 154)")}) AS head_tail FROM d""")
+def token_truncation(spark, sf_dir):
+    """Whole texts cut on their token ids and decoded, by a tokenizer whose ids are code points."""
+    body, tokenizer = F.coalesce("text", F.lit("")), tokens.CodePoints()
+    cuts = [F.md5(tokens.truncated(body, tokenizer, 512, s).cast("binary")).alias(s) for s in ("head", "tail", "head_tail")]
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.counted(body, tokenizer).alias("n_tokens"), *cuts)
+
+
+@query("""WITH d AS (SELECT doc_id, left(coalesce(text, ''), 512) AS t FROM documents), c AS (SELECT doc_id, unicode(substring(t, i, 1)) AS id FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM d)),
+n AS (SELECT doc_id, id, count(*) AS n FROM c GROUP BY 1, 2), s AS (SELECT doc_id, j, sum(n * ((id * (2 * j + 1) + j) % 257 - 128))::DOUBLE / sum(n)::DOUBLE AS m FROM n, range(8) r(j) GROUP BY 1, 2),
+v AS (SELECT doc_id, list(m ORDER BY j) AS v FROM s GROUP BY 1), l AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM v)
+SELECT doc_id, r.j::INT AS component, round(coalesce((CASE WHEN l > 1e-12 THEN v[r.j + 1] / l ELSE v[r.j + 1] END)::FLOAT::DOUBLE, 0), 6) AS value FROM d LEFT JOIN l USING (doc_id), range(8) r(j)""")
+def pooled_vectors(spark, sf_dir):
+    """Every document through tokenizer, padded batches and masked mean pooling; texts of any length, also none."""
+    encoder = tokens.PooledEncoder(tokens.CodePoints(), tokens.TokenTable(dimension=8, longest=512))
+    found = table(spark, sf_dir, "documents").select("doc_id", embedding.embed(F.coalesce("text", F.lit("")), encoder).alias("v"))
+    return found.select("doc_id", F.posexplode("v").alias("component", "x")).select("doc_id", "component", F.round(F.col("x").cast("double"), 6).alias("value"))
+
+
+@query(f"""WITH {fx.CHUNKS}, a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks),
+n AS (SELECT (SELECT count(*) FROM a) AS source_terms, (SELECT count(*) FROM b) AS parsed_terms, (SELECT count(*) FROM a JOIN b USING (term)) AS common_terms)
+SELECT *, common_terms / source_terms AS recall, common_terms / parsed_terms AS "precision", 2 * common_terms / (source_terms + parsed_terms) AS f1 FROM n""")
+def vocabulary_overlap(spark, sf_dir):
+    """The words of all documents and those of their chunks, some of which have lost their text."""
+    return curation.vocabulary_overlap(table(spark, sf_dir, "documents"), fx.chunks(spark, sf_dir))
 
 
 # ---- parser quality and parsing ---------------------------------------------------------------------------------------
@@ -544,10 +610,11 @@ def type_counts(spark, sf_dir):
     return curation.type_counts(fx.elements(spark, sf_dir))
 
 
-@query(f"""WITH {fx.ELEMENTS}, e AS (SELECT doc_id, coalesce(page_number, 1) AS page_number, ord, CASE WHEN ord % 19 = 18 THEN ord - 7 ELSE ord END AS idx, page_number AS own FROM elements),
-l AS (SELECT doc_id, page_number, coalesce(idx < lag(idx) OVER (PARTITION BY doc_id, own ORDER BY ord), false) AS f FROM e) SELECT doc_id, page_number, NOT bool_or(f) AS in_order FROM l GROUP BY 1, 2""")
+@query(f"""WITH {fx.ELEMENTS}, e AS (SELECT doc_id, coalesce(page_number, 1) AS page_number, ord, CASE WHEN ord % 19 = 18 THEN ord - 7 WHEN ord % 41 = 40 THEN ord % 83 ELSE ord END AS idx FROM elements),
+l AS (SELECT doc_id, page_number, coalesce(idx < lag(idx) OVER (PARTITION BY doc_id, page_number ORDER BY ord), false) AS f FROM e) SELECT doc_id, page_number, NOT bool_or(f) AS in_order FROM l GROUP BY 1, 2""")
 def order_sanity(spark, sf_dir):
-    moved = F.when(F.col("ord") % 19 == 18, F.col("ord") - 7).otherwise(F.col("ord"))
+    """Some indices fall within their page, some on elements without a page, which count to page 1."""
+    moved = F.when(F.col("ord") % 19 == 18, F.col("ord") - 7).when(F.col("ord") % 41 == 40, F.col("ord") % 83).otherwise(F.col("ord"))
     return curation.order_sanity(fx.elements(spark, sf_dir).withColumn("element_index", moved))
 
 

@@ -71,10 +71,6 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(path)
 
 
-def append_cache(fresh: DataFrame, path: str) -> None:
-    fresh.write.mode("append").parquet(path)
-
-
 def evaluation_report(scored: DataFrame, totals: DataFrame, config: dict) -> str:
     """JSON of an evaluation: totals, configuration and every question (an evaluation set is small)."""
     rows = [r.asDict(recursive=True) for r in scored.orderBy("query_id").collect()]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliospark import cli
 from foliospark.operators import curation, embedding, retrieval
 from foliospark.sources import files, parsing
+from foliospark.sources.cache import VectorCache
 
 
 def parse_plain(path, content, strategy):
@@ -72,8 +73,8 @@ def test_prepare_demo_embed_and_page(spark, tmp_path, capsys):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
         embed = ["embed", "--input", tmp_path / "d", "--cache", tmp_path / "cache", "--truncation", "head+tail", "--batch-size", 2, "--encoder", "tests.test_seams:SmallEncoder", "--device", "cpu", "--plain-tables"]
-        assert run(*embed, "--output", tmp_path / "v") == 0 and spark.read.parquet(str(tmp_path / "cache")).count() == 3
-        assert run(*embed, "--output", tmp_path / "w") == 0 and spark.read.parquet(str(tmp_path / "cache")).count() == 3
+        assert run(*embed, "--output", tmp_path / "v") == 0 and VectorCache(spark, str(tmp_path / "cache")).read().count() == 3
+        assert run(*embed, "--output", tmp_path / "w") == 0 and VectorCache(spark, str(tmp_path / "cache")).read().count() == 3
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     rows = [{(r.chunk_id, tuple(r.vector), r.truncation, r.embedding_text) for r in spark.read.parquet(str(tmp_path / n)).collect()} for n in ("v", "w")]

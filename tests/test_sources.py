@@ -96,8 +96,8 @@ def test_embedding_with_a_cache(spark):
 
 
 def test_figures_are_described(spark):
-    told = embedding.rich_text(describe=lambda path: F.when(path != "", F.concat(F.lit("seen "), path)))
-    rows = {r.chunk_id: r.t for r in files.demo_chunks(spark).select("chunk_id", told.alias("t")).collect()}
+    described = embedding.with_descriptions(files.demo_chunks(spark), lambda path: F.when(path != "", F.concat(F.lit("seen "), path)))
+    rows = {r.chunk_id: r.t for r in described.select("chunk_id", embedding.rich_text(told=F.col("told")).alias("t")).collect()}
     assert rows["c4"] == "Figure caption: The parts in order\nVisual summary: seen figures/parts.png"
 
 
