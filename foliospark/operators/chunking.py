@@ -1,7 +1,8 @@
 """Chunk assembly.
 
 Headings, sections and chunks depend on all that came before in the document, so this one step is a Python kernel over a
-document's blocks; what comes before and after it is native. A group is a document, never a corpus.
+document's blocks; what comes before and after it is native. A group is a document, never a corpus. Documents of very many
+blocks are cut where the kernel's state is known whatever came before, and the same kernel runs over their pieces.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark import schemas
-from foliospark.functions import geometry
+from foliospark.functions import geometry, storage
 from foliospark.functions import text as text_functions
 from foliospark.functions.frames import in_arrow
 from foliospark.functions.tokens import Tokenizer
@@ -22,6 +23,8 @@ from foliospark.operators import layout
 LEAST_CHARACTERS = 15
 MAX_TOKENS, OVERLAP_WORDS = 900, 120
 TITLE_LENGTH = 120
+#: Documents of more blocks than this are cut into pieces of about PIECE blocks.
+LARGE, PIECE = 20_000, 512
 
 _TOKEN = re.compile(r"\w+|\S")
 _NUMBER = re.compile(r"\d+(?:\.\d+)*\b")
@@ -74,21 +77,36 @@ def join_headings(blocks: list[dict]) -> list[dict]:
     return out
 
 
+class Headings:
+    """The open sections of a document while its headings are read one after another."""
+
+    def __init__(self):
+        self.open, self.counts, self.made = [], {}, 0
+
+    def add(self, level: int, title: str) -> dict:
+        """The section that a heading opens, below the nearest lower level."""
+        self.open = [s for s in self.open if s["level"] < level]  # levels rise along the open sections
+        parent = self.open[-1] if self.open else None
+        place = (level, parent["id"] if parent else None)
+        self.counts[place] = self.counts.get(place, 0) + 1
+        self.open.append({"id": f"s{self.made}", "level": level, "title": title, "path": " > ".join([*(s["title"] for s in self.open), title]), "index": self.counts[place]})
+        self.made += 1
+        return self.open[-1]
+
+
+def title_of(text: str) -> str:
+    lines = text.strip().splitlines()
+    return lines[0][:TITLE_LENGTH] if lines else ""
+
+
 def sections(blocks: list[dict]) -> list[dict | None]:
     """The section of each block: a heading opens one below the nearest lower level, other blocks stay in the open one."""
-    open_, counts, made, out = [], {}, 0, []
+    headings, now, out = Headings(), None, []
     for block in blocks:
         level = heading_level(block["role"], block["text"])
         if level is not None:
-            open_ = [s for s in open_ if s["level"] < level]  # levels rise along the open sections
-            lines = block["text"].strip().splitlines()
-            title = lines[0][:TITLE_LENGTH] if lines else ""
-            parent = open_[-1] if open_ else None
-            place = (level, parent["id"] if parent else None)
-            counts[place] = counts.get(place, 0) + 1
-            open_ = [*open_, {"id": f"s{made}", "level": level, "title": title, "path": " > ".join([*(s["title"] for s in open_), title]), "index": counts[place]}]
-            made += 1
-        out.append(open_[-1] if open_ else None)
+            now = headings.add(level, title_of(block["text"]))
+        out.append(now)
     return out
 
 
@@ -145,37 +163,131 @@ KERNEL = (
 )
 
 
-def chunk_blocks(blocks: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """Raw chunks of every document's blocks, in emission order ``ord``.
+_OWN = "struct<ord:int,page:int,role:string,text:string,html:string,ids:array<int>,bbox:struct<x1:double,y1:double,x2:double,y2:double>,picture:string,page_width:double,page_height:double>"
+_SECTION = "struct<id:string,path:string,level:int,index:int>"
 
-    A document's blocks become one row, so the kernel gets many documents in an Arrow batch. Budgets count ``tokenizer``'s
-    ids, or estimated tokens without one.
-    """
-    from pyspark.sql.types import StructType
 
-    tokens = estimated_tokens if tokenizer is None else lambda t: len(tokenizer.encode([t])[0])
+def _own() -> Column:
+    columns = ["ord", "page", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("html", F.lit("")).alias("html"), F.col("element_ids").alias("ids"), "bbox", "picture", "page_width", "page_height"]
+    return F.struct(*columns)
+
+
+def _counter(tokenizer: Tokenizer | None):
+    return estimated_tokens if tokenizer is None else lambda t: len(tokenizer.encode([t])[0])
 
-    own = F.struct(
-        "ord", "page", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("html", F.lit("")).alias("html"), F.col("element_ids").alias("ids"), "bbox", "picture", "page_width", "page_height"
-    )
-    documents = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("blocks"))
-    schema = StructType.fromDDL(KERNEL)
 
-    def kernel(batches: Iterator):
+def _by_rows(frame: DataFrame, work, schema: str, step: int = 64) -> DataFrame:
+    """``frame`` with every row turned into rows by ``work(row)``, a few at a time."""
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+
+    def run(batches: Iterator):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
+        arrow = to_arrow_schema(kind)
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                rows = []
-                for doc_id, found in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True):
-                    joined = join_headings(found)
-                    placed = [b | {"section": s} for b, s in zip(joined, sections(joined), strict=True)]
-                    rows += [c | {"doc_id": doc_id, "ord": n} for n, c in enumerate(assemble(placed, max_tokens, overlap, tokens))]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for at in range(0, whole.num_rows, step):
+                yield pa.RecordBatch.from_pylist([out for row in whole.slice(at, step).to_pylist() for out in work(row)], schema=arrow)
+
+    return frame.transform(in_arrow, run, kind)
+
+
+def chunk_blocks(blocks: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, tokenizer: Tokenizer | None = None, large: int | None = None) -> DataFrame:
+    """Raw chunks of every document's blocks, in emission order ``ord``.
+
+    A document's blocks become one row, so the kernel gets many documents in an Arrow batch. Budgets count ``tokenizer``'s
+    ids, or estimated tokens without one. Documents of more than ``large`` blocks are cut into pieces instead
+    (``chunk_pieces``); without ``large`` none is.
+    """
+    if large is not None:
+        sized = blocks.withColumn("__n", F.count("*").over(Window.partitionBy("doc_id")))
+        options = {"max_tokens": max_tokens, "overlap": overlap, "tokenizer": tokenizer}
+        small, others = (sized.where(c).drop("__n") for c in (F.col("__n") <= large, F.col("__n") > large))
+        return chunk_blocks(small, **options).unionByName(chunk_pieces(others, **options))
+    tokens = _counter(tokenizer)
+    documents = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(_own())).alias("blocks"))
+
+    def kernel(row: dict) -> list[dict]:
+        joined = join_headings(row["blocks"])
+        placed = [b | {"section": s} for b, s in zip(joined, sections(joined), strict=True)]
+        return [c | {"doc_id": row["doc_id"], "ord": n} for n, c in enumerate(assemble(placed, max_tokens, overlap, tokens))]
+
+    return _by_rows(documents, kernel, KERNEL)
+
+
+def _pieces(rows: DataFrame, cut: Column, order: tuple[str, ...], piece: int) -> DataFrame:
+    """``rows`` with ``piece``: about so many rows each, every piece beginning at a row where ``cut`` holds."""
+    doc = Window.partitionBy("doc_id").orderBy(*order)
+    so_far = doc.rowsBetween(Window.unboundedPreceding, 0)
+    place = F.row_number().over(doc)
+    marked = rows.withColumn("__at", F.when((place == 1) | F.coalesce(cut, F.lit(True)), F.floor((place - 1) / piece)))
+    return marked.withColumn("piece", F.last("__at", ignorenulls=True).over(so_far)).drop("__at")
+
+
+def chunk_pieces(blocks: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, tokenizer: Tokenizer | None = None, piece: int = PIECE) -> DataFrame:
+    """``chunk_blocks`` for documents of any length: the same chunks, from pieces that are dealt to many tasks.
+
+    Joining headings can begin anew before a block that nothing before it could take: on another page, or one that is no
+    caption and no paragraph after a heading. Sections follow from the headings alone, which one pass with the open sections as
+    its state numbers; every block then has the last one. Assembly can begin anew on another page, at a table or figure, and
+    where the section changes unless a title is right before. Windows stream over a document's rows; no task holds
+    more than a piece, which is longer than ``piece`` blocks only where no cut comes.
+    """
+    spark, tokens = blocks.sparkSession, _counter(tokenizer)
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    before = lambda c, w=order: F.lag(c).over(w)
+    level = text_functions.heading_level(F.col("role"), F.col("text"))
+    told = blocks.withColumn("__heading", level.isNotNull())
+    free = (F.col("page") != before("page")) | ((F.col("role") != "caption") & ~((F.col("role") == "paragraph") & before("__heading")))
+    cut = _pieces(told, free, ("ord",), piece).select("doc_id", "piece", _own().alias("b"))
+    grouped = cut.repartition("doc_id", "piece").groupBy("doc_id", "piece").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+
+    def joined(row: dict) -> list[dict]:
+        out = []
+        for n, b in enumerate(join_headings(row["blocks"])):
+            out.append({"doc_id": row["doc_id"], "piece": row["piece"], "n": n, "b": b, "level": heading_level(b["role"], b["text"]), "title": title_of(b["text"])})
+        return out
+
+    rows = storage.written(spark, _by_rows(grouped, joined, f"doc_id string, piece long, n int, b {_OWN}, level int, title string"), "joined-blocks")
+    heads = rows.where("level IS NOT NULL").select("doc_id", "piece", "n", "level", "title")
+
+    def numbered(batches: Iterator):
+        import pyarrow as pa
 
-    return documents.transform(in_arrow, kernel, schema)
+        doc, state = None, None
+        for batch in batches:
+            found = []
+            for own, at, n, depth, title in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or own != doc:
+                    doc, state = own, Headings()
+                s = state.add(depth, title)
+                found.append({"doc_id": own, "piece": at, "n": n, "section": {"id": s["id"], "path": s["path"], "level": s["level"], "index": s["index"]}})
+            kinds = pa.schema([("doc_id", pa.string()), ("piece", pa.int64()), ("n", pa.int32()), ("section", pa.struct([("id", pa.string()), ("path", pa.string()), ("level", pa.int32()), ("index", pa.int32())]))])
+            yield pa.RecordBatch.from_pylist(found, schema=kinds)
+
+    opened = heads.repartition("doc_id").sortWithinPartitions("doc_id", "piece", "n").transform(in_arrow, numbered, f"doc_id string, piece long, n int, section {_SECTION}")
+    key = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("doc_id", "piece", "n")]
+    met = rows.alias("r").join(opened.alias("s"), key[0] & key[1] & key[2], "left").select("r.doc_id", "r.piece", "r.n", "r.b", "s.section")
+    place = Window.partitionBy("doc_id").orderBy("piece", "n")
+    placed = met.withColumn("section", F.last("section", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0))).withColumnsRenamed({"piece": "p"})
+    place = Window.partitionBy("doc_id").orderBy("p", "n")
+    changed = ~F.col("section.id").eqNullSafe(F.lag("section.id").over(place)) & ~F.lag("b.role").over(place).isin("title", "h2")
+    free = (F.col("b.page") != F.lag("b.page").over(place)) | F.col("b.role").isin("table", "figure") | changed
+    cut = _pieces(placed, free, ("p", "n"), piece)
+    again = cut.select("doc_id", "piece", F.struct("p", "n", "b", "section").alias("x")).repartition("doc_id", "piece")
+    grouped = again.groupBy("doc_id", "piece").agg(F.array_sort(F.collect_list(F.struct("x.p", "x.n", "x.b", "x.section"))).alias("blocks"))
+
+    def made(row: dict) -> list[dict]:
+        known: dict = {}
+        placed = [x["b"] | {"section": known.setdefault(x["section"]["id"], x["section"]) if x["section"] else None} for x in row["blocks"]]
+        return [c | {"doc_id": row["doc_id"], "piece": row["piece"], "ord": n} for n, c in enumerate(assemble(placed, max_tokens, overlap, tokens))]
+
+    chunks = _by_rows(grouped, made, f"{KERNEL}, piece long")
+    doc, inside = Window.partitionBy("doc_id").orderBy("piece", "ord"), Window.partitionBy("doc_id", "section_id").orderBy("piece", "ord")
+    index = F.when(F.col("section_id") != "", F.row_number().over(inside)).otherwise(0)
+    return chunks.withColumns({"section_index": index.cast("int"), "__ord": (F.row_number().over(doc) - 1).cast("int")}).withColumn("ord", F.col("__ord")).drop("piece", "__ord")
 
 
 def finish_chunks(raw: DataFrame, elements: DataFrame, *, max_level: int = 6) -> DataFrame:
@@ -211,12 +323,14 @@ def blocks_of(elements: DataFrame, *, strict: bool = False) -> tuple[DataFrame,
     return layout.attach_captions(layout.merge_text(layout.without_margins(layout.with_boxes(body)))), layout.page_sizes(body)
 
 
-def run_chunking(elements: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, strict: bool = False, tokenizer: Tokenizer | None = None) -> tuple[DataFrame, DataFrame]:
+def run_chunking(elements: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, strict: bool = False, tokenizer: Tokenizer | None = None, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """(chunks, manifest) of all documents at once.
 
     Rows are dealt by document first. All keys that follow begin with the document, so that this is the one shuffle of
     elements; the files' names are counted down to one a document before theirs.
     """
     blocks, pages = blocks_of(elements, strict=strict)
-    chunks = finish_chunks(chunk_blocks(blocks, max_tokens=max_tokens, overlap=overlap, tokenizer=tokenizer), elements)
+    long = elements.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > large)  # without one the plan stays as it is
+    options = {"max_tokens": max_tokens, "overlap": overlap, "tokenizer": tokenizer, "large": None if long.isEmpty() else large}
+    chunks = finish_chunks(chunk_blocks(blocks, **options), elements)
     return chunks, manifest(pages, blocks, chunks)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions import geometry, text, tokens, vectors
+from foliospark.functions import geometry, storage, text, tokens, vectors
 from foliospark.functions.frames import table
-from foliospark.operators import chunking, curation, embedding, evaluation, layout, retrieval
+from foliospark.operators import chunking, curation, embedding, evaluation, index, layout, retrieval
 from foliospark.plans import fixtures as fx
 from foliospark.sources import html as html_source
 from foliospark.sources import parsing
@@ -52,6 +52,22 @@ def dense_topk_l2(spark, sf_dir):
     return _dense(spark, sf_dir, "l2", 10).withColumn("score", F.round(F.col("score"), 6))
 
 
+def _indexed(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    """The same questions through a stored index."""
+    built = index.DenseIndex.build(fx.store(spark, sf_dir).select("chunk_id", "vector"), storage.scratch(spark, "index"))
+    return built.search(fx.questions(spark, sf_dir), 10, metric=metric)[0].withColumn("score", F.round("score", 6))
+
+
+@query(_DENSE.format(score=_IP, order="DESC"))
+def indexed_topk_ip(spark, sf_dir):
+    return _indexed(spark, sf_dir, "ip")
+
+
+@query(_DENSE.format(score=_L2, order="ASC"))
+def indexed_topk_l2(spark, sf_dir):
+    return _indexed(spark, sf_dir, "l2")
+
+
 _BM25 = """d AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM store), m AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
 q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM questions), u AS (SELECT chunk_id, len(t) AS size, unnest(t) AS term FROM d),
 tf AS (SELECT chunk_id, size, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),

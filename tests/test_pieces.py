@@ -1,0 +1,61 @@
+"""Documents cut into pieces against the kernel over whole documents."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from foliospark.operators import chunking
+from foliospark.plans import fixtures
+
+KIND = "doc_id string, ord int, page int, role string, text string, html string, element_ids array<int>, bbox struct<x1:double,y1:double,x2:double,y2:double>, picture string, page_width double, page_height double"
+
+
+def random_blocks(seed, docs=6, n=120):
+    rng = random.Random(seed)
+    texts = ["1. Numbered heading", "2.1 Another one", "SHOUTED WORDS", "tiny", "", "A paragraph of some length that is kept whole.", "1.1.1 deep. with. dots", "Plain title", "word " * 40]
+    roles = ["paragraph"] * 6 + ["title", "h1", "h2", "h3", "caption", "caption", "figure", "table", "other", "listitem"]
+    rows = []
+    for d in range(docs):
+        page = 1
+        for i in range(n):
+            page += rng.random() < (0.02, 0.2)[d % 2]
+            box = (0.1, 0.1 * (i % 5), 0.9, 0.5) if rng.random() < 0.7 else None
+            rows.append((f"d{d}", 3 * i, page, rng.choice(roles), rng.choice(texts), rng.choice(["", "<b>"]), [i], box, "", 1.0, 1.0))
+    return rows
+
+
+def ordered(frame):
+    return [r.asDict(recursive=True) for r in frame.select(*[c.split(" ")[0] for c in ("doc_id", "ord", "page", "role", "text", "html", "ids", "bbox", "section_id", "section_path", "section_level", "section_index", "picture", "page_width", "page_height")]).orderBy("doc_id", "ord").collect()]
+
+
+@pytest.mark.parametrize("piece", [1, 5, 64])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_blocks(spark, seed, piece):
+    blocks = spark.createDataFrame(random_blocks(seed), KIND).repartition(3)
+    assert ordered(chunking.chunk_pieces(blocks, max_tokens=60, overlap=6, piece=piece)) == ordered(chunking.chunk_blocks(blocks, max_tokens=60, overlap=6))
+
+
+def test_fixture_documents(spark):
+    blocks, _ = chunking.blocks_of(fixtures.elements(spark, "/root/testdata/sf0.001"))
+    blocks = blocks.cache()
+    want = ordered(chunking.chunk_blocks(blocks, max_tokens=80, overlap=10))
+    assert ordered(chunking.chunk_pieces(blocks, max_tokens=80, overlap=10, piece=3)) == want
+    assert ordered(chunking.chunk_blocks(blocks, max_tokens=80, overlap=10, large=20)) == want
+    blocks.unpersist()
+
+
+def test_no_blocks(spark):
+    assert chunking.chunk_pieces(spark.createDataFrame([], KIND)).collect() == []
+
+
+def test_one_long_document_over_many_tasks(spark):
+    """100,000 blocks of one document; its pieces are in many partitions and none is long."""
+    n = 100_000
+    role = F.when(F.col("id") % 50 == 0, "h1").when(F.col("id") % 31 == 5, "table").otherwise("paragraph")
+    blocks = spark.range(n).select(
+        F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("ord"), F.floor(F.col("id") / 20).cast("int").alias("page"), role.alias("role"), F.concat(F.lit("text of the block "), "id").alias("text"), F.lit("").alias("html"),
+        F.array(F.col("id").cast("int")).alias("element_ids"), F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("bbox"), F.lit("").alias("picture"), F.lit(1.0).alias("page_width"), F.lit(1.0).alias("page_height"),
+    )
+    found = chunking.chunk_pieces(blocks).agg(F.sum(F.size("ids")).alias("n"), F.count_distinct("section_id").alias("sections"), F.max("ord").alias("last"), F.count("*").alias("chunks")).first()
+    assert found.n == n and found.sections == n // 50 and found["last"] == found.chunks - 1
