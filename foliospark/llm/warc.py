@@ -117,6 +117,10 @@ class ArchiveReader:
             self.offset += used
 
 
+#: Bits of a bitmap as Spark builds them, and of all bitmaps of the filter at most (16 MB).
+BITMAP_BITS, FILTER_BITS = 32_768, 1 << 27
+
+
 def _slices(batches: Iterator, rows: int = 128) -> Iterator:
     """Batches cut so that only a few payloads are Python objects at a time."""
     for batch in batches:
@@ -133,8 +137,9 @@ def write_archives(
     Among rows of equal payloads of at least ``least`` bytes, those with the largest page_id are responses and the others
     revisits of it without a block (rows that repeat that page_id are responses too). Null html is an empty payload; a
     null url is written as an empty target; among null page_ids, null counts as the smallest. Extra columns are not read.
-    Smaller payloads are written where they are read; larger ones meet their digest's first page in one shuffle, in which
-    the copies of a payload are dealt to many tasks. A payload of any length is one record, held once at a time. An empty
+    Payloads that have no copy are written where they are read: smaller ones, and larger ones whose digest is not in a Bloom
+    filter of the repeated digests. The others meet their digest's first page in one shuffle, in which the copies of a
+    payload are dealt to many tasks; what the filter lets through by chance only takes that way too. A payload of any length is one record, held once at a time. An empty
     table gives no archive. Each archive's dictionary is made of its own first ``samples`` records, so it needs no driver.
     Names carry a fresh id for each attempt; only archives named in the index that the job commits are read later.
     """
@@ -144,11 +149,18 @@ def write_archives(
     size, digest, page = F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("digest"), F.col(id_column).alias("page_id")
     rows = pages.select(page, F.coalesce(F.col(url_column), F.lit("")).alias("url"), html.cast("binary").alias("payload"), digest, size)
     first = written(spark, rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "warc-digests")
-    met = hot_join(rows.where(F.col("size") >= least), first.drop("n"), ["digest"], hot_keys(first, ["digest"]), F.struct("page_id", "url"), "left")
+    bits = min(FILTER_BITS, max(BITMAP_BITS, 1 << (16 * first.count()).bit_length()))
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    spots = first.select((place / BITMAP_BITS).cast("int").alias("map"), (place % BITMAP_BITS).alias("bit"))
+    maps = spots.groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))  # FILTER_BITS at most in all
+    byte = F.conv(F.hex(F.substring("bits", (place % BITMAP_BITS / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, (place % 8).cast("int")) % 2 == 1
+    found = rows.where(F.col("size") >= least).withColumn("map", (place / BITMAP_BITS).cast("int")).join(F.broadcast(maps), "map", "left").withColumn("maybe", F.coalesce(is_set, F.lit(False))).drop("map", "bits")
+    met = hot_join(found.where("maybe"), first.drop("n"), ["digest"], hot_keys(first, ["digest"]), F.struct("page_id", "url"), "left")
     revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    large = met.select("page_id", "url", F.when(~revisits, F.col("payload")).alias("payload"), "digest", "size", F.when(revisits, F.col("first_id")).alias("refers_to"))
-    small = rows.where(F.col("size") < least).select("page_id", "url", "payload", "digest", "size", F.lit(None).cast(pages.schema[id_column].dataType).alias("refers_to"))
-    full = small.unionByName(large)
+    copied = met.select("page_id", "url", F.when(~revisits, F.col("payload")).alias("payload"), "digest", "size", F.when(revisits, F.col("first_id")).alias("refers_to"))
+    alone = rows.where(F.col("size") < least).unionByName(found.where("NOT maybe").drop("maybe"))
+    full = alone.select("page_id", "url", "payload", "digest", "size", F.lit(None).cast(pages.schema[id_column].dataType).alias("refers_to")).unionByName(copied)
 
     def run(batches: Iterator):
         import pyarrow as pa

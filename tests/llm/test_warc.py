@@ -85,3 +85,13 @@ def test_very_long_payload(spark):
     text = "".join(chr(97 + (i * i) % 26) for i in range(1000)) * 20_000
     found = warc.read_archives(spark, warc.write_archives(spark.createDataFrame([(1, "u", text), (2, "u", text)], "page_id long, url string, html string"))).orderBy("page_id").collect()
     assert [(r.record_type, r.payload_bytes, r.refers_to) for r in found] == [("revisit", 20_000_000, 2), ("response", 20_000_000, None)]
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 27])
+def test_a_full_filter_changes_no_record(spark, monkeypatch, bits):
+    """With few bits nearly every payload may have a copy, with many only those that have one."""
+    monkeypatch.setattr(warc, "FILTER_BITS", bits)
+    monkeypatch.setattr(warc, "BITMAP_BITS", min(bits, warc.BITMAP_BITS))
+    rows = [(i, "u", f"page number {i // 2 if i < 300 else i} " * 100) for i in range(600)]
+    found = warc.read_archives(spark, warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string")), payload=False).collect()
+    assert sorted((r.page_id, r.refers_to) for r in found) == [(i, i + 1 if i < 300 and i % 2 == 0 else None) for i in range(600)]
