@@ -19,6 +19,8 @@ _OWN: dict[str, str] = {}
 #: Of each session that is writing: [writes under way, the switch's setting before the first of them].
 _WRITING: dict[int, list] = {}
 _LOCK = threading.Lock()
+#: Scratch tables that are still there.
+_SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,13 +43,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
+    """A fresh path in the shared folder, removed by ``clear`` or when the driver's Python ends."""
     ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    if not _SCRATCH:
+        atexit.unregister(_at_exit)
+        atexit.register(_at_exit, spark)
+    _SCRATCH.append(path)
     return path
 
 
+def _at_exit(spark: SparkSession) -> None:
+    clear(spark)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes all scratch tables that this Python has made so far, and gives their number: for long sessions, between jobs
+    whose results have been written elsewhere or read."""
+    made, _SCRATCH[:] = list(_SCRATCH), []
+    for path in made:
+        remove(spark, path)
+    return len(made)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that nothing reads any more."""
     try:

@@ -202,18 +202,40 @@ def bm25_search(queries: DataFrame, store: DataFrame, k: int, *, k1: float = 1.2
     have in common, pairs of query and row are never written. Scores are rounded to 9 places; ties go by the row's id.
     """
     spark = store.sparkSession
-    own, row = queries.schema[query_id].dataType, store.schema[row_id].dataType
     docs = store.select(row_id, text.ascii_tokens(F.col(body)).alias("terms"))
+    stats, rows, words = term_statistics(docs)
+    if not rows:
+        return keyword_search(queries, store, k, query_id=query_id, row_id=row_id)
+    weighed = weighed_terms(queries, stats, rows, query_id=query_id, query=query)
+    return score_rows(weighed, docs, words / rows or 1.0, k, k1=k1, b=b, query_id=query_id, row_id=row_id)
+
+
+def term_statistics(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """((term, df), rows, words) of rows that have ``terms``, combined in the tasks before the shuffle."""
     # no term is empty: the empty one counts the rows and their words
     counted = docs.select(F.size("terms").alias("size"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")).groupBy("term")
-    stats = storage.written(spark, counted.agg(F.count("*").alias("df"), F.sum("size").alias("words")), "terms")
+    stats = storage.written(docs.sparkSession, counted.agg(F.count("*").alias("df"), F.sum("size").alias("words")), "terms")
     total = stats.where("term = ''").first()
-    if total is None:
-        return keyword_search(queries, store, k, query_id=query_id, row_id=row_id)
-    mean = total["words"] / total["df"] or 1.0
-    idf = F.log(1 + (F.lit(total["df"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return stats.where("term <> ''").select("term", "df"), total["df"] if total else 0, total["words"] if total else 0
+
+
+def rarity(df: Column, rows: int) -> Column:
+    return F.log(1 + (F.lit(rows) - df + 0.5) / (df + 0.5))
+
+
+def weighed_terms(queries: DataFrame, stats: DataFrame, rows: int, *, query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """(ids, term, idf) of every distinct word of every query that some row has."""
     asked = queries.select(F.col(query_id).alias("ids"), F.explode(F.array_distinct(text.ascii_tokens(F.col(query)))).alias("term"))
-    weighed = asked.join(stats.select("term", idf.alias("idf")), "term").groupBy("ids").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("w"))
+    # a common word may stand in every query: its rows are dealt to many tasks
+    popular = hot_keys(asked.groupBy("term").agg(F.count("*").alias("n")), ["term"])
+    return hot_join(asked, stats.select("term", rarity(F.col("df"), rows).alias("idf")), ["term"], popular, F.col("ids"))
+
+
+def score_rows(words: DataFrame, docs: DataFrame, mean: float, k: int, *, k1: float = 1.2, b: float = 0.75, query_id: str = "query_id", row_id: str = "chunk_id") -> DataFrame:
+    """(query_id, row id, score, rank): the k best of ``docs`` (row id, terms) for the queries of ``words`` (ids, term, idf), in one scan."""
+    spark = docs.sparkSession
+    own, row = words.schema["ids"].dataType, docs.schema[row_id].dataType
+    weighed = words.groupBy("ids").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("w"))
     numbers = [T.StructField(n, T.ArrayType(t)) for n, t in (("terms", T.StringType()), ("at", T.IntegerType()), ("q", T.IntegerType()), ("idf", T.DoubleType()))]
     blocks = T.StructType([T.StructField("ids", T.ArrayType(own)), *numbers])
 

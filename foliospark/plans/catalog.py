@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry, storage, text, tokens, vectors
 from foliospark.functions.frames import table
-from foliospark.operators import chunking, curation, embedding, evaluation, index, layout, retrieval
+from foliospark.operators import chunking, curation, embedding, evaluation, index, keywords, layout, retrieval
 from foliospark.plans import fixtures as fx
 from foliospark.sources import html as html_source
 from foliospark.sources import parsing
@@ -179,6 +179,13 @@ def bm25_search(spark, sf_dir):
     return retrieval.bm25_search(fx.questions(spark, sf_dir), fx.store(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH {fx.STORE}, {fx.QUESTIONS}, {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM bm25 WHERE rank <= 10""")
+def indexed_bm25(spark, sf_dir):
+    """The same questions through a stored inverted index."""
+    built = keywords.KeywordIndex.build(fx.store(spark, sf_dir).select("chunk_id", "text"), storage.scratch(spark, "keywords"))
+    return built.search(fx.questions(spark, sf_dir), 10)[0].withColumn("score", F.round("score", 6))
+
+
 _FAULTS = """n AS (SELECT chunk_id, vec_id, prev_id AS p, next_id AS n, lag(chunk_id, 3) OVER (PARTITION BY label ORDER BY vec_id) AS back FROM store),
 f AS (SELECT chunk_id, CASE WHEN vec_id % 50 = 33 THEN NULL ELSE p END AS prev_id, CASE vec_id % 50 WHEN 7 THEN chunk_id WHEN 13 THEN 'lost' WHEN 21 THEN coalesce(back, n) ELSE n END AS next_id FROM n),
 l AS (SELECT chunk_id, 'prev' AS side, prev_id AS reference FROM f WHERE prev_id IS NOT NULL UNION ALL SELECT chunk_id, 'next', next_id FROM f WHERE next_id IS NOT NULL),
