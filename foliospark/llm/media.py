@@ -216,7 +216,11 @@ def _ranged(rows: DataFrame, fields: str, read) -> DataFrame:
 
 
 def with_metadata(rows: DataFrame) -> DataFrame:
-    """Adds width, height, bit_depth and colour_type from the first 33 bytes of each stored picture alone."""
+    """Adds width, height, bit_depth and colour_type from the first 33 bytes of each stored picture alone.
+
+    Rows without a place (null payloads) get nulls; rows that share a place, repeated ones too, get equal values; columns named
+    as the new ones are replaced; no rows give none.
+    """
 
     def read(handle, offset, length, digest):
         handle.seek(offset)
@@ -229,7 +233,8 @@ def with_content(rows: DataFrame, *, payload: bool = False) -> DataFrame:
     """Reads the stored bytes back, verifies their digest and adds what the samples give.
 
     New columns: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and the samples
-    themselves with ``payload=True``.
+    themselves with ``payload=True``. Nulls, repeats, clashing columns and no rows as in ``with_metadata``; a picture of any
+    size is held once at a time.
     """
 
     def read(handle, offset, length, digest):

@@ -353,7 +353,10 @@ def linked_texts(
     """(rows, texts): rows has (doc_id, text_key) for every document; texts has (text_key, text_id, n, n_links, label).
 
     text_id is the least doc_id of the text's copies, n their number, n_links the number of other distinct texts with at
-    least the given Jaccard similarity of n-gram sets, label the same for all texts of a component of links.
+    least the given Jaccard similarity of n-gram sets, label the same for all texts of a component of links. Null texts
+    count as empty ones; texts without words have no links and their own label; a similarity equal to the limit is a link;
+    repeated rows are copies; null ids are passed over for text_id; texts of any length are taken whole; extra columns are not
+    read; an empty table gives two empty results.
     """
     spark = docs.sparkSession
     bands, rows = choose_bands(similarity, recall)

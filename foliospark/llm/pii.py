@@ -212,7 +212,11 @@ def redact(docs: DataFrame, *, text_column: str = "text", length_column: str | N
 
 
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts, and the spans as ``kind:start:end`` by kind, then start."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts, and the spans as ``kind:start:end`` by kind, then start.
+
+    A row for each row of ``find``, repeated ones too. Without spans (null and empty texts) the counts are 0, the spans an
+    empty string and base_sha256 its digest; no rows give none.
+    """
 
     def told(array: Column) -> Column:
         return F.array_join(F.transform(array, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

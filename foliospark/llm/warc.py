@@ -215,7 +215,9 @@ def read_archives(spark, directory: str, *, payload: bool = True) -> DataFrame:
     """A row for each record of the archives that the directory's index names.
 
     Every header and length is validated, and the payload's SHA-1 against the record's digest; the number of records
-    against the index. A revisit has no payload of its own; its payload_bytes come from its header.
+    against the index. A revisit has no payload of its own; its payload_bytes come from its header. Null page ids come
+    back null, null targets empty, repeated rows as records of their own; payloads may be empty, or of any length and are held
+    once at a time; an index without archives gives no rows.
     """
     from pyspark.sql import types as T
 
