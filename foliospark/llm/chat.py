@@ -318,7 +318,9 @@ def decode(arranged: Arranged, model: Model) -> DataFrame:
     """(conv_id, turn, text, given, role): the recovered role of every entry; text, given as they came.
 
     A task reads one part's file as it was written, so nothing is shuffled again. First each part tells what its first and
-    last conversation can do (two small matrices a part reach the driver), then the parts are decoded.
+    last conversation can do (two small matrices a part reach the driver), then the parts are decoded. Null and empty
+    texts are entries like others; repeated rows are entries of their own; of roles that score alike the first in the
+    model's order is taken; no entries give none.
     """
     spark, path, parts = arranged.frame.sparkSession, arranged.path, arranged.parts()
     kinds = {f.name: f.dataType for f in arranged.frame.schema.fields}
@@ -368,11 +370,12 @@ def decode(arranged: Arranged, model: Model) -> DataFrame:
 
         for batch in batches:
             for part in batch.column(0).to_pylist():
-                for conv, run in chat._runs(chat._rows(path, names[part], ["conv_id", "observed", "turn", "text", "given"])):
+                # a second reader of the same file brings the texts, so that of a run only what was observed is held
+                texts = chat._rows(path, names[part], ["turn", "text", "given"])
+                for conv, run in chat._runs(chat._rows(path, names[part], ["conv_id", "observed"])):
                     enter, leave = known.get((part, conv), (None, None))
-                    found = chat.viterbi(own, [r[0] for r in run], enter, leave)
-                    for (_, turn, text, given), s in zip(run, found, strict=True):
-                        held.append((conv, turn, text, given, ROLES[s]))
+                    for s in chat.viterbi(own, [r[0] for r in run], enter, leave):
+                        held.append((conv, *next(texts), ROLES[s]))
                         if len(held) >= 2000:
                             yield told()
                             held = []
