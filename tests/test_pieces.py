@@ -11,7 +11,7 @@ from foliospark.plans import fixtures
 KIND = "doc_id string, ord int, page int, role string, text string, html string, element_ids array<int>, bbox struct<x1:double,y1:double,x2:double,y2:double>, picture string, page_width double, page_height double"
 
 
-def random_blocks(seed, docs=6, n=120):
+def random_blocks(seed, docs=6, n=100):
     rng = random.Random(seed)
     texts = ["1. Numbered heading", "2.1 Another one", "SHOUTED WORDS", "tiny", "", "A paragraph of some length that is kept whole.", "1.1.1 deep. with. dots", "Plain title", "word " * 40]
     roles = ["paragraph"] * 6 + ["title", "h1", "h2", "h3", "caption", "caption", "figure", "table", "other", "listitem"]
@@ -30,7 +30,7 @@ def ordered(frame):
 
 
 @pytest.mark.parametrize("piece", [1, 5, 64])
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_random_blocks(spark, seed, piece):
     blocks = spark.createDataFrame(random_blocks(seed), KIND).repartition(3)
     assert ordered(chunking.chunk_pieces(blocks, max_tokens=60, overlap=6, piece=piece)) == ordered(chunking.chunk_blocks(blocks, max_tokens=60, overlap=6))
