@@ -181,11 +181,11 @@ def test_hubs_and_large_labels_are_dealt_out(spark, monkeypatch):
     from foliospark.functions import joins
 
     monkeypatch.setattr(joins, "LEAST_HOT", 1)
-    rows = corpus(11, 25)
+    rows = corpus(11, 10)
     assert got(near.classes(spark.createDataFrame(rows, "doc_id long, text string"), block=3)) == brute(rows)
-    edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(30)]
+    edges = [(0, i) for i in range(1, 20)] + [(100 + i, 101 + i) for i in range(10)]
     labels = {r.node: r.label for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert len({labels[i] for i in range(40)}) == 1 and len({labels[100 + i] for i in range(31)}) == 1 and labels[0] != labels[100]
+    assert len({labels[i] for i in range(20)}) == 1 and len({labels[100 + i] for i in range(11)}) == 1 and labels[0] != labels[100]
 
 
 def test_one_of_each_with_any_columns(spark):
