@@ -35,6 +35,8 @@ PAGE_NUMBER = r"(?i)^\s*(\d+\s+(of|/)\s+\d+|page\s+\d+|\d+)\s*$"
 DOCUMENT_CODE = r"^[A-Z]{2,}-[A-Z0-9\-\.]+[A-Z0-9]$"
 NOTICE = r"copyright|©|confidential|proprietary|www\.|http"
 PAGE_COUNT = r"(?i)^\s*\d+\s+of\s+\d+\s*$"
+#: A line's height is steady if its centres deviate by less than this.
+STEADY = 0.05
 
 
 def numbered_page() -> Column:
@@ -117,6 +119,18 @@ def without_contents(elements: DataFrame, *, strict: bool = False) -> DataFrame:
     return contents_flags(elements, strict=strict).where(~F.col("contents")).drop("contents")
 
 
+def _spread(values: Column) -> Column:
+    """Population deviation of an array, its values taken in one after another by a running mean."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def taken(a: Column, y: Column) -> Column:
+        n, off = a["n"] + 1, y - a["mean"]
+        mean = a["mean"] + off / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["squares"] + (y - mean) * off).alias("squares"))
+
+    return F.aggregate(values, start, taken, lambda a: F.sqrt(a["squares"] / a["n"]))
+
+
 def margin_flags(boxed: DataFrame) -> DataFrame:
     """Adds ``margin``: the row is a running header, footer, page number or other boilerplate.
 
@@ -135,8 +149,12 @@ def margin_flags(boxed: DataFrame) -> DataFrame:
             "__line_pages": F.size(F.collect_set(page).over(same)), "__n_y": F.count(centre).over(same), "__spread": F.stddev_pop(centre).over(same),
         }
     )
+    # lines that stand just at the limit, as those of two rows two lines apart do, are decided by one fixed order of rounding
+    at_limit = F.col("__spread").between(STEADY - 1e-9, STEADY + 1e-9)
+    rows = rows.withColumn("__centres", F.collect_list(F.when(at_limit & centre.isNotNull(), F.struct("ord", centre.alias("y")))).over(same))
+    rows = rows.withColumn("__spread", F.when(at_limit, _spread(F.transform(F.array_sort("__centres"), lambda r: r["y"]))).otherwise(F.col("__spread"))).drop("__centres")
     wide = F.col("__line_pages") >= F.greatest(F.lit(2), F.floor(F.col("__pages") / 3))
-    steady = (F.col("__n_y") <= 1) | (F.col("__spread") < 0.05)
+    steady = (F.col("__n_y") <= 1) | (F.col("__spread") < STEADY)
     boilerplate = F.col("__key").isNotNull() & F.coalesce(wide & steady, F.lit(False))
     picture = F.lower(F.coalesce("type", F.lit(""))).isin("image", "figure") & (F.trim(F.coalesce("image_path", F.lit(""))) != "")
     in_margin = F.coalesce((centre < 0.12) | (centre > 0.88), F.lit(False))

@@ -49,6 +49,15 @@ def test_headers_and_footers(spark):
     assert got == {p * 10 + k for p in range(1, 7) for k in (0, 1)} | {104, 106, 107, 109}
 
 
+def test_spread_at_the_limit_is_rounded_in_document_order(spark):
+    """Heights of 0.22 and then 0.12 deviate by 0.05, which is not steady; 0.22, 0.22, 0.32, 0.32 by the float before it, which is."""
+    rows = [element(k, "two lines apart", page=k + 1, y=y, h=40.0) for k, y in enumerate((200, 100))]
+    rows += [element(k, "four lines in two heights", page=k + 1, y=y, h=40.0, doc="e") for k, y in enumerate((200, 200, 300, 300))]
+    for parts in (1, 5):
+        flagged = layout.margin_flags(layout.with_boxes(frame(spark, rows[::-1]).repartition(parts, "ord"))).collect()
+        assert {r.doc_id: r.margin for r in flagged} == {"d": False, "e": True}
+
+
 def test_page_sizes(spark):
     rows = [element(0, "a", layout=None, y=50), element(1, "b", page=2, layout={"w": 5.0, "h": 6.0}), element(2, "c", page=2, layout={"w": 7.0, "h": 8.0}), element(3, "d", page=3, layout=None), element(4, "e", page=None)]
     assert {r.page_number: (r.width, r.height) for r in layout.page_sizes(frame(spark, rows)).collect()} == {1: (100.0, 70.0), 2: (7.0, 8.0)}
