@@ -237,3 +237,22 @@ def test_repeated_keys_of_a_foreign_cache_double_nothing(spark):
     twice = fresh.unionByName(fresh.withColumn("vector", F.transform("vector", lambda x: x + 1)))
     again, missing = embedding.embed_chunks(chunks, "min_len=1", cache=twice)
     assert missing.count() == 0 and again.count() == vectors.count() == 6
+
+
+class FewAtATime(tokens.CodePoints):
+    """A tokenizer that is given no more than 256 texts and not much more than a part's characters."""
+
+    def encode(self, texts):
+        if len(texts) > 256 or (len(texts) > 1 and sum(map(len, texts)) > 1 << 18):
+            raise MemoryError(f"{len(texts)} texts at a time")
+        return super().encode(texts)
+
+
+def test_texts_are_tokenized_a_few_at_a_time(spark):
+    rows = spark.range(0, 3000, numPartitions=1).select("id", F.when(F.col("id") % 7 != 3, F.repeat(F.lit("né "), (F.col("id") % 700).cast("int"))).alias("t"))
+    least = FewAtATime()
+    one = rows.select("id", tokens.counted(F.col("t"), least).alias("n_tokens"), *[tokens.truncated(F.col("t"), least, 512, s).alias(s) for s in ("head", "tail", "head_tail")])
+    cuts = tokens.with_cuts(rows, "t", least, 512)
+    assert cuts.columns == one.columns and sorted(cuts.collect()) == sorted(one.collect()) and cuts.count() == 3000
+    with pytest.raises(ValueError):
+        tokens.with_cuts(rows, "t", least, 3, ("middle",))
