@@ -117,3 +117,23 @@ def test_vectors(spark):
     assert [r.n for r in rows.select(vectors.l2_normalized(F.col("v")).alias("n")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
     with pytest.raises(Exception, match="wrong dimension"):
         rows.select(vectors.checked(F.col("v"), 3)).collect()
+
+
+def test_only_texts_beyond_ascii_go_through_python(spark):
+    rows = spark.createDataFrame([("plain  text",), ("ﬁne ① x",), (None,)], "t string")
+    rows = rows.select(text.normalize(F.col("t")).alias("n"))
+    assert [r.n for r in rows.collect()] == ["plain text", "fine 1 x", ""]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan[plan.index("ArrowEvalPython") :]
+    assert "octet_length" in sent or "bit_length" in sent, "whole texts are sent to Python, ASCII or not"
+
+
+def test_similarities_are_counted_once(spark):
+    """Each array function stands once in the plan, however often a similarity uses its result."""
+    from foliospark.plans import catalog
+
+    rows = spark.createDataFrame([(1, ["a", "b"], ["b", "c"]), (2, [], ["b"]), (3, ["a"], []), (4, [], [])], "doc_id int, a array<string>, b array<string>")
+    found = catalog._compared(rows)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0.333333333, 0.5, 0.5, 0.5), (2, 0.0, 1.0, 0.0, 0.0), (3, 0.0, 0.0, 1.0, 0.0), (4, 0.0, 1.0, 1.0, 1.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1 and plan.count("array_union") == 0 and plan.count("array_distinct") == 0
