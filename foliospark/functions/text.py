@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.functions.frames import ship_active
+from foliospark.functions.frames import parts, ship_active
 
 SPACES = r"(?U)\s+"
 #: A token is taken as 0.75 words.
@@ -61,17 +61,21 @@ def _compatible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 
     for texts in batches:
-        yield texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+        for part in parts(texts):
+            yield pd.Series([unicodedata.normalize("NFKC", t) for t in part], dtype=object)
 
 
 def normalize(text: Column, unicode_form: bool = True) -> Column:
     """Compatibility form, soft hyphens dropped, words split at line ends joined, paragraphs kept, other white space collapsed.
 
-    Spark has no NFKC function, so that step alone is a vectorised Python function; ``unicode_form=False`` leaves it out.
+    Spark has no NFKC function, so that step alone is a vectorised Python function, to which texts other than ASCII are sent
+    alone, as ASCII texts have that form already; ``unicode_form=False`` leaves it out.
     """
+    t = empty_if_null(text)
     if unicode_form:
         ship_active()
-    t = _compatible(empty_if_null(text)) if unicode_form else empty_if_null(text)
+        ascii_only = F.octet_length(t) == F.char_length(t)
+        t = F.when(ascii_only, t).otherwise(_compatible(F.when(~ascii_only, t)))
     t = F.translate(t, "\u00a0\u00ad", " ")
     t = F.regexp_replace(t, r"(?U)(?<=\w)-\s*\n\s*(?=[a-z])", "")
     t = F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n")
