@@ -256,3 +256,11 @@ def test_texts_are_tokenized_a_few_at_a_time(spark):
     assert cuts.columns == one.columns and sorted(cuts.collect()) == sorted(one.collect()) and cuts.count() == 3000
     with pytest.raises(ValueError):
         tokens.with_cuts(rows, "t", least, 3, ("middle",))
+
+
+def test_texts_are_embedded_a_few_at_a_time(spark):
+    encoder = tokens.PooledEncoder(FewAtATime(), tokens.TokenTable(dimension=4, longest=64))
+    rows = spark.range(0, 3000, numPartitions=1).select("id", F.when(F.col("id") % 7 != 3, F.repeat(F.lit("né "), (F.col("id") % 700).cast("int"))).alias("t"))
+    found = {r.id: r.v for r in rows.select("id", embedding.embed(F.col("t"), encoder).alias("v")).collect()}
+    again = {r.id: r.v for r in rows.where("id % 500 = 8").select("id", embedding.embed(F.col("t"), encoder).alias("v")).collect()}
+    assert len(found) == 3000 and all(found[k] == v for k, v in again.items()) and found[3] == [0.0] * 4
