@@ -14,7 +14,11 @@ from pyspark.sql import types as T
 
 from foliospark import schemas
 from foliospark.functions import geometry, storage, text
-from foliospark.functions.frames import in_arrow
+from foliospark.functions.frames import in_arrow, slices
+
+
+#: Bytes of files that a parser's task turns into rows at a time, or one larger file.
+SLICE = 1 << 20
 
 
 def find_files(spark: SparkSession, directory: str, *, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
@@ -33,7 +37,7 @@ def parse_files(files: DataFrame, parse: Callable[[str, bytes, str], list[dict]]
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, size=SLICE)):
             rows = []
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found, used, error = [], None, None

@@ -182,3 +182,32 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads((tmp_path / "r.json").read_text())["aggregate_metrics"]["total_questions"] == 1
     assert run("quality", "--input", tmp_path / "e", "--output", tmp_path / "m") == 0
     assert "<table>" in files.quality_page(spark.read.json(str(tmp_path / "m/metrics")))
+
+
+def batches_of(monkeypatch, run):
+    """The batches that ``run``'s function for tasks makes of one batch of 1,200 files."""
+    import pyarrow as pa
+
+    made = []
+    monkeypatch.setattr(parsing, "in_arrow", lambda frame, function, schema: made.append(function) or frame.sparkSession.createDataFrame([], schema))
+    run()
+    files = pa.RecordBatch.from_pylist([{"path": f"/x/{n}.a", "content": b"x" * (2 << 20 if n == 7 else 100)} for n in range(1200)])
+    return list(made[0](iter([files])))
+
+
+def test_parsed_files_come_out_in_parts(spark, monkeypatch):
+    files = spark.createDataFrame([], "path string, content binary")
+    found = batches_of(monkeypatch, lambda: parsing.parse_files(files, lambda path, content, strategy: [{"type": "Text", "text": f"{len(content)}"}] * 2))
+    assert sum(b.num_rows for b in found) == 2400 and max(b.num_rows for b in found) <= 512
+    assert [r["text"] for b in found for r in b.to_pylist()][13:17] == ["100", str(2 << 20), str(2 << 20), "100"]
+
+
+def test_slices():
+    import pyarrow as pa
+
+    from foliospark.functions import frames
+
+    batch = pa.RecordBatch.from_pylist([{"t": "x" * n} for n in [10] * 1000 + [3 << 20, 5, 5]])
+    parts = list(frames.slices(batch, 256, 1 << 20))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and max(p.num_rows for p in parts) <= 256
+    assert all(p.num_rows == 1 or p.nbytes <= 1 << 20 for p in parts) and not list(frames.slices(batch.slice(0, 0)))
