@@ -202,6 +202,12 @@ def test_parsed_files_come_out_in_parts(spark, monkeypatch):
     assert [r["text"] for b in found for r in b.to_pylist()][13:17] == ["100", str(2 << 20), str(2 << 20), "100"]
 
 
+def test_extracted_tables_come_out_in_parts(spark, monkeypatch):
+    files = spark.createDataFrame([], "path string, content binary")
+    found = batches_of(monkeypatch, lambda: parsing.extract_tables(files, lambda path, content, flavor: [f"{len(content)}"]))
+    assert sum(b.num_rows for b in found) == 1200 and max(b.num_rows for b in found) <= 256
+
+
 def test_slices():
     import pyarrow as pa
 
