@@ -41,6 +41,18 @@ def fitted(sample, cells: int, rounds: int = ROUNDS):
     return chosen
 
 
+def _sampled(rows: DataFrame, n: int) -> DataFrame:
+    """(v) of the SAMPLE rows of least hashes of their ids.
+
+    Every task gives the driver its own SAMPLE rows of the least hashes, so hashes are bounded first: of ``n`` rows, some five
+    quarters of SAMPLE are left, wherever they lie.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("id"))
+    if n > 2 * SAMPLE:
+        hashed = hashed.where(F.col("h") < int(-(2**63) + 2**64 * min(1.25 * SAMPLE / n, 1)))
+    return hashed.orderBy("h", "id").limit(SAMPLE).select("v")
+
+
 @dataclass(frozen=True)
 class Cells:
     """What the driver knows of an index: at most MOST_CELLS pivots, with the number of rows and blocks and the radius of each cell."""
@@ -89,7 +101,7 @@ class DenseIndex:
         rows = store.select(F.col(row_id).alias("id"), F.col(vector).alias("v"))
         n = rows.count()
         wanted = min(MOST_CELLS, cells or max(1, round(n**0.5 / 2)), max(n, 1))
-        sample = [list(r["v"]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect() if r["v"] is not None]
+        sample = [list(r["v"]) for r in _sampled(rows, n).collect() if r["v"] is not None]
         pivots = fitted(sample, wanted).tolist() if sample else []
         own, kind = store.schema[row_id].dataType, store.schema[vector].dataType
         placed = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType()), T.StructField("id", own), T.StructField("v", kind)])

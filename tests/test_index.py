@@ -33,6 +33,18 @@ def test_clustered_rows_are_read_in_part(spark, tmp_path, metric):
     assert again.cells == built.cells and sum(built.cells.rows) == 1200 and sum(built.cells.blocks) >= 24
 
 
+def test_sample_is_bounded_before_it_is_sorted(spark, monkeypatch):
+    """Each task gives the driver rows near the sample's share alone; the sample is still that of the least hashes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(index, "SAMPLE", 400)
+    rows = spark.range(0, 20_000, numPartitions=20).select(F.col("id").cast("string").alias("id"), F.array(F.col("id").cast("double")).alias("v"))
+    sampled = index._sampled(rows, 20_000)
+    assert [r.v[0] for r in sampled.collect()] == [float(r.id) for r in rows.orderBy(F.xxhash64("id"), "id").limit(400).collect()]
+    kept = rows.withColumn("h", F.xxhash64("id")).where(F.col("h") < int(-(2**63) + 2**64 * 1.25 * 400 / 20_000)).count()
+    assert 400 <= kept <= 600 and "Filter" in sampled._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("metric", ["ip", "l2"])
 def test_scattered_rows_copies_and_ties(spark, tmp_path, monkeypatch, metric):
     monkeypatch.setattr(index, "BLOCKS_A_TASK", 2)
