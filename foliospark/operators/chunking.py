@@ -25,6 +25,8 @@ MAX_TOKENS, OVERLAP_WORDS = 900, 120
 TITLE_LENGTH = 120
 #: Documents of more blocks than this are cut into pieces of about PIECE blocks.
 LARGE, PIECE = 20_000, 512
+#: Elements that a task of the document pipeline gets: it sorts them several times over.
+ROWS_A_TASK = 50_000
 
 _TOKEN = re.compile(r"\w+|\S")
 _NUMBER = re.compile(r"\d+(?:\.\d+)*\b")
@@ -317,20 +319,30 @@ def manifest(pages: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFram
     return counted.join(sizes, "doc_id", "left").select("doc_id", "pages", "counts", notes.alias("notes"))
 
 
-def blocks_of(elements: DataFrame, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(blocks, pages): what assembly gets, and the page sizes; elements are dealt by document first."""
-    body = layout.without_contents(elements.repartition("doc_id"), strict=strict)
+def blocks_of(elements: DataFrame, *, strict: bool = False, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(blocks, pages): what assembly gets, and the page sizes; elements are dealt by document first.
+
+    They go to as many tasks as their number (``rows``, counted if not given) asks for, so a task's memory does not grow with
+    the input.
+    """
+    rows = elements.count() if rows is None else rows
+    tasks = max(elements.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+    body = layout.without_contents(elements.repartition(tasks, "doc_id"), strict=strict)
     return layout.attach_captions(layout.merge_text(layout.without_margins(layout.with_boxes(body)))), layout.page_sizes(body)
 
 
-def run_chunking(elements: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, strict: bool = False, tokenizer: Tokenizer | None = None, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+def run_chunking(elements: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, strict: bool = False, tokenizer: Tokenizer | None = None, large: int = LARGE, stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """(chunks, manifest) of all documents at once.
 
     Rows are dealt by document first. All keys that follow begin with the document, so that this is the one shuffle of
-    elements; the files' names are counted down to one a document before theirs.
+    elements; the files' names are counted down to one a document before theirs. The manifest needs blocks and chunks, which
+    would have the blocks made twice: with ``stored`` they are written to the shared folder.
     """
-    blocks, pages = blocks_of(elements, strict=strict)
-    long = elements.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > large)  # without one the plan stays as it is
-    options = {"max_tokens": max_tokens, "overlap": overlap, "tokenizer": tokenizer, "large": None if long.isEmpty() else large}
-    chunks = finish_chunks(chunk_blocks(blocks, **options), elements)
-    return chunks, manifest(pages, blocks, chunks)
+    sizes = elements.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    blocks, pages = blocks_of(elements, strict=strict, rows=sizes["rows"])
+    if stored:
+        blocks = storage.written(elements.sparkSession, blocks, "blocks")
+    # without a long document the plan stays as it is
+    options = {"max_tokens": max_tokens, "overlap": overlap, "tokenizer": tokenizer, "large": large if sizes["most"] > large else None}
+    raw = chunk_blocks(blocks, **options)
+    return finish_chunks(raw, elements), manifest(pages, blocks, raw)

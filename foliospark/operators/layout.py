@@ -83,9 +83,8 @@ def contents_flags(elements: DataFrame, *, strict: bool = False) -> DataFrame:
     """
     doc = Window.partitionBy("doc_id")
     page = Window.partitionBy("doc_id", "page_number")
-    raw, line = text.strip(text.empty_if_null(F.col("text"))), text.collapse(F.col("text"))
-    limit = F.greatest(F.lit(5), F.floor(F.max("page_number").over(doc) * 0.20))
-    early = F.col("__page") & (F.col("page_number") <= limit) & (F.length(F.coalesce(F.col("text"), F.lit(""))) > 0)
+    raw, line = text.strip(text.empty_if_null(F.col("text"))), F.col("__line")
+    early = F.col("__page") & (F.col("page_number") <= F.col("__limit")) & (F.length(F.coalesce(F.col("text"), F.lit(""))) > 0)
     table = F.lower(F.coalesce("type", F.lit(""))) == "table"
     upper = F.upper(raw)
     crowded = (
@@ -106,7 +105,10 @@ def contents_flags(elements: DataFrame, *, strict: bool = False) -> DataFrame:
         F.when(~early, 0).when(title, 2).when(table & (F.length(raw) > 500) & crowded, 1)
         .when(table & (F.length(raw) > 200) & names & edited, 2).when((F.length(line) <= 200) & entry, 2).otherwise(0)
     )
-    staged = elements.withColumn("__page", numbered_page()).withColumn("__early", F.coalesce(early, F.lit(False))).withColumn("__kind", F.coalesce(kind, F.lit(0)))
+    limit = F.greatest(F.lit(5), F.floor(F.max("page_number").over(doc) * 0.20))
+    # the collapsed line is a column of its own, or each pattern would have it made anew
+    staged = elements.withColumn("__page", numbered_page()).withColumn("__limit", limit).withColumn("__line", text.collapse(F.col("text")))
+    staged = staged.withColumn("__early", F.coalesce(early, F.lit(False))).withColumn("__kind", F.coalesce(kind, F.lit(0))).drop("__line", "__limit")
     candidates, there = F.sum((F.col("__kind") == 2).cast("int")).over(page), F.sum(F.col("__early").cast("int")).over(page)
     dense = ((candidates / F.when(there > 0, there) > 0.3) & (candidates >= 2)) | (candidates >= 5)
     numbered = F.max(F.when(F.col("__page"), F.col("page_number"))).over(doc).isNotNull()

@@ -27,6 +27,21 @@ def test_contents_pages(spark):
     assert flags(layout.contents_flags(frame(spark, [*entries, big, late, explicit])), "contents") == {0, 1, 2, 10, 12}
 
 
+def test_collapsed_line_is_made_once(spark):
+    plan = layout.contents_flags(frame(spark, [element(0, "a")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?U)\\s+,  ") + plan.count("(?U)\\s+,  , 1") >= 1 and sum("(?U)\\s+,  " in line for line in plan.splitlines()) == 1
+
+
+def test_a_task_gets_a_bounded_number_of_elements(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "ROWS_A_TASK", 20)
+    rows = frame(spark, [element(0, "some text of a document", doc=f"d{i}") for i in range(400)])
+    blocks, pages = chunking.blocks_of(rows)
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 20" in plan.split("RepartitionByExpression")[1].splitlines()[0]
+    plain, stored = chunking.run_chunking(rows), chunking.run_chunking(rows, stored=True)
+    assert sorted(map(str, plain[1].collect())) == sorted(map(str, stored[1].collect())) and plain[0].count() == stored[0].count() == 400
+
+
 def test_two_word_headings_are_taken_unless_strict(spark):
     rows = [element(i, t) for i, t in enumerate(["alpha beta", "gamma delta", "eps zeta", "eta theta", "iota kappa"])]
     assert flags(layout.contents_flags(frame(spark, rows)), "contents") == {0, 1, 2, 3, 4}
