@@ -22,6 +22,8 @@ from foliospark.operators import retrieval
 
 #: Postings of a block, and strongest words of a query whose first blocks give its cutoff.
 BLOCK, SEEDS = 512, 4
+#: Postings in finished blocks that a task holds before it gives them.
+READY = 20_000
 #: Margin under a cutoff for rounding: scores are rounded to 9 places.
 MARGIN = 1e-8
 
@@ -70,10 +72,12 @@ class KeywordIndex:
             import pyarrow as pa
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            arrow, held, ready = to_arrow_schema(packed), [], []
+            arrow, held, ready, n = to_arrow_schema(packed), [], [], 0
 
             def close():
+                nonlocal n
                 if held:
+                    n += len(held)
                     ready.append({"term": held[0][0], "n": len(held), "top": held[0][1], "rows": [h[2] for h in held], "weights": [h[1] for h in held]})
                     held.clear()
 
@@ -82,9 +86,9 @@ class KeywordIndex:
                     if held and (held[0][0] != posting[0] or len(held) == block):
                         close()
                     held.append(posting)
-                if len(ready) > 1000:
+                if len(ready) > 1000 or n > READY:
                     yield pa.RecordBatch.from_pylist(ready, schema=arrow)
-                    ready = []
+                    ready, n = [], 0
             close()
             if ready:
                 yield pa.RecordBatch.from_pylist(ready, schema=arrow)
