@@ -72,11 +72,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(o % 7 == 3, "figure").when(o % 11 == 5, "table").when(o % 13 == 0, "title").when(o % 53 == 51, "footnote").otherwise("paragraph")
     from pyspark.sql import Window
 
-    doc = Window.partitionBy("doc").orderBy("ord")
+    # by the id that later windows have too, which then need no further exchange
+    doc = Window.partitionBy("doc_id").orderBy("ord")
     body = F.when((role == "figure") & (o % 2 == 0), "").when(o % 47 == 45, "").otherwise(F.col("text"))
-    rows = lines(spark, sf_dir).withColumn("body", body)
+    rows = lines(spark, sf_dir).withColumns({"body": body, "doc_id": F.col("doc").cast("string")})
     return rows.select(
-        F.col("doc").cast("string").alias("doc_id"), F.when(o % 43 == 42, F.concat(F.lit("c"), (o - 1).cast("string"))).otherwise(name).alias("chunk_id"), o.alias("ord"), F.lit("x.pdf").alias("source_file"),
+        "doc_id", F.when(o % 43 == 42, F.concat(F.lit("c"), (o - 1).cast("string"))).otherwise(name).alias("chunk_id"), o.alias("ord"), F.lit("x.pdf").alias("source_file"),
         (F.floor(o / 20) + 1).cast("int").alias("page_start"), role.alias("role"), F.col("body").alias("text"), F.lit("").alias("html"), F.when(o % 14 == 3, "img.png").otherwise("").alias("image_path"),
         geometry.box(F.lit(0.1), (o % 20) / 20, F.lit(0.9), F.when(o % 37 == 36, F.lit(1.5)).otherwise((o % 20 + 1) / 20)).alias("bbox"), F.when(o % 61 == 60, "bottom-left").otherwise("top-left").alias("coord_system"),
         F.when(o % 31 == 30, o - 5).otherwise(o).cast("int").alias("order_rank"), F.lag(name).over(doc).alias("prev_id"), F.lead(name).over(doc).alias("next_id"),
