@@ -25,14 +25,24 @@ def _clamped(value: Column, scale: Column) -> Column:
 
 def normalized(given: Column, coordinates: Column, layout: Column, page_width: Column, page_height: Column) -> Column:
     """``given`` as it is; else the coordinates by the layout's size, or else by the page's, clamped and put in order."""
-    full = given.isNotNull() & given["x1"].isNotNull() & given["y1"].isNotNull() & given["x2"].isNotNull() & given["y2"].isNotNull()
+    return scaled(given, coordinates, *scales(layout, page_width, page_height))
+
+
+def scales(layout: Column, page_width: Column, page_height: Column) -> tuple[Column, Column]:
+    """Width and height to divide coordinates by: the layout's, or else the page's; null without both above 0."""
     own = (layout["w"] > 0) & (layout["h"] > 0)
     w, h = F.when(own, layout["w"]).otherwise(page_width), F.when(own, layout["h"]).otherwise(page_height)
     sized = (w > 0) & (h > 0)
-    x1, x2 = (_clamped(coordinates[k], F.when(sized, w)) for k in ("x1", "x2"))
-    y1, y2 = (_clamped(coordinates[k], F.when(sized, h)) for k in ("y1", "y2"))
+    return F.when(sized, w), F.when(sized, h)
+
+
+def scaled(given: Column, coordinates: Column, w: Column, h: Column) -> Column:
+    """``normalized`` by known ``scales``, which are best columns of their own: code of more than 8,000 bytes is not compiled."""
+    full = given.isNotNull() & given["x1"].isNotNull() & given["y1"].isNotNull() & given["x2"].isNotNull() & given["y2"].isNotNull()
+    x1, x2 = (_clamped(pick(coordinates["x1"], coordinates["x2"]), w) for pick in (F.least, F.greatest))
+    y1, y2 = (_clamped(pick(coordinates["y1"], coordinates["y2"]), h) for pick in (F.least, F.greatest))
     there = coordinates["x1"].isNotNull() & coordinates["y1"].isNotNull() & coordinates["x2"].isNotNull() & coordinates["y2"].isNotNull()
-    return F.when(full, given).when(sized & there, box(F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2)))
+    return F.when(full, given).when(w.isNotNull() & h.isNotNull() & there, box(x1, y1, x2, y2))
 
 
 def absolute(normal: Column, width: Column, height: Column) -> Column:

@@ -15,9 +15,17 @@ from pyspark.sql import types as T
 from foliospark.functions.frames import parts, ship_active
 
 SPACES = r"(?U)\s+"
+#: The characters that ``(?U)\s`` matches; those of ASCII.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+ASCII_BLANKS = " \t\n\x0b\x0c\r"
 #: A token is taken as 0.75 words.
 WORDS_PER_TOKEN = 0.75
 
+#: Types, in lower case, that decide about the role.
+ROLE_OF_TYPE = (
+    {k: k for k in ("title", "h1", "h2", "h3", "table")} | dict.fromkeys(("image", "figure"), "figure") | dict.fromkeys(("figurecaption", "tablecaption", "caption"), "caption")
+    | dict.fromkeys(("narrativetext", "list", "listitem", "text", "header", "footer"), "paragraph")
+)
 #: Codes in a section path and what is stripped from its parts; numbering of headings; begin of a caption.
 SECTION_CODE = r"\(([A-Z]{2,}[A-Z0-9\-]*\d+[A-Z0-9\-]*)\)"
 SECTION_EDGES = r"^[ \-–—:;\t]+|[ \-–—:;\t]+$"
@@ -32,12 +40,24 @@ def empty_if_null(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.when(_edged(text, ASCII_BLANKS), F.btrim(text, F.lit(BLANKS))).otherwise(text)
+
+
+def _edged(text: Column, blanks: str) -> Column:
+    """Whether a text might have white space at its ends: it is not ASCII, or one of ``blanks`` is there."""
+    found = F.octet_length(text) != F.char_length(text)
+    for blank in blanks:
+        found = found | text.startswith(blank) | text.endswith(blank)
+    return found
 
 
 def collapse(text: Column) -> Column:
-    """Stripped, with every run of white space as one space."""
-    return F.regexp_replace(strip(empty_if_null(text)), SPACES, " ")
+    """Stripped, with every run of white space as one space. ASCII texts that have single spaces only go through no pattern."""
+    s = empty_if_null(text)
+    uneven = _edged(s, " ")
+    for blanks in ("  ", *ASCII_BLANKS.strip(" ")):
+        uneven = uneven | s.contains(blanks)
+    return F.when(uneven, F.regexp_replace(F.btrim(s, F.lit(BLANKS)), SPACES, " ")).otherwise(s)
 
 
 def words(text: Column) -> Column:
@@ -45,6 +65,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(empty_if_null(text), SPACES), lambda w: w != "")
 
 
+def count_words(text: Column) -> Column:
+    """The number of ``words``, without their array."""
+    return F.regexp_count(empty_if_null(text), F.lit(r"(?U)\S+"))
+
+
 def estimated_tokens(text: Column) -> Column:
     """At least 1; runs of word characters and single other characters, divided by the words of a token, half to even."""
     found = F.regexp_count(empty_if_null(text), F.lit(r"(?U)\w+|\S"))
@@ -160,8 +185,9 @@ def section_path(path: Column) -> Column:
             F.regexp_replace(F.regexp_replace(strip(p), SECTION_CODE, ""), SPACES, " "), SECTION_EDGES, ""
         ),
     )
-    kept = F.filter(parts, lambda p: p != "")
-    return F.when(path == "", path).otherwise(F.when(F.size(kept) > 0, F.array_join(kept, " > ")))
+    kept = F.array_join(F.filter(parts, lambda p: p != ""), " > ")
+    # null if nothing is left, without a second look at the parts
+    return F.when(path == "", path).otherwise(F.get(F.filter(F.array(kept), lambda p: p != ""), F.lit(0)))
 
 
 def section_level(level: Column, most: int = 6) -> Column:
@@ -179,19 +205,14 @@ def prompt(question: Column, blocks: Column) -> Column:
 
 def role(kind: Column, text: Column) -> Column:
     """Role of a layout element: by its type where that decides, else by caption, numbering and capitals."""
-    t, body = F.lower(empty_if_null(kind)), empty_if_null(text)
+    body = empty_if_null(text)
     capitals, letters = F.regexp_count(body, F.lit(r"\p{Lu}")), F.regexp_count(body, F.lit(r"(?U)\w"))
     loud = F.length(body).between(3, 80) & (letters > 0) & (capitals > 0.7 * letters)
     numbered = body.rlike(NUMBERED_HEADING) & (F.length(body) < 200)
-    return (
-        F.when(t.isin("title", "h1", "h2", "h3"), t)
-        .when(t == "table", "table")
-        .when(t.isin("image", "figure"), "figure")
-        .when(t.isin("figurecaption", "tablecaption", "caption"), "caption")
-        .when(t.isin("narrativetext", "list", "listitem", "text", "header", "footer"), "paragraph")
-        .when(body.rlike(CAPTION), "caption")
-        .when(numbered | loud, "h2")
-        .otherwise("paragraph")
+    known = F.create_map(*[F.lit(s) for pair in ROLE_OF_TYPE.items() for s in pair])
+    return F.coalesce(
+        known[F.lower(empty_if_null(kind))],
+        F.when(body.rlike(CAPTION), "caption").when(numbered | loud, "h2").otherwise("paragraph"),
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,11 @@ _NUMBER = re.compile(r"\d+(?:\.\d+)*\b")
 
 
 def estimated_tokens(text: str) -> int:
-    return max(1, round(len(_TOKEN.findall(text)) / text_functions.WORDS_PER_TOKEN))
+    return _estimate(len(_TOKEN.findall(text)))
+
+
+def _estimate(words: int) -> int:
+    return max(1, round(words / text_functions.WORDS_PER_TOKEN))
 
 
 def heading_level(role: str, text: str) -> int | None:
@@ -45,9 +50,10 @@ def heading_level(role: str, text: str) -> int | None:
         return s.count(".") + 1 if len(re.findall(r"\w+", s)) <= 25 else None
     if kind in ("title", "h1"):
         return 1
-    letters = re.findall("[A-Za-z]", s)
-    loud = letters and sum(c.isupper() for c in letters) / len(letters) >= 0.70
-    return 2 if loud and 1 <= len(re.findall(r"\w+", s)) <= 15 else None
+    if not 1 <= sum(1 for _ in islice(re.finditer(r"\w+", s), 16)) <= 15:  # of a long text, no more is read
+        return None
+    letters = len(re.findall("[A-Za-z]", s))
+    return 2 if letters and len(re.findall("[A-Z]", s)) / letters >= 0.70 else None
 
 
 def _around(*boxes):
@@ -149,13 +155,22 @@ def assemble(blocks: list[dict], max_tokens: int = MAX_TOKENS, overlap: int = OV
         def follows(block: dict = block, section: dict | None = section) -> bool:
             return bool(queue) and queue[-1]["role"] == "paragraph" and queue[-1]["page"] == block["page"] and queue[-1]["section"] is section
 
-        while follows() and tokens(longer := f"{text}\n{queue[-1]['text']}") <= max_tokens:
+        words = len(_TOKEN.findall(text)) if tokens is estimated_tokens and follows() else 0
+        while follows():
+            # no word goes over a line's end, so words of lines add up
+            if tokens is estimated_tokens:
+                words += len(_TOKEN.findall(queue[-1]["text"]))
+                fits = _estimate(words) <= max_tokens
+            else:
+                fits = tokens("\n".join([text, queue[-1]["text"]])) <= max_tokens
+            if not fits:
+                break
             taken = queue.pop()
-            text, ids, bbox = longer, ids + taken["ids"], _around(bbox, taken["bbox"])
+            text, ids, bbox = f"{text}\n{taken['text']}", ids + taken["ids"], _around(bbox, taken["bbox"])
         emit(block, "paragraph", text, "", ids, bbox, section)
-        words = text.split()[-overlap:] if overlap > 0 else []
-        if follows() and words and not carried:
-            queue.append(block | {"role": "paragraph", "text": " ".join(words), "html": "", "ids": [], "bbox": bbox, "section": None, "carry": True})
+        tail = text.split()[-overlap:] if overlap > 0 and not carried and follows() else []
+        if tail:
+            queue.append(block | {"role": "paragraph", "text": " ".join(tail), "html": "", "ids": [], "bbox": bbox, "section": None, "carry": True})
     return chunks
 
 
@@ -209,7 +224,7 @@ def chunk_blocks(blocks: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: in
         small, others = (sized.where(c).drop("__n") for c in (F.col("__n") <= large, F.col("__n") > large))
         return chunk_blocks(small, **options).unionByName(chunk_pieces(others, **options))
     tokens = _counter(tokenizer)
-    documents = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(_own())).alias("blocks"))
+    documents = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(_own())).alias("blocks"))
 
     def kernel(row: dict) -> list[dict]:
         joined = join_headings(row["blocks"])
@@ -292,11 +307,14 @@ def chunk_pieces(blocks: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: in
     return chunks.withColumns({"section_index": index.cast("int"), "__ord": (F.row_number().over(doc) - 1).cast("int")}).withColumn("ord", F.col("__ord")).drop("piece", "__ord")
 
 
-def finish_chunks(raw: DataFrame, elements: DataFrame, *, max_level: int = 6) -> DataFrame:
-    """Ids, links, page geometry, images, section clean-up, reading order and content hash: the columns of ``schemas.CHUNK``."""
+def finish_chunks(raw: DataFrame, elements: DataFrame, *, max_level: int = 6, names: DataFrame | None = None) -> DataFrame:
+    """Ids, links, page geometry, images, section clean-up, reading order and content hash: the columns of ``schemas.CHUNK``.
+
+    ``names``: (doc_id, source_file), made from the elements if not given.
+    """
     doc = Window.partitionBy("doc_id").orderBy("ord")
     name = F.concat(F.lit("c"), F.col("ord").cast("string"))
-    names = elements.groupBy("doc_id").agg(F.min_by("file_name", "ord").alias("source_file"))
+    names = elements.groupBy("doc_id").agg(F.min_by("file_name", "ord").alias("source_file")) if names is None else names
     chunks = raw.select(
         "doc_id", name.alias("chunk_id"), "ord", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "role", "text", "html", F.col("picture").alias("image_path"), "bbox",
         F.lit("top-left").alias("coord_system"), "page_width", "page_height", geometry.absolute(F.col("bbox"), F.col("page_width"), F.col("page_height")).alias("bbox_abs"),
@@ -327,7 +345,9 @@ def blocks_of(elements: DataFrame, *, strict: bool = False, rows: int | None = N
     """
     rows = elements.count() if rows is None else rows
     tasks = max(elements.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
-    body = layout.without_contents(elements.repartition(tasks, "doc_id"), strict=strict)
+    # one order for all windows by document or page that come before margins
+    dealt = elements.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "page_number")
+    body = layout.without_contents(dealt, strict=strict)
     return layout.attach_captions(layout.merge_text(layout.without_margins(layout.with_boxes(body)))), layout.page_sizes(body)
 
 
@@ -335,14 +355,15 @@ def run_chunking(elements: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap:
     """(chunks, manifest) of all documents at once.
 
     Rows are dealt by document first. All keys that follow begin with the document, so that this is the one shuffle of
-    elements; the files' names are counted down to one a document before theirs. The manifest needs blocks and chunks, which
+    elements; the files' names and the numbers of elements are written beforehand, a row a document. The manifest needs blocks and chunks, which
     would have the blocks made twice: with ``stored`` they are written to the shared folder.
     """
-    sizes = elements.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    own = storage.written(elements.sparkSession, elements.groupBy("doc_id").agg(F.count("*").alias("n"), F.min_by("file_name", "ord").alias("source_file")), "documents")
+    sizes = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
     blocks, pages = blocks_of(elements, strict=strict, rows=sizes["rows"])
     if stored:
         blocks = storage.written(elements.sparkSession, blocks, "blocks")
     # without a long document the plan stays as it is
     options = {"max_tokens": max_tokens, "overlap": overlap, "tokenizer": tokenizer, "large": large if sizes["most"] > large else None}
     raw = chunk_blocks(blocks, **options)
-    return finish_chunks(raw, elements), manifest(pages, blocks, raw)
+    return finish_chunks(raw, elements, names=own.select("doc_id", "source_file")), manifest(pages, blocks, raw)

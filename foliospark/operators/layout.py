@@ -72,7 +72,8 @@ def with_boxes(elements: DataFrame) -> DataFrame:
     own, x, y = (c.over(page) for c in _extent())
     size = F.when(numbered_page(), F.coalesce(own, F.when(x.isNotNull() | y.isNotNull(), F.struct(F.greatest(F.lit(1.0), x).alias("w"), F.greatest(F.lit(1.0), y).alias("h")))))
     sized = elements.withColumn("__size", size).withColumns({"page_width": F.coalesce("__size.w", F.lit(1.0)), "page_height": F.coalesce("__size.h", F.lit(1.0))}).drop("__size")
-    return sized.withColumn("bbox", geometry.normalized(F.col("given_box"), F.col("coordinates"), F.col("layout"), F.col("page_width"), F.col("page_height")))
+    w, h = geometry.scales(F.col("layout"), F.col("page_width"), F.col("page_height"))
+    return sized.withColumns({"__w": w, "__h": h}).withColumn("bbox", geometry.scaled(F.col("given_box"), F.col("coordinates"), F.col("__w"), F.col("__h"))).drop("__w", "__h")
 
 
 def contents_flags(elements: DataFrame, *, strict: bool = False) -> DataFrame:
@@ -83,9 +84,8 @@ def contents_flags(elements: DataFrame, *, strict: bool = False) -> DataFrame:
     """
     doc = Window.partitionBy("doc_id")
     page = Window.partitionBy("doc_id", "page_number")
-    raw, line = text.strip(text.empty_if_null(F.col("text"))), F.col("__line")
+    raw, line = F.col("__raw"), F.col("__line")
     early = F.col("__page") & (F.col("page_number") <= F.col("__limit")) & (F.length(F.coalesce(F.col("text"), F.lit(""))) > 0)
-    table = F.lower(F.coalesce("type", F.lit(""))) == "table"
     upper = F.upper(raw)
     crowded = (
         _has_any(upper, CONTENTS_TITLES)
@@ -94,27 +94,31 @@ def contents_flags(elements: DataFrame, *, strict: bool = False) -> DataFrame:
     )
     names = _has_any(raw, CONTENTS_NAMES)
     edited = F.lower(raw).rlike(EDIT_WORDS)
-    n_words, dots = F.size(text.words(line)), F.regexp_count(line, F.lit(r"\."))
-    entry = F.lit(False)
-    for pattern in (*CONTENTS_PATTERNS, LETTERED if strict else "(?i)" + LETTERED):
-        entry = entry | line.rlike(pattern)
+    n_words, dots = text.count_words(line), F.regexp_count(line, F.lit(r"\."))
+    # the pattern that most lines match goes first; dotted lines have two dots
+    entry = line.rlike(LETTERED if strict else "(?i)" + LETTERED)
+    for pattern in CONTENTS_PATTERNS:
+        entry = entry | (line.contains("..") & line.rlike(pattern) if r"\.{" in pattern else line.rlike(pattern))
     short = n_words <= 15
     entry = entry | (short & line.rlike(r"(?U)^(\d+\.?\d*|\w+\.?\d*)\s+\S") & line.rlike(r"(?U)\b\d{1,4}\s*$")) | (short & (dots > n_words) & (dots > 5))
-    title = line.rlike(CONTENTS_PATTERNS[0])
+    title = (F.octet_length(line) == len(CONTENTS_TITLES[0])) & line.rlike(CONTENTS_PATTERNS[0])
     kind = (
-        F.when(~early, 0).when(title, 2).when(table & (F.length(raw) > 500) & crowded, 1)
-        .when(table & (F.length(raw) > 200) & names & edited, 2).when((F.length(line) <= 200) & entry, 2).otherwise(0)
+        F.when(~F.col("__early"), 0).when(title, 2).when(F.col("__table") & (F.length(raw) > 500) & crowded, 1)
+        .when(F.col("__table") & (F.length(raw) > 200) & names & edited, 2).when((F.length(line) <= 200) & entry, 2).otherwise(0)
     )
     limit = F.greatest(F.lit(5), F.floor(F.max("page_number").over(doc) * 0.20))
-    # the collapsed line is a column of its own, or each pattern would have it made anew
-    staged = elements.withColumn("__page", numbered_page()).withColumn("__limit", limit).withColumn("__line", text.collapse(F.col("text")))
-    staged = staged.withColumn("__early", F.coalesce(early, F.lit(False))).withColumn("__kind", F.coalesce(kind, F.lit(0))).drop("__line", "__limit")
+    # columns of their own, or each pattern would have them made anew; in steps, as code of more than 8,000 bytes is not compiled
+    table = F.lower(F.coalesce("type", F.lit(""))) == "table"
+    numbered = F.max(F.when(F.col("__page"), F.col("page_number"))).over(doc).isNotNull()
+    staged = elements.withColumn("__page", numbered_page()).withColumns({"__limit": limit, "__numbered": numbered}).withColumn("__line", text.collapse(F.col("text")))
+    staged = staged.withColumns({"__early": F.coalesce(early, F.lit(False)), "__table": table})
+    staged = staged.withColumn("__raw", F.when(F.col("__early") & F.col("__table"), text.strip(text.empty_if_null(F.col("text")))))
+    staged = staged.withColumn("__kind", F.coalesce(kind, F.lit(0))).drop("__line", "__limit", "__raw", "__table")
     candidates, there = F.sum((F.col("__kind") == 2).cast("int")).over(page), F.sum(F.col("__early").cast("int")).over(page)
     dense = ((candidates / F.when(there > 0, there) > 0.3) & (candidates >= 2)) | (candidates >= 5)
-    numbered = F.max(F.when(F.col("__page"), F.col("page_number"))).over(doc).isNotNull()
     explicit = F.coalesce("is_toc", F.lit(False))
-    flag = numbered & (explicit | (F.col("__kind") == 1) | ((F.col("__kind") == 2) & F.coalesce(dense, F.lit(False))))
-    return staged.withColumn("contents", flag).drop("__page", "__early", "__kind")
+    flag = F.col("__numbered") & (explicit | (F.col("__kind") == 1) | ((F.col("__kind") == 2) & F.coalesce(dense, F.lit(False))))
+    return staged.withColumn("contents", flag).drop("__page", "__numbered", "__early", "__kind")
 
 
 def without_contents(elements: DataFrame, *, strict: bool = False) -> DataFrame:
@@ -144,10 +148,10 @@ def margin_flags(boxed: DataFrame) -> DataFrame:
     line, page = F.col("line"), F.when(numbered_page(), F.col("page_number"))
     rows = boxed.withColumn("line", text.collapse(F.col("text")))
     rows = rows.withColumn("__key", F.when(numbered_page() & (line != "") & (F.length(line) <= 150), line))
-    rows = rows.withColumn("__page_no", F.dense_rank().over(doc.orderBy(F.col("page_number").asc_nulls_last())))
+    rows = rows.withColumn("__page_no", F.dense_rank().over(doc.orderBy("page_number")))
     rows = rows.withColumns(
         {
-            "__pages": F.max(F.when(page.isNotNull(), F.col("__page_no"))).over(doc) - F.max(F.when(F.col("page_number") == 0, 1).otherwise(0)).over(doc),
+            "__pages": F.max(F.when(page.isNotNull(), F.col("__page_no"))).over(doc) - F.max(F.when(F.col("page_number") == 0, 1).otherwise(0)).over(doc) - F.max(F.col("page_number").isNull().cast("int")).over(doc),
             "__line_pages": F.size(F.collect_set(page).over(same)), "__n_y": F.count(centre).over(same), "__spread": F.stddev_pop(centre).over(same),
         }
     )
@@ -160,7 +164,7 @@ def margin_flags(boxed: DataFrame) -> DataFrame:
     boilerplate = F.col("__key").isNotNull() & F.coalesce(wide & steady, F.lit(False))
     picture = F.lower(F.coalesce("type", F.lit(""))).isin("image", "figure") & (F.trim(F.coalesce("image_path", F.lit(""))) != "")
     in_margin = F.coalesce((centre < 0.12) | (centre > 0.88), F.lit(False))
-    short = (F.length(line) < 50) & (F.size(text.words(line)) <= 5)
+    short = (F.length(line) < 50) & (text.count_words(line) <= 5)
     dropped_in_margin = (
         F.when(line.rlike(PAGE_NUMBER), True)
         .when(line.rlike(DOCUMENT_CODE), True)
@@ -178,11 +182,10 @@ def without_margins(boxed: DataFrame) -> DataFrame:
     return margin_flags(boxed).where(~F.col("margin")).drop("margin")
 
 
-def line_tolerance() -> Column:
-    """Of the row's page: 0.6 of the upper median of box heights, at least 0.006; 0.012 without boxes."""
-    page = Window.partitionBy("doc_id", "page_number")
-    heights = F.array_sort(F.collect_list(F.when(F.col("coordinates").isNotNull(), F.col("bbox.y2") - F.col("bbox.y1"))).over(page))
-    return F.when(F.size(heights) > 0, F.greatest(F.lit(0.006), F.get(heights, F.floor(F.size(heights) / 2).cast("int")) * 0.6)).otherwise(F.lit(0.012))
+def line_tolerance(heights: Column) -> Column:
+    """0.6 of the upper median of a page's box heights, at least 0.006; 0.012 without boxes."""
+    median = F.get(F.sort_array(heights), F.floor(F.size(heights) / 2).cast("int"))
+    return F.when(F.size(heights) > 0, F.greatest(F.lit(0.006), median * 0.6)).otherwise(F.lit(0.012))
 
 
 def merge_text(boxed: DataFrame) -> DataFrame:
@@ -193,35 +196,36 @@ def merge_text(boxed: DataFrame) -> DataFrame:
     element_ids, bbox, picture (the path if the element is an image) and the page's size. Runs without text vanish.
     """
     page = Window.partitionBy("doc_id", "page_number")
+    heights = F.collect_list(F.when(F.col("coordinates").isNotNull(), F.col("bbox.y2") - F.col("bbox.y1"))).over(page)
     line = F.rint(F.coalesce("bbox.y1", F.lit(0.0)) / F.col("tolerance"))
     placed = (
         boxed.where(numbered_page())
-        .withColumn("tolerance", line_tolerance())
-        .withColumn("role", text.role(F.col("type"), F.col("text")))
-        .withColumn("page_ord", F.min("ord").over(page))
-        .withColumn("rank", F.row_number().over(page.orderBy(line, F.coalesce("bbox.x1", F.lit(0.0)), "ord")))
-        .withColumn("atomic", F.col("role").isin(*ATOMIC))
-    )
-    ordered = page.orderBy("rank")
+        .withColumns({"__heights": heights, "page_ord": F.min("ord").over(page)})
+        .withColumns({"tolerance": line_tolerance(F.col("__heights")), "role": text.role(F.col("type"), F.col("text"))}).drop("__heights")
+        .withColumns({"atomic": F.col("role").isin(*ATOMIC), "__line": line, "__x": F.coalesce("bbox.x1", F.lit(0.0))})
+    )
+    ordered = page.orderBy("__line", "__x", "ord")
     # an atomic row is an island of its own, and so is each stretch between two of them
-    island = F.sum(F.col("atomic").cast("int")).over(ordered) * 2 - F.col("atomic").cast("int")
+    so_far = F.sum(F.col("atomic").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     body = F.when(F.col("atomic"), text.empty_if_null(F.col("text"))).otherwise(text.strip(text.empty_if_null(F.col("text"))))
-    gathered = F.array_sort(F.collect_list(F.struct("rank", body.alias("text"), "element_index")))
+    placed = placed.withColumns({"rank": F.row_number().over(ordered), "__so_far": so_far, "__body": body})
+    island = F.col("__so_far") * 2 - F.col("atomic").cast("int")
+    gathered = F.sort_array(F.collect_list(F.struct("rank", F.col("__body").alias("text"), "element_index")))
     blocks = (
         placed.withColumn("island", island)
         .groupBy("doc_id", "page_number", "page_ord", "island")
         .agg(
-            F.max("atomic").alias("atomic"), F.min_by("role", "rank").alias("first_role"), F.min("rank").alias("first_rank"), gathered.alias("rows"),
+            F.max("atomic").alias("atomic"), F.max(F.col("__body") != "").alias("said"), F.min_by("role", "rank").alias("first_role"), F.min("rank").alias("first_rank"), gathered.alias("rows"),
             F.min_by(F.coalesce("html", F.lit("")), "rank").alias("html"), F.min_by(F.coalesce("image_path", F.lit("")), "rank").alias("image_path"), geometry.union(F.col("bbox")).alias("bbox"),
             F.min_by(F.when(F.lower("type") == "image", F.coalesce("image_path", F.lit(""))).otherwise(""), "rank").alias("picture"), F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"),
         )
+        .where(F.col("atomic") | F.col("said"))
         .select(
             "doc_id", F.col("page_number").alias("page"), "page_ord", "first_rank", "atomic", F.when(F.col("atomic"), F.col("first_role")).otherwise("paragraph").alias("role"),
             F.array_join(F.filter(F.transform("rows", lambda r: r["text"]), lambda t: t != ""), " ").alias("text"),
             F.when(F.col("atomic"), F.col("html")).otherwise("").alias("html"), F.when(F.col("atomic"), F.col("image_path")).otherwise("").alias("image_path"),
             F.transform("rows", lambda r: r["element_index"]).alias("element_ids"), "bbox", "picture", "page_width", "page_height",
         )
-        .where(F.col("atomic") | (F.col("text") != ""))
     )
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_ord", "first_rank")) - 1
     return blocks.withColumn("ord", number).select("doc_id", "page", "ord", "role", "text", "html", "image_path", "element_ids", "bbox", "picture", "page_width", "page_height")
@@ -236,7 +240,7 @@ def attach_captions(blocks: DataFrame) -> DataFrame:
     holder = F.last(F.when(F.col("role").isin("figure", "table"), F.col("ord")), ignorenulls=True).over(before)
     others = [c for c in blocks.columns if c not in ("doc_id", "page", "ord", "text")]
     grouped = blocks.withColumn("at", F.coalesce(F.when(F.col("role") == "caption", holder), F.col("ord"))).groupBy("doc_id", "page", "at")
-    rows = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    rows = F.sort_array(F.collect_list(F.struct("ord", "text")))
     joined = grouped.agg(F.min_by(F.struct(*others), "ord").alias("own"), rows.alias("rows"))
     # an empty text of the holder leaves no line of its own
     lines = F.filter(F.transform("rows", lambda r: r["text"]), lambda t, i: (i > 0) | (t != ""))
