@@ -153,8 +153,17 @@ def changed(one: DataFrame, two: DataFrame, by: tuple[str, ...] = ("doc_id",)) -
 
     Only digests are shuffled and joined, a row a group; ``rows``: their number differs, ``content``: it is equal and they are not.
     """
-    a = digests(one, by).withColumnsRenamed({c: f"{c}_a" for c in ("n", *LIMBS)})
-    b = digests(two, by).withColumnsRenamed({c: f"{c}_b" for c in ("n", *LIMBS)})
+    return compared(digests(one, by), digests(two, by), by)
+
+
+def compared(one: DataFrame, two: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``changed`` from the ``digests`` of two runs.
+
+    Two runs of one plan must not meet in one query, where Spark makes the rows of both from one exchange: write the first
+    one's digests before the second begins.
+    """
+    a = one.withColumnsRenamed({c: f"{c}_a" for c in ("n", *LIMBS)})
+    b = two.withColumnsRenamed({c: f"{c}_b" for c in ("n", *LIMBS)})
     # the keys as one struct, so that null groups meet
     a, b = (x.select(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("key"), F.struct(*by).alias("k"), *[c for c in x.columns if c not in by]) for x in (a, b))
     same = F.lit(True)

@@ -54,3 +54,21 @@ def test_blanks_are_those_of_the_patterns(spark, blank):
     )
     for r in rows.collect():
         assert r.a == r.b and r.c == r.d and r.e == r.f
+
+
+def test_determinism_makes_two_runs(spark, monkeypatch):
+    """Elements that differ from run to run are found, so the second run is not the first one read again."""
+    from foliospark.plans import catalog
+
+    def varied(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = pa.array([f"{t} {uuid.uuid4()}" for t in batch.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if f.name == "text" else batch.column(f.name) for f in batch.schema], schema=batch.schema)
+
+    made = fx.elements
+    monkeypatch.setattr(fx, "elements", lambda s, d: (e := made(s, d)).mapInArrow(varied, e.schema))
+    assert catalog.QUERIES["determinism"](spark, SF).first().different > 0
