@@ -348,7 +348,8 @@ def blocks_of(elements: DataFrame, *, strict: bool = False, rows: int | None = N
     # one order for all windows by document or page that come before margins
     dealt = elements.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "page_number")
     body = layout.without_contents(dealt, strict=strict)
-    return layout.attach_captions(layout.merge_text(layout.without_margins(layout.with_boxes(body)))), layout.page_sizes(body)
+    inner = layout.without_margins(layout.with_boxes(body), ordered=False)
+    return layout.attach_captions(layout.merge_text(inner)), layout.page_sizes(body)
 
 
 def run_chunking(elements: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS, strict: bool = False, tokenizer: Tokenizer | None = None, large: int = LARGE, stored: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -73,6 +73,14 @@ def test_spread_at_the_limit_is_rounded_in_document_order(spark):
         assert {r.doc_id: r.margin for r in flagged} == {"d": False, "e": True}
 
 
+def test_blocks_take_the_spread_at_the_limit_in_no_order(spark):
+    """Assembly's rows come by page: 0.22 and 0.12, which deviate by the float before 0.05, are dropped whichever comes first; 0.22 and 0.32 stay."""
+    rows = [element(k, "two lines apart", page=k + 7, y=y, h=40.0, doc=doc) for doc, ys in {"a": (200, 100), "b": (100, 200), "c": (200, 300), "d": (300, 200)}.items() for k, y in enumerate(ys)]
+    rows += [element(9, f"more of {doc}", page=9, y=500, doc=doc) for doc in "abcd"]
+    blocks = chunking.blocks_of(frame(spark, rows[::-1]))[0].collect()
+    assert {(r.doc_id, r.page) for r in blocks} == {(doc, page) for doc in "cd" for page in (7, 8)} | {(doc, 9) for doc in "abcd"}
+
+
 def test_page_sizes(spark):
     rows = [element(0, "a", layout=None, y=50), element(1, "b", page=2, layout={"w": 5.0, "h": 6.0}), element(2, "c", page=2, layout={"w": 7.0, "h": 8.0}), element(3, "d", page=3, layout=None), element(4, "e", page=None)]
     assert {r.page_number: (r.width, r.height) for r in layout.page_sizes(frame(spark, rows)).collect()} == {1: (100.0, 70.0), 2: (7.0, 8.0)}
