@@ -50,3 +50,14 @@ def test_a_budget_that_stops_a_chunk_opens_one_without_a_section(spark, places):
     """The awkward tables reach the carry of words, which opens a chunk outside all sections, and sections of several depths."""
     rows = catalog.QUERIES["chunk_texts"](spark, places[0]).where("doc_id = '5'").orderBy("ord").collect()
     assert any(r["section_id"] == "" and r["ord"] for r in rows) and {r["section_level"] for r in rows} >= {0, 2, 3, 4}
+
+
+def test_chunks_do_not_hang_on_which_page_of_a_line_at_the_limit_comes_first(spark, tmp_path):
+    """A line at heights 0.22 and 0.12 is a running header in either order of its pages, one at 0.22 and 0.32 never is."""
+    places = [(104, 142), (142, 164), (104, 126), (126, 164)]
+    texts = ["\n".join("1 Scope ..... 3" if n < 100 else "a line of two pages" if n in at else "the only other line" if n == 145 else "" for n in range(170)) for at in places]
+    spark.createDataFrame([(2 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for r in catalog.QUERIES["chunk_texts"](spark, str(tmp_path)).where("role = 'paragraph'").collect():
+        found.setdefault(int(r.doc_id) // 2, set()).add(r.ids)
+    assert found == {0: {"145"}, 1: {"145"}, 2: {"104", "126", "145"}, 3: {"126", "145", "164"}}
